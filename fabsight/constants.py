@@ -7,7 +7,7 @@ WINDOW, STRIDE, CONFIRM_K = 12, 6, 2
 EWMA_ALPHA, SCORE_CLIP = 0.1, 3.0
 LOOKBACK_ROWS = 300
 TRANSITION_THRESHOLD, TRANSITION_SETTLE = 1000.0, 10
-VAR_LAG, VAR_RIDGE = 2, 1e-3
+VAR_LAG, VAR_RIDGE = 2, 1e-6
 PCA_VARIANCE, LIMIT_QUANTILE = 0.9, 0.999
 CALIBRATION_LOW, CALIBRATION_HIGH = 0.5, 1.5
 MIN_TRAIN_WINDOWS, MIN_CALIBRATION_WINDOWS = 200, 200

@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fabsight.session import durable, shuffle_partitions
@@ -112,44 +111,31 @@ def piece_for_decay(alpha: float, most: int = 4096) -> int:
     return max(2, min(most, int(500 / -math.log1p(-alpha))))
 
 
-def _carry(summaries: DataFrame, keys: Sequence[str], fan: int = 4096) -> DataFrame:
+def _carry(summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``carry_0 = seed``; ``carry_{m+1} = gain_m * carry_m + shift_m`` over piece summaries.
 
-    Two levels: blocks of ``fan`` summaries are folded in parallel, then one short fold over blocks.
+    Summaries (one row per piece of thousands of rows) are sorted inside hash partitions and folded as a
+    stream: batches of rows pass through with one number of state, no group is gathered.
     """
     names = list(keys)
     fields = {f.name: f.dataType.simpleString() for f in summaries.schema.fields}
-    kddl = ", ".join(f"`{k}` {fields[k]}" for k in names)
-    blocked = summaries.withColumn("_block", F.floor(F.col(PIECE) / fan))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(PIECE)
-        gain, shift, gains, shifts = 1.0, 0.0, [], []
-        for g, s in zip(pdf["gain"], pdf["shift"], strict=True):
-            gains.append(gain)
-            shifts.append(shift)
-            gain, shift = g * gain, g * shift + s
-        pdf = pdf.assign(before_gain=gains, before_shift=shifts, block_gain=gain, block_shift=shift)
-        return pdf[[*names, PIECE, "_block", "seed", "before_gain", "before_shift", "block_gain", "block_shift"]]
-
-    inner = blocked.groupBy(*names, "_block").applyInPandas(
-        fold, f"{kddl}, {PIECE} long, _block long, seed double, before_gain double, before_shift double, "
-              "block_gain double, block_shift double")
-    blocks = inner.groupBy(*names, "_block").agg(
-        F.first("block_gain").alias("gain"), F.first("block_shift").alias("shift"), F.first("seed").alias("seed"))
-
-    def fold_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        value, values = None, []
-        for g, s, seed in zip(pdf["gain"], pdf["shift"], pdf["seed"], strict=True):
-            value = seed if value is None else value
-            values.append(value)
-            value = g * value + s
-        return pdf.assign(enter=values)[[*names, "_block", "enter"]]
-
-    enter = blocks.groupBy(*names).applyInPandas(fold_blocks, f"{kddl}, _block long, enter double")
-    return inner.join(enter, [*names, "_block"]).select(
-        *names, PIECE, (F.col("before_gain") * F.col("enter") + F.col("before_shift")).alias("_carry"))
+    ddl = ", ".join([*[f"`{k}` {fields[k]}" for k in names], f"{PIECE} long", "_carry double"])
+
+    def fold(batches):
+        current, value = None, 0.0
+        for pdf in batches:
+            keyed = list(zip(*[pdf[k] for k in names], strict=True)) if names else [()] * len(pdf)
+            out = []
+            for key, gain, shift, seed in zip(keyed, pdf["gain"], pdf["shift"], pdf["seed"], strict=True):
+                if key != current:
+                    current, value = key, seed
+                out.append(value)
+                value = gain * value + shift
+            yield pdf[[*names, PIECE]].assign(_carry=out)
+
+    n = shuffle_partitions(summaries.sparkSession)
+    arranged = summaries.repartition(n, *names) if names else summaries.coalesce(1)
+    return arranged.sortWithinPartitions(*names, PIECE).mapInPandas(fold, ddl)
 
 
 def ewma(df: DataFrame, keys: Sequence[str], pos: str, value: str, alpha: float, name: str = "ewma",

@@ -36,9 +36,9 @@ def missing_keys(v):
     return M.missing_keys(v.repairs.select(F.col("repaired_by").alias("id")), v.users, "id")
 
 
-@query("id_set_diff", "SELECT o_custkey % 2000 AS id FROM orders EXCEPT SELECT id FROM users")
+@query("id_set_diff", "SELECT o_orderkey % 2000 AS id FROM orders EXCEPT SELECT id FROM users")
 def id_set_diff(v):
-    return v.table("orders").select((F.col("o_custkey") % 2000).alias("id")).subtract(v.users.select("id"))
+    return v.table("orders").select((F.col("o_orderkey") % 2000).alias("id")).subtract(v.users.select("id"))
 
 
 @query("maintenance_summary", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY equipment_id ORDER BY repaired_at DESC, id DESC) AS rn FROM repairs),
