@@ -43,9 +43,9 @@ def ordered_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], su
     offsets = totals.select(
         PIECE, *keys, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
     out = fixed.select("*", *[F.sum(e).over(local).alias(c) for c, e in sums.items()])
-    joined = out.join(offsets.withColumnRenamed(PIECE, "_p").select(
-        "_p", *[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_o_{c}" for c in sums]),
-        (F.col(PIECE) == F.col("_p")) & _pairs(keys), "inner")
+    joined = out.join(offsets.withColumnRenamed(PIECE, "_part").select(
+        "_part", *[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_o_{c}" for c in sums]),
+        (F.col(PIECE) == F.col("_part")) & _pairs(keys), "inner")
     return joined.select(*df.columns, *[(F.col(c) + F.col(f"_o_{c}")).alias(c) for c in sums])
 
 

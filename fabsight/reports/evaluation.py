@@ -9,6 +9,7 @@ from fabsight.functions.dates import date_bin
 from fabsight.operators import evaluate as E, scoring as S, telemetry as T
 from fabsight.reports.series import win_score
 from fabsight.registry import query
+from fabsight.session import durable
 from fabsight.views import SQL_VIEWS
 
 GRACE = {"acute": 3, "_default": 12}
@@ -136,7 +137,7 @@ def sweep(v, quantiles=(0.5, 0.8, 0.9, 0.95, 0.99)):
     return fired, long.select("point", "q").distinct()
 
 
-_SWEEP = """l AS (SELECT process_type, q, quantile_cont(raw, q) AS lim FROM win_score, (SELECT unnest([0.5, 0.8, 0.9, 0.95, 0.99]) AS q) GROUP BY ALL),
+_SWEEP = """l AS (""" + " UNION ALL ".join(f"SELECT process_type, CAST({q} AS DOUBLE) AS q, quantile_cont(raw, {q}) AS lim FROM win_score GROUP BY 1" for q in (0.5, 0.8, 0.9, 0.95, 0.99)) + """),
 f AS (SELECT q, equipment_id, win * 6 + 11 AS tick FROM win_score w JOIN l USING (process_type) WHERE raw > lim + 1e-9),
 hit AS (SELECT q.q, e.event_id, min(f.tick) IS NOT NULL AS det, min(f.tick) - any_value(e.start_tick) AS delay FROM incidents e CROSS JOIN (SELECT DISTINCT q FROM l) q
  LEFT JOIN f ON f.q = q.q AND f.equipment_id = e.equipment_id AND f.tick BETWEEN e.start_tick AND e.end_tick GROUP BY 1, 2),
@@ -150,11 +151,12 @@ def sweep_metrics(v):
     """One row per threshold; the threshold number is part of every key instead of a loop of jobs."""
     from fabsight.plans.series import exact_quantiles
     fired, points = sweep(v)
+    fired = durable(fired)
     many = v.incidents.withColumn("point", F.explode(F.array(*[F.lit(i) for i in range(5)])))
     keyed = many.select(F.concat_ws("|", "point", "event_id").alias("event_id"), F.concat_ws("|", "point", "equipment_id").alias("equipment_id"),
                         "kind", "start_tick", "end_tick", "point")
     det = fired.select(F.concat_ws("|", "point", "equipment_id").alias("equipment_id"), "tick", "point")
-    hit = E.events_detections_range(keyed, det.drop("point"))
+    hit = durable(E.events_detections_range(keyed, det.drop("point")))
     fa = E.bucket_dedup(E.detections_outside_events(keyed, det.drop("point")), 360).groupBy(
         F.split("equipment_id", "\\|")[0].cast("int").alias("point")).agg(F.count(F.lit(1)).alias("false_alarms_dedup"))
     p90 = exact_quantiles(hit, ["point"], "delay", {"delay_p90": 0.9})

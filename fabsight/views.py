@@ -56,7 +56,7 @@ class Views:
     _known: dict[tuple[str, str], "Views"] = {}
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._stored = spark, folder, {}
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str) -> "Views":
@@ -66,6 +66,12 @@ class Views:
             cls._known[key] = cls(spark, folder)
         return cls._known[key]
 
+    def stored(self, name: str, build) -> DataFrame:
+        """Derived table written once per session to the checkpoint folder."""
+        if name not in self._stored:
+            self._stored[name] = durable(build())
+        return self._stored[name]
+
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)
 
