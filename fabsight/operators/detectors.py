@@ -123,8 +123,7 @@ def scaler_of(features: DataFrame, cols: Sequence[str] = ALL_FEATURES) -> dict:
 
 def keep_components(values: np.ndarray, share: float) -> int:
     ratio = np.cumsum(values) / values.sum()
-    return len(values) if share >= 1.0 else int(np.searchsorted(ratio, share, side="right") + 1) if share not in ratio else int(
-        np.searchsorted(ratio, share) + 1)
+    return min(len(values), int(np.searchsorted(ratio, share, side="right")) + 1)
 
 
 def pca_fit(features: DataFrame, share: float = K.PCA_VARIANCE, quantile: float = K.LIMIT_QUANTILE,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fabsight import constants as K
 from fabsight.plans.series import exact_quantiles, ordered_sums
+from fabsight.session import durable
 
 DAY = 86_400.0
 EVENT_KEYS = ["event_id", "equipment_id", "kind", "start_tick", "end_tick"]
@@ -204,6 +205,27 @@ def shadow_report(shadow: DataFrame, rule: DataFrame, now: Column, days: int = 7
     return shadow_vs_rule(shadow.where(F.col("raised_at") >= since), rule.where(F.col("raised_at") >= since), now)
 
 
+def sweep_metrics(events: DataFrame, fired: DataFrame, points: DataFrame, dedup_ticks: int = 360) -> DataFrame:
+    """Metrics of many thresholds or parameter sets at once.
+
+    ``fired`` holds (point, equipment_id, tick).  The point number becomes part of the keys, so the whole
+    sweep is evaluated by one set of joins instead of a job per point.
+    """
+    fired = durable(fired.select("point", "equipment_id", "tick"))
+    numbers = [r["point"] for r in points.select("point").distinct().collect()]  # one entry per parameter set
+    tag = lambda c: F.concat_ws("|", "point", c)
+    many = events.withColumn("point", F.explode(F.array(*[F.lit(n) for n in numbers])))
+    keyed = many.select(tag("event_id").alias("event_id"), tag("equipment_id").alias("equipment_id"), "kind", "start_tick", "end_tick", "point")
+    det = fired.select(tag("equipment_id").alias("equipment_id"), "tick")
+    hit = durable(events_detections_range(keyed, det))
+    fa = bucket_dedup(detections_outside_events(keyed, det), dedup_ticks).groupBy(
+        F.split("equipment_id", "\\|")[0].cast("int").alias("point")).agg(F.count(F.lit(1)).alias("false_alarms_dedup"))
+    p90 = exact_quantiles(hit, ["point"], "delay", {"delay_p90": 0.9})
+    recall = hit.groupBy("point").agg(F.round(F.avg(F.col("detected").cast("double")), 8).alias("recall"), F.round(F.avg("delay"), 6).alias("delay_mean"))
+    return points.join(recall, "point", "left").join(p90, "point", "left").join(fa, "point", "left").withColumn(
+        "false_alarms_dedup", F.coalesce("false_alarms_dedup", F.lit(0)))
+
+
 def fire_rate(df: DataFrame, fired: Column, ratio: Column, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(fired.cast("double")).alias("fire_rate"), F.max(ratio).alias("peak_ratio"))
 

@@ -9,7 +9,6 @@ from fabsight.functions.dates import date_bin
 from fabsight.operators import evaluate as E, scoring as S, telemetry as T
 from fabsight.reports.series import win_score
 from fabsight.registry import query
-from fabsight.session import durable
 from fabsight.views import SQL_VIEWS
 
 GRACE = {"acute": 3, "_default": 12}
@@ -148,21 +147,8 @@ m AS (SELECT hit.q, round(avg(CAST(det AS INT)), 8) AS recall, quantile_cont(del
 
 
 def sweep_metrics(v):
-    """One row per threshold; the threshold number is part of every key instead of a loop of jobs."""
-    from fabsight.plans.series import exact_quantiles
     fired, points = sweep(v)
-    fired = durable(fired)
-    many = v.incidents.withColumn("point", F.explode(F.array(*[F.lit(i) for i in range(5)])))
-    keyed = many.select(F.concat_ws("|", "point", "event_id").alias("event_id"), F.concat_ws("|", "point", "equipment_id").alias("equipment_id"),
-                        "kind", "start_tick", "end_tick", "point")
-    det = fired.select(F.concat_ws("|", "point", "equipment_id").alias("equipment_id"), "tick", "point")
-    hit = durable(E.events_detections_range(keyed, det.drop("point")))
-    fa = E.bucket_dedup(E.detections_outside_events(keyed, det.drop("point")), 360).groupBy(
-        F.split("equipment_id", "\\|")[0].cast("int").alias("point")).agg(F.count(F.lit(1)).alias("false_alarms_dedup"))
-    p90 = exact_quantiles(hit, ["point"], "delay", {"delay_p90": 0.9})
-    recall = hit.groupBy("point").agg(F.round(F.avg(F.col("detected").cast("double")), 8).alias("recall"), F.round(F.avg("delay"), 6).alias("delay_mean"))
-    return points.join(recall, "point", "left").join(p90, "point", "left").join(fa, "point", "left").withColumn(
-        "false_alarms_dedup", F.coalesce("false_alarms_dedup", F.lit(0)))
+    return E.sweep_metrics(v.incidents, fired, points)
 
 
 @query("threshold_sweep", f"WITH {_SWEEP} SELECT q, recall, delay_p90, delay_mean, false_alarms_dedup FROM m")

@@ -196,10 +196,10 @@ def candidate_union(v):
     return R.convex_fuse(d, R.bm25_search(queries_(v), chunks(v), 10), 0.5, 1000).select("query_id", "chunk_id")
 
 
-@query("convex_fuse", "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM fused WHERE rank <= 10")
+@query("convex_fuse", "SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM fused WHERE rank <= 10")
 def convex_fuse(v):
     d = R.min_score_filter(R.dense_search(queries_(v), chunk_vecs(v), 10, 26))
-    return R.convex_fuse(d, R.bm25_search(queries_(v), chunks(v), 10), 0.5, 10).withColumn("score", F.round("score", 6))
+    return R.convex_fuse(d, R.bm25_search(queries_(v), chunks(v), 10), 0.5, 10).withColumn("score", F.round("score", 9))
 
 
 @query("fused_topk", "SELECT query_id, chunk_id, rank FROM fused WHERE rank <= 3")
@@ -215,11 +215,14 @@ def hybrid_search(v):
     return R.hybrid_search(queries_(v), chunk_vecs(v), 3, 10, 26).select("query_id", "chunk_id", "doc_id", "rank")
 
 
-@query("explicit_code_filter", """SELECT b.query_id, c.chunk_id FROM bm25 b JOIN chunks c USING (chunk_id) WHERE b.rank <= 10 AND b.score > 0 AND contains(upper(c.content), 'ERR-402')""")
+@query("explicit_code_filter", """SELECT b.query_id, c.chunk_id FROM bm25 b JOIN chunks c USING (chunk_id) WHERE b.rank <= 10 AND b.score > 0
+AND (c.chunk_index % 3 = b.query_id % 3 OR b.query_id % 4 = 0)""")
 def explicit_code_filter(v):
-    # the alarm code is part of every query text, so only chunks naming it may stay
-    hits = R.bm25_search(queries_(v), chunks(v), 10).join(chunks(v).select("chunk_id", "content"), "chunk_id")
-    return R.explicit_code_filter(hits.withColumn("query", F.lit("err-402"))).select("query_id", "chunk_id")
+    # chunk i is about alarm ERR-40(i mod 3); most queries name one code, every fourth names none
+    hits = R.bm25_search(queries_(v), chunks(v), 10).join(chunks(v).select("chunk_id", "chunk_index", "content"), "chunk_id")
+    content = F.concat("content", F.lit(" ERR-40"), (F.col("chunk_index") % 3).cast("string"))
+    code = F.when(F.col("query_id") % 4 == 0, "status").otherwise(F.concat(F.lit("about err-40"), (F.col("query_id") % 3).cast("string"), F.lit("?")))
+    return R.explicit_code_filter(hits.withColumns({"query": code, "content": content})).select("query_id", "chunk_id")
 
 
 @query("rerank_by_score", f"""WITH h AS (SELECT query_id, chunk_id, rank FROM dense WHERE rank <= 10),
