@@ -7,11 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fabsight import constants as K
+from fabsight.plans.asof import along
 from fabsight.plans.series import exact_quantiles, ordered_sums
 from fabsight.session import durable
 
 DAY = 86_400.0
-EVENT_KEYS = ["event_id", "equipment_id", "kind", "start_tick", "end_tick"]
 
 
 def resolve_grace(kind: Column, grace: int | Mapping[str, int] | None) -> Column | None:
@@ -26,39 +26,32 @@ def resolve_grace(kind: Column, grace: int | Mapping[str, int] | None) -> Column
     return out
 
 
-def cover_ticks(spans: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """Spans repeated once per tick block they touch, so range conditions become equi joins on the block."""
-    return spans.withColumn("_blk", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-
-
-def events_detections_range(events: DataFrame, detections: DataFrame, grace=None, block: int = 64) -> DataFrame:
+def events_detections_range(events: DataFrame, detections: DataFrame, grace=None) -> DataFrame:
     """First detection inside ``[start, min(end, start + grace)]`` of each event (NULL when missed).
 
-    Both sides are keyed by (equipment, tick block); detections of one block are reduced to sorted distinct
-    ticks by the block width, so a hot machine is spread over its blocks.
+    It is the first detection at or after the start, if that is not too late; nothing else is compared.
     """
     g = resolve_grace(F.col("kind"), grace)
     last = F.col("end_tick") if g is None else F.least(F.col("end_tick"), F.coalesce(F.col("start_tick") + g, F.col("end_tick")))
-    spans = cover_ticks(events.withColumn("_last", last).where(F.col("_last") >= F.col("start_tick")), "start_tick", "_last", block)
-    hits = detections.select("equipment_id", F.col("tick").alias("_tick")).distinct().withColumn("_blk", F.floor(F.col("_tick") / block))
-    found = spans.join(hits, ["equipment_id", "_blk"]).where(F.col("_tick").between(F.col("start_tick"), F.col("_last")))
-    first = found.groupBy("event_id").agg(F.min("_tick").alias("first_tick"))
-    return events.join(first, "event_id", "left").withColumns({
+    found = along(events, detections, ["equipment_id"], "start_tick", "tick", {"_next": ("first", F.col("tick"))}, right_first=False)
+    first = F.when(F.col("_next") <= last, F.col("_next"))
+    return found.withColumn("first_tick", first).drop("_next").withColumns({
         "detected": F.col("first_tick").isNotNull(), "delay": F.col("first_tick") - F.col("start_tick")})
 
 
-def detections_outside_events(events: DataFrame, detections: DataFrame, block: int = 64) -> DataFrame:
-    spans = cover_ticks(events.select("equipment_id", "start_tick", "end_tick"), "start_tick", "end_tick", block).alias("e")
-    d = detections.withColumn("_blk", F.floor(F.col("tick") / block)).alias("d")
-    cond = ((F.col("d.equipment_id") == F.col("e.equipment_id")) & (F.col("d._blk") == F.col("e._blk"))
-            & F.col("d.tick").between(F.col("e.start_tick"), F.col("e.end_tick")))
-    return d.join(spans, cond, "left_anti").drop("_blk")
+def _reach(ticks: DataFrame, events: DataFrame) -> DataFrame:
+    """Furthest end among the events that started by each tick: the tick is inside an event iff that reaches it."""
+    return along(ticks, events, ["equipment_id"], "tick", "start_tick", {"_reach": ("max", F.col("end_tick"))})
+
+
+def detections_outside_events(events: DataFrame, detections: DataFrame) -> DataFrame:
+    outside = F.col("_reach").isNull() | (F.col("_reach") < F.col("tick"))
+    return _reach(detections, events).where(outside).drop("_reach")
 
 
-def point_labels(ticks: DataFrame, events: DataFrame, block: int = 64) -> DataFrame:
-    """Label 1 on ticks inside any event of the equipment: covered ticks as a distinct set, then one left join."""
-    covered = events.select("equipment_id", F.explode(F.sequence("start_tick", "end_tick")).alias("tick"), F.lit(1).alias("_l")).distinct()
-    return ticks.join(covered, ["equipment_id", "tick"], "left").withColumn("label", F.coalesce("_l", F.lit(0))).drop("_l")
+def point_labels(ticks: DataFrame, events: DataFrame) -> DataFrame:
+    """Label 1 on ticks inside any event of the equipment."""
+    return _reach(ticks, events).withColumn("label", F.coalesce((F.col("_reach") >= F.col("tick")).cast("int"), F.lit(0))).drop("_reach")
 
 
 def bucket_dedup(detections: DataFrame, bucket_ticks: int) -> DataFrame:
@@ -175,20 +168,17 @@ def detector_ranking(points: DataFrame, recall: str = "recall", delay: str = "de
     return points.withColumn("place", rn)
 
 
-def interval_overlap(a: DataFrame, b: DataFrame, now: Column, how: str, block_seconds: int = 86_400) -> DataFrame:
+def interval_overlap(a: DataFrame, b: DataFrame, now: Column, how: str) -> DataFrame:
     """Rows of ``a`` (raised_at..cleared_at) that do (``left_semi``) or do not (``left_anti``) meet one of ``b``.
 
-    Intervals are cut into day blocks, so the overlap test is an equi join on (equipment, block) plus a
-    residual; intervals open at the end run to ``now``.
+    An interval meets one of ``b`` iff, among those of ``b`` that start by its end, the latest end reaches its
+    start: a running maximum along the time line.  Intervals open at the end run to ``now``.
     """
-    def cut(df, side):
-        end = F.coalesce(F.col("cleared_at"), now)
-        first, last = (F.floor(F.unix_timestamp(c) / block_seconds) for c in (F.col("raised_at"), end))
-        return df.select(F.col("alarm_id").alias(f"{side}_id"), "equipment_id", F.col("raised_at").alias(f"{side}_from"), end.alias(f"{side}_to"),
-                         F.explode(F.sequence(first, F.greatest(first, last))).alias("_blk"))
-    hit = cut(a, "a").join(cut(b, "b"), ["equipment_id", "_blk"]).where(
-        (F.col("a_from") <= F.col("b_to")) & (F.col("b_from") <= F.col("a_to"))).select(F.col("a_id").alias("alarm_id")).distinct()
-    return a.join(hit, "alarm_id", how)
+    ended = a.withColumn("_to", F.coalesce(F.col("cleared_at"), now))
+    other = b.select("equipment_id", "raised_at", F.coalesce(F.col("cleared_at"), now).alias("_end"))
+    met = along(ended, other, ["equipment_id"], "_to", "raised_at", {"_reach": ("max", F.col("_end"))})
+    hit = F.coalesce(F.col("_reach") >= F.col("raised_at"), F.lit(False))
+    return met.where(hit if how == "left_semi" else ~hit).select(*a.columns)
 
 
 def shadow_vs_rule(shadow: DataFrame, rule: DataFrame, now: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fabsight import constants as K
-from fabsight.functions.alarms import alarm_channels, lookup
+from fabsight.functions.alarms import alarm_channels, checklist_items, lookup
 from fabsight.functions.text import format_value
 
 LABELS = {"temperature": "온도", "pressure": "압력", "rf_power": "RF 파워", "gas_flow": "가스 유량"}
@@ -37,19 +37,29 @@ def deviation_phrase(deviations: DataFrame) -> DataFrame:
     return deviations.groupBy("id").agg(F.array_join(_ordered(text), " ").alias("phrase"))
 
 
-def work_log_draft(deviations: DataFrame, citations: DataFrame | None = None) -> DataFrame:
-    """Report text per incident: header, channel changes, cited documents."""
+def work_log_draft(incidents: DataFrame, deviations: DataFrame, citations: DataFrame | None = None) -> DataFrame:
+    """Report text per incident: header, channel changes, summary, checklist as plan, safety, cited documents.
+
+    ``incidents`` has id, equipment_id, alarm_code, occurred_at and message.
+    """
     label, unit = lookup(LABELS)[F.col("metric")], lookup(UNITS)[F.col("metric")]
     known = F.concat(label, F.lit(": 기준 "), format_value(F.col("baseline")), F.lit(" → 발생 "), format_value(F.col("incident")), F.lit(" "), unit,
                      F.lit(" 변화 "), F.when(F.col("delta") > 0, "+").otherwise(""), format_value(F.col("delta")))
     alone = F.concat(label, F.lit(": 발생 "), format_value(F.col("incident")), F.lit(" "), unit, F.lit(", 기준 부족"))
-    lines = deviations.groupBy("id", "equipment_id", "alarm_code").agg(
-        F.array_join(_ordered(F.when(F.col("delta").isNull(), alone).otherwise(known)), "\n").alias("changes"))
+    changes = deviations.groupBy("id").agg(F.array_join(_ordered(F.when(F.col("delta").isNull(), alone).otherwise(known)), "\n").alias("changes"))
+    rows = incidents.select("id", "equipment_id", "alarm_code", "occurred_at", "message").join(changes, "id", "left")
     if citations is not None:
         cited = citations.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("- "), "doc_id"))), "\n").alias("cited"))
-        lines = lines.join(cited, "id", "left")
+        rows = rows.join(cited, "id", "left")
     else:
-        lines = lines.withColumn("cited", F.lit(None).cast("string"))
-    draft = F.concat_ws("\n", F.lit("[알림 정보]"), F.concat(F.lit("설비: "), "equipment_id"), F.concat(F.lit("알람: "), "alarm_code"), F.lit(""),
-                        F.lit("[이상 변화]"), "changes", F.lit(""), F.lit("[매뉴얼 근거]"), F.coalesce("cited", F.lit("검색 근거 없음")))
-    return lines.select("id", draft.alias("draft"))
+        rows = rows.withColumn("cited", F.lit(None).cast("string"))
+    steps = checklist_items(F.col("alarm_code"))
+    steps = F.when(F.size(steps) > 0, steps).otherwise(F.array(F.lit("현장 설비 상태와 알림 발생 조건 확인")))
+    plan = F.array_join(F.transform(steps, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n")
+    at = F.concat(F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    draft = F.concat_ws(
+        "\n", F.lit("[알림 정보]"), F.concat(F.lit("설비: "), "equipment_id"), F.concat(F.lit("알람: "), "alarm_code"), F.concat(F.lit("발생 시각: "), at),
+        F.concat(F.lit("알림 내용: "), "message"), F.lit(""), F.lit("[이상 변화]"), F.coalesce("changes", F.lit("발생 시점 센서 로그 확인 필요")), F.lit(""),
+        F.lit("[판단 요약]"), F.concat("equipment_id", F.lit(" "), "alarm_code", F.lit(" 대응 점검")), F.lit(""), F.lit("[대응 계획]"), plan, F.lit(""),
+        F.lit("[안전 확인]"), F.lit("- 작업 허가 범위와 설비 안전 상태 확인"), F.lit(""), F.lit("[매뉴얼 근거]"), F.coalesce("cited", F.lit("검색 근거 없음")))
+    return rows.select("id", draft.alias("draft"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fabsight.operators.telemetry import top_n_per_key
-from fabsight.plans.series import _pairs
+from fabsight.plans.asof import asof_backward
 
 REPAIR_TYPES = ("emergency", "repair")
 INSPECTION_TYPES = ("preventive", "inspection")
@@ -80,10 +80,9 @@ def entity_union(left: DataFrame, right: DataFrame, key: str, column: str) -> Da
 def apply_repairs(repairs: DataFrame, telemetry: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Repair rows with the alarm standing before them, and the master with the latest repair times.
 
-    The as-of look-up is a merge of both tables on one time line: the last reading before each repair is
-    carried forward by a running maximum over pieces of the line.
+    The as-of look-up merges both tables on one time line (see ``plans.asof``).
     """
-    snap = asof_backward(repairs, telemetry, "equipment_id", "repaired_at", "timestamp", ["log_id"], ["alarm_code"])
+    snap = asof_backward(repairs, telemetry, "equipment_id", "repaired_at", "timestamp", ["alarm_code"])
     out = snap.withColumnRenamed("alarm_code", "alarm_code_snapshot")
     latest = repairs.groupBy("equipment_id").agg(F.max("repaired_at").alias("_at"))
     new_master = master.join(latest, "equipment_id", "left").withColumns({
@@ -92,35 +91,6 @@ def apply_repairs(repairs: DataFrame, telemetry: DataFrame, master: DataFrame) -
     return out, new_master
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, tie: Sequence[str],
-                  columns: Sequence[str]) -> DataFrame:
-    """Add the ``columns`` of the newest right row not later than each left row (NULL when none).
-
-    Both sides become one range-partitioned series; ``last non-null so far`` is local to a partition plus a
-    carry per partition, so neither a hot key nor a long gap gathers in one task.
-    """
-    from fabsight.plans.series import PIECE
-    from fabsight.session import durable, shuffle_partitions
-    payload = F.struct(F.col(right_ts).alias("_t"), *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)],
-                       F.struct(*columns).alias("_v"))
-    r = right.select(key, F.col(right_ts).alias("_at"), F.lit(0).alias("_side"), payload.alias("_right"))
-    lefts = left.select(key, F.col(left_ts).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
-    line = r.unionByName(lefts, allowMissingColumns=True)
-    order = [F.col("_at"), F.col("_side"), F.col("_right")["_tie0"] if tie else F.lit(0)]
-    n = shuffle_partitions(left.sparkSession)
-    fixed = durable(line.repartitionByRange(n, key, *order).withColumn(PIECE, F.spark_partition_id()))
-    local = W.partitionBy(PIECE, key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    seen = fixed.withColumn("_last", F.last("_right", ignorenulls=True).over(local))
-    ends = fixed.where(F.col("_right").isNotNull()).groupBy(PIECE, key).agg(
-        F.max_by("_right", F.struct(F.col("_right")["_t"], *[F.col("_right")[f"_tie{i}"] for i in range(len(tie))])).alias("_end"))
-    spans = fixed.select(PIECE, key).distinct().join(ends, [PIECE, key], "left")
-    prior = W.partitionBy(key).orderBy(PIECE).rowsBetween(W.unboundedPreceding, -1)
-    carry = spans.select(F.col(PIECE).alias("_p"), F.col(key).alias(f"_k_{key}"), F.last("_end", ignorenulls=True).over(prior).alias("_carry"))
-    got = seen.where(F.col("_side") == 1).join(carry, (F.col(PIECE) == F.col("_p")) & _pairs([key]))
-    hit = F.coalesce("_last", "_carry")
-    return got.select("_left.*", *[hit["_v"][c].alias(c) for c in columns])
-
-
 def complete_work_logs(logs: DataFrame, completed: DataFrame, telemetry: DataFrame, master: DataFrame, now: Column):
     """Close the given logs: repair kinds yield repair rows, inspection kinds an inspection date."""
     done = logs.join(completed.select("id"), "id", "left_semi")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fabsight import constants as K
 from fabsight.functions.alarms import assess_status, severity_rank
 from fabsight.functions.dates import date_bin
+from fabsight.plans.asof import along
+from fabsight.plans.series import number_rows
 
 
 def telemetry_projection(df: DataFrame) -> DataFrame:
@@ -146,32 +148,32 @@ def recent_rows(df: DataFrame, keys: Sequence[str], pos: str, n: int, columns: S
 def incident_nearest(incidents: DataFrame, telemetry: DataFrame, key: str = "id", minutes: int = 5) -> DataFrame:
     """Reading nearest in time within +-minutes of each incident, the earlier one on equal distance.
 
-    Time buckets as wide as the band make it an equi join: a reading is looked up in three buckets.
+    The nearest reading is the last one before or the first one after, so no pairs are formed.
     """
-    width = minutes * 60
-    left = incidents.select(key, "equipment_id", "occurred_at").withColumn(
-        "_b", F.floor(F.unix_timestamp("occurred_at") / width))
-    left = left.withColumn("_bucket", F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1))).drop("_b")
-    right = telemetry.select("equipment_id", "timestamp", "log_id", *K.CHANNELS, "alarm_code").withColumn(
-        "_bucket", F.floor(F.unix_timestamp("timestamp") / width))
-    gap = F.abs(F.unix_micros("timestamp") - F.unix_micros("occurred_at"))
-    near = left.join(right, ["equipment_id", "_bucket"]).where(gap <= width * 1_000_000)
-    return near.groupBy(key).agg(F.min_by(F.struct("timestamp", "log_id", *K.CHANNELS, "alarm_code"),
-                                          F.struct(gap, "timestamp", "log_id")).alias("_r")).select(key, "_r.*")
+    row = F.struct("timestamp", "log_id", *K.CHANNELS, "alarm_code")
+    both = along(incidents.select(key, "equipment_id", "occurred_at"), telemetry, ["equipment_id"], "occurred_at", "timestamp",
+                 {"_b": ("last", row), "_f": ("first", row)}, tie="log_id")
+    at = F.unix_micros("occurred_at")
+    back, ahead = at - F.unix_micros(F.col("_b.timestamp")), F.unix_micros(F.col("_f.timestamp")) - at
+    near = F.when(ahead.isNull() | (back <= ahead), F.col("_b")).otherwise(F.col("_f"))
+    picked = both.select(key, near.alias("_r"), F.least(back, ahead).alias("_gap")).where(F.col("_gap") <= minutes * 60_000_000)
+    return picked.select(key, "_r.*")
 
 
 def incident_baseline(incidents: DataFrame, telemetry: DataFrame, key: str = "id", minutes: int = 30, n: int = 20) -> DataFrame:
-    """Last ``n`` normal readings in the minutes before each incident."""
-    width = minutes * 60
-    left = incidents.select(key, "equipment_id", "occurred_at").withColumn(
-        "_b", F.floor(F.unix_timestamp("occurred_at") / width))
-    left = left.withColumn("_bucket", F.explode(F.array(F.col("_b") - 1, F.col("_b")))).drop("_b")
-    right = telemetry.where(F.col("alarm_code").isNull()).select("equipment_id", "timestamp", "log_id", *K.CHANNELS).withColumn(
-        "_bucket", F.floor(F.unix_timestamp("timestamp") / width))
-    before = left.join(right, ["equipment_id", "_bucket"]).where(
-        (F.col("timestamp") < F.col("occurred_at"))
-        & (F.unix_micros("timestamp") >= F.unix_micros("occurred_at") - width * 1_000_000))
-    return top_n_per_key(before, [key], [F.desc("timestamp"), F.desc("log_id")], n).drop("_bucket")
+    """Last ``n`` normal readings in the minutes before each incident.
+
+    Normal readings get dense positions; an incident learns the position before it and fetches the ``n``
+    positions up to it by an equi join, so the work is ``n`` rows per incident whatever the density.
+    """
+    normal = telemetry.where(F.col("alarm_code").isNull()).select("equipment_id", "timestamp", "log_id", *K.CHANNELS)
+    numbered = number_rows(normal, ["equipment_id"], [F.asc("timestamp"), F.asc("log_id")], "_pos")
+    at = along(incidents.select(key, "equipment_id", "occurred_at"), numbered, ["equipment_id"], "occurred_at", "timestamp",
+               {"_at": ("max", F.col("_pos"))}, right_first=False)
+    wanted = at.where(F.col("_at").isNotNull()).withColumn(
+        "_pos", F.explode(F.sequence(F.greatest(F.col("_at") - (n - 1), F.lit(0)), F.col("_at")))).drop("_at")
+    rows = wanted.join(numbered, ["equipment_id", "_pos"]).drop("_pos")
+    return rows.where(F.unix_micros("timestamp") >= F.unix_micros("occurred_at") - minutes * 60_000_000)
 
 
 def incident_context(notifications: DataFrame, master: DataFrame, telemetry: DataFrame) -> DataFrame:

@@ -172,13 +172,20 @@ def _fmt(c: str) -> str:
     return rf"regexp_replace(regexp_replace(printf('%.3f', {c}), '0+$', ''), '\.$', '')"
 
 
-@query("work_log_draft_text", f"""WITH {_DEV} SELECT id, md5('[알림 정보]' || chr(10) || '설비: ' || equipment_id || chr(10) || '알람: ERR-301' || chr(10) || chr(10) || '[이상 변화]' || chr(10) ||
-CASE WHEN delta IS NULL THEN '압력: 발생 ' || {_fmt('incident')} || ' mTorr, 기준 부족' ELSE '압력: 기준 ' || {_fmt('baseline')} || ' → 발생 ' || {_fmt('incident')} || ' mTorr 변화 ' ||
-CASE WHEN delta > 0 THEN '+' ELSE '' END || {_fmt('delta')} END || chr(10) || chr(10) || '[매뉴얼 근거]' || chr(10) || '검색 근거 없음') AS draft FROM d""")
+_PLAN = "\n".join(f"{i}. {t}" for i, t in enumerate([*K.CHECKLISTS["ko"]["ERR-301"], *K.CHECKLIST_TAIL["ko"]], start=1))
+
+
+@query("work_log_draft_text", f"""WITH {_DEV} SELECT p.id, md5('[알림 정보]' || chr(10) || '설비: ' || p.equipment_id || chr(10) || '알람: ERR-301' || chr(10) || '발생 시각: ' ||
+strftime(occurred_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' || chr(10) || '알림 내용: 점검' || chr(10) || chr(10) || '[이상 변화]' || chr(10) ||
+CASE WHEN d.id IS NULL THEN '발생 시점 센서 로그 확인 필요' WHEN delta IS NULL THEN '압력: 발생 ' || {_fmt('incident')} || ' mTorr, 기준 부족'
+ELSE '압력: 기준 ' || {_fmt('baseline')} || ' → 발생 ' || {_fmt('incident')} || ' mTorr 변화 ' || CASE WHEN delta > 0 THEN '+' ELSE '' END || {_fmt('delta')} END || chr(10) || chr(10) ||
+'[판단 요약]' || chr(10) || p.equipment_id || ' ERR-301 대응 점검' || chr(10) || chr(10) || '[대응 계획]' || chr(10) || {sql_text(_PLAN)} || chr(10) || chr(10) ||
+'[안전 확인]' || chr(10) || '- 작업 허가 범위와 설비 안전 상태 확인' || chr(10) || chr(10) || '[매뉴얼 근거]' || chr(10) || '검색 근거 없음') AS draft FROM p LEFT JOIN d ON p.id = d.id""")
 def work_log_draft_text(v):
     from fabsight.operators.incidents import work_log_draft
-    heads = deviations(v)
-    return work_log_draft(heads).select("id", F.md5(F.col("draft").cast("binary")).alias("draft"))
+    from fabsight.reports.relational import points
+    heads = points(v).withColumns({"alarm_code": F.lit("ERR-301"), "message": F.lit("점검")})
+    return work_log_draft(heads, deviations(v)).select("id", F.md5(F.col("draft").cast("binary")).alias("draft"))
 
 
 @query("dedup_citations", """WITH r AS (SELECT conv_id, turn, left(trim(text), 240) AS excerpt, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)

@@ -48,8 +48,8 @@ def stream_new_rows(v):
     return finish(v, stream.select("event_id", "event_type", "value"))
 
 
-@query("stream_append_telemetry", "SELECT equipment_id, log_id, temperature, alarm_code FROM telemetry")
-def stream_append_telemetry(v):
+@query("append_telemetry", "SELECT equipment_id, log_id, temperature, alarm_code FROM telemetry")
+def append_telemetry(v):
     root = workspace(v)
     sink = J.append_telemetry(f"{root}/out", f"{root}/alarms", lambda b: b.where("alarm_code IS NOT NULL").select("equipment_id", "log_id", "alarm_code"))
     stream = telemetry(v).select("equipment_id", "log_id", "temperature", "alarm_code")

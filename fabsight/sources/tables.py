@@ -61,9 +61,11 @@ def scan_eval_parquet(spark: SparkSession, root: str, which: str = "eval") -> Da
 
 
 def scan_events_json(spark: SparkSession, root: str) -> DataFrame:
-    """Labelled events: an array-of-objects file, or the line-per-object folder this package writes."""
-    reader = spark.read.schema(SCHEMAS["events_labels"])
-    return reader.option("multiLine", True).json(f"{root}/events.json")
+    """Labelled events: one array-of-objects file, or the folder of one object per line this package writes."""
+    path = f"{root}/events.json"
+    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    per_line = bool(head) and head[0]["value"].strip().startswith("{") and head[0]["value"].strip().endswith("}")
+    return spark.read.schema(SCHEMAS["events_labels"]).option("multiLine", not per_line).json(path)
 
 
 def scan_manifest_map(spark: SparkSession, root: str) -> DataFrame:
