@@ -102,7 +102,7 @@ def accumulate_normalize(v):
     return S.accumulate_normalize(m, "raw", F.lit(1.25), clip=1.2).select("equipment_id", "win", F.round("score", 8).alias("score"))
 
 
-@query("steady_scores", "SELECT equipment_id, win FROM win_score WHERE win >= 50")
+@query("steady_scores", "SELECT equipment_id, win FROM (SELECT *, count(*) OVER (PARTITION BY equipment_id) AS n FROM win_score) x WHERE win >= 50 OR n - 50 < 100")
 def steady_scores(v):
     return S.steady_scores(win_score(v)).select("equipment_id", "win")
 
