@@ -18,6 +18,7 @@ from fabsight import constants as K
 from fabsight.operators.scoring import limit_quantile
 from fabsight.operators.windows import ALL_FEATURES, CHANNEL_FEATURES, PAIRS
 from fabsight.plans.series import exact_quantiles
+from fabsight.session import durable
 
 C = len(K.CHANNELS)
 
@@ -147,7 +148,7 @@ def pca_fit(features: DataFrame, share: float = K.PCA_VARIANCE, quantile: float
         mean, scale = scaler[p]
         drafts.append(PcaState(p, cols, mean.tolist(), scale.tolist(), comp.tolist(), center.tolist(), values[:k].tolist(),
                                1.0, 1.0, int(round(n)), quantile))
-    stats = pca_statistics(features, drafts)
+    stats = durable(pca_statistics(features, drafts).select("process_type", "t2", "spe"))
     t2 = {r["process_type"]: r["q"] for r in exact_quantiles(stats, ["process_type"], "t2", {"q": quantile}).collect()}
     spe = {r["process_type"]: r["q"] for r in exact_quantiles(stats, ["process_type"], "spe", {"q": quantile}).collect()}
     for s in drafts:

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fabsight import constants as K
 from fabsight.functions.text import let, mentions_codes, normalize_text, strip, tokenize_bigram, tokenize_whitespace
 from fabsight.functions.vectors import minmax
+from fabsight.session import durable
 from fabsight.sources.tables import purge_except, replace_partition
 
 TOKENIZERS = {"whitespace": tokenize_whitespace, "bigram": tokenize_bigram}
-HOT_POSTINGS = 50_000
+TIE_PLACES = 9  # scores equal to this many places are ties, ordered by chunk id
 
 
 def _cut(tokens: Column, most: int) -> Column:
@@ -85,43 +86,107 @@ def bm25_index(chunks: DataFrame, tokenizer: str = "whitespace", content: str =
     tokens = chunks.select("chunk_id", TOKENIZERS[tokenizer](F.col(content)).alias("_t")).where(F.size("_t") > 0)
     postings = tokens.select("chunk_id", F.size("_t").alias("length"), F.explode("_t").alias("term")).groupBy(
         "chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return postings, term_statistics(chunks, tokenizer, content)
+
+
+def term_statistics(chunks: DataFrame, tokenizer: str = "whitespace", content: str = "content") -> DataFrame:
+    """Document frequency and idf per term; terms of a chunk are made distinct inside its row."""
     n = chunks.agg(F.count(F.lit(1)).alias("n")).scalar()
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = chunks.select(F.explode(F.array_distinct(TOKENIZERS[tokenizer](F.col(content)))).alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg(F.avg("_idf").alias("a")).scalar() * K.BM25_EPSILON
-    return postings, raw.select("term", "df", F.when(F.col("_idf") < 0, floor).otherwise(F.col("_idf")).alias("idf"))
+    return raw.select("term", "df", F.when(F.col("_idf") < 0, floor).otherwise(F.col("_idf")).alias("idf"))
 
 
-def average_length(chunks: DataFrame, tokenizer: str = "whitespace", content: str = "content") -> Column:
-    return chunks.agg(F.avg(F.size(TOKENIZERS[tokenizer](F.col(content)))).alias("a")).scalar()
+LEXICAL_BLOCK = 256
 
 
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, tokenizer: str = "whitespace", query: str = "query",
                 content: str = "content") -> DataFrame:
     """Top ``k`` chunks with positive score for every row of ``queries`` (query_id, query).
 
-    Terms found in very many chunks are salted: postings spread over ``df / HOT_POSTINGS`` buckets and the
-    few query rows of such a term are repeated once per bucket.
+    Postings are not joined with the queries, which would shuffle a row per query, term and chunk and put a
+    common term into one task.  The idf table is aggregated once; then each task scores its own chunks
+    against a block of queries as a matrix product and keeps the best ``k`` per query.
     """
-    postings, terms = bm25_index(chunks, tokenizer, content)
-    avgdl = average_length(chunks, tokenizer, content)
+    terms = durable(term_statistics(chunks, tokenizer, content))
+    avgdl = chunks.agg(F.avg(F.size(TOKENIZERS[tokenizer](F.col(content)))).alias("a")).first()["a"] or 1.0
     wanted = queries.select("query_id", F.explode(TOKENIZERS[tokenizer](F.col(query))).alias("term")).groupBy("query_id", "term").agg(
         F.count(F.lit(1)).alias("qtf"))
-    salts = F.ceil(F.col("df") / HOT_POSTINGS).cast("int")
-    weighted = wanted.join(terms, "term").withColumn("_salts", salts)
-    left = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    hot = weighted.where(F.col("_salts") > 1).select("term", "_salts").distinct()
-    right = postings.join(hot, "term", "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("chunk_id"), F.col("_salts")).cast("int")).otherwise(0)).drop("_salts")
-    dl = F.col("length") / avgdl
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K.BM25_K1 + 1) / (F.col("tf") + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl))
-    scored = left.join(right, ["term", "_salt"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    return topk(scored, k).where(F.col("score") > 0)
+    weighted = wanted.join(terms.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    parts = -(-queries.count() // LEXICAL_BLOCK)
+    parts = 2 * parts if parts > 1 else 1
+    weighted = durable(weighted) if parts > 1 else weighted
+    results = None
+    for i in range(parts):
+        block = weighted if parts == 1 else weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        got = _lexical_block(block, chunks, k, float(avgdl), tokenizer, content)
+        results = got if results is None else results.unionByName(got)
+    return topk(results, k).where(F.col("score") > 0)
+
+
+def _lexical_block(block: DataFrame, chunks: DataFrame, k: int, avgdl: float, tokenizer: str, content: str) -> DataFrame:
+    rows = block.collect()  # distinct terms of at most a few hundred queries
+    ids = sorted({r["query_id"] for r in rows})
+    vocab = pd.Index(sorted({r["term"] for r in rows}), dtype=object)
+    at = {q: i for i, q in enumerate(ids)}
+    spot = {t: i for i, t in enumerate(vocab)}
+    weight = np.zeros((len(vocab), len(ids)))
+    for r in rows:
+        weight[spot[r["term"]], at[r["query_id"]]] = r["w"]
+    id_type = block.schema["query_id"].dataType.simpleString()
+    chunk_type = chunks.schema["chunk_id"].dataType.simpleString()
+
+    def scan(batches):
+        best = _Best(k)
+        for pdf in batches:
+            for start in range(0, len(pdf), 1024):
+                part = pdf.iloc[start:start + 1024]
+                lists = part["_t"].to_numpy()
+                sizes = np.array([len(t) for t in lists])
+                if not len(ids) or not sizes.sum():
+                    continue
+                col = vocab.get_indexer(np.concatenate(lists))
+                row = np.repeat(np.arange(len(part)), sizes)
+                keep = col >= 0
+                tf = np.bincount(row[keep] * len(vocab) + col[keep], minlength=len(part) * len(vocab)).reshape(len(part), len(vocab)).astype(float)
+                tf = tf * (K.BM25_K1 + 1) / (tf + (K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * sizes / avgdl))[:, None])
+                scores, names = (tf @ weight).T, part["chunk_id"].to_numpy()
+                for i in range(len(ids)):
+                    hit = np.flatnonzero(scores[i] > 0)
+                    best.add(i, scores[i, hit], names[hit])
+        for i, (s, n) in best.items():
+            yield pd.DataFrame({"query_id": [ids[i]] * len(s), "chunk_id": n, "score": s})
+
+    return chunks.select("chunk_id", TOKENIZERS[tokenizer](F.col(content)).alias("_t")).mapInPandas(
+        scan, f"query_id {id_type}, chunk_id {chunk_type}, score double")
+
+
+class _Best:
+    """Best ``k`` (score, name) per key while batches go by; ties by name."""
+
+    def __init__(self, k: int):
+        self.k, self.top = k, {}
+
+    def add(self, key, score: np.ndarray, name: np.ndarray) -> None:
+        if len(score) > 4 * self.k:
+            cut = np.partition(-score, self.k - 1)[self.k - 1]
+            keep = -score <= cut + 1e-8
+            score, name = score[keep], name[keep]
+        if key in self.top:
+            score, name = np.concatenate([self.top[key][0], score]), np.concatenate([self.top[key][1], name])
+        if len(score):
+            order = np.lexsort((name, -np.round(score, TIE_PLACES)))[:self.k]
+            self.top[key] = (score[order], name[order])
+
+    def items(self):
+        return self.top.items()
 
 
 def topk(scored: DataFrame, k: int, order: Sequence[Column] | None = None) -> DataFrame:
     """Best ``k`` per query, ties by chunk id; each task cuts its own groups before the shuffle."""
-    order = order or [F.desc(F.round("score", 12)), F.asc("chunk_id")]
+    order = order or [F.desc(F.round("score", TIE_PLACES)), F.asc("chunk_id")]
     rn = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
     return scored.withColumn("rank", rn).where(F.col("rank") <= k)
 
@@ -134,7 +199,7 @@ QUERY_BLOCK_BYTES = 64 << 20
 def query_blocks(queries: DataFrame, dim: int):
     """Queries in blocks whose vectors stay under a fixed size, so each block may be shipped to the tasks."""
     per = max(1, QUERY_BLOCK_BYTES // (8 * dim))
-    n = max(1, -(-queries.count() // per)) * (1 if queries.isEmpty() else 1)
+    n = max(1, -(-queries.count() // per))
     parts = max(1, n if n == 1 else 2 * n)  # hash blocks vary around their mean; twice as many keeps them under the size
     for i in range(parts):
         yield queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
@@ -151,7 +216,7 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int, dim: int, tag: s
     for block in query_blocks(queries, dim):
         got = _dense_block(block, chunks, k, tag, vector)
         results = got if results is None else results.unionByName(got)
-    best = topk(results, k, [F.asc("_free"), F.desc(F.round("score", 12)), F.asc("chunk_id")])
+    best = topk(results, k, [F.asc("_free"), F.desc(F.round("score", TIE_PLACES)), F.asc("chunk_id")])
     first = W.partitionBy("query_id")  # at most k rows
     return best.withColumn("_m", F.min("_free").over(first)).where(F.col("_free") == F.col("_m")).drop("_free", "_m")
 
@@ -165,12 +230,8 @@ def _dense_block(block: DataFrame, chunks: DataFrame, k: int, tag: str | None, v
     want = block.schema["query_id"].dataType.simpleString()
     have = chunks.schema["chunk_id"].dataType.simpleString()
 
-    def best(score, names):
-        order = np.lexsort((names, -np.round(score, 12)))[:k]
-        return order
-
     def scan(batches):
-        top: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        best = _Best(k)
         for pdf in batches:
             if not len(pdf) or not len(ids):
                 continue
@@ -178,19 +239,11 @@ def _dense_block(block: DataFrame, chunks: DataFrame, k: int, tag: str | None, v
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             sims, names = q @ x.T, pdf["chunk_id"].to_numpy()
             for i in range(len(ids)):
-                lists = [(1, np.arange(len(names)))]
+                best.add((i, 1), sims[i], names)
                 if tags is not None and tags[i] is not None:
-                    lists.append((0, np.flatnonzero(pdf["tag"].to_numpy() == tags[i])))
-                for free, idx in lists:
-                    if len(idx) > 4 * k:
-                        cut = np.partition(-sims[i, idx], k - 1)[k - 1]
-                        idx = idx[-sims[i, idx] <= cut + 1e-11]
-                    s, n = sims[i, idx], names[idx]
-                    if (i, free) in top:
-                        s, n = np.concatenate([top[i, free][0], s]), np.concatenate([top[i, free][1], n])
-                    o = best(s, n)
-                    top[i, free] = (s[o], n[o])
-        for (i, free), (s, n) in top.items():
+                    mine = np.flatnonzero(pdf["tag"].to_numpy() == tags[i])
+                    best.add((i, 0), sims[i, mine], names[mine])
+        for (i, free), (s, n) in best.items():
             yield pd.DataFrame({"query_id": [ids[i]] * len(s), "chunk_id": n, "score": s, "_free": free})
 
     cols = ["chunk_id", F.col(vector).alias("v"), *([F.col(tag).alias("tag")] if tag else [])]
@@ -220,7 +273,7 @@ def convex_fuse(dense: DataFrame, sparse: DataFrame, alpha: float, k: int) -> Da
     score = F.when(~has_s, F.col("_ds")).when(~has_d, F.col("_ss")).otherwise(mixed)
     fused = both.select("query_id", "chunk_id", score.alias("score"), F.col("_d").isNull().cast("int").alias("_side"),
                         F.coalesce("_ds", "_ss").alias("_own"))
-    return topk(fused, k, [F.desc(F.round("score", 12)), F.asc("_side"), F.desc(F.round("_own", 12)), F.asc("chunk_id")]).drop("_side", "_own")
+    return topk(fused, k, [F.desc(F.round("score", TIE_PLACES)), F.asc("_side"), F.desc(F.round("_own", TIE_PLACES)), F.asc("chunk_id")]).drop("_side", "_own")
 
 
 def explicit_code_filter(hits: DataFrame, query: str = "query", content: str = "content") -> DataFrame:

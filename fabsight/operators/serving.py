@@ -50,15 +50,15 @@ def accumulated(scores: DataFrame) -> DataFrame:
     return S.steady_scores(ewma(clipped, ["equipment_id"], "win", "_c", K.EWMA_ALPHA, "acc"))
 
 
-def ewma_limit_by_parts(scores: DataFrame, key: str = "process_type", q: float = K.LIMIT_QUANTILE) -> DataFrame:
-    """Quantile of the accumulated scores, accumulated per equipment and pooled by ``key``."""
-    return S.limit_quantile(accumulated(scores), [key], "acc", q, "ewma_limit")
+def ewma_limit_by_parts(acc: DataFrame, key: str = "process_type", q: float = K.LIMIT_QUANTILE) -> DataFrame:
+    """Quantile of scores accumulated per equipment (``accumulated``), pooled by ``key``."""
+    return S.limit_quantile(acc, [key], "acc", q, "ewma_limit")
 
 
-def calibrate_equipment(scores: DataFrame, process_limits: DataFrame, least: int = K.MIN_CALIBRATION_WINDOWS) -> DataFrame:
+def calibrate_equipment(scores: DataFrame, acc: DataFrame, process_limits: DataFrame, least: int = K.MIN_CALIBRATION_WINDOWS) -> DataFrame:
     """Own limit of each equipment with enough windows, kept within the band around its process limit."""
     n = scores.groupBy("equipment_id", "process_type").agg(F.count(F.lit(1)).alias("train_windows")).where(F.col("train_windows") >= least)
-    own = S.limit_quantile(accumulated(scores), ["equipment_id"], "acc", name="own")
+    own = S.limit_quantile(acc, ["equipment_id"], "acc", name="own")
     both = n.join(own, "equipment_id").join(process_limits.select("process_type", "ewma_limit"), "process_type")
     return both.select("equipment_id", S.clamp_limit(F.col("own"), F.col("ewma_limit")).alias("ewma_limit"), "train_windows")
 
@@ -69,16 +69,17 @@ def fit_process_models(telemetry: DataFrame, master: DataFrame, cutoff: Column |
     windows = durable(enough(training_windows(telemetry, master, cutoff, exclude), least))
     pca = D.pca_fit(windows)
     scores = durable(D.pca_score(windows, pca))
-    limits = ewma_limit_by_parts(scores)
+    acc = durable(accumulated(scores).select("equipment_id", "process_type", "acc"))
+    limits = ewma_limit_by_parts(acc)
     try:
         var = D.var_fit(windows)
-        var_limits = ewma_limit_by_parts(D.var_score(windows, var)).withColumnRenamed("ewma_limit", "var_ewma_limit")
+        var_limits = ewma_limit_by_parts(accumulated(D.var_score(windows, var))).withColumnRenamed("ewma_limit", "var_ewma_limit")
         limits = limits.join(var_limits, "process_type", "left")
     except np.linalg.LinAlgError:
         var, limits = [], limits.withColumn("var_ewma_limit", F.lit(None).cast("double"))
     n = windows.groupBy("process_type").agg(F.count(F.lit(1)).alias("train_windows"))
     limits = durable(limits.join(n, "process_type"))
-    out = Fitted(pca, var, limits, durable(calibrate_equipment(scores, limits)))
+    out = Fitted(pca, var, limits, durable(calibrate_equipment(scores, acc, limits)))
     if old is not None:
         done = {s.process_type for s in pca}
         out.pca += [s for s in old.pca if s.process_type not in done]

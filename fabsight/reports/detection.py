@@ -153,14 +153,15 @@ n AS (SELECT equipment_id, count(*) AS n FROM s GROUP BY 1), steady AS (SELECT r
 
 @query("ewma_limit_by_parts", _ACC + " SELECT process_type, round(quantile_cont(y, 0.999), 8) AS ewma_limit FROM steady GROUP BY 1")
 def ewma_limit_by_parts(v):
-    return Sv.ewma_limit_by_parts(win_score(v)).withColumn("ewma_limit", F.round("ewma_limit", 8))
+    return Sv.ewma_limit_by_parts(Sv.accumulated(win_score(v))).withColumn("ewma_limit", F.round("ewma_limit", 8))
 
 
 @query("calibrate_equipment", _ACC + """, p AS (SELECT process_type, quantile_cont(y, 0.999) AS l FROM steady GROUP BY 1), o AS (SELECT equipment_id, process_type, quantile_cont(y, 0.999) AS own FROM steady GROUP BY 1, 2)
 SELECT equipment_id, round(greatest(least(own, 1.5 * l), 0.5 * l), 8) AS ewma_limit, n AS train_windows FROM o JOIN p USING (process_type) JOIN n USING (equipment_id) WHERE n >= 200""")
 def calibrate_equipment(v):
     scores = v.stored("win_score", lambda: win_score(v))
-    return Sv.calibrate_equipment(scores, Sv.ewma_limit_by_parts(scores)).withColumn("ewma_limit", F.round("ewma_limit", 8))
+    acc = v.stored("win_acc", lambda: Sv.accumulated(scores))
+    return Sv.calibrate_equipment(scores, acc, Sv.ewma_limit_by_parts(acc)).withColumn("ewma_limit", F.round("ewma_limit", 8))
 
 
 @query("equipment_limit_override", """SELECT equipment_id, CASE WHEN equipment_no % 3 = 0 THEN 1.5 ELSE CASE process_type WHEN 'P0' THEN 1.0 ELSE 2.0 END END::DOUBLE AS "limit" FROM master""")

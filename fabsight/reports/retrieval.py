@@ -40,16 +40,16 @@ SQL_VIEWS["posts"] = f"""SELECT chunk_id, term, count(*) AS tf, any_value(n) AS
 (SELECT chunk_id, {TOK('content')} AS t FROM chunks) a) b GROUP BY 1, 2"""
 SQL_VIEWS["idfs"] = """SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM (
 SELECT term, count(*) AS df, ln((SELECT count(*) FROM chunks) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posts GROUP BY 1) x"""
-SQL_VIEWS["bm25"] = f"""SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM (
+SQL_VIEWS["bm25"] = f"""SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (
 SELECT q.query_id, p.chunk_id, sum(q.qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / (SELECT sum(tf) / count(DISTINCT chunk_id) FROM posts)))) AS score
 FROM (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOK('text')}) AS term FROM benchmark) a GROUP BY 1, 2) q
 JOIN posts p ON q.term = p.term JOIN idfs i ON p.term = i.term GROUP BY 1, 2) s"""
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SQL_VIEWS["chunk_vecs"] = f"SELECT chunk_id, doc_id, content, list_transform(string_split('{','.join(LETTERS)}', ','), lambda l: CAST(len(lower(content)) - len(replace(lower(content), l, '')) AS DOUBLE)) AS v FROM chunks"
 SQL_VIEWS["query_vecs"] = f"SELECT item_id AS query_id, text, list_transform(string_split('{','.join(LETTERS)}', ','), lambda l: CAST(len(lower(text)) - len(replace(lower(text), l, '')) AS DOUBLE)) AS v FROM benchmark"
-SQL_VIEWS["dense"] = """SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM (
+SQL_VIEWS["dense"] = """SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (
 SELECT query_id, chunk_id, list_cosine_similarity(q.v, c.v) AS score FROM query_vecs q CROSS JOIN chunk_vecs c) x"""
-SQL_VIEWS["fused"] = """SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, side, round(own, 12) DESC, chunk_id) AS rank FROM (
+SQL_VIEWS["fused"] = """SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, side, round(own, 9) DESC, chunk_id) AS rank FROM (
 SELECT query_id, chunk_id, CASE WHEN max(CAST(sn IS NOT NULL AS INT)) OVER w = 0 THEN ds WHEN max(CAST(dn IS NOT NULL AS INT)) OVER w = 0 THEN ss
  ELSE 0.5 * coalesce(dn, 0) + 0.5 * coalesce(sn, 0) END AS score, CAST(dn IS NULL AS INT) AS side, coalesce(ds, ss) AS own
 FROM (SELECT query_id, chunk_id, score AS ds, greatest(CASE WHEN max(score) OVER v <= min(score) OVER v THEN 1.0 ELSE (score - min(score) OVER v) / (max(score) OVER v - min(score) OVER v) END, 1e-6) AS dn
@@ -167,7 +167,7 @@ def centroids(v):
 
 @query("dense_search", """WITH s AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(v, CAST(embedding AS DOUBLE[])) AS score, label = tag AS own FROM centroids CROSS JOIN embeddings),
 f AS (SELECT *, max(CAST(own AS INT)) OVER (PARTITION BY query_id) = 1 AS tagged FROM s),
-r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM f WHERE own OR NOT tagged)
+r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f WHERE own OR NOT tagged)
 SELECT query_id, chunk_id, round(score, 8) AS score, rank FROM r WHERE rank <= 5""")
 def dense_search(v):
     stored = v.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("tag"), "embedding")
@@ -209,7 +209,7 @@ def fused_topk(v):
 
 
 @query("hybrid_search", """WITH f AS (SELECT query_id, chunk_id, score FROM fused WHERE rank <= 10),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM f)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f)
 SELECT r.query_id, r.chunk_id, c.doc_id, r.rank FROM r JOIN chunks c USING (chunk_id) WHERE r.rank <= 3""")
 def hybrid_search(v):
     return R.hybrid_search(queries_(v), chunk_vecs(v), 3, 10, 26).select("query_id", "chunk_id", "doc_id", "rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +24,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written copy.
+    """Write ``df`` as a table in the checkpoint folder and go on from the written copy.
 
-    Used where later steps must see one fixed assignment (range partition numbers) or where lineage
-    would be evaluated several times.  The copy survives the loss of executors.
+    Used where later steps must see one fixed assignment (range partition numbers) or where a result feeds
+    several steps.  The copy survives the loss of executors, is columnar, so later steps read only the
+    columns they need, and has a known size, so the planner broadcasts it only when it is small.
     """
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = prepare(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

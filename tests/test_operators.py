@@ -128,11 +128,11 @@ def test_fusion(spark):
     assert {r["norm"] for r in R.minmax_per_query(hits(spark, [("a", 2), ("b", 2)])).collect()} == {1.0}
 
 
-def test_bm25_salts_hot_terms(spark, monkeypatch):
+def test_bm25_in_query_blocks(spark, monkeypatch):
     chunks = spark.createDataFrame([(f"c{i}", f"common word{i % 7} common err-{i}") for i in range(60)], "chunk_id string, content string")
     queries = spark.createDataFrame([(1, "common err-5"), (2, "absent")], "query_id long, query string")
     plain = sorted(map(str, R.bm25_search(queries, chunks, 5).collect()))
-    monkeypatch.setattr(R, "HOT_POSTINGS", 10)
+    monkeypatch.setattr(R, "LEXICAL_BLOCK", 1)
     assert sorted(map(str, R.bm25_search(queries, chunks, 5).collect())) == plain
     assert "c5" in plain[0] + plain[1] + plain[2] + plain[3] + plain[4] and not any("query_id=2" in p for p in plain)
 
