@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fabsight import constants as K
 from fabsight.functions.text import let, mentions_codes, normalize_text, strip, tokenize_bigram, tokenize_whitespace
 from fabsight.functions.vectors import minmax
-from fabsight.session import durable
+from fabsight.session import durable, spread
 from fabsight.sources.tables import purge_except, replace_partition
 
 TOKENIZERS = {"whitespace": tokenize_whitespace, "bigram": tokenize_bigram}
@@ -36,6 +36,7 @@ def _number(df: DataFrame, pieces: Column, doc: str) -> DataFrame:
 def chunk_by_tokens(docs: DataFrame, max_tokens: int, doc: str = "doc_id", text: str = "text", normalized: bool = False) -> DataFrame:
     if max_tokens <= 0:
         raise ValueError("max_tokens must be positive")
+    docs = spread(docs)
     clean = docs if normalized else docs.withColumn(text, normalize_text(F.col(text)))
     return _number(clean, _cut(tokenize_whitespace(F.col(text)), max_tokens), doc).drop(text)
 
@@ -110,7 +111,7 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, tokenizer: str =
     common term into one task.  The idf table is aggregated once; then each task scores its own chunks
     against a block of queries as a matrix product and keeps the best ``k`` per query.
     """
-    terms = durable(term_statistics(chunks, tokenizer, content))
+    terms = durable(term_statistics(spread(chunks), tokenizer, content))
     avgdl = chunks.agg(F.avg(F.size(TOKENIZERS[tokenizer](F.col(content)))).alias("a")).first()["a"] or 1.0
     wanted = queries.select("query_id", F.explode(TOKENIZERS[tokenizer](F.col(query))).alias("term")).groupBy("query_id", "term").agg(
         F.count(F.lit(1)).alias("qtf"))
@@ -159,7 +160,7 @@ def _lexical_block(block: DataFrame, chunks: DataFrame, k: int, avgdl: float, to
         for i, (s, n) in best.items():
             yield pd.DataFrame({"query_id": [ids[i]] * len(s), "chunk_id": n, "score": s})
 
-    return chunks.select("chunk_id", TOKENIZERS[tokenizer](F.col(content)).alias("_t")).mapInPandas(
+    return spread(chunks).select("chunk_id", TOKENIZERS[tokenizer](F.col(content)).alias("_t")).mapInPandas(
         scan, f"query_id {id_type}, chunk_id {chunk_type}, score double")
 
 

@@ -74,7 +74,8 @@ def window_features(df: DataFrame, pos: str = "tick", window: int = K.WINDOW, st
     if window < 2:
         raise ValueError("features need a window of at least 2")
     own = [k for k in keys if k == "equipment_id"] or list(keys)
-    base = diffs(df.select(*keys, pos, *K.CHANNELS), own, pos)
+    rows = df.select(*keys, pos, *K.CHANNELS)
+    base = diffs(rows, own, pos)
     wide = base.withColumn("win", F.explode(window_numbers(F.col(pos), window, stride))).withColumn(
         "off", (F.col(pos) - F.col("win") * stride).cast("double"))
     aggs: list[Column] = [F.count(F.lit(1)).alias("_n")]
@@ -84,16 +85,22 @@ def window_features(df: DataFrame, pos: str = "tick", window: int = K.WINDOW, st
                  F.stddev_pop(F.when(F.col("off") > 0, F.col(f"diff_{ch}"))).alias(f"dstd_{ch}")]
     if correlation:
         aggs += [F.covar_pop(a, b).alias(f"_cov_{a}__{b}") for a, b in PAIRS]
-    if tensor:
-        aggs.append(F.collect_list(F.struct("off", *K.CHANNELS)).alias("_x"))  # ``window`` entries
     out = wide.groupBy(*keys, "win").agg(*aggs).where(F.col("_n") == window)
     cols: list[Column] = [F.col(k) for k in keys] + [F.col("win")] + [F.col(c) for c in CHANNEL_FEATURES]
     if correlation:
         cols += [(F.col(f"_cov_{a}__{b}") / (F.col(f"std_{a}") * F.col(f"std_{b}") + F.lit(1e-12))).alias(f"corr_{a}__{b}")
                  for a, b in PAIRS]
-    if tensor:
-        cols.append(F.flatten(F.transform(F.array_sort("_x"), lambda r: F.array(*[r[c] for c in K.CHANNELS]))).alias("x"))
-    return out.select(*cols)
+    out = out.select(*cols)
+    if not tensor:
+        return out
+    # the last row of a window sees the whole window in a bounded frame; arrays stay out of the aggregation,
+    # which would otherwise leave the hash path
+    ends = neighbours(rows.select(*own, pos, *K.CHANNELS), own, pos, {
+        "_x": lambda w: F.collect_list(F.array(*K.CHANNELS)).over(w.rowsBetween(-(window - 1), 0))}, before=window - 1)
+    first = F.col(pos) - (window - 1)
+    full = ends.where((first >= 0) & (F.pmod(first, F.lit(stride)) == 0)).select(
+        *own, (first / stride).cast("long").alias("win"), F.flatten("_x").alias("x"))
+    return out.join(full, [*own, "win"]).select(*out.columns, "x")
 
 
 def window_step_label(df: DataFrame, step: str = "step", keys: Sequence[str] = ("equipment_id",), pos: str = "tick",
