@@ -35,7 +35,7 @@ def training_windows(telemetry: DataFrame, master: DataFrame, cutoff: Column | N
     bounded = usable.join(effective_since(master, cutoff), "equipment_id", "left")
     keep = F.col("alarm_code").isNull() & (F.col("since").isNull() | (F.col("timestamp") >= F.col("since")))
     normal = Wn.closed_up(bounded.select("equipment_id", "process_type", "tick", "timestamp", "alarm_code", "since", *K.CHANNELS), keep)
-    recent = T.recent_rows(normal, ["equipment_id"], "pos", rows)
+    recent = durable(T.recent_rows(normal, ["equipment_id"], "pos", rows))  # read by the features and by the tensors
     return Wn.window_features(recent, "pos", window, stride, tensor=True)
 
 
@@ -66,7 +66,12 @@ def calibrate_equipment(scores: DataFrame, acc: DataFrame, process_limits: DataF
 def fit_process_models(telemetry: DataFrame, master: DataFrame, cutoff: Column | None = None, exclude: Sequence[str] = (),
                        old: Fitted | None = None, least: int = K.MIN_TRAIN_WINDOWS) -> Fitted:
     """Fit every process type in one go; a type with too few windows keeps its old model."""
-    windows = durable(enough(training_windows(telemetry, master, cutoff, exclude), least))
+    return fit_windows(durable(training_windows(telemetry, master, cutoff, exclude)), old, least)
+
+
+def fit_windows(stored: DataFrame, old: Fitted | None = None, least: int = K.MIN_TRAIN_WINDOWS) -> Fitted:
+    """Models, limits and calibrations from stored training windows."""
+    windows = enough(stored, least)
     pca = D.pca_fit(windows)
     scores = durable(D.pca_score(windows, pca))
     acc = durable(accumulated(scores).select("equipment_id", "process_type", "acc"))
@@ -124,7 +129,7 @@ def merged_score(b: DataFrame) -> DataFrame:
 def score_latest(telemetry: DataFrame, fitted: Fitted, use_var: bool = True, lookback: int = K.LOOKBACK_ROWS,
                  window: int = K.WINDOW, stride: int = K.STRIDE) -> DataFrame:
     """Last window of each equipment over the newest rows; equipment without model or window is absent."""
-    rows = T.recent_rows(telemetry.select("equipment_id", "process_type", "tick", *K.CHANNELS), ["equipment_id"], "tick", lookback)
+    rows = durable(T.recent_rows(telemetry.select("equipment_id", "process_type", "tick", *K.CHANNELS), ["equipment_id"], "tick", lookback))
     series = score_series(durable(Wn.window_features(rows, "tick", window, stride, tensor=True)), fitted, use_var)
     last = F.max_by(F.struct("win", "fired", "channel", "score"), "win")
     return series.groupBy("equipment_id").agg(last.alias("r")).select("equipment_id", "r.*")

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fabsight.plans.series import PIECE, _pairs
-from fabsight.session import durable, shuffle_partitions
+from fabsight.session import durable
 
 
 def along(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, picks: Mapping[str, tuple[str, Column]],
@@ -31,9 +31,8 @@ def along(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str,
                      F.struct(*[e.alias(n) for n, (_, e) in picks.items()]).alias("_right"))
     lf = left.select(*keys, F.col(left_at).alias("_at"), F.lit(1 if right_first else 0).alias("_side"), kept.alias("_left"))
     line = r.unionByName(lf, allowMissingColumns=True)
-    n = shuffle_partitions(left.sparkSession)
     order = [F.asc("_at"), F.asc("_side"), F.asc("_tie")]
-    fixed = durable(line.repartitionByRange(n, *[F.asc(k) for k in keys], *order).withColumn(PIECE, F.spark_partition_id()))
+    fixed = durable(line.repartitionByRange(*[F.asc(k) for k in keys], *order).withColumn(PIECE, F.spark_partition_id()))
     hit = F.col("_right").isNotNull()
     value = lambda name: F.when(hit, F.struct(F.col("_right")[name].alias("v")))  # noqa: E731  keeps NULL values apart from no row
     ahead = W.partitionBy(PIECE, *keys).orderBy(F.asc("_at"), F.asc("_side"), F.desc("_tie")).rowsBetween(W.unboundedPreceding, 0)

@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fabsight.session import durable, shuffle_partitions
+from fabsight.session import durable
 
 PIECE_ROWS = 65_536
 PIECE, OWN = "_piece", "_own"
@@ -30,12 +30,14 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
-def ordered_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column],
-                 parts: int | None = None) -> DataFrame:
-    """Add inclusive running sums per ``keys`` along ``order`` (a total order)."""
+def ordered_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:
+    """Add inclusive running sums per ``keys`` along ``order`` (a total order).
+
+    The number of range partitions is left to the session: adaptive execution merges neighbouring small ones,
+    which keeps their order.
+    """
     order = list(order)
-    n = parts or shuffle_partitions(df.sparkSession)
-    ranged = df.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], *order)
+    ranged = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order)
     fixed = durable(ranged.withColumn(PIECE, F.spark_partition_id()))
     local = W.partitionBy(PIECE, *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     totals = fixed.groupBy(PIECE, *keys).agg(*[F.sum(e).alias(f"_t_{c}") for c, e in sums.items()])
@@ -133,8 +135,7 @@ def _carry(summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
                 value = gain * value + shift
             yield pdf[[*names, PIECE]].assign(_carry=out)
 
-    n = shuffle_partitions(summaries.sparkSession)
-    arranged = summaries.repartition(n, *names) if names else summaries.coalesce(1)
+    arranged = summaries.repartition(*names) if names else summaries.coalesce(1)
     return arranged.sortWithinPartitions(*names, PIECE).mapInPandas(fold, ddl)
 
 

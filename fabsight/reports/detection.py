@@ -27,7 +27,7 @@ def windows(v):
 
 def fitted(v):
     if "fitted" not in v._stored:
-        v._stored["fitted"] = Sv.fit_process_models(v.telemetry, v.master)
+        v._stored["fitted"] = Sv.fit_windows(train(v))
     return v._stored["fitted"]
 
 

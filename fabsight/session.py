@@ -36,10 +36,6 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Split an input of too few file pieces over all cores before heavy work per row; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -31,7 +31,8 @@ def test_text(spark):
     assert one(spark, X.tokenize_bigram(F.col("t")), t="가나 ERR-402 다") == ["err-402", "가나", "나다"]
     title = lambda t, e: one(spark, X.derive_title(F.col("t"), F.lit(e)), t=t)
     assert title("EQP-A01: status?", "EQP-A01") == "status?" and title("EQP-A011 status?", "EQP-A01") == "EQP-A011 status?"
-    assert title("x" * 40, "EQP-A01") == "x" * 30 + "…" and title("\n---\nscaffold", "") == "새 대화"
+    assert title("x" * 40, "EQP-A01") == "x" * 30 + "…" and title("ask\n---\nscaffold", "") == "ask"
+    assert title(" \n ", "EQP-A01") == "새 대화" and title("EQP-A01", "EQP-A01") == "새 대화"
     assert [one(spark, X.classify_intent(F.col("t")), t=t) for t in ("안녕하세요", "안녕 상태", "고마워 보여줘", "", "hi", "this")] == [
         "direct", "diagnostic", "diagnostic", "diagnostic", "direct", "diagnostic"]
     assert one(spark, X.mentioned_days(F.col("t")), t="2주 그리고 지난달 12시간") == pytest.approx([14, 0.5, 30])
