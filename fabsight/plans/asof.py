@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fabsight.plans.series import PIECE, _pairs
-from fabsight.session import durable
+from fabsight.session import durable, shuffle_partitions
 
 
 def along(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, picks: Mapping[str, tuple[str, Column]],
@@ -32,26 +32,29 @@ def along(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str,
     lf = left.select(*keys, F.col(left_at).alias("_at"), F.lit(1 if right_first else 0).alias("_side"), kept.alias("_left"))
     line = r.unionByName(lf, allowMissingColumns=True)
     order = [F.asc("_at"), F.asc("_side"), F.asc("_tie")]
-    fixed = durable(line.repartitionByRange(*[F.asc(k) for k in keys], *order).withColumn(PIECE, F.spark_partition_id()))
+    fixed = durable(line.repartitionByRange(shuffle_partitions(left.sparkSession), *[F.asc(k) for k in keys], *order).withColumn(PIECE, F.spark_partition_id()))
     hit = F.col("_right").isNotNull()
-    value = lambda name: F.when(hit, F.struct(F.col("_right")[name].alias("v")))  # noqa: E731  keeps NULL values apart from no row
+    # the struct keeps NULL values apart from no row, and tells time and tie where pieces meet
+    value = lambda name: F.when(hit, F.struct(F.col("_at").alias("at"), (-F.col("_tie")).alias("nt"), F.col("_right")[name].alias("v")))
     ahead = W.partitionBy(PIECE, *keys).orderBy(F.asc("_at"), F.asc("_side"), F.desc("_tie")).rowsBetween(W.unboundedPreceding, 0)
     behind = W.partitionBy(PIECE, *keys).orderBy(F.desc("_at"), F.desc("_side"), F.desc("_tie")).rowsBetween(W.unboundedPreceding, 0)
     local, ends, prior = {}, {}, {}
     earlier = W.partitionBy(*keys).orderBy(PIECE).rowsBetween(W.unboundedPreceding, -1)
     later = W.partitionBy(*keys).orderBy(PIECE).rowsBetween(1, W.unboundedFollowing)
-    newest, oldest = F.struct("_at", "_side", -F.col("_tie").cast("double")), F.struct("_at", "_side", F.col("_tie").cast("double"))
+    newest, oldest = F.struct(F.col("_at"), -F.col("_tie")), F.struct("_at", "_tie")
     for name, (how, _) in picks.items():
         v = value(name)
         if how == "last":
             local[f"_l_{name}"] = F.last(v, ignorenulls=True).over(ahead)
             ends[f"_e_{name}"] = F.max_by(v, F.when(hit, newest))
-            prior[f"_c_{name}"] = F.last(f"_e_{name}", ignorenulls=True).over(earlier)
+            e = F.col(f"_e_{name}")
+            prior[f"_c_{name}"] = F.max_by(e, F.when(e.isNotNull(), F.struct(e["at"], e["nt"]))).over(earlier)
         elif how == "first":
             local[f"_l_{name}"] = F.last(v, ignorenulls=True).over(behind)
             ends[f"_e_{name}"] = F.min_by(v, F.when(hit, oldest))
             prior[f"_c_{name}"] = F.first(f"_e_{name}", ignorenulls=True).over(later)
         elif how == "max":
+            v = F.when(hit, F.struct(F.col("_right")[name].alias("v")))
             local[f"_l_{name}"] = F.max(v).over(ahead)
             ends[f"_e_{name}"] = F.max(v)
             prior[f"_c_{name}"] = F.max(f"_e_{name}").over(earlier)
@@ -64,7 +67,13 @@ def along(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str,
     out = []
     for name, (how, _) in picks.items():
         a, b = F.col(f"_l_{name}"), F.col(f"_c_{name}")
-        out.append((F.greatest(a, b) if how == "max" else F.coalesce(a, b))["v"].alias(name))
+        if how == "max":
+            got = F.greatest(a, b)
+        elif how == "last":  # rows of one time may lie in several pieces; the smallest tie is in the earliest
+            got = F.when((b["at"] == a["at"]) & (b["nt"] > a["nt"]), b).otherwise(F.coalesce(a, b))
+        else:
+            got = F.coalesce(a, b)
+        out.append(got["v"].alias(name))
     return joined.select("_left.*", *out)
 
 

@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fabsight.session import durable
+from fabsight.session import durable, shuffle_partitions
 
 PIECE_ROWS = 65_536
 PIECE, OWN = "_piece", "_own"
@@ -33,11 +33,10 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 def ordered_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:
     """Add inclusive running sums per ``keys`` along ``order`` (a total order).
 
-    The number of range partitions is left to the session: adaptive execution merges neighbouring small ones,
-    which keeps their order.
+    The number of range partitions is the session's, stated so that adaptive execution does not merge them again.
     """
     order = list(order)
-    ranged = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order)
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *[F.col(k).asc_nulls_first() for k in keys], *order)
     fixed = durable(ranged.withColumn(PIECE, F.spark_partition_id()))
     local = W.partitionBy(PIECE, *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     totals = fixed.groupBy(PIECE, *keys).agg(*[F.sum(e).alias(f"_t_{c}") for c, e in sums.items()])

@@ -141,9 +141,12 @@ def test_bm25_in_query_blocks(spark, monkeypatch):
 def test_dense_blocks_and_fallback(spark, monkeypatch):
     chunks = spark.createDataFrame([(f"c{i}", "x" if i % 2 else "y", [float(i), 1.0]) for i in range(40)], "chunk_id string, tag string, embedding array<double>")
     q = spark.createDataFrame([(i, "x" if i % 2 else "none", [1.0, float(i)]) for i in range(20)], "query_id long, tag string, embedding array<double>")
-    whole = sorted(map(str, R.dense_search(q, chunks, 3, 2, "tag").collect()))
+    def run():
+        return {(r["query_id"], r["rank"]): (r["chunk_id"], pytest.approx(r["score"], rel=1e-12)) for r in R.dense_search(q, chunks, 3, 2, "tag").collect()}
+    whole = run()
     monkeypatch.setattr(R, "QUERY_BLOCK_BYTES", 64)
-    assert sorted(map(str, R.dense_search(q, chunks, 3, 2, "tag").collect())) == whole and len(whole) == 60
+    blocks = run()
+    assert len(whole) == 60 and {k: (c, s.expected) for k, (c, s) in blocks.items()} == whole
 
 
 def test_knn_blocks(spark, monkeypatch):
