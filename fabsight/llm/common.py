@@ -37,4 +37,4 @@ def uint32_bytes(ids: list[int]) -> bytes:
 
 
 def text_or_empty(name: str):
-    return F.coalesce(F.col(name), F.lit("")).alias(name)
+    return F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(name)

@@ -9,8 +9,10 @@ not depend on the input (about 21 500 pieces for 4 096).  These are put together
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from fabsight.llm.common import durable, session, text_or_empty, uint32_bytes
 
 CAPACITY = 4096
 END_ID = 2
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Pieces of a text, and words, whose ids a worker remembers.
+REMEMBERED, WORD_COUNT, LONGEST = 300_000, 1_000_000, 64
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, slot long")
 
@@ -39,9 +41,10 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
 
 
 class WordIds:
-    """Token ids of texts by the tokenizers library, which sees every different space-free piece of text once.
+    """Token ids of texts by the tokenizers library, which sees every different word once.
 
-    The vocabulary drops white space and its patterns never match across a space, so a text's ids are those of its pieces.
+    The vocabulary drops white space and its patterns never match across a space, so a text's ids are those of its pieces
+    between spaces; a piece of letters and a final comma or full stop is these two, and case does not count.
     """
 
     _made: dict[str, WordIds] = {}
@@ -49,10 +52,12 @@ class WordIds:
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, vocabulary: str) -> WordIds:
@@ -60,19 +65,32 @@ class WordIds:
             cls._made[vocabulary] = cls(vocabulary)
         return cls._made[vocabulary]
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
+    @staticmethod
+    def split(piece: str) -> tuple[str, ...]:
+        word, mark = (piece[:-1], piece[-1:]) if piece[-1:] in (",", ".") and piece[:-1].isalpha() else (piece, "")
+        if word.isascii() and word.isalpha():
+            word = word.lower()
+        return (word, mark) if mark else (word,)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        for text in texts:
-            pieces = text.split(" ")
-            known = self.known
-            missing = list({p for p in pieces if p not in known})
-            if missing:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                    missing = list(set(pieces))
-                for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                    known[p] = uint32_bytes(e.ids)
-            yield b"".join(map(known.__getitem__, pieces))
+        for cache, most in ((self.pieces, REMEMBERED), (self.words, WORD_COUNT)):
+            if len(cache) > most:
+                cache.clear()
+        pieces, words = self.pieces, self.words
+        cut = [t.split(" ") for t in texts]
+        missing = {p: self.split(p) for p in set(chain.from_iterable(cut)) if p not in pieces}
+        unknown = list({w for found in missing.values() for w in found if w not in words})
+        for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            words[w] = uint32_bytes(e.ids)
+        for p, found in missing.items():
+            pieces[p] = b"".join(map(words.__getitem__, found))
+        out = [b"".join(map(pieces.__getitem__, c)) for c in cut]
+        for cache, added in ((pieces, missing), (words, unknown)):
+            for p in added:
+                if len(p) > LONGEST:
+                    del cache[p]
+        return out
 
 
 def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
@@ -82,7 +100,8 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: in
         words, part, used = WordIds.of(vocabulary), TaskContext.get().partitionId(), {}
         for batch in batches:
             out = []
-            for doc, ids in zip(batch.column(0).to_pylist(), words.ids(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in chain.from_iterable(zip(part.column(0).to_pylist(), words.ids(part.column(1).to_pylist()), strict=True)
+                                                for part in (batch.slice(at, 100) for at in range(0, batch.num_rows, 100))):
                 ids += end
                 start, n = 0, len(ids) // 4
                 for length in cuts(n, capacity):

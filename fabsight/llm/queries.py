@@ -14,6 +14,7 @@ from fabsight.llm.forest import forest_links
 from fabsight.llm.lines import drop_boilerplate
 from fabsight.llm.packing import harmonic_pack
 from fabsight.llm.multi_index import search
+from fabsight.llm.repeats import repeat_digests
 from fabsight.llm.simhash import simhash_groups
 from fabsight.llm.url_rules import judge_urls
 
@@ -94,6 +95,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return drop_boilerplate(table(spark, folder, "documents")).select("doc_id", "source", "text")
 
 
+@query("op7_repeats")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return repeat_digests(table(spark, folder, "documents"), 200)
+
+
 @query("op8_simhash")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash_groups(table(spark, folder, "documents"), words=3, radius=2)

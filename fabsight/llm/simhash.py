@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fabsight.llm.common import durable, session, text_or_empty
 from fabsight.llm.components import connected
@@ -47,14 +47,15 @@ def fingerprint(text: str, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long.  A null text has no words."""
+    """(doc_id, key, fp): a key of the text, and the fingerprint as a signed long.  A null text has no words."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t, words) for t in b.column(1).to_pylist()), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col)).mapInArrow(hashed, "doc_id long, fp long")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return texts.withColumn("key", F.xxhash64("text")).mapInArrow(hashed, "doc_id long, key long, fp long")
 
 
 def covering_masks(radius: int, positions: list[int], seed: int) -> list[int]:
@@ -155,7 +156,7 @@ def links(values: DataFrame, radius: int) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row: groups of documents whose fingerprints link within ``radius`` bits.
+    """(doc_id, key, fp, component_id) for every row: groups of documents whose fingerprints link within ``radius`` bits.
 
     ``component_id`` is the smallest id that links reach.  Null texts and texts without words have fingerprint 0 and link like
     any other; copies share one fingerprint, which is compared once; repeated rows come back as often as they came in; a null
@@ -168,4 +169,18 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str
     rooted = values.join(groups, values.fp == groups.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", "key", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the one with the smallest id stays, with all its columns.
+
+    Cases as in ``simhash_groups``; of repeated rows one stays; null ids come last.
+    """
+    groups = simhash_groups(docs, words, radius, id_col, text_col)
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("m")).select("m.doc_id", "m.key")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+                      F.xxhash64(text_or_empty(text_col)).alias("key"))
+    kept = row.alias("r").join(first.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.key") == F.col("f.key")))
+    nth = Window.partitionBy("r.doc_id", "r.key").orderBy("r.key")
+    return kept.withColumn("nth", F.row_number().over(nth)).where("nth = 1").select(*[F.col(f"r.row.`{c}`").alias(c) for c in docs.columns])

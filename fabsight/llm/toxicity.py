@@ -120,28 +120,37 @@ def _marked(table: DataFrame, toxic: int, clean: int) -> list[str]:
     return [r.feature for r in rows]
 
 
+class Finder:
+    """Counts of the marked features in texts; words are looked up once."""
+
+    def __init__(self, marked: list[str]):
+        self.position = {f: i for i, f in enumerate(marked)}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def find(self, text: str) -> tuple[list[int], list[int]]:
+        found: Counter = Counter()
+        known, position = self.known, self.position
+        for w, n in Counter(WORD.findall(text.lower())).items():
+            at = known.get(w)
+            if at is None:
+                if len(known) > 500_000:
+                    known.clear()
+                names = [w, *(w[:k] + "-" for k in BEGINNINGS if len(w) > k)]
+                at = known[w] = tuple(position[x] for x in names if x in position)
+            for i in at:
+                found[i] += n
+        index = sorted(found)
+        return index, [found[i] for i in index]
+
+
 def _vectors(docs: DataFrame, marked: list[str]) -> DataFrame:
-    """(doc_id, held_out, index, counts) of every document in the marked features."""
-    position = {f: i for i, f in enumerate(marked)}
+    """(doc_id, index, counts) of every document in the marked features."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        finder = Finder(marked)
         for b in batches:
-            index, counts = [], []
-            for text in b.column(1).to_pylist():
-                found: Counter = Counter()
-                for w, n in Counter(WORD.findall(text.lower())).items():
-                    at = known.get(w)
-                    if at is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        names = [w, *(w[:k] + "-" for k in BEGINNINGS if len(w) > k)]
-                        at = known[w] = tuple(position[x] for x in names if x in position)
-                    for i in at:
-                        found[i] += n
-                index.append(sorted(found))
-                counts.append([found[i] for i in index[-1]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(index, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))],
+            found = [finder.find(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int64()))],
                                              names=["doc_id", "index", "counts"])
 
     return docs.mapInArrow(count, "doc_id long, index array<int>, counts array<long>")
@@ -177,38 +186,57 @@ def fit(vectors: DataFrame, sample: DataFrame, marked: list[str], documents: int
     return index
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence) for every document.
-
-    ``evidence`` lists the nearest examples: doc_id, cosine, toxic.  A null text is an empty one; an empty text and one without
-    any marked feature get the share of toxic examples among such texts.  Repeated rows are scored alike, row by row; a null id
-    is scored too (and is never held out); without labels, or without toxic ones, every score is the prior (0 without labels).
-    Other columns are ignored, whatever their names.
-    """
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """(features, broadcast index, vectors of all documents): what scoring needs, from all documents and the labels."""
     spark = session(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    train = durable(training_rows(labels))
-    draw = train.orderBy(F.xxhash64("doc_id"), "doc_id")
+    learned = durable(training_rows(labels))
+    draw = learned.orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = durable(draw.where("toxic = 1").limit(EXAMPLES).union(draw.where("toxic = 0").limit(EXAMPLES)))
-    rows = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
+    rows = {r["toxic"]: r["count"] for r in learned.groupBy("toxic").count().collect()}
     sampled = durable(texts.join(F.broadcast(sample), "doc_id"))  # at most 2 * EXAMPLES labelled rows
     have = {r["toxic"]: r["count"] for r in sampled.groupBy("toxic").count().collect()}
     marked = _marked(_feature_table(sampled), have[1], have[0]) if have.get(0) and have.get(1) else []
     vectors = durable(_vectors(texts, marked))
-    model = spark.sparkContext.broadcast(fit(vectors, sample, marked, vectors.count(), rows))
+    return marked, spark.sparkContext.broadcast(fit(vectors, sample, marked, vectors.count(), rows)), vectors
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence) for every document.
+
+    ``evidence`` lists the nearest examples: doc_id, cosine, toxic.  A null text is an empty one; an empty text and one without
+    any marked feature get the share of toxic examples among such texts.  Repeated rows are scored alike, row by row; a null id
+    is scored too (and is never held out); without labels, or without toxic ones, every score is the prior (0 without labels).
+    Other columns are ignored, whatever their names; no rows give no rows.
+    """
+    _, model, vectors = train(docs, labels, id_col, text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for b in batches:
             scores, evidence = [], []
             for index, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 near, cosine = m.nearest(index, counts)
                 scores.append(m.score(near, cosine))
                 evidence.append([{"doc_id": int(m.ids[e]), "cosine": float(c), "toxic": int(m.toxic[e])} for e, c in zip(near, cosine)])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)],
                                              names=["doc_id", "score", "evidence"])
 
     judged = vectors.mapInArrow(judge, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return judged.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores below the threshold, with all their columns; cases as in ``toxicity``."""
+    marked, model, _ = train(docs, labels, id_col, text_col)
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, m = Finder(marked), model.value
+        for b in batches:
+            clean = [m.score(*m.nearest(*finder.find(t or ""))) < threshold for t in b.column(place).to_pylist()]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
