@@ -11,11 +11,11 @@ VAR_LAG, VAR_RIDGE = 2, 1e-6
 PCA_VARIANCE, LIMIT_QUANTILE = 0.9, 0.999
 CALIBRATION_LOW, CALIBRATION_HIGH = 0.5, 1.5
 MIN_TRAIN_WINDOWS, MIN_CALIBRATION_WINDOWS = 200, 200
-FIT_ROWS_PER_EQUIPMENT = 20_000
 WARMUP_TAUS, MIN_STEADY_WINDOWS = 5, 100
 REFIT_RECENCY_DAYS, STALE_HOURS = 14, 168
 
 SENSOR_ROW_BUDGET = 500
+SUMMARY_REPAIRS = 100
 NOTIFICATION_BUCKET_SECONDS = 1800
 LOCAL_ZONE = "Asia/Seoul"
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fabsight.functions.text import derive_title
 from fabsight.operators.telemetry import top_n_per_key
 from fabsight.plans.series import exact_quantiles, ordered_sums
+from fabsight.session import durable
 
 
 def session_stats(messages: DataFrame) -> DataFrame:
@@ -104,27 +105,34 @@ def pairwise_winrate(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def bootstrap_ci(scored: DataFrame, value: str, iters: int = 2000, seed: int = 7) -> DataFrame:
     """Percentile interval of the mean.
 
-    A resample's mean depends only on how often each distinct value is drawn, so each resample is one
-    multinomial draw over the value counts; pairwise scores have five possible values.
+    A resample's mean depends only on how often each distinct value is drawn.  Every resample splits its draws over groups of
+    values by one multinomial (the same in every task), and the task of a group draws within it, so sums of
+    ``iters`` x groups meet.
     """
-    hist = scored.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    rows = hist.orderBy(value).limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("bootstrap_ci expects a score with few distinct values; round it first")
-    if not rows:
+    groups = scored.sparkSession.sparkContext.defaultParallelism
+    hist = durable(scored.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+                   .withColumn("g", F.pmod(F.xxhash64("v"), F.lit(groups)).cast("int")))
+    sizes = np.zeros(groups)
+    for r in hist.groupBy("g").agg(F.sum("c").alias("n")).collect():  # a row per group
+        sizes[r["g"]] = r["n"]
+    total = int(sizes.sum())
+    if not total:
         return scored.sparkSession.createDataFrame([(0.0, 0.0, 0.0)], "mean double, low double, high double")
-    values, counts = np.array([r[value] for r in rows], float), np.array([r["c"] for r in rows], float)
-    total = int(counts.sum())
 
-    def draw(batches):
-        for pdf in batches:
-            means = [np.random.default_rng([seed, int(b)]).multinomial(total, counts / total) @ values / total for b in pdf["id"]]
-            yield pd.DataFrame({"m": means})
-
-    means = scored.sparkSession.range(iters).mapInPandas(draw, "m double")
+    def draw(key, pdf):
+        pdf = pdf.sort_values("v")
+        values, share = pdf["v"].to_numpy(), pdf["c"].to_numpy() / pdf["c"].sum()
+        sums = []
+        for b in range(iters):
+            mine = np.random.default_rng([seed, b]).multinomial(total, sizes / total)[key[0]]
+            sums.append(np.random.default_rng([seed, b, 1 + key[0]]).multinomial(mine, share) @ values)
+        return pd.DataFrame({"b": np.arange(iters), "s": sums})
+
+    mean = hist.agg((F.sum(F.col("v") * F.col("c")) / total)).first()[0]
+    means = hist.groupBy("g").applyInPandas(draw, "b long, s double").groupBy("b").agg((F.sum("s") / total).alias("m"))
     ordered = F.array_sort(F.collect_list("m"))  # ``iters`` numbers
     return means.agg(ordered.alias("s")).select(
-        F.lit(float(values @ counts / total)).alias("mean"), F.col("s")[int(0.025 * iters)].alias("low"), F.col("s")[int(0.975 * iters)].alias("high"))
+        F.lit(float(mean)).alias("mean"), F.col("s")[int(0.025 * iters)].alias("low"), F.col("s")[int(0.975 * iters)].alias("high"))
 
 
 def rubric_means(rows: DataFrame, dims: Sequence[str]) -> DataFrame:

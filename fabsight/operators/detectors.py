@@ -82,7 +82,7 @@ class VarState:
     process_type: str
     lag: int
     coef: list
-    precision: list
+    whitening: list
     limit: float
     train_rows: int
 
@@ -92,7 +92,7 @@ class ReconState:
     process_type: str
     mean: list
     std: list
-    coef: list
+    weights: list
     limit: float
 
 
@@ -156,13 +156,19 @@ def pca_fit(features: DataFrame, share: float = K.PCA_VARIANCE, quantile: float
     return drafts
 
 
+def feature_channels(cols: Sequence[str]) -> np.ndarray:
+    """0/1 matrix of features by channels: a feature belongs to every channel that its name ends with or pairs."""
+    names = [c.split("_", 1)[1].split("__") for c in cols]
+    return np.array([[float(ch in n) for ch in K.CHANNELS] for n in names])
+
+
 def pca_statistics(features: DataFrame, states: Sequence[PcaState]) -> DataFrame:
     """T2, SPE, squared norm of the centered row, and the channel of the largest residual, per window."""
     params = {s.process_type: (np.array(s.mean), np.array(s.scale), np.array(s.components), np.array(s.center), np.array(s.variance))
               for s in states}
     cols = list(states[0].features)
     base = ["equipment_id", "process_type", "win"]
-    at = {ch: i for i, ch in enumerate(K.CHANNELS)}
+    share = feature_channels(cols)
 
     def run(batches):
         for pdf in batches:
@@ -173,19 +179,10 @@ def pca_statistics(features: DataFrame, states: Sequence[PcaState]) -> DataFrame
                 z = (part[cols].to_numpy(float) - mean) / scale - center
                 proj = z @ comp.T
                 resid = (z - proj @ comp) ** 2
-                per = np.zeros((len(part), C))
-                for ch, i in at.items():
-                    idx = [j for j, c in enumerate(cols) if c in CHANNEL_FEATURES and c.split("_", 1)[1] == ch]
-                    per[:, i] += resid[:, idx].sum(axis=1)
-                for a, b in PAIRS:
-                    name = f"corr_{a}__{b}"
-                    if name in cols:
-                        per[:, at[a]] += resid[:, cols.index(name)]
-                        per[:, at[b]] += resid[:, cols.index(name)]
                 yield pd.DataFrame({
                     "equipment_id": part["equipment_id"], "process_type": part["process_type"], "win": part["win"],
                     "t2": (proj ** 2 / var).sum(axis=1), "spe": resid.sum(axis=1), "norm": (z ** 2).sum(axis=1),
-                    "channel": np.array(K.CHANNELS)[per.argmax(axis=1)]})
+                    "channel": np.array(K.CHANNELS)[(resid @ share).argmax(axis=1)]})
 
     return features.select(*base, *cols).mapInPandas(
         run, "equipment_id string, process_type string, win long, t2 double, spe double, norm double, channel string")
@@ -235,7 +232,7 @@ def var_fit(windows: DataFrame, lag: int = K.VAR_LAG, quantile: float = K.LIMIT_
         total = g[p - 1, p:] - xx[p - 1] @ coef
         cov = (rr - np.outer(total, total) / n) / (n - 1) + ridge * np.eye(C)
         rows = int(round(n)) // (K.WINDOW - lag)
-        drafts.append(VarState(ptype, lag, coef.T.tolist(), np.linalg.inv(cov).tolist(), 1.0, rows))
+        drafts.append(VarState(ptype, lag, coef.T.tolist(), np.linalg.inv(np.linalg.cholesky(cov)).tolist(), 1.0, rows))
     stats = var_statistics(windows, drafts)
     q = {r["process_type"]: r["limit"] for r in limit_quantile(stats, ["process_type"], "stat", quantile).collect()}
     for s in drafts:
@@ -243,20 +240,25 @@ def var_fit(windows: DataFrame, lag: int = K.VAR_LAG, quantile: float = K.LIMIT_
     return drafts
 
 
+def whitened_distance(residual: np.ndarray, whitening: np.ndarray) -> np.ndarray:
+    """Squared length of residuals of unit covariance: the inverse Cholesky factor of the covariance makes them so."""
+    return ((residual @ whitening.T) ** 2).sum(axis=-1)
+
+
 def var_statistics(windows: DataFrame, states: Sequence[VarState]) -> DataFrame:
-    params = {s.process_type: (s.lag, np.array(s.coef), np.array(s.precision)) for s in states}
+    params = {s.process_type: (s.lag, np.array(s.coef), np.array(s.whitening)) for s in states}
 
     def run(batches):
         for pdf in batches:
             for p, part in pdf.groupby("process_type"):
                 if p not in params:
                     continue
-                lag, coef, precision = params[p]
+                lag, coef, whitening = params[p]
                 d, y = _design(tensor(part), lag)
                 r = y - d @ coef.T
                 yield pd.DataFrame({
                     "equipment_id": part["equipment_id"], "process_type": part["process_type"], "win": part["win"],
-                    "stat": np.einsum("nwc,cd,nwd->nw", r, precision, r).mean(axis=1),
+                    "stat": whitened_distance(r, whitening).mean(axis=1),
                     "mean_residual": r.mean(axis=(1, 2)), "channel": np.array(K.CHANNELS)[np.abs(r).mean(axis=1).argmax(axis=1)]})
 
     return windows.select("equipment_id", "process_type", "win", "x").mapInPandas(
@@ -288,13 +290,13 @@ def recon_fit(windows: DataFrame, quantile: float = K.LIMIT_QUANTILE, ridge: flo
 
     drafts = []
     for p, g in sorted(to_matrices(gram_matrices(windows, "process_type", ["x"], build, size), "process_type", size).items()):
-        coef = []
+        # one matrix for all channels: a channel's own past has no weight in its columns
+        channel = np.append(np.tile(np.arange(C), width), -1)
+        weights = np.zeros((size, size - 1))
         for c in range(C):
-            own = [t * C + c for t in range(width)]
-            others = [t * C + k for t in range(width) for k in range(C) if k != c] + [size - 1]
-            xx = g[np.ix_(others, others)] + ridge * np.eye(len(others))
-            coef.append(np.linalg.solve(xx, g[np.ix_(others, own)]).tolist())
-        drafts.append(ReconState(p, scale[p][0].tolist(), scale[p][1].tolist(), coef, 1.0))
+            use, own = np.flatnonzero(channel != c), np.flatnonzero(channel == c)
+            weights[np.ix_(use, own)] = np.linalg.solve(g[np.ix_(use, use)] + ridge * np.eye(len(use)), g[np.ix_(use, own)])
+        drafts.append(ReconState(p, scale[p][0].tolist(), scale[p][1].tolist(), weights.tolist(), 1.0))
     stats = recon_statistics(windows, drafts)
     q = {r["process_type"]: r["limit"] for r in limit_quantile(stats, ["process_type"], "stat", quantile).collect()}
     for s in drafts:
@@ -303,22 +305,17 @@ def recon_fit(windows: DataFrame, quantile: float = K.LIMIT_QUANTILE, ridge: flo
 
 
 def recon_statistics(windows: DataFrame, states: Sequence[ReconState]) -> DataFrame:
-    params = {s.process_type: (np.array(s.mean), np.array(s.std), [np.array(c) for c in s.coef]) for s in states}
+    by_type = {s.process_type: s for s in states}
 
     def run(batches):
         for pdf in batches:
-            for p, part in pdf.groupby("process_type"):
-                if p not in params:
-                    continue
-                mean, std, coef = params[p]
-                x = (tensor(part) - mean) / std
-                errors = np.empty((len(part), C))
-                for c in range(C):
-                    others = x[:, :, [k for k in range(C) if k != c]].reshape(len(part), -1)
-                    pred = np.hstack([others, np.ones((len(part), 1))]) @ coef[c]
-                    errors[:, c] = ((x[:, :, c] - pred) ** 2).mean(axis=1)
-                yield pd.DataFrame({"equipment_id": part["equipment_id"], "process_type": part["process_type"], "win": part["win"],
-                                    "stat": errors.sum(axis=1), "channel": np.array(K.CHANNELS)[errors.argmax(axis=1)]})
+            for s, part in ((by_type[p], rows) for p, rows in pdf.groupby("process_type") if p in by_type):
+                weights = np.array(s.weights)
+                flat = ((tensor(part) - np.array(s.mean)) / np.array(s.std)).reshape(len(part), -1)
+                gap = flat - flat @ weights[:-1] - weights[-1]
+                by_channel = np.square(gap).reshape(len(part), -1, C).mean(axis=1)
+                yield part[["equipment_id", "process_type", "win"]].assign(
+                    stat=by_channel.sum(axis=1), channel=np.array(K.CHANNELS)[by_channel.argmax(axis=1)])
 
     return windows.select("equipment_id", "process_type", "win", "x").mapInPandas(
         run, "equipment_id string, process_type string, win long, stat double, channel string")
@@ -337,20 +334,46 @@ def _path_length(n: np.ndarray | float):
     return np.where(n == 2, 1.0, out)
 
 
-def forest_fit(features: DataFrame, trees: int = 100, sample: int = 256, pool: int = 4096, seed: int = 0,
-               cols: Sequence[str] = ALL_FEATURES) -> dict:
-    """Random trees on small samples: a hash-chosen pool per process type, then one sample per tree.
+def tree_samples(base: DataFrame, cols: Sequence[str], trees: int, sample: int) -> DataFrame:
+    """(process_type, tree, _id, cols): for every tree the rows with the smallest hash of (tree, row), out of all rows.
 
-    The pool and the samples have fixed sizes; every tree is grown in its own group.
+    Each task keeps ``sample`` rows per process type and tree, so no more than that of a task is shuffled.
     """
     cols = list(cols)
+
+    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, list] = {}
+        mixed = (np.arange(trees, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        for pdf in batches:
+            for p, part in pdf.groupby("process_type"):
+                ident, x = part["_id"].to_numpy().astype(np.int64), part[cols].to_numpy(float)
+                own = kept.setdefault(p, [None] * trees)
+                for t in range(trees):
+                    h = (ident.view(np.uint64) ^ mixed[t]) * np.uint64(0xD6E8FEB86659FD93)
+                    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+                    h ^= h >> np.uint64(33)
+                    i, rows = ident, x
+                    if own[t] is not None:
+                        h, i, rows = (np.concatenate([a, b]) for a, b in zip(own[t], (h, ident, x)))
+                    near = np.lexsort((i, h))[:sample]
+                    own[t] = (h[near], i[near], rows[near])
+        for p, own in kept.items():
+            for t, (h, i, rows) in enumerate(own):
+                yield pd.DataFrame(rows, columns=cols).assign(process_type=p, tree=t, _h=h.view(np.int64) ^ np.int64(-2**63), _id=i)
+
+    kind = "process_type string, tree int, _h long, _id long, " + ", ".join(f"`{c}` double" for c in cols)
+    near = base.mapInPandas(lambda b: (f[["process_type", "tree", "_h", "_id", *cols]] for f in smallest(b)), kind)
+    rn = F.row_number().over(W.partitionBy("process_type", "tree").orderBy("_h", "_id"))
+    return near.withColumn("_k", rn).where(F.col("_k") <= sample)
+
+
+def forest_fit(features: DataFrame, trees: int = 200, sample: int = 256, seed: int = 0, cols: Sequence[str] = ALL_FEATURES) -> dict:
+    """Random trees, each grown in its own group on a sample of all rows of a process type."""
+    cols = list(cols)
     scaler = scaler_of(features, cols)
     ident = F.xxhash64(F.lit(seed), F.col("equipment_id"), F.col("win"))
     base = features.select("process_type", *cols, ident.alias("_id"))
-    pooled = base.withColumn("_rn", F.row_number().over(W.partitionBy("process_type").orderBy("_id"))).where(F.col("_rn") <= pool)
-    each = pooled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    rn = F.row_number().over(W.partitionBy("process_type", "tree").orderBy(F.xxhash64("tree", "_id")))
-    chosen = each.withColumn("_k", rn).where(F.col("_k") <= sample)
+    chosen = tree_samples(base, cols, trees, sample)
     schema = "process_type string, tree int, n long, feature array<int>, threshold array<double>, left array<int>, right array<int>, size array<double>"
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -47,9 +47,9 @@ def missing_keys(requested: DataFrame, existing: DataFrame, key: str) -> DataFra
     return requested.select(key).distinct().join(existing.select(key), key, "left_anti")
 
 
-def maintenance_summary(repairs: DataFrame, window: int = 100) -> DataFrame:
-    """Over the newest ``window`` repairs per equipment: count, last time, recurrences per prior code as a map."""
-    recent = top_n_per_key(repairs, ["equipment_id"], [F.desc("repaired_at"), F.desc("id")], window)
+def maintenance_summary(repairs: DataFrame, window: int | None = None) -> DataFrame:
+    """Over all, or the newest ``window``, repairs per equipment: count, last time, recurrences per prior code as a map."""
+    recent = repairs if window is None else top_n_per_key(repairs, ["equipment_id"], [F.desc("repaired_at"), F.desc("id")], window)
     per_code = recent.groupBy("equipment_id", "alarm_code_before").agg(
         F.count(F.lit(1)).alias("n"), F.max("repaired_at").alias("last"))
     entry = F.when(F.col("alarm_code_before").isNotNull(), F.struct("alarm_code_before", "n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,23 +12,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 BLOCK_BYTES = 64 << 20
 
 
-def vector_blocks(df: DataFrame, ident: str, vector: str, extra: Sequence[str] = ()):
-    """The table in hash blocks of bounded size, each as (rows, matrix) on the driver for shipping to tasks.
+def block_pairs(left: DataFrame, right: DataFrame, ident: str, vector: str, left_extra: Sequence[str] = (), right_extra: Sequence[str] = ()):
+    """Both tables dealt in hash blocks of bounded size, grouped so that every pair of blocks meets once, in one task.
 
-    Comparing everything with everything is quadratic; this keeps memory bounded and never materializes a
-    pair: a task holds one block and its own batch.
+    Comparing everything with everything is quadratic; a task holds two blocks, no pair of rows is ever shuffled and
+    nothing passes through the driver.
     """
-    first = df.select(F.size(vector)).first()
-    if first is None:
-        return
-    per = max(1, BLOCK_BYTES // (8 * int(first[0])))
-    n = -(-df.count() // per)
-    n = n if n == 1 else 2 * n
-    for i in range(n):
-        part = df if n == 1 else df.where(F.pmod(F.xxhash64(ident), F.lit(n)) == i)
-        rows = part.select(ident, vector, *extra).collect()
-        if rows:
-            yield rows, np.array([r[vector] for r in rows], float)
+    cores = left.sparkSession.sparkContext.defaultParallelism
+
+    def number(df: DataFrame) -> int:
+        """Enough blocks for their size and for all cores."""
+        size = df.agg(F.sum(8 * F.size(vector))).first()[0] or 0
+        return max(-(-size // BLOCK_BYTES), math.isqrt(cores))
+
+    n, m = number(left), number(right)
+    a = left.select(ident, vector, *left_extra, F.pmod(F.xxhash64(ident), F.lit(n)).alias("_i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("_j"))
+    b = right.select(ident, vector, *right_extra, F.pmod(F.xxhash64(ident), F.lit(m)).alias("_j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_i"))
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j"))
+
+
+def rows_of(pdf: pd.DataFrame, vector: str) -> np.ndarray:
+    return np.stack(pdf[vector].to_numpy()).astype(float)
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -39,21 +44,20 @@ def knn_outlier_score(queries: DataFrame, bank: DataFrame, k: int, ident: str =
                       exclude_self: bool = False) -> DataFrame:
     """Mean Euclidean distance to the ``k`` nearest bank vectors, exact."""
     kind = queries.schema[ident].dataType.simpleString()
-    parts = None
-    for rows, matrix in vector_blocks(bank, ident, vector):
-        ids = np.array([r[ident] for r in rows])
-
-        def scan(batches, ids=ids, matrix=matrix):
-            for pdf in batches:
-                x = np.stack(pdf[vector].to_numpy()).astype(float)
-                d = distances(x, matrix)
-                if exclude_self:
-                    d[pdf[ident].to_numpy()[:, None] == ids[None, :]] = np.inf
-                near = np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)
-                yield pd.DataFrame({ident: pdf[ident], "d": [r[np.isfinite(r)] for r in near]})
-
-        got = queries.select(ident, vector).mapInPandas(scan, f"{ident} {kind}, d array<double>")
-        parts = got if parts is None else parts.unionByName(got)
+
+    def scan(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(stored):
+            return pd.DataFrame({ident: asked[ident], "d": [[] for _ in range(len(asked))]})
+        y, near = rows_of(stored, vector), []
+        for at in range(0, len(asked), 1024):
+            part = asked.iloc[at:at + 1024]
+            d = distances(rows_of(part, vector), y)
+            if exclude_self:
+                d[part[ident].to_numpy()[:, None] == stored[ident].to_numpy()[None, :]] = np.inf
+            near += [r[np.isfinite(r)] for r in np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)]
+        return pd.DataFrame({ident: asked[ident].to_numpy(), "d": near})
+
+    parts = block_pairs(queries, bank, ident, vector).applyInPandas(scan, f"{ident} {kind}, d array<double>")
     # k numbers per block and query
     merged = parts.groupBy(ident).agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
     return merged.select(ident, (F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / F.size("d")).alias("score"))
@@ -71,19 +75,19 @@ def centroid_cosine_score(df: DataFrame, normal: DataFrame, ident: str = "vec_id
 def silhouette(df: DataFrame, label: str, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Mean Euclidean silhouette. Each task adds distances per label and block; no pair leaves a task."""
     kind, lab = df.schema[ident].dataType.simpleString(), df.schema[label].dataType.simpleString()
-    sums = None
-    for rows, matrix in vector_blocks(df, ident, vector, [label]):
-        labels = np.array([r[label] for r in rows])
-
-        def scan(batches, labels=labels, matrix=matrix):
-            names = np.unique(labels)
-            for pdf in batches:
-                d = distances(np.stack(pdf[vector].to_numpy()).astype(float), matrix)
-                for n in names:
-                    yield pd.DataFrame({ident: pdf[ident], label: pdf[label], "other": n, "s": d[:, labels == n].sum(axis=1)})
-
-        got = df.select(ident, label, vector).mapInPandas(scan, f"{ident} {kind}, {label} {lab}, other {lab}, s double")
-        sums = got if sums is None else sums.unionByName(got)
+
+    def scan(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({ident: mine[ident][:0], label: mine[label][:0], "other": mine[label][:0], "s": np.zeros(0)})]
+        if len(mine) and len(others):
+            labels, at = np.unique(others[label].to_numpy(), return_inverse=True)
+            member, y = np.eye(len(labels))[at], rows_of(others, vector)
+            for s in range(0, len(mine), 1024):
+                part = mine.iloc[s:s + 1024]
+                total = distances(rows_of(part, vector), y) @ member
+                out += [pd.DataFrame({ident: part[ident], label: part[label], "other": n, "s": total[:, i]}) for i, n in enumerate(labels)]
+        return pd.concat(out)
+
+    sums = block_pairs(df, df, ident, vector, [label], [label]).applyInPandas(scan, f"{ident} {kind}, {label} {lab}, other {lab}, s double")
     sizes = df.groupBy(F.col(label).alias("other")).agg(F.count(F.lit(1)).alias("n"))
     per = sums.groupBy(ident, label, "other").agg(F.sum("s").alias("s")).join(sizes, "other")
     own = F.col("other") == F.col(label)

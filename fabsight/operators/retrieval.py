@@ -303,25 +303,27 @@ def rerank_by_score(hits: DataFrame, scores: DataFrame, k: int) -> DataFrame:
 def passage_matches(passages: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:
     """(item_id, doc_id) where the document holds the passage verbatim.
 
-    A few inner words of the passage are looked up among the documents' word sequences by hash (equi join);
-    only those candidates are compared in full.
+    Of the inner word sequences of a passage (``words`` long, or all inner words of a shorter one) the one in fewest documents
+    is looked up by hash (equi join); only those candidates are compared in full.  A passage needs at least three words, as its
+    first and last may be parts of a document's words.
     """
-    words = int(words)
-    p = passages.withColumn("_t", tokenize_whitespace(F.col("text")))
-    short = p.where(F.size("_t") < words + 2)
-    if not short.isEmpty():
-        words = int(short.agg(F.min(F.size("_t"))).first()[0]) - 2
-        if words < 1:
-            raise ValueError("a passage needs at least three words")
-    anchor = F.xxhash64(F.array_join(F.slice("_t", F.lit(2), F.lit(words)), " "))
-    wanted = p.select("item_id", F.col("text").alias("_passage"), anchor.alias("_h"))
-    def hashes(t):
-        n = F.size(t) - words
-        return F.when(n >= 0, F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(
-            F.array_join(F.slice(t, i, F.lit(words)), " "))))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(let(tokenize_whitespace(F.col("text")), hashes))).alias("_h"))
-    cand = grams.join(wanted, "_h").select("item_id", "doc_id", "_passage").distinct()
-    return cand.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "_passage")).select("item_id", "doc_id")
+    p = passages.withColumn("_t", tokenize_whitespace(F.col("text"))).withColumn("_n", F.least(F.lit(int(words)), F.size("_t") - 2))
+    if not p.where("_n < 1").isEmpty():
+        raise ValueError("a passage needs at least three words")
+
+    def sequences(t, n, first, last):
+        """Hashes of the ``n`` words from every position from ``first`` to ``last`` on."""
+        return F.when(last >= first, F.transform(F.sequence(first, last), lambda i: F.xxhash64(n, F.array_join(F.slice(t, i, n), " "))))
+
+    wanted = p.select("item_id", F.explode(F.array_distinct(sequences(F.col("_t"), F.col("_n"), F.lit(2), F.size("_t") - F.col("_n")))).alias("_h"))
+    lengths = sorted(r["_n"] for r in p.select("_n").distinct().collect())  # at most ``words`` numbers
+    every = lambda t: F.flatten(F.array(*[F.coalesce(sequences(t, F.lit(n), F.lit(1), F.size(t) - n + 1), F.array().cast("array<bigint>")) for n in lengths]))
+    grams = docs.select("doc_id", F.explode(F.array_distinct(let(tokenize_whitespace(F.col("text")), every))).alias("_h"))
+    found = durable(grams.join(wanted.select("_h").distinct(), "_h"))
+    counts = found.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
+    rarest = wanted.join(counts, "_h", "left").groupBy("item_id").agg(F.min_by("_h", F.struct(F.coalesce("_c", F.lit(0)), "_h")).alias("_h"))
+    cand = found.join(rarest, "_h").join(passages.select("item_id", F.col("text").alias("_passage")), "item_id")
+    return cand.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "_passage")).select("item_id", "doc_id").distinct()
 
 
 def retrieval_metrics(hits: DataFrame, expected: DataFrame, k: int) -> DataFrame:

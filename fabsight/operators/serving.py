@@ -29,13 +29,13 @@ def effective_since(master: DataFrame, cutoff: Column | None) -> DataFrame:
 
 
 def training_windows(telemetry: DataFrame, master: DataFrame, cutoff: Column | None = None, exclude: Sequence[str] = (),
-                     rows: int = K.FIT_ROWS_PER_EQUIPMENT, window: int = K.WINDOW, stride: int = K.STRIDE) -> DataFrame:
-    """Windows of normal rows after the bound, newest rows per equipment, gaps closed up."""
+                     rows: int | None = None, window: int = K.WINDOW, stride: int = K.STRIDE) -> DataFrame:
+    """Windows of normal rows after the bound, gaps closed up; all rows, or the newest ``rows`` per equipment."""
     usable = telemetry.where(~F.col("equipment_id").isin(*exclude)) if exclude else telemetry
     bounded = usable.join(effective_since(master, cutoff), "equipment_id", "left")
     keep = F.col("alarm_code").isNull() & (F.col("since").isNull() | (F.col("timestamp") >= F.col("since")))
     normal = Wn.closed_up(bounded.select("equipment_id", "process_type", "tick", "timestamp", "alarm_code", "since", *K.CHANNELS), keep)
-    recent = durable(T.recent_rows(normal, ["equipment_id"], "pos", rows))  # read by the features and by the tensors
+    recent = normal if rows is None else durable(T.recent_rows(normal, ["equipment_id"], "pos", rows))
     return Wn.window_features(recent, "pos", window, stride, tensor=True)
 
 
@@ -94,6 +94,11 @@ def fit_windows(stored: DataFrame, old: Fitted | None = None, least: int = K.MIN
     return out
 
 
+def model_by_process_type(master: DataFrame, models: DataFrame) -> DataFrame:
+    """Every equipment that a model of its process type exists for, with the model's columns."""
+    return master.join(models, "process_type")
+
+
 def stale_models(models: DataFrame, now: Column, hours: int = K.STALE_HOURS) -> DataFrame:
     return models.where(F.col("fitted_at") < now - F.make_dt_interval(F.lit(0), F.lit(hours)))
 
@@ -126,7 +131,7 @@ def merged_score(b: DataFrame) -> DataFrame:
                     F.when(F.col("fired"), F.col("channel")).when(F.col("_vf"), F.col("_vc")).alias("channel"))
 
 
-def score_latest(telemetry: DataFrame, fitted: Fitted, use_var: bool = True, lookback: int = K.LOOKBACK_ROWS,
+def score_latest(telemetry: DataFrame, fitted: Fitted, use_var: bool = True, *, lookback: int,
                  window: int = K.WINDOW, stride: int = K.STRIDE) -> DataFrame:
     """Last window of each equipment over the newest rows; equipment without model or window is absent."""
     rows = durable(T.recent_rows(telemetry.select("equipment_id", "process_type", "tick", *K.CHANNELS), ["equipment_id"], "tick", lookback))

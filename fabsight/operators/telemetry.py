@@ -51,13 +51,13 @@ def on_line(df: DataFrame, master: DataFrame, line: str | None) -> DataFrame:
     return df.join(master.where(F.col("line_name") == line).select("equipment_id"), "equipment_id", "left_semi")
 
 
-def sensor_logs_raw(df: DataFrame, start, end, limit: int = K.SENSOR_ROW_BUDGET, equipment: str | None = None,
+def sensor_logs_raw(df: DataFrame, start, end, limit: int | None = None, equipment: str | None = None,
                     line: str | None = None, master: DataFrame | None = None) -> DataFrame:
-    """Newest ``limit`` rows of a closed range, in ascending order."""
+    """Rows of a closed range in ascending order; all, or the newest ``limit``."""
     rows = optional_filters(df.where(closed_range("timestamp", start, end)), equipment_id=equipment)
     if line is not None:
         rows = on_line(rows, master, line)
-    newest = rows.orderBy(F.desc("timestamp"), F.desc("log_id")).limit(limit)
+    newest = rows if limit is None else rows.orderBy(F.desc("timestamp"), F.desc("log_id")).limit(limit)
     return newest.orderBy("timestamp", "log_id")
 
 
@@ -67,7 +67,7 @@ def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn("_rn", rn).where(F.col("_rn") <= n).drop("_rn")
 
 
-def logs_by_line(df: DataFrame, master: DataFrame, line: str | None, start, end, limit: int = K.SENSOR_ROW_BUDGET) -> DataFrame:
+def logs_by_line(df: DataFrame, master: DataFrame, line: str | None, start, end, limit: int) -> DataFrame:
     """Top rows per equipment first, then the overall newest ``limit``."""
     order = [F.desc("timestamp"), F.desc("log_id")]
     rows = on_line(df.where(closed_range("timestamp", start, end)), master, line)
@@ -88,7 +88,7 @@ def sensor_logs_bucketed(df: DataFrame, start, seconds: float, limit: int | None
     return out.limit(limit) if limit else out
 
 
-def bucket_plan(start, end, equipments: int, limit: int = K.SENSOR_ROW_BUDGET, interval: float = K.INTERVAL_SECONDS):
+def bucket_plan(start, end, equipments: int, limit: int, interval: float = K.INTERVAL_SECONDS):
     """None when the estimated raw rows fit the budget, else the bucket width in seconds."""
     span = (end - start).total_seconds()
     if span / interval * max(equipments, 1) <= limit:
@@ -98,8 +98,8 @@ def bucket_plan(start, end, equipments: int, limit: int = K.SENSOR_ROW_BUDGET, i
 
 
 def sensor_logs_auto(df: DataFrame, master: DataFrame, start, end, equipment: str | None = None, line: str | None = None,
-                     limit: int = K.SENSOR_ROW_BUDGET) -> DataFrame:
-    """Raw rows when few enough, otherwise buckets whose number respects the budget."""
+                     *, limit: int) -> DataFrame:
+    """For a screen of ``limit`` rows: raw rows when few enough, otherwise buckets whose width respects the budget."""
     n = 1 if equipment else optional_filters(master, line_name=line).count()
     width = bucket_plan(start, end, n, limit)
     if width is None:

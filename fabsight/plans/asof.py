@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fabsight.plans.series import PIECE, _pairs
-from fabsight.session import durable, shuffle_partitions
+from fabsight.session import durable, range_partitions
 
 
 def along(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, picks: Mapping[str, tuple[str, Column]],
@@ -32,7 +32,7 @@ def along(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str,
     lf = left.select(*keys, F.col(left_at).alias("_at"), F.lit(1 if right_first else 0).alias("_side"), kept.alias("_left"))
     line = r.unionByName(lf, allowMissingColumns=True)
     order = [F.asc("_at"), F.asc("_side"), F.asc("_tie")]
-    fixed = durable(line.repartitionByRange(shuffle_partitions(left.sparkSession), *[F.asc(k) for k in keys], *order).withColumn(PIECE, F.spark_partition_id()))
+    fixed = durable(line.repartitionByRange(range_partitions(line), *[F.asc(k) for k in keys], *order).withColumn(PIECE, F.spark_partition_id()))
     hit = F.col("_right").isNotNull()
     # the struct keeps NULL values apart from no row, and tells time and tie where pieces meet
     value = lambda name: F.when(hit, F.struct(F.col("_at").alias("at"), (-F.col("_tie")).alias("nt"), F.col("_right")[name].alias("v")))

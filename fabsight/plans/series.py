@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fabsight.session import durable, shuffle_partitions
+from fabsight.session import durable, range_partitions
 
 PIECE_ROWS = 65_536
 PIECE, OWN = "_piece", "_own"
@@ -33,10 +33,10 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 def ordered_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:
     """Add inclusive running sums per ``keys`` along ``order`` (a total order).
 
-    The number of range partitions is the session's, stated so that adaptive execution does not merge them again.
+    The number of range partitions follows the input, and is stated so that adaptive execution does not merge them again.
     """
     order = list(order)
-    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *[F.col(k).asc_nulls_first() for k in keys], *order)
+    ranged = df.repartitionByRange(range_partitions(df), *[F.col(k).asc_nulls_first() for k in keys], *order)
     fixed = durable(ranged.withColumn(PIECE, F.spark_partition_id()))
     local = W.partitionBy(PIECE, *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     totals = fixed.groupBy(PIECE, *keys).agg(*[F.sum(e).alias(f"_t_{c}") for c, e in sums.items()])
@@ -112,30 +112,54 @@ def piece_for_decay(alpha: float, most: int = 4096) -> int:
     return max(2, min(most, int(500 / -math.log1p(-alpha))))
 
 
-def _carry(summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``carry_0 = seed``; ``carry_{m+1} = gain_m * carry_m + shift_m`` over piece summaries.
+#: Pieces whose steps are composed by one task before the carry passes from block to block.
+BLOCK_PIECES = 1024
+
+
+def _folded(rows: DataFrame, keys: Sequence[str], at: str, within: Sequence[str], start, step, ddl: str) -> DataFrame:
+    """Rows in order of ``at`` inside each (keys, within), with the state before each row: ``start`` first, then ``step``.
 
-    Summaries (one row per piece of thousands of rows) are sorted inside hash partitions and folded as a
-    stream: batches of rows pass through with one number of state, no group is gathered.
+    Rows are sorted inside hash partitions and pass through as a stream with one state; no group is gathered.
     """
-    names = list(keys)
-    fields = {f.name: f.dataType.simpleString() for f in summaries.schema.fields}
-    ddl = ", ".join([*[f"`{k}` {fields[k]}" for k in names], f"{PIECE} long", "_carry double"])
+    group = [*keys, *within]
 
     def fold(batches):
-        current, value = None, 0.0
+        current, state = None, None
         for pdf in batches:
-            keyed = list(zip(*[pdf[k] for k in names], strict=True)) if names else [()] * len(pdf)
+            keyed = list(zip(*[pdf[k] for k in group], strict=True)) if group else [()] * len(pdf)
             out = []
             for key, gain, shift, seed in zip(keyed, pdf["gain"], pdf["shift"], pdf["seed"], strict=True):
                 if key != current:
-                    current, value = key, seed
-                out.append(value)
-                value = gain * value + shift
-            yield pdf[[*names, PIECE]].assign(_carry=out)
+                    current, state = key, start(seed)
+                out.append(state)
+                state = step(state, gain, shift)
+            yield pdf.assign(_g=[g for g, _ in out], _s=[v for _, v in out])
+
+    arranged = rows.repartition(*group) if group else rows.coalesce(1)
+    return arranged.sortWithinPartitions(*group, at).mapInPandas(fold, ddl)
 
-    arranged = summaries.repartition(*names) if names else summaries.coalesce(1)
-    return arranged.sortWithinPartitions(*names, PIECE).mapInPandas(fold, ddl)
+
+def _carry(summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``carry_0 = seed``; ``carry_{m+1} = gain_m * carry_m + shift_m`` over piece summaries, in two levels.
+
+    Steps compose: the pieces of a block are composed by a task of their own, so a long key is spread over many tasks; only one
+    step per block of BLOCK_PIECES pieces is folded in a row, and is applied back to the pieces.
+    """
+    names = list(keys)
+    fields = {f.name: f.dataType.simpleString() for f in summaries.schema.fields}
+    keyed = [f"`{k}` {fields[k]}" for k in names]
+    numbers = ["gain double", "shift double", "seed double"]
+    blocks = summaries.select(*names, PIECE, F.floor(F.col(PIECE) / BLOCK_PIECES).alias("_block"), *[F.col(c).cast("double") for c in ("gain", "shift", "seed")])
+    compose = lambda state, gain, shift: (gain * state[0], gain * state[1] + shift)
+    inner = durable(_folded(blocks, names, PIECE, ["_block"], lambda seed: (1.0, 0.0), compose,
+                            ", ".join([*keyed, f"{PIECE} long", "_block long", *numbers, "_g double", "_s double"])))
+    last = F.max_by(F.struct((F.col("gain") * F.col("_g")).alias("gain"), (F.col("gain") * F.col("_s") + F.col("shift")).alias("shift")), PIECE)
+    whole = inner.groupBy(*names, "_block").agg(last.alias("t"), F.max("seed").alias("seed")).select(*names, "_block", "t.gain", "t.shift", "seed")
+    entering = _folded(whole, names, "_block", [], lambda seed: (0.0, seed), lambda state, gain, shift: (0.0, gain * state[1] + shift),
+                       ", ".join([*keyed, "_block long", *numbers, "_g double", "_s double"]))
+    entering = entering.select(*[F.col(k).alias(f"_k_{k}") for k in names], F.col("_block").alias("_b"), F.col("_s").alias("_enter"))
+    joined = inner.join(entering, (F.col("_block") == F.col("_b")) & _pairs(names))
+    return joined.select(*names, PIECE, (F.col("_g") * F.col("_enter") + F.col("_s")).alias("_carry"))
 
 
 def ewma(df: DataFrame, keys: Sequence[str], pos: str, value: str, alpha: float, name: str = "ewma",

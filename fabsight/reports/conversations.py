@@ -381,11 +381,11 @@ def silhouette(v):
 
 
 @query("knn_outlier_score", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-d AS (SELECT a.vec_id, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v)) AS rn FROM e a JOIN e b ON a.vec_id <> b.vec_id AND b.label < 5)
+d AS (SELECT a.vec_id, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v)) AS rn FROM e a JOIN e b ON a.vec_id <> b.vec_id)
 SELECT vec_id, round(avg(d), 6) AS score FROM d WHERE rn <= 5 GROUP BY 1""")
 def knn_outlier_score(v):
     e = v.table("embeddings")
-    return NB.knn_outlier_score(e, e.where("label < 5"), 5, exclude_self=True).withColumn("score", F.round("score", 6))
+    return NB.knn_outlier_score(e, e, 5, exclude_self=True).withColumn("score", F.round("score", 6))
 
 
 @query("centroid_cosine_score", """WITH c AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(x) AS m FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label < 5) a GROUP BY 1) b)

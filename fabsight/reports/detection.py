@@ -124,7 +124,7 @@ def conditional_recon_linear(v):
 
 @query("isolation_forest")
 def isolation_forest(v):
-    return WindowDetector("iforest", trees=50).fit(train(v)).transform(windows(v)).select("equipment_id", "win", F.round("raw", 6).alias("raw"))
+    return WindowDetector("iforest").fit(train(v)).transform(windows(v)).select("equipment_id", "win", F.round("raw", 6).alias("raw"))
 
 
 @query("detector_protocol", f"SELECT process_type, count(*) AS n, {_OVER} AS over_limit FROM train_wins GROUP BY 1")
@@ -134,9 +134,10 @@ def detector_protocol(v):
 
 @query("merged_score")
 def merged_score(v):
-    a = D.pca_score(windows(v), fitted(v).pca).select("equipment_id", "win", F.col("raw").alias("a"))
-    b = D.var_score(windows(v), fitted(v).var).select("equipment_id", "win", F.col("raw").alias("b"))
-    return a.join(b, ["equipment_id", "win"]).select("equipment_id", "win", F.round(F.greatest("a", "b"), 6).alias("raw"))
+    pca = D.pca_score(windows(v), fitted(v).pca).withColumns({"score": F.col("raw"), "fired": F.col("raw") > 1, "masked": F.lit(False)})
+    var = D.var_score(windows(v), fitted(v).var).select("equipment_id", "win", F.col("raw").alias("_vs"), (F.col("raw") > 1).alias("_vf"), F.col("channel").alias("_vc"))
+    both = Sv.merged_score(pca.join(var, ["equipment_id", "win"]))
+    return both.select("equipment_id", "win", F.round("score", 6).alias("raw"))
 
 
 @query("fit_process_models", "SELECT process_type, count(*) AS train_windows, true AS limited FROM train_wins GROUP BY 1 HAVING count(*) >= 200")
@@ -171,11 +172,10 @@ def equipment_limit_override(v):
     return S.limit_override(v.master, typ, own).select("equipment_id", "limit")
 
 
-@query("model_by_process_type", "SELECT equipment_id, process_type FROM master WHERE process_type = 'P1'")
+@query("model_by_process_type", "SELECT equipment_id, process_type FROM master WHERE process_type IN (SELECT process_type FROM train_wins)")
 def model_by_process_type(v):
-    from pyspark.sql.functions import broadcast
-    models = D.states_to_df(v.spark, fitted(v).pca).where("process_type = 'P1'")  # one row per process type
-    return v.master.join(broadcast(models), "process_type").select("equipment_id", "process_type")
+    models = D.states_to_df(v.spark, fitted(v).pca)
+    return Sv.model_by_process_type(v.master, models).select("equipment_id", "process_type")
 
 
 @query("stale_models", "SELECT equipment_id FROM master WHERE repaired_at < TIMESTAMP '2024-01-08 00:30:00' - INTERVAL 168 HOURS")
@@ -194,7 +194,7 @@ def score_series(v):
 
 
 def latest(v):
-    return v.stored("score_latest", lambda: Sv.score_latest(v.telemetry, fitted(v)))
+    return v.stored("score_latest", lambda: Sv.score_latest(v.telemetry, fitted(v), lookback=K.LOOKBACK_ROWS))
 
 
 @query("score_latest")

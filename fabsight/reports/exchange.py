@@ -37,7 +37,7 @@ def eval_set(v) -> str:
 def write_eval_set(v):
     root = eval_set(v)
     parts = [S.scan_eval_parquet(v.spark, root).select(F.lit("eval").alias("part")), S.scan_eval_parquet(v.spark, root, "train_normal").select(F.lit("train").alias("part")),
-             S.scan_events_json(v.spark, root).select(F.lit("events").alias("part"))]
+             S.scan_events_json(v.spark, root, True).select(F.lit("events").alias("part"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -48,7 +48,7 @@ def scan_eval_parquet(v):
 
 @query("scan_events_json", "SELECT equipment_id, kind, start_tick, end_tick, unnest(['temperature', 'pressure']) AS variable FROM incidents")
 def scan_events_json(v):
-    return S.scan_events_json(v.spark, eval_set(v)).select("equipment_id", "kind", "start_tick", "end_tick", F.explode("variables").alias("variable"))
+    return S.scan_events_json(v.spark, eval_set(v), True).select("equipment_id", "kind", "start_tick", "end_tick", F.explode("variables").alias("variable"))
 
 
 @query("scan_manifest_map", "SELECT equipment_id, process_type FROM master")

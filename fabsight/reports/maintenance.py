@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fabsight import constants as K
 from fabsight.operators import alarms as A, maintenance as M, notifications as N, telemetry as T
 from fabsight.registry import query
 from fabsight.sources import tables as S
@@ -47,7 +48,7 @@ SELECT t.equipment_id, count(*) AS repair_count, max(repaired_at) AS last_repair
  (SELECT string_agg(alarm_code_before || '=' || n, ',' ORDER BY alarm_code_before) FROM c WHERE c.equipment_id = t.equipment_id) AS alarm_code_counts
 FROM t GROUP BY t.equipment_id""")
 def maintenance_summary(v):
-    out = M.maintenance_summary(v.repairs)
+    out = M.maintenance_summary(v.repairs, K.SUMMARY_REPAIRS)
     pairs = F.transform(F.array_sort(F.map_entries("alarm_code_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return out.withColumn("alarm_code_counts", F.array_join(pairs, ","))
 

@@ -49,7 +49,7 @@ def scan_table(v):
 @query("sensor_logs_raw", f"""SELECT equipment_id, log_id, "timestamp", temperature, pressure, alarm_code FROM telemetry
 WHERE "timestamp" >= TIMESTAMP '{START}' AND "timestamp" <= TIMESTAMP '{END}' ORDER BY "timestamp" DESC, log_id DESC LIMIT 500""")
 def sensor_logs_raw(v):
-    return T.sensor_logs_raw(v.telemetry, START, END).select(
+    return T.sensor_logs_raw(v.telemetry, START, END, K.SENSOR_ROW_BUDGET).select(
         "equipment_id", "log_id", "timestamp", "temperature", "pressure", "alarm_code")
 
 
@@ -77,7 +77,7 @@ def sensor_logs_bucketed(v):
 AND "timestamp" <= TIMESTAMP '{END}'""", "ORDER BY 2 LIMIT 500"))
 def sensor_logs_auto(v):
     from datetime import datetime
-    return _rounded(T.sensor_logs_auto(v.telemetry, v.master, datetime.fromisoformat(START), datetime.fromisoformat(END), "EQP-003"))
+    return _rounded(T.sensor_logs_auto(v.telemetry, v.master, datetime.fromisoformat(START), datetime.fromisoformat(END), "EQP-003", limit=K.SENSOR_ROW_BUDGET))
 
 
 @query("telemetry_projection", """SELECT equipment_id, strftime("timestamp", '%Y-%m-%dT%H:%M:%S') AS "timestamp", temperature,
@@ -159,7 +159,7 @@ FROM telemetry WHERE "timestamp" >= TIMESTAMP '{START}' AND "timestamp" <= TIMES
  AND equipment_id IN (SELECT equipment_id FROM master WHERE line_name = 'AFRICA'))
 SELECT equipment_id, log_id, "timestamp" FROM r WHERE rn <= 500 ORDER BY "timestamp" DESC, log_id DESC LIMIT 500""")
 def logs_by_line_topn(v):
-    return T.logs_by_line(v.telemetry, v.master, "AFRICA", START, END).select("equipment_id", "log_id", "timestamp")
+    return T.logs_by_line(v.telemetry, v.master, "AFRICA", START, END, K.SENSOR_ROW_BUDGET).select("equipment_id", "log_id", "timestamp")
 
 
 @query("latched_alarm", """WITH r AS (SELECT t.equipment_id, alarm_code, "timestamp", log_id, row_number() OVER (PARTITION BY t.equipment_id

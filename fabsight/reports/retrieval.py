@@ -267,7 +267,7 @@ def cosine_similarity(v):
     return e.select("vec_id", F.round(V.cosine_similarity(F.col("embedding"), F.col("c")), 8).alias("cosine"))
 
 
-@query("l2_normalize", """SELECT vec_id, round(n[1], 6) AS x1, round(n[64], 6) AS x64 FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS n FROM embeddings) a""")
+@query("l2_normalize", """SELECT vec_id, unnest(range(len(n))) AS dim, round(unnest(n), 6) AS x FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS n FROM embeddings) a""")
 def l2_normalize(v):
     n = v.table("embeddings").select("vec_id", V.l2_normalize(F.col("embedding")).alias("n"))
-    return n.select("vec_id", F.round(F.col("n")[0], 6).alias("x1"), F.round(F.col("n")[63], 6).alias("x64"))
+    return n.select("vec_id", F.posexplode("n").alias("dim", "x")).withColumns({"dim": F.col("dim").cast("long"), "x": F.round("x", 6)})

@@ -55,9 +55,9 @@ def window_overlaps_event(v):
         F.count(F.lit(1)).alias("windows"))
 
 
-@query("diff_lag", """SELECT log_id, temperature - lag(temperature) OVER (PARTITION BY equipment_id ORDER BY tick) AS diff_temperature FROM telemetry""")
+@query("diff_lag", "SELECT log_id, " + ", ".join(f"{c} - lag({c}) OVER (PARTITION BY equipment_id ORDER BY tick) AS diff_{c}" for c in K.CHANNELS) + " FROM telemetry")
 def diff_lag(v):
-    return Wn.diffs(v.telemetry, ["equipment_id"], "tick").select("log_id", "diff_temperature")
+    return Wn.diffs(v.telemetry, ["equipment_id"], "tick").select("log_id", *[f"diff_{c}" for c in K.CHANNELS])
 
 
 @query("sustained_k", """SELECT equipment_id, win, sum(CAST(raw > 1.01 AS INT)) OVER (PARTITION BY equipment_id ORDER BY win ROWS 1 PRECEDING) = 2 AS confirmed FROM win_score""")

@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of input for a range partition; sources without statistics claim more than UNKNOWN bytes and do not count.
+PARTITION_BYTES, UNKNOWN = 256 << 20, 1 << 60
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Use UTC and make sure a checkpoint folder is known.
 
-    On a cluster the folder comes from ``spark.checkpoint.dir`` and is shared storage; a machine-local
-    folder is only made up when neither that setting nor a checkpoint folder exists, as in tests.
+    The folder is the one that ``spark.checkpoint.dir`` names, shared storage on a cluster.  Without that setting a session
+    of one machine uses a folder beside its warehouse; any other refuses to run.
     """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fabsight-ckpt-"))
+        sc.setCheckpointDir(shared_folder(sc.master, spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir")))
     return spark
 
 
+def shared_folder(master: str, configured: str | None, warehouse: str) -> str:
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/checkpoints"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and go on from the written copy.
 
@@ -40,6 +50,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def range_partitions(df: DataFrame) -> int:
+    """Range partitions for ``df``: about PARTITION_BYTES of the tables it reads in each, no fewer than the session's.
+
+    Range partitions are numbered, so adaptive execution must not merge or split them; their number follows the data.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(shuffle_partitions(df.sparkSession), partitions_for(sum(s for s in sizes if s < UNKNOWN)))
+
+
+def partitions_for(size: int) -> int:
+    return -(-size // PARTITION_BYTES)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Split an input of too few file pieces over all cores before heavy work per row; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

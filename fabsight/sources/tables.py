@@ -60,11 +60,9 @@ def scan_eval_parquet(spark: SparkSession, root: str, which: str = "eval") -> Da
     return spark.read.parquet(f"{root}/{which}.parquet")
 
 
-def scan_events_json(spark: SparkSession, root: str) -> DataFrame:
-    """Labelled events: one array-of-objects file, or the folder of one object per line this package writes."""
+def scan_events_json(spark: SparkSession, root: str, per_line: bool) -> DataFrame:
+    """Labelled events: one array of objects, or an object per line, as this package writes them (``per_line``)."""
     path = f"{root}/events.json"
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    per_line = bool(head) and head[0]["value"].strip().startswith("{") and head[0]["value"].strip().endswith("}")
     return spark.read.schema(SCHEMAS["events_labels"]).option("multiLine", not per_line).json(path)
 
 

@@ -201,8 +201,8 @@ def stream_anomaly_score(telemetry: DataFrame, states: Sequence, limits: dict[st
 
     ``states`` are autoregression models, ``limits`` the accumulated-score limit per process type.
     """
-    from fabsight.operators.detectors import _design
-    models = {s.process_type: (s.lag, np.array(s.coef), np.array(s.precision), s.limit) for s in states}
+    from fabsight.operators.detectors import _design, whitened_distance
+    models = {s.process_type: (s.lag, np.array(s.coef), np.array(s.whitening), s.limit) for s in states}
     vals = list(K.CHANNELS)
     out = "equipment_id string, win long, raw double, score double, fired boolean, action string"
     schema = "seen long, ring array<double>, acc double, run int, settle int, active boolean"
@@ -215,7 +215,7 @@ def stream_anomaly_score(telemetry: DataFrame, states: Sequence, limits: dict[st
         ptype, part = rows["process_type"].iat[0], rows
         if ptype not in models:
             return
-        lag, coef, precision, limit = models[ptype]
+        lag, coef, whitening, limit = models[ptype]
         x = np.vstack([ring, part[vals].to_numpy(float)])
         start = seen - len(ring)
         for end in range(seen, seen + len(part)):
@@ -223,8 +223,7 @@ def stream_anomaly_score(telemetry: DataFrame, states: Sequence, limits: dict[st
                 continue
             w = x[end + 1 - window - start:end + 1 - start][None]
             d, y = _design(w, lag)
-            r = y - d @ coef.T
-            raw = float(np.einsum("nwc,cd,nwd->nw", r, precision, r).mean() / limit)
+            raw = float(whitened_distance(y - d @ coef.T, whitening).mean() / limit)
             jump = threshold > 0 and raw >= threshold
             masked = jump or left > 0
             left = settle if jump else max(0, left - 1)

@@ -8,8 +8,8 @@ from fabsight.operators import alarms as A, maintenance as M, retrieval as R, te
 
 
 def get_sensor_logs(telemetry: DataFrame, master: DataFrame, start, end, equipment: str | None = None, line: str | None = None,
-                    limit: int = 500) -> DataFrame:
-    return T.sensor_logs_auto(telemetry, master, start, end, equipment, line, limit)
+                    *, limit: int) -> DataFrame:
+    return T.sensor_logs_auto(telemetry, master, start, end, equipment, line, limit=limit)
 
 
 def get_alarm_history(alarms: DataFrame, start, end, equipment: str | None = None) -> DataFrame:

@@ -183,3 +183,48 @@ def test_partial_update_and_scoped_delete(spark):
     df = spark.createDataFrame([(1, "a", 1.0)], "id long, role string, balance double")
     patch = spark.createDataFrame([(1, "z", None, ["balance"])], "id long, role string, balance double, given array<string>")
     assert tuple(M.partial_update(df, patch, "id", ["role", "balance"]).first()) == (1, "a", None)
+
+
+def test_shared_folder_is_required_beyond_one_machine():
+    from fabsight.session import shared_folder
+    assert shared_folder("local[4]", None, "/w") == "/w/checkpoints"
+    assert shared_folder("spark://host:7077", "hdfs:///c", "/w") == "hdfs:///c"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(master, None, "/w")
+
+
+def test_range_partitions_follow_the_input(spark):
+    from fabsight import session
+    assert session.partitions_for(2 * 10**12) == pytest.approx(2 * session.partitions_for(10**12), abs=1)
+    small = spark.range(100)
+    assert session.range_partitions(small) == session.shuffle_partitions(spark)
+    assert session.range_partitions(spark.createDataFrame([(1,)], "a int")) == session.shuffle_partitions(spark)
+
+
+def test_carry_over_many_blocks(spark, monkeypatch):
+    from fabsight.plans import series
+    monkeypatch.setattr(series, "BLOCK_PIECES", 3)
+    rows = [("a", i, float((i * 7919) % 13)) for i in range(200)] + [("b", i, 1.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, p long, x double")
+    got = {(r.k, r.p): r.y for r in series.ewma(df, ["k"], "p", "x", 0.2, "y", size=4).collect()}
+    for key in "ab":
+        y = None
+        for k, p, x in rows:
+            if k == key:
+                y = x if y is None else 0.8 * y + 0.2 * x
+                assert got[(k, p)] == pytest.approx(y)
+
+
+def test_passages_of_different_length(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "xone two threex"), (3, "two three"), (4, None)], "doc_id long, text string")
+    passages = spark.createDataFrame([(10, "one two three"), (11, "two three four five six"), (12, "not in here at all")], "item_id long, text string")
+    assert sorted(map(tuple, R.passage_matches(passages, docs).collect())) == [(10, 1), (10, 2), (11, 1)]
+
+
+def test_tree_samples_are_the_smallest_hashes_of_all_rows(spark):
+    from fabsight.operators import detectors as D
+    rows = [("P", i * 7919 + 1, float(i)) for i in range(500)]
+    base = spark.createDataFrame(rows, "process_type string, _id long, x double")
+    one, many = ({(r.tree, r["_id"]) for r in D.tree_samples(base.repartition(n), ["x"], 5, 16).collect()} for n in (1, 7))
+    assert one == many and len(one) == 80 and len({i for _, i in one}) > 40
