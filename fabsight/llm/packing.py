@@ -10,6 +10,7 @@ not depend on the input (about 21 500 pieces for 4 096).  These are put together
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -23,8 +24,11 @@ from fabsight.llm.common import durable, session, text_or_empty, uint32_bytes
 
 CAPACITY = 4096
 END_ID = 2
-#: Pieces of a text, and words, whose ids a worker remembers.
-REMEMBERED, WORD_COUNT, LONGEST = 300_000, 1_000_000, 64
+#: Words whose ids a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 1_200_000, 64
+#: The characters of plain texts, on which the vocabulary's normalisation is lower case alone, and its words there.
+PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-zß-öø-ÿ0-9]+")
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, slot long")
 
@@ -41,10 +45,10 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
 
 
 class WordIds:
-    """Token ids of texts by the tokenizers library, which sees every different word once.
+    """Token ids of texts by the tokenizers library, which sees every different word of plain texts once.
 
-    The vocabulary drops white space and its patterns never match across a space, so a text's ids are those of its pieces
-    between spaces; a piece of letters and a final comma or full stop is these two, and case does not count.
+    The vocabulary lower-cases, drops white space and ends every word with a token that says so.  Texts with characters beyond
+    the plain ones, or with what may be a special string, go to the library as they are.
     """
 
     _made: dict[str, WordIds] = {}
@@ -56,7 +60,9 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(names.values()), dtype=bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
 
     @classmethod
@@ -65,33 +71,35 @@ class WordIds:
             cls._made[vocabulary] = cls(vocabulary)
         return cls._made[vocabulary]
 
-    @staticmethod
-    def split(piece: str) -> tuple[str, ...]:
-        word, mark = (piece[:-1], piece[-1:]) if piece[-1:] in (",", ".") and piece[:-1].isalpha() else (piece, "")
-        if word.isascii() and word.isalpha():
-            word = word.lower()
-        return (word, mark) if mark else (word,)
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words: one call for all, cut where a token ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        last = np.flatnonzero(self.ends[ids]) if len(ids) else np.zeros(0, dtype=np.int64)
+        if len(last) != len(words) or (len(last) and last[-1] != len(ids) - 1):  # a word of more than one part
+            parts = [uint32_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        else:
+            raw, stops = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
+            parts = [raw[x:y] for x, y in zip(stops, stops[1:])]
+        self.words.update(zip(words, parts, strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        for cache, most in ((self.pieces, REMEMBERED), (self.words, WORD_COUNT)):
-            if len(cache) > most:
-                cache.clear()
-        pieces, words = self.pieces, self.words
-        cut = [t.split(" ") for t in texts]
-        missing = {p: self.split(p) for p in set(chain.from_iterable(cut)) if p not in pieces}
-        unknown = list({w for found in missing.values() for w in found if w not in words})
-        for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            words[w] = uint32_bytes(e.ids)
-        for p, found in missing.items():
-            pieces[p] = b"".join(map(words.__getitem__, found))
-        out = [b"".join(map(pieces.__getitem__, c)) for c in cut]
-        for cache, added in ((pieces, missing), (words, unknown)):
-            for p in added:
-                if len(p) > LONGEST:
-                    del cache[p]
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        known = self.words
+        found = [PLAIN_WORDS.findall(t.lower()) if "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
+        missing = list({w for words in found if words for w in words if w not in known})
+        if missing:
+            self._learn(missing)
+        out = [self._whole(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, found, strict=True)]
+        for w in missing:
+            if len(w) > LONGEST:
+                del known[w]
         return out
 
+    def _whole(self, text: str) -> bytes:
+        return uint32_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
 
 def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     end = uint32_bytes([end_id])
