@@ -17,7 +17,7 @@ from fabsight.llm.common import durable, session
 from fabsight.llm.vectors import comparable, matrix, packed, sample
 
 #: Vectors the codebooks are fitted on at most, centroids of a half, share of the index that a query visits.
-FIT, CENTROIDS, VISIT = 16_384, 32, 0.45
+FIT, CENTROIDS, VISIT = 16_384, 64, 0.5
 #: Index rows and queries that meet in one task.
 ROWS, QUERIES = 16_384, 4_096
 
@@ -113,7 +113,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, visit: float = VISI
     sizes = np.zeros((len(books[0]), len(books[1])), dtype=np.int64)
     for r in index.groupBy("c1", "c2").count().collect():  # at most centroids * centroids rows
         sizes[r.c1, r.c2] = r["count"]
-    wanted = visit * sizes.sum()
+    wanted = max(visit * sizes.sum(), k + 1)
     salts = np.maximum(1, -(-sizes.sum(axis=1) // ROWS)).tolist()
 
     def plan(batches):

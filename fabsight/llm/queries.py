@@ -89,7 +89,7 @@ counts AS (SELECT source, line, count(*) AS n FROM lines WHERE trim(line) <> ''
 bad AS (SELECT c.source, list(c.line) AS drops FROM counts c JOIN pages p ON c.source IS NOT DISTINCT FROM p.source
   WHERE c.n >= 5 AND c.n > CAST(0.05 AS DOUBLE) * p.pages GROUP BY c.source)
 SELECT d.doc_id, d.source, CASE WHEN b.drops IS NULL THEN d.text
-  ELSE array_to_string(list_filter(string_split(d.text, chr(10)), x -> NOT list_contains(b.drops, x)), chr(10)) END AS text
+  ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(b.drops, x)), chr(10)) END AS text
 FROM documents d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source""")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return drop_boilerplate(table(spark, folder, "documents")).select("doc_id", "source", "text")
