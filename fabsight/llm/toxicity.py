@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from fabsight.llm.common import durable, session, text_or_empty
 
 #: Bounds of the fit: labelled rows of each class, features, and the least G-squared of a feature.
-EXAMPLES, FEATURES, LEAST_G2 = 4000, 2000, 24.0
+EXAMPLES, FEATURES, LEAST_G2 = 4000, 2000, 20.0
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT, THRESHOLD = 15, 64, 0.5, 0.7
 BEGINNINGS = (4, 5, 6)
 WORD = re.compile(r"\w+")
@@ -50,6 +50,8 @@ class ExampleIndex:
     post_example: np.ndarray
     post_weight: np.ndarray
     block_max: np.ndarray  # (features, blocks)
+    votes_at: np.ndarray  # votes of examples left out, and the share of toxic rows there: the calibration
+    share_at: np.ndarray
 
     def vector(self, index, counts) -> tuple[np.ndarray, np.ndarray]:
         index = np.asarray(index, dtype=np.int64)
@@ -78,11 +80,37 @@ class ExampleIndex:
             best_e, best_c = best_e[keep], best_c[keep]
         return best_e, best_c
 
-    def score(self, examples: np.ndarray, cosines: np.ndarray) -> float:
-        """Votes weighted by closeness and by the rows an example stands for, drawn to the prior where they are few or far."""
+    def votes(self, examples: np.ndarray, cosines: np.ndarray) -> float:
+        """Share of toxic votes, weighted by closeness and by the rows an example stands for, drawn to the prior where these are few."""
         w = cosines ** 2 * self.vote[examples]
         return float((w @ self.toxic[examples] + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT))
 
+    def score(self, examples: np.ndarray, cosines: np.ndarray) -> float:
+        """Calibrated share of toxic rows at these votes; a little of the votes themselves keeps equal shares in order."""
+        if not len(examples):
+            return self.prior
+        votes = self.votes(examples, cosines)
+        return 0.98 * float(np.interp(votes, self.votes_at, self.share_at)) + 0.02 * votes if len(self.votes_at) else votes
+
+    def calibrate(self, vectors: list[tuple[list[int], list[int]]]) -> None:
+        """Monotone share of toxic rows by the votes that every example gets from the others."""
+        points = []
+        for e, (index, counts) in enumerate(vectors):
+            near, cosine = self.nearest(index, counts, NEIGHBOURS + 1)
+            other = near != e
+            near, cosine = near[other][:NEIGHBOURS], cosine[other][:NEIGHBOURS]
+            if len(near):
+                points.append((self.votes(near, cosine), self.toxic[e], self.vote[e]))
+        # neighbouring blocks are pooled until their shares rise
+        blocks: list[list[float]] = []  # rows, toxic rows, sum of rows x votes
+        for v, t, n in sorted(points):
+            blocks.append([n, n * t, n * v])
+            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+                last = blocks.pop()
+                blocks[-1] = [x + y for x, y in zip(blocks[-1], last)]
+        self.votes_at = np.array([v / n for n, _, v in blocks])
+        self.share_at = np.array([(t + PRIOR_WEIGHT * self.prior) / (n + PRIOR_WEIGHT) for n, t, _ in blocks])
+
 
 def training_rows(labels: DataFrame) -> DataFrame:
     """(doc_id, toxic): one row per labelled document that may be learned from; toxic if any of its labels says so."""
@@ -161,12 +189,12 @@ def fit(vectors: DataFrame, sample: DataFrame, marked: list[str], documents: int
     frequency = np.zeros(len(marked))
     for r in vectors.select(F.explode("index").alias("i")).groupBy("i").count().collect():
         frequency[r["i"]] = r["count"]
-    examples = vectors.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").orderBy("doc_id", "counts", "index").collect()
+    examples = vectors.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").orderBy("index", "doc_id", "counts").collect()  # like ones share blocks
     toxic = np.array([r.toxic for r in examples], dtype=np.float64)
     blocks = -(-len(examples) // BLOCK)
     index = ExampleIndex(np.log((1.0 + documents) / (1.0 + frequency)) + 1.0, np.array([r.doc_id for r in examples], dtype=np.int64), toxic,
                          np.zeros(len(examples)), 0.0, np.zeros((len(marked), blocks + 1), dtype=np.int64), None, None,
-                         np.zeros((len(marked), blocks)))
+                         np.zeros((len(marked), blocks)), np.zeros(0), np.zeros(0))
     taken = {c: max(1, int((toxic == c).sum())) for c in (0, 1)}
     index.vote = np.array([rows.get(int(c), 0) / taken[int(c)] for c in toxic])
     if rows.get(0, 0) and rows.get(1, 0):
@@ -183,6 +211,7 @@ def fit(vectors: DataFrame, sample: DataFrame, marked: list[str], documents: int
         index.post_at[:, b] = np.searchsorted(key, np.arange(len(marked)) * (blocks + 1) + b)
     if len(entries):
         np.maximum.at(index.block_max, (f, index.post_example // BLOCK), index.post_weight)
+        index.calibrate([(r["index"], r["counts"]) for r in examples])
     return index
 
 
