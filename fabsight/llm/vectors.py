@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 #: Vectors that fits are made from, the first by a hash of the id.
-SAMPLE = 131_072
+SAMPLE = 65_536
 
 
 def comparable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
