@@ -167,7 +167,7 @@ def pick_answer_rep(rows: DataFrame) -> DataFrame:
 
 def stratified_round_robin(cases: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` cases taking categories in turn: at most ``n`` per category enter the final order."""
-    h = F.xxhash64(F.lit(seed), F.col("id"))
+    h = F.md5(F.concat_ws(":", F.lit(seed), "id"))  # any engine can order by it
     rn = F.row_number().over(W.partitionBy("category").orderBy(h, F.asc("id")))
     return cases.withColumn("turn", rn).where(F.col("turn") <= n).orderBy("turn", "category").limit(n)
 

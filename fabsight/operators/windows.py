@@ -129,6 +129,6 @@ def dense(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
 
 def sample_per_group(df: DataFrame, keys: Sequence[str], ident: str, n: int, seed: int = 0) -> DataFrame:
     """At most ``n`` pseudo-random rows per group, the same ones every time."""
-    h = F.xxhash64(F.lit(seed), F.col(ident))
+    h = F.md5(F.concat_ws(":", F.lit(seed), ident))  # any engine can order by it
     rn = F.row_number().over(W.partitionBy(*keys).orderBy(h, F.col(ident)))
     return df.withColumn("_rn", rn).where(F.col("_rn") <= n).drop("_rn")

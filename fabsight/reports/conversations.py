@@ -365,7 +365,8 @@ def classification_confusion(v):
     return C.classification_confusion(rows.withColumn("label", F.col("label").cast("long")), "label", "predicted")
 
 
-@query("stratified_round_robin")
+@query("stratified_round_robin", """SELECT id, category, turn FROM (SELECT doc_id AS id, lang AS category,
+row_number() OVER (PARTITION BY lang ORDER BY md5('0:' || doc_id), doc_id) AS turn FROM documents) x WHERE turn <= 40 ORDER BY turn, category LIMIT 40""")
 def stratified_round_robin(v):
     cases = v.table("documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"))
     return C.stratified_round_robin(cases, 40).select("id", "category", "turn")

@@ -195,7 +195,8 @@ def step_run_ewma(v):
     return S.step_run_ewma(rows, "raw").select("equipment_id", "win", F.round("ewma", 8).alias("ewma"), "judged")
 
 
-@query("sample_per_group")
+@query("sample_per_group", """SELECT equipment_id, log_id FROM (SELECT equipment_id, log_id,
+row_number() OVER (PARTITION BY equipment_id ORDER BY md5('0:' || log_id), log_id) AS rn FROM telemetry) x WHERE rn <= 100""")
 def sample_per_group(v):
     return Wn.sample_per_group(v.telemetry, ["equipment_id"], "log_id", 100).select("equipment_id", "log_id")
 
