@@ -133,7 +133,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, visit: float = VISI
     asked = packed(comparable(queries, id_col, vec_col).where("id IS NOT NULL")).where(F.length("v") == size * 8).dropDuplicates(["id", "v"])
     chunks = durable(asked)
     parts = max(1, -(-chunks.count() // QUERIES))
-    lists = chunks.mapInArrow(plan, "id long, v binary, c1 int, salt int, cells array<int>")
+    # the walk is work for every query: spread, however small the table
+    lists = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").mapInArrow(plan, "id long, v binary, c1 int, salt int, cells array<int>")
     lists = lists.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     # a long list is dealt in blocks, and meets its queries in chunks
     salted = F.element_at(F.array(*[F.lit(s) for s in salts]), F.col("c1") + 1)
