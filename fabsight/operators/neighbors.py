@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-BLOCK_BYTES = 64 << 20
-
+from fabsight.plans.blocks import block_pairs
 
-def block_pairs(left: DataFrame, right: DataFrame, ident: str, vector: str, left_extra: Sequence[str] = (), right_extra: Sequence[str] = ()):
-    """Both tables dealt in hash blocks of bounded size, grouped so that every pair of blocks meets once, in one task.
-
-    Comparing everything with everything is quadratic; a task holds two blocks, no pair of rows is ever shuffled and
-    nothing passes through the driver.
-    """
-    cores = left.sparkSession.sparkContext.defaultParallelism
+BLOCK_BYTES = 64 << 20
 
-    def number(df: DataFrame) -> int:
-        """Enough blocks for their size and for all cores."""
-        size = df.agg(F.sum(8 * F.size(vector))).first()[0] or 0
-        return max(-(-size // BLOCK_BYTES), math.isqrt(cores))
 
-    n, m = number(left), number(right)
-    a = left.select(ident, vector, *left_extra, F.pmod(F.xxhash64(ident), F.lit(n)).alias("_i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("_j"))
-    b = right.select(ident, vector, *right_extra, F.pmod(F.xxhash64(ident), F.lit(m)).alias("_j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_i"))
-    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j"))
+def vector_pairs(left: DataFrame, right: DataFrame, ident: str, vector: str, extra: Sequence[str] = ()):
+    columns = [ident, vector, *extra]
+    size = 8 * F.size(vector)
+    return block_pairs(left.select(*columns), right.select(*columns), ident, ident, size, size, BLOCK_BYTES)
 
 
 def rows_of(pdf: pd.DataFrame, vector: str) -> np.ndarray:
@@ -57,7 +45,7 @@ def knn_outlier_score(queries: DataFrame, bank: DataFrame, k: int, ident: str =
             near += [r[np.isfinite(r)] for r in np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)]
         return pd.DataFrame({ident: asked[ident].to_numpy(), "d": near})
 
-    parts = block_pairs(queries, bank, ident, vector).applyInPandas(scan, f"{ident} {kind}, d array<double>")
+    parts = vector_pairs(queries, bank, ident, vector).applyInPandas(scan, f"{ident} {kind}, d array<double>")
     # k numbers per block and query
     merged = parts.groupBy(ident).agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
     return merged.select(ident, (F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / F.size("d")).alias("score"))
@@ -87,7 +75,7 @@ def silhouette(df: DataFrame, label: str, ident: str = "vec_id", vector: str = "
                 out += [pd.DataFrame({ident: part[ident], label: part[label], "other": n, "s": total[:, i]}) for i, n in enumerate(labels)]
         return pd.concat(out)
 
-    sums = block_pairs(df, df, ident, vector, [label], [label]).applyInPandas(scan, f"{ident} {kind}, {label} {lab}, other {lab}, s double")
+    sums = vector_pairs(df, df, ident, vector, [label]).applyInPandas(scan, f"{ident} {kind}, {label} {lab}, other {lab}, s double")
     sizes = df.groupBy(F.col(label).alias("other")).agg(F.count(F.lit(1)).alias("n"))
     per = sums.groupBy(ident, label, "other").agg(F.sum("s").alias("s")).join(sizes, "other")
     own = F.col("other") == F.col(label)

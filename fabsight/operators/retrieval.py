@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fabsight import constants as K
 from fabsight.functions.text import let, mentions_codes, normalize_text, strip, tokenize_bigram, tokenize_whitespace
 from fabsight.functions.vectors import minmax
+from fabsight.plans.blocks import block_pairs
 from fabsight.session import durable, spread
 from fabsight.sources.tables import purge_except, replace_partition
 
@@ -100,7 +101,8 @@ def term_statistics(chunks: DataFrame, tokenizer: str = "whitespace", content: s
     return raw.select("term", "df", F.when(F.col("_idf") < 0, floor).otherwise(F.col("_idf")).alias("idf"))
 
 
-LEXICAL_BLOCK = 256
+#: Query terms, and bytes of chunk tokens, that a task holds.
+LEXICAL_TERMS, TOKEN_BYTES = 8192, 64 << 20
 
 
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, tokenizer: str = "whitespace", query: str = "query",
@@ -108,60 +110,58 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, tokenizer: str =
     """Top ``k`` chunks with positive score for every row of ``queries`` (query_id, query).
 
     Postings are not joined with the queries, which would shuffle a row per query, term and chunk and put a
-    common term into one task.  The idf table is aggregated once; then each task scores its own chunks
-    against a block of queries as a matrix product and keeps the best ``k`` per query.
+    common term into one task.  The idf table is aggregated once; then blocks of queries meet blocks of chunks, a task scores
+    them as a matrix product over the terms of its queries and keeps the best ``k`` per query.
     """
     terms = durable(term_statistics(spread(chunks), tokenizer, content))
-    avgdl = chunks.agg(F.avg(F.size(TOKENIZERS[tokenizer](F.col(content)))).alias("a")).first()["a"] or 1.0
+    tokens = durable(spread(chunks).select("chunk_id", TOKENIZERS[tokenizer](F.col(content)).alias("_t")))
+    avgdl = float(tokens.agg(F.avg(F.size("_t")).alias("a")).first()["a"] or 1.0)
     wanted = queries.select("query_id", F.explode(TOKENIZERS[tokenizer](F.col(query))).alias("term")).groupBy("query_id", "term").agg(
         F.count(F.lit(1)).alias("qtf"))
-    weighted = wanted.join(terms.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    parts = -(-queries.count() // LEXICAL_BLOCK)
-    parts = 2 * parts if parts > 1 else 1
-    weighted = durable(weighted) if parts > 1 else weighted
-    results = None
-    for i in range(parts):
-        block = weighted if parts == 1 else weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        got = _lexical_block(block, chunks, k, float(avgdl), tokenizer, content)
-        results = got if results is None else results.unionByName(got)
-    return topk(results, k).where(F.col("score") > 0)
+    weighted = durable(wanted.join(terms.select("term", "idf"), "term").groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("w")))).alias("_w")).select(
+        "query_id", F.col("_w")["term"].alias("terms"), F.col("_w")["w"].alias("weights")))
+    kinds = weighted.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
 
+    def scan(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        best = _Best(k)
+        if len(asked) and len(stored):
+            _lexical_scores(asked, stored, avgdl, best)
+        ids = asked["query_id"].to_numpy()
+        return _found(((ids[i], n, s) for i, (s, n) in best.items()), ["query_id", "chunk_id", "score"])
+
+    # a row's share of a block: its terms against LEXICAL_TERMS, its tokens against TOKEN_BYTES
+    pairs = block_pairs(weighted, tokens, "query_id", "chunk_id", F.size("terms") / LEXICAL_TERMS, 16 * F.size("_t") / TOKEN_BYTES, 1)
+    results = pairs.applyInPandas(scan, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+    return topk(results, k).where(F.col("score") > 0)
 
-def _lexical_block(block: DataFrame, chunks: DataFrame, k: int, avgdl: float, tokenizer: str, content: str) -> DataFrame:
-    rows = block.collect()  # distinct terms of at most a few hundred queries
-    ids = sorted({r["query_id"] for r in rows})
-    vocab = pd.Index(sorted({r["term"] for r in rows}), dtype=object)
-    at = {q: i for i, q in enumerate(ids)}
-    spot = {t: i for i, t in enumerate(vocab)}
-    weight = np.zeros((len(vocab), len(ids)))
-    for r in rows:
-        weight[spot[r["term"]], at[r["query_id"]]] = r["w"]
-    id_type = block.schema["query_id"].dataType.simpleString()
-    chunk_type = chunks.schema["chunk_id"].dataType.simpleString()
 
-    def scan(batches):
-        best = _Best(k)
-        for pdf in batches:
-            for start in range(0, len(pdf), 1024):
-                part = pdf.iloc[start:start + 1024]
-                lists = part["_t"].to_numpy()
-                sizes = np.array([len(t) for t in lists])
-                if not len(ids) or not sizes.sum():
-                    continue
-                col = vocab.get_indexer(np.concatenate(lists))
-                row = np.repeat(np.arange(len(part)), sizes)
-                keep = col >= 0
-                tf = np.bincount(row[keep] * len(vocab) + col[keep], minlength=len(part) * len(vocab)).reshape(len(part), len(vocab)).astype(float)
-                tf = tf * (K.BM25_K1 + 1) / (tf + (K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * sizes / avgdl))[:, None])
-                scores, names = (tf @ weight).T, part["chunk_id"].to_numpy()
-                for i in range(len(ids)):
-                    hit = np.flatnonzero(scores[i] > 0)
-                    best.add(i, scores[i, hit], names[hit])
-        for i, (s, n) in best.items():
-            yield pd.DataFrame({"query_id": [ids[i]] * len(s), "chunk_id": n, "score": s})
-
-    return spread(chunks).select("chunk_id", TOKENIZERS[tokenizer](F.col(content)).alias("_t")).mapInPandas(
-        scan, f"query_id {id_type}, chunk_id {chunk_type}, score double")
+def _found(rows, names: Sequence[str]) -> pd.DataFrame:
+    """One frame of (key ..., chunk ids, scores) results; the single values repeat along the arrays."""
+    frames = [pd.DataFrame(dict(zip(names, r))) for r in rows]
+    return pd.concat(frames) if frames else pd.DataFrame({n: [] for n in names}, dtype=object)
+
+
+def _lexical_scores(asked: pd.DataFrame, stored: pd.DataFrame, avgdl: float, best: _Best) -> None:
+    lengths = [len(t) for t in asked["terms"]]
+    spot, vocab = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in asked["terms"]]))
+    vocab = pd.Index(vocab, dtype=object)
+    weight = np.zeros((len(vocab), len(asked)))
+    weight[spot, np.repeat(np.arange(len(asked)), lengths)] = np.concatenate(asked["weights"].to_numpy())
+    for start in range(0, len(stored), 256):
+        part = stored.iloc[start:start + 256]
+        sizes = np.array([len(t) for t in part["_t"]])
+        if not sizes.sum():
+            continue
+        col = vocab.get_indexer(np.concatenate([np.asarray(t, dtype=object) for t in part["_t"]]))
+        row = np.repeat(np.arange(len(part)), sizes)
+        keep = col >= 0
+        tf = np.bincount(row[keep] * len(vocab) + col[keep], minlength=len(part) * len(vocab)).reshape(len(part), len(vocab)).astype(float)
+        tf = tf * (K.BM25_K1 + 1) / (tf + (K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * sizes / avgdl))[:, None])
+        scores, names = (tf @ weight).T, part["chunk_id"].to_numpy()
+        for i in range(len(asked)):
+            hit = np.flatnonzero(scores[i] > 0)
+            best.add(i, scores[i, hit], names[hit])
 
 
 class _Best:
@@ -194,61 +194,44 @@ def topk(scored: DataFrame, k: int, order: Sequence[Column] | None = None) -> Da
 
 # ---- vectors -----------------------------------------------------------------------------------
 
-QUERY_BLOCK_BYTES = 64 << 20
-
-
-def query_blocks(queries: DataFrame, dim: int):
-    """Queries in blocks whose vectors stay under a fixed size, so each block may be shipped to the tasks."""
-    per = max(1, QUERY_BLOCK_BYTES // (8 * dim))
-    n = max(1, -(-queries.count() // per))
-    parts = max(1, n if n == 1 else 2 * n)  # hash blocks vary around their mean; twice as many keeps them under the size
-    for i in range(parts):
-        yield queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+VECTOR_BYTES = 64 << 20
 
 
 def dense_search(queries: DataFrame, chunks: DataFrame, k: int, dim: int, tag: str | None = None, vector: str = "embedding") -> DataFrame:
-    """Exact cosine top ``k`` per query in one scan of the chunks per block of queries.
+    """Exact cosine top ``k`` per query; blocks of queries meet blocks of chunks.
 
-    A task multiplies its batches with the block's query matrix and keeps only the best ``k`` per query; the
-    final cut is over those few rows.  With ``tag``, chunks of the query's tag count, and a query for which
-    no chunk has the tag falls back to all chunks; both lists come from the same scan.
+    A task multiplies its two blocks and keeps only the best ``k`` per query; the final cut is over those few rows.  With
+    ``tag``, chunks of the query's tag count, and a query for which no chunk has the tag falls back to all chunks; both lists
+    come from the same product.
     """
-    results = None
-    for block in query_blocks(queries, dim):
-        got = _dense_block(block, chunks, k, tag, vector)
-        results = got if results is None else results.unionByName(got)
-    best = topk(results, k, [F.asc("_free"), F.desc(F.round("score", TIE_PLACES)), F.asc("chunk_id")])
-    first = W.partitionBy("query_id")  # at most k rows
-    return best.withColumn("_m", F.min("_free").over(first)).where(F.col("_free") == F.col("_m")).drop("_free", "_m")
-
+    tags = [F.col(tag).alias("tag")] if tag else []
+    asking = queries.select("query_id", F.col(vector).alias("v"), *tags)
+    stored = chunks.select("chunk_id", F.col(vector).alias("v"), *tags)
+    kinds = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
 
-def _dense_block(block: DataFrame, chunks: DataFrame, k: int, tag: str | None, vector: str) -> DataFrame:
-    rows = block.select("query_id", F.col(vector).alias("v"), *([tag] if tag else [])).collect()  # bounded by query_blocks
-    ids = [r["query_id"] for r in rows]
-    q = np.array([r["v"] for r in rows], float).reshape(len(rows), -1)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    tags = np.array([r[tag] for r in rows], object) if tag else None
-    want = block.schema["query_id"].dataType.simpleString()
-    have = chunks.schema["chunk_id"].dataType.simpleString()
+    def units(pdf: pd.DataFrame) -> np.ndarray:
+        x = np.stack(pdf["v"].to_numpy()).astype(float)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-    def scan(batches):
+    def scan(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         best = _Best(k)
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.stack(pdf["v"].to_numpy()).astype(float)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            sims, names = q @ x.T, pdf["chunk_id"].to_numpy()
-            for i in range(len(ids)):
-                best.add((i, 1), sims[i], names)
-                if tags is not None and tags[i] is not None:
-                    mine = np.flatnonzero(pdf["tag"].to_numpy() == tags[i])
-                    best.add((i, 0), sims[i, mine], names[mine])
-        for (i, free), (s, n) in best.items():
-            yield pd.DataFrame({"query_id": [ids[i]] * len(s), "chunk_id": n, "score": s, "_free": free})
-
-    cols = ["chunk_id", F.col(vector).alias("v"), *([F.col(tag).alias("tag")] if tag else [])]
-    return chunks.select(*cols).mapInPandas(scan, f"query_id {want}, chunk_id {have}, score double, _free int")
+        ids = asked["query_id"].to_numpy()
+        if len(asked) and len(found):
+            x, names = units(found).T, found["chunk_id"].to_numpy()
+            for start in range(0, len(asked), 256):
+                part = asked.iloc[start:start + 256]
+                for i, sims in enumerate(units(part) @ x, start):
+                    best.add((i, 1), sims, names)
+                    if tag and asked["tag"].iat[i] is not None:
+                        mine = np.flatnonzero(found["tag"].to_numpy() == asked["tag"].iat[i])
+                        best.add((i, 0), sims[mine], names[mine])
+        return _found(((ids[i], n, s, free) for (i, free), (s, n) in best.items()), ["query_id", "chunk_id", "score", "_free"])
+
+    pairs = block_pairs(asking, stored, "query_id", "chunk_id", F.lit(8 * dim), F.lit(8 * dim), VECTOR_BYTES)
+    results = pairs.applyInPandas(scan, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double, _free int")
+    best = topk(results, k, [F.asc("_free"), F.desc(F.round("score", TIE_PLACES)), F.asc("chunk_id")])
+    first = W.partitionBy("query_id")  # at most k rows
+    return best.withColumn("_m", F.min("_free").over(first)).where(F.col("_free") == F.col("_m")).drop("_free", "_m")
 
 
 def min_score_filter(hits: DataFrame, least: float = K.MIN_SCORE) -> DataFrame:

@@ -133,7 +133,7 @@ def test_bm25_in_query_blocks(spark, monkeypatch):
     chunks = spark.createDataFrame([(f"c{i}", f"common word{i % 7} common err-{i}") for i in range(60)], "chunk_id string, content string")
     queries = spark.createDataFrame([(1, "common err-5"), (2, "absent")], "query_id long, query string")
     plain = sorted(map(str, R.bm25_search(queries, chunks, 5).collect()))
-    monkeypatch.setattr(R, "LEXICAL_BLOCK", 1)
+    monkeypatch.setattr(R, "LEXICAL_TERMS", 1)
     assert sorted(map(str, R.bm25_search(queries, chunks, 5).collect())) == plain
     assert "c5" in plain[0] + plain[1] + plain[2] + plain[3] + plain[4] and not any("query_id=2" in p for p in plain)
 
@@ -144,7 +144,7 @@ def test_dense_blocks_and_fallback(spark, monkeypatch):
     def run():
         return {(r["query_id"], r["rank"]): (r["chunk_id"], pytest.approx(r["score"], rel=1e-12)) for r in R.dense_search(q, chunks, 3, 2, "tag").collect()}
     whole = run()
-    monkeypatch.setattr(R, "QUERY_BLOCK_BYTES", 64)
+    monkeypatch.setattr(R, "VECTOR_BYTES", 64)
     blocks = run()
     assert len(whole) == 60 and {k: (c, s.expected) for k, (c, s) in blocks.items()} == whole
 
