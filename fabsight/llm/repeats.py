@@ -128,6 +128,31 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
             .withColumns({"k1": F.xxhash64("text"), "k2": F.crc32(text) + F.shiftleft(F.octet_length("text").cast("long"), 32)}))
 
 
+def _squeezed(df: DataFrame, name: str = "text") -> DataFrame:
+    """``df`` with the texts of a column compressed, for a shuffle."""
+    from pyspark.sql import types as T
+
+    names = df.columns
+    place = names.index(name)
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            texts = pa.array([None if t is None else pack(t.encode()) for t in b.column(place).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([texts if i == place else c for i, c in enumerate(b.columns)], names=names)
+
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == name else f for f in df.schema.fields])
+    return df.mapInArrow(squeeze, schema)
+
+
+def _unsqueeze():
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress
+
+
 def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode(), dtype=np.uint8)
 
@@ -153,14 +178,15 @@ def _anchor_table(texts: DataFrame, least: int) -> DataFrame:
 
 def _context_rows(wanted: DataFrame, least: int) -> DataFrame:
     """(h, k1, k2, at, left, right, before, behind) for every wanted anchor of (text, k1, k2, hs); equal contexts of one text,
-    as in a run of one character, come as one row, and as spans (h null, at and behind the ends) for each."""
+    as in a run of one character, come as one row, and as spans (left null, at and behind the ends) for each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _unsqueeze()
         for b in batches:
             for s in range(0, b.num_rows, 50):
                 part, out = b.slice(s, 50), [[] for _ in range(8)]
                 for text, k1, k2, hs in zip(*(c.to_pylist() for c in part.columns)):
-                    raw = _bytes(text)
+                    raw = np.frombuffer(unpack(text), dtype=np.uint8)
                     at, h = anchors(raw, least)
                     at = at[np.isin(h.view(np.int64), np.array(hs, dtype=np.int64))]
                     for block in np.split(at, range(2000, len(at), 2000)):
@@ -175,7 +201,7 @@ def _context_rows(wanted: DataFrame, least: int) -> DataFrame:
                             i = same[0]
                             rows.append((int(hashes[i]), k1, k2, int(block[i]), before_it, from_it, int(before[i]), int(behind[i])))
                             if len(same) > 1 and before[i] + behind[i] >= least:
-                                rows += [(None, k1, k2, int(block[i] - before[i]), None, None, 0, int(block[i] + behind[i])) for i in same]
+                                rows += [(k1, k1, k2, int(block[i] - before[i]), None, None, 0, int(block[i] + behind[i])) for i in same]
                         for c, values in zip(out, zip(*rows)):
                             c += values
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
@@ -211,12 +237,12 @@ def _repeats_of(rows: DataFrame, least: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         n = 0
         for b in batches:
-            spans = b.filter(pa.array(b.column(0).is_null()))
+            spans = b.filter(b.column(4).is_null())
             if spans.num_rows:
                 none = pa.nulls(spans.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, spans.column(1), spans.column(2), spans.column(3), spans.column(7)],
                                                  names=["repeat", "length", "k1", "k2", "start", "end"])
-            b = b.filter(pa.array(b.column(0).is_valid()))
+            b = b.filter(b.column(4).is_valid())
             if not b.num_rows:
                 continue
             h = b.column(0).to_numpy()
@@ -246,9 +272,10 @@ def _counted_strings(wanted: DataFrame, least: int) -> DataFrame:
     bytes with such an anchor is counted by 128 bits of its hash, combined before the shuffle."""
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _unsqueeze()
         for b in batches:
             for text, k1, k2, hs in zip(*(c.to_pylist() for c in b.columns)):
-                raw = text.encode()
+                raw = unpack(text)
                 at, h = anchors(np.frombuffer(raw, dtype=np.uint8), least)
                 at = at[np.isin(h.view(np.int64), np.array(hs, dtype=np.int64))]
                 near = (at[:, None] - np.arange(least - GRAM + 1)).ravel()
@@ -281,7 +308,7 @@ def maximal_repeats(texts: DataFrame, least: int = LEAST) -> DataFrame:
     def wanted(hot: bool) -> DataFrame:
         hs = anchors_of.where(F.col("hot") == hot).groupBy("k1").agg(F.collect_set("h").alias("hs"))
         one = reps.join(hs, "k1").select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "rep", "hs")
-        return texts.join(one, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+        return _squeezed(texts.select("doc_id", "text", "k1", "k2")).join(one, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
 
     out = _repeats_of(_context_rows(wanted(False), least), least)
     if repeated.where("hot").limit(1).count():
@@ -308,11 +335,11 @@ def _spans(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     return per_text.withColumnsRenamed({"k1": "s1", "k2": "s2"}), copied.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"))
 
 
-def _with_spans(texts: DataFrame, least: int) -> DataFrame:
-    """The rows of ``texts`` with ``spans`` (null: none) of bytes to remove; a text with copies is one whole span."""
+def _with_spans(rows: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """``rows`` (k1, k2 and others) with ``spans`` (null: none) of bytes to remove; a text with copies is one whole span."""
     spans, copied = _spans(texts, least)
-    marked = texts.join(copied, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
+    marked = rows.join(copied, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.shiftright("k2", 32).alias("end")))
     return (marked.join(spans, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left")
             .withColumn("spans", F.when(F.col("c1").isNotNull(), whole).otherwise(F.col("spans"))).drop("c1", "c2", "s1", "s2"))
 
@@ -325,13 +352,15 @@ def repeat_digests(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     itself count; ids may be null or repeated, rows are documents; other columns are ignored; no rows give no rows.
     """
     session(docs.sparkSession)
-    rows = _with_spans(keyed(docs, id_col, text_col), least)
+    texts = keyed(docs, id_col, text_col)
+    rows = _with_spans(_squeezed(texts), texts, least)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _unsqueeze()
         for b in batches:
             out = []
             for doc, text, spans in zip(*(c.to_pylist() for c in b.columns)):
-                raw = text.encode()
+                raw = unpack(text)
                 runs = merged([(s["start"], s["end"]) for s in spans or ()])
                 kept, at = hashlib.sha256(), 0
                 for s, e in runs:
@@ -354,24 +383,25 @@ def drop_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", te
     """
     session(docs.sparkSession)
     names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = _with_spans(keyed(row, "doc_id", "text", "row"), least)
-    kept = docs.schema[text_col]
+    others = [c for c in names if c != text_col]
+    row = F.struct(F.lit(1).alias("one"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("row")
+    texts = keyed(docs.select(row, F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{text_col}`").alias("old")),
+                  "doc_id", "text", "row", "old")
+    rows = _with_spans(_squeezed(texts.select("row", "old", "k1", "k2"), "old"), texts, least)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index(kept.name)
+        unpack = _unsqueeze()
         for b in batches:
-            full, spans = b.column(0), b.column(1).to_pylist()
-            old = full.field(at).to_pylist()
-            new = pa.array([t if not s or t is None else without(t, s) for t, s in zip(old, spans)], pa.string())
-            yield pa.RecordBatch.from_arrays([new if i == at else full.field(i) for i in range(len(names))], names=names)
+            row = b.column(0)
+            new = pa.array([None if z is None else without(unpack(z), s or ()) for z, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays([new if c == text_col else row.field(1 + others.index(c)) for c in names], names=names)
 
-    return rows.select("row", "spans").mapInArrow(cut, docs.schema)
+    return rows.select("row", "old", "spans").mapInArrow(cut, docs.schema)
 
 
-def without(text: str, spans: list[dict]) -> str:
-    """The text without the spans of bytes, each drawn in to whole characters."""
-    raw, at, out = text.encode(), 0, []
+def without(raw: bytes, spans: list[dict]) -> str:
+    """The text of the bytes without the spans, each drawn in to whole characters."""
+    at, out = 0, []
     starts = lambda i: i >= len(raw) or raw[i] & 0xC0 != 0x80
     for s, e in merged([(x["start"], x["end"]) for x in spans]):
         while not starts(s):
