@@ -137,17 +137,18 @@ def links(values: DataFrame, radius: int) -> DataFrame:
         held, parts = None, []
         for batch in batches:
             mask, key, fp = (c.to_numpy() for c in batch.columns)
-            edges = np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1
-            for rows in np.split(np.arange(len(fp)), edges):
-                if len(rows) == 0:
-                    continue
-                now = (int(mask[rows[0]]), int(key[rows[0]]))
-                if held is not None and now != held:
+            if not len(fp):
+                continue
+            starts = np.concatenate([[0], np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1])
+            ends = np.append(starts[1:], len(fp))
+            # the first run may go on with what is held, the last may go on in the next batch; runs of one row hold no pair
+            for i in [0, *(np.flatnonzero(ends[1:-1] - starts[1:-1] > 1) + 1).tolist(), *([len(starts) - 1] if len(starts) > 1 else [])]:
+                now = (int(mask[starts[i]]), int(key[starts[i]]))
+                if now != held:
                     if sum(map(len, parts)) > 1 and (out := found(held[0], parts)) is not None:
                         yield out
-                    parts = []
-                held = now
-                parts.append(fp[rows])
+                    held, parts = now, []
+                parts.append(fp[starts[i]:ends[i]])
         if sum(map(len, parts)) > 1 and (out := found(held[0], parts)) is not None:
             yield out
 
