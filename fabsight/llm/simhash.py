@@ -12,32 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fabsight.llm.common import durable, session, text_or_empty
 from fabsight.llm.components import connected
+from fabsight.llm.similar import SEED, SIMILARITY, dissimilar, rows_of, shingle_hashes
 
 BITS = 64
-SEED = 42
 #: Fingerprints of one bucket that are compared with each other directly; larger buckets are covered again.
 BUCKET = 2048
 
 
 def fingerprint(text: str, words: int) -> int:
     """Majority bits of the shingles' 64-bit hashes; 0 for a text without words."""
-    from xxhash import xxh64_intdigest as digest
-
-    found = text.encode().lower().split()  # ASCII only: A-Z, and the white space of the contract
-    if not found:
-        return 0
-    joined = b" ".join(found)
-    if len(found) <= words:
-        return digest(joined, SEED)
-    lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    starts = np.zeros(len(found), dtype=np.int64)
-    np.cumsum(lengths[:-1] + 1, out=starts[1:])
-    ends = (starts + lengths)[words - 1:].tolist()
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends)), dtype="<u8", count=len(ends))
+    hashes = shingle_hashes(text, words)
     set_in = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at:at + 65536]
@@ -173,15 +161,13 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str
     return marked.join(named, "fp").select("doc_id", "key", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the one with the smallest id stays, with all its columns.
+def keep_one(docs: DataFrame, words: int, radius: int, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without the near copies that the fingerprints find, with all columns.
 
-    Cases as in ``simhash_groups``; of repeated rows one stays; null ids come last.
+    Groups as in ``simhash_groups`` are candidates only: a row goes if a row that stays has a shingle Jaccard of ``similarity`` or
+    more with it.  Texts without words are copies of each other; of repeated rows one stays; null ids come last.
     """
-    groups = simhash_groups(docs, words, radius, id_col, text_col)
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("m")).select("m.doc_id", "m.key")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                      F.xxhash64(text_or_empty(text_col)).alias("key"))
-    kept = row.alias("r").join(first.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.key") == F.col("f.key")))
-    nth = Window.partitionBy("r.doc_id", "r.key").orderBy("r.key")
-    return kept.withColumn("nth", F.row_number().over(nth)).where("nth = 1").select(*[F.col(f"r.row.`{c}`").alias(c) for c in docs.columns])
+    groups = simhash_groups(docs, words, radius, id_col, text_col).select("doc_id", "key", F.col("component_id").alias("component"))
+    # no group has a null id but one of null ids only, which holds texts of different groups
+    groups = durable(groups.withColumn("component", F.coalesce("component", "key")))
+    return rows_of(docs, dissimilar(docs, groups, words, similarity, id_col, text_col), id_col, text_col)

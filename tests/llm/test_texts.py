@@ -279,6 +279,33 @@ def test_keep_one(spark):
     assert keep_one(docs.limit(0), 5, 3).count() == 0
 
 
+def planted_copies(seed, groups=40, lengths=(60, 400)):
+    """Texts with copies of which from 0.3 % to 6 % of the words are replaced: similarities from below 0.6 to 1, chains too."""
+    draw = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.randint(*lengths))]
+        for k in range(6):
+            new = list(words)
+            for at in draw.sample(range(len(new)), max(1, round(len(new) * draw.uniform(0.003, 0.06)))):
+                new[at] = f"x{draw.randrange(5000)}"
+            rows.append((draw.randrange(10 ** 6), " ".join(new)))
+            words = new if k % 2 else words
+    return rows
+
+
+def test_keep_one_looks_at_shingles(spark):
+    """Fingerprints within the radius are no reason to drop a text that is not similar."""
+    rows = planted_copies(12, groups=30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in keep_one(docs, 5, 12).collect()}
+    sets = {t: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows}
+    gone = [t for i, t in rows if i not in kept]
+    assert gone
+    for t in gone:
+        assert any(len(sets[t] & sets[k]) >= 0.8 * len(sets[t] | sets[k]) for k in kept.values())
+
+
 # toxicity
 
 def test_nearest_equals_brute_force(spark, sf):
