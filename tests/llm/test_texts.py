@@ -12,9 +12,10 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fabsight.llm import chat, toxicity
+from fabsight.llm import chat, similar, toxicity
 from fabsight.llm.bpe import SpeculativeBpe, digests, encode_documents
 from fabsight.llm.lines import drop_boilerplate
+from fabsight.llm.minhash import drop_near_copies
 from fabsight.llm.packing import cuts, harmonic_pack
 from fabsight.llm.repeats import drop_repeats, merged, repeat_digests
 from fabsight.llm.simhash import covering_masks, fingerprint, keep_one, local_links, simhash_groups
@@ -279,6 +280,17 @@ def test_keep_one(spark):
     assert keep_one(docs.limit(0), 5, 3).count() == 0
 
 
+def plain_staying(docs, words=5, similarity=0.8):
+    """(id, text) that stay: by id, unless similar to one that stays; every pair is compared."""
+    stay = []
+    for _, i, text in sorted({(i is None, i or 0, t or "") for i, t in docs}):
+        found = text.encode().lower().split()
+        own = {tuple(found[k:k + words]) for k in range(max(1, len(found) - words + 1))} if found else set()
+        if all(len(own & s) < similarity * len(own | s) - 1e-9 if own or s else False for *_, s in stay):
+            stay.append((i, text, own))
+    return sorted((i, t) for i, t, _ in stay)
+
+
 def planted_copies(seed, groups=40, lengths=(60, 400)):
     """Texts with copies of which from 0.3 % to 6 % of the words are replaced: similarities from below 0.6 to 1, chains too."""
     draw = random.Random(seed)
@@ -294,6 +306,26 @@ def planted_copies(seed, groups=40, lengths=(60, 400)):
     return rows
 
 
+def similarities(rows):
+    """Jaccard similarities of different texts that share a shingle."""
+    sets = {t: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows}
+    return [len(a & b) / len(a | b) for n, a in enumerate(sets.values()) for b in list(sets.values())[:n] if a & b]
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_copies_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rows = planted_copies(11)
+    between = np.histogram(similarities(rows), [0.6, 0.8, 0.9, 1.0])[0]
+    assert (between > 10).all()
+    rows += [(i, t) for i, t in enumerate(ODD)] + [rows[3], (10 ** 7, rows[5][1]), (None, rows[7][1]), (None, "alone with no id")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, key long")
+    kept = drop_near_copies(docs, 5)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == plain_staying(rows)
+    assert drop_near_copies(docs.limit(0), 5).count() == 0
+
+
 def test_keep_one_looks_at_shingles(spark):
     """Fingerprints within the radius are no reason to drop a text that is not similar."""
     rows = planted_copies(12, groups=30)
@@ -306,6 +338,15 @@ def test_keep_one_looks_at_shingles(spark):
         assert any(len(sets[t] & sets[k]) >= 0.8 * len(sets[t] | sets[k]) for k in kept.values())
 
 
+def test_near_copies_of_one_dense_group(spark):
+    """A group of more than a block, of which many stay."""
+    draw = random.Random(13)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if draw.random() > 0.03 else f"x{draw.randrange(99)}" for w in words)) for i in range(1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in drop_near_copies(docs, 5).collect()) == plain_staying(rows)
+
+
 # toxicity
 
 def test_nearest_equals_brute_force(spark, sf):
