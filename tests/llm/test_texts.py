@@ -330,7 +330,7 @@ def test_keep_one_looks_at_shingles(spark):
     """Fingerprints within the radius are no reason to drop a text that is not similar."""
     rows = planted_copies(12, groups=30)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r.doc_id: r.text for r in keep_one(docs, 5, 12).collect()}
+    kept = {r.doc_id: r.text for r in keep_one(docs, 5, 6).collect()}
     sets = {t: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows}
     gone = [t for i, t in rows if i not in kept]
     assert gone
