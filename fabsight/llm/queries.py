@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fabsight.llm.bpe import digests, encode_documents
-from fabsight.llm import chat, toxicity
+from fabsight.llm import chat, runs, toxicity
 from fabsight.llm.common import table
 from fabsight.llm.forest import forest_links
+from fabsight.llm.inner_products import top_products
 from fabsight.llm.lines import drop_boilerplate
 from fabsight.llm.packing import harmonic_pack
 from fabsight.llm.multi_index import search
 from fabsight.llm.repeats import repeat_digests
+from fabsight.llm.scan import ranked_search
 from fabsight.llm.simhash import simhash_groups
 from fabsight.llm.url_rules import judge_urls
 
@@ -115,3 +117,56 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_toxicity")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op11_word_runs", r"""
+WITH poly AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+hashed AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+      lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM documents, poly),
+sized AS (SELECT *, len(words) AS n, h // 10 AS g FROM hashed),
+placed AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM sized),
+ready AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: CASE WHEN i >= a THEN words[1 + a + (i - a) % (1 + (n - a) // (3 + g % 8))] ELSE words[1 + i] END) ELSE words END AS words FROM placed),
+w AS MATERIALIZED (SELECT doc_id, n, unnest(range(n)) AS i, unnest(words) AS word FROM ready),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS isle
+  FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM m GROUP BY doc_id, q, isle HAVING count(*) + q >= greatest(6, 4 * q)),
+found AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM found),
+kept AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS text FROM w ANTI JOIN dropped d ON w.doc_id = d.doc_id AND w.i = d.i GROUP BY w.doc_id),
+runs AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    first({'start': start, 'length': length, 'period': period} ORDER BY length DESC, start, period) AS best FROM found GROUP BY doc_id)
+SELECT d.doc_id, coalesce(r.n_runs, 0) AS n_runs, r.best.start AS start, r.best.length AS length, r.best.period AS period,
+  1000 * r.best.length // r.best.period AS exponent_milli, sha256(coalesce(r.lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN runs r ON d.doc_id = r.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digests(runs.word_runs(runs.with_planted_repeats(table(spark, folder, "documents"))))
+
+
+@query("op12_automaton_search", r"""
+WITH t AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, c GROUP BY term, docs),
+s AS (SELECT q.item_id, f.doc_id, CAST(sum(w.w * (1000000000 * f.tf // (1000 * f.tf + 20 * (50 + 50 * d.n * c.docs // c.terms)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN d USING (doc_id), c GROUP BY q.item_id, f.doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(table(spark, folder, "benchmark"), table(spark, folder, "documents"))
+
+
+@query("op13_top_products", """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return top_products(rows, rows.where("vec_id % 50 = 0"), k=5)
