@@ -88,8 +88,9 @@ class Block:
         """(query, vector, score): the k best vectors of each query that score ``floor`` or more; ties to the smaller first id."""
         front, rest, norm = self.rotation.parts(queries)
         low, r, c, score = floor.astype(np.float64), *(np.zeros(0, dtype=np.int64) for _ in range(3))
-        for s in range(0, len(self.vectors), STEP):
-            part = slice(s, s + STEP)
+        s, step = 0, 4 * k
+        while s < len(self.vectors):
+            part = slice(s, s + step)
             # doubles carry 53 bits: a bound gives way by far more than its rounding
             live = np.flatnonzero(norm * self.norm[s] * (1 + 1e-9) + 1 >= low)
             if not len(live):
@@ -98,7 +99,7 @@ class Block:
             slack = 1e-9 * norm[live, None] * self.norm[None, part] + 1
             i, j = np.nonzero(bound + slack >= low[live, None])
             self.bounded, self.multiplied = self.bounded + bound.size, self.multiplied + len(i)
-            i, j = live[i], j + s
+            i, j, s, step = live[i], j + s, s + step, min(2 * step, STEP)  # short steps first, until a query has its k best to beat
             exact = products(queries, self.vectors, i, j)
             fits = exact >= floor[i]
             r, c, score = np.concatenate([r, i[fits]]), np.concatenate([c, j[fits]]), np.concatenate([score, exact[fits]])
