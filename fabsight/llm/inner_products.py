@@ -54,9 +54,9 @@ class Rotation:
     """An orthogonal change of coordinates, and where it is cut."""
 
     def __init__(self, points: np.ndarray):
-        _, spread, axes = np.linalg.svd(points.astype(np.float64), full_matrices=True)
-        energy = np.cumsum(np.concatenate([spread ** 2, np.zeros(points.shape[1] - len(spread))]))
-        self.axes = axes.T
+        # the right singular vectors of the points are those of their products; no matrix of the size of the points is made
+        _, spread, axes = np.linalg.svd(points.T.astype(np.float64) @ points)
+        self.axes, energy = axes.T, np.cumsum(spread)
         self.cut = int(min(np.searchsorted(energy, ENERGY * energy[-1]) + 1, points.shape[1]))
 
     def parts(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
