@@ -9,15 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fabsight import constants as K
-from fabsight.functions.text import let, mentions_codes, normalize_text, strip, tokenize_bigram, tokenize_whitespace
+from fabsight.functions.text import let, mentions_codes, normalize_text, strip, tokenize_whitespace
 from fabsight.functions.vectors import minmax
+from fabsight.operators.lexical import TIE_PLACES, LexicalIndex, bm25_search, topk
 from fabsight.plans.blocks import block_pairs
 from fabsight.session import durable, spread
 from fabsight.sources.tables import purge_except, replace_partition
 
-TOKENIZERS = {"whitespace": tokenize_whitespace, "bigram": tokenize_bigram}
-TIE_PLACES = 9  # scores equal to this many places are ties, ordered by chunk id
-
 
 def _cut(tokens: Column, most: int) -> Column:
     """Consecutive groups of ``most`` tokens as text, inside the row (no shuffle)."""
@@ -78,91 +76,7 @@ def ingest_corpus(existing: DataFrame, docs: DataFrame, manifest: DataFrame, max
     return purge_except(merged, manifest.select(F.col("doc_id").cast("string").alias("doc_id")))
 
 
-# ---- lexical -----------------------------------------------------------------------------------
-
-def bm25_index(chunks: DataFrame, tokenizer: str = "whitespace", content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """Postings (term, chunk_id, tf, length) and term statistics (term, df, idf).
-
-    Counting per (chunk, term) combines on the map side, since a chunk is one row.
-    """
-    tokens = chunks.select("chunk_id", TOKENIZERS[tokenizer](F.col(content)).alias("_t")).where(F.size("_t") > 0)
-    postings = tokens.select("chunk_id", F.size("_t").alias("length"), F.explode("_t").alias("term")).groupBy(
-        "chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return postings, term_statistics(chunks, tokenizer, content)
-
-
-def term_statistics(chunks: DataFrame, tokenizer: str = "whitespace", content: str = "content") -> DataFrame:
-    """Document frequency and idf per term; terms of a chunk are made distinct inside its row."""
-    n = chunks.agg(F.count(F.lit(1)).alias("n")).scalar()
-    df = chunks.select(F.explode(F.array_distinct(TOKENIZERS[tokenizer](F.col(content)))).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.agg(F.avg("_idf").alias("a")).scalar() * K.BM25_EPSILON
-    return raw.select("term", "df", F.when(F.col("_idf") < 0, floor).otherwise(F.col("_idf")).alias("idf"))
-
-
-#: Query terms, and bytes of chunk tokens, that a task holds.
-LEXICAL_TERMS, TOKEN_BYTES = 8192, 64 << 20
-
-
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, tokenizer: str = "whitespace", query: str = "query",
-                content: str = "content") -> DataFrame:
-    """Top ``k`` chunks with positive score for every row of ``queries`` (query_id, query).
-
-    Postings are not joined with the queries, which would shuffle a row per query, term and chunk and put a
-    common term into one task.  The idf table is aggregated once; then blocks of queries meet blocks of chunks, a task scores
-    them as a matrix product over the terms of its queries and keeps the best ``k`` per query.
-    """
-    terms = durable(term_statistics(spread(chunks), tokenizer, content))
-    tokens = durable(spread(chunks).select("chunk_id", TOKENIZERS[tokenizer](F.col(content)).alias("_t")))
-    avgdl = float(tokens.agg(F.avg(F.size("_t")).alias("a")).first()["a"] or 1.0)
-    wanted = queries.select("query_id", F.explode(TOKENIZERS[tokenizer](F.col(query))).alias("term")).groupBy("query_id", "term").agg(
-        F.count(F.lit(1)).alias("qtf"))
-    weighted = durable(wanted.join(terms.select("term", "idf"), "term").groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("w")))).alias("_w")).select(
-        "query_id", F.col("_w")["term"].alias("terms"), F.col("_w")["w"].alias("weights")))
-    kinds = weighted.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
-
-    def scan(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(k)
-        if len(asked) and len(stored):
-            _lexical_scores(asked, stored, avgdl, best)
-        ids = asked["query_id"].to_numpy()
-        return _found(((ids[i], n, s) for i, (s, n) in best.items()), ["query_id", "chunk_id", "score"])
-
-    # a row's share of a block: its terms against LEXICAL_TERMS, its tokens against TOKEN_BYTES
-    pairs = block_pairs(weighted, tokens, "query_id", "chunk_id", F.size("terms") / LEXICAL_TERMS, 16 * F.size("_t") / TOKEN_BYTES, 1)
-    results = pairs.applyInPandas(scan, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
-    return topk(results, k).where(F.col("score") > 0)
-
-
-def _found(rows, names: Sequence[str]) -> pd.DataFrame:
-    """One frame of (key ..., chunk ids, scores) results; the single values repeat along the arrays."""
-    frames = [pd.DataFrame(dict(zip(names, r))) for r in rows]
-    return pd.concat(frames) if frames else pd.DataFrame({n: [] for n in names}, dtype=object)
-
-
-def _lexical_scores(asked: pd.DataFrame, stored: pd.DataFrame, avgdl: float, best: _Best) -> None:
-    lengths = [len(t) for t in asked["terms"]]
-    spot, vocab = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in asked["terms"]]))
-    vocab = pd.Index(vocab, dtype=object)
-    weight = np.zeros((len(vocab), len(asked)))
-    weight[spot, np.repeat(np.arange(len(asked)), lengths)] = np.concatenate(asked["weights"].to_numpy())
-    for start in range(0, len(stored), 256):
-        part = stored.iloc[start:start + 256]
-        sizes = np.array([len(t) for t in part["_t"]])
-        if not sizes.sum():
-            continue
-        col = vocab.get_indexer(np.concatenate([np.asarray(t, dtype=object) for t in part["_t"]]))
-        row = np.repeat(np.arange(len(part)), sizes)
-        keep = col >= 0
-        tf = np.bincount(row[keep] * len(vocab) + col[keep], minlength=len(part) * len(vocab)).reshape(len(part), len(vocab)).astype(float)
-        tf = tf * (K.BM25_K1 + 1) / (tf + (K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * sizes / avgdl))[:, None])
-        scores, names = (tf @ weight).T, part["chunk_id"].to_numpy()
-        for i in range(len(asked)):
-            hit = np.flatnonzero(scores[i] > 0)
-            best.add(i, scores[i, hit], names[hit])
-
+# ---- vectors -----------------------------------------------------------------------------------
 
 class _Best:
     """Best ``k`` (score, name) per key while batches go by; ties by name."""
@@ -185,14 +99,11 @@ class _Best:
         return self.top.items()
 
 
-def topk(scored: DataFrame, k: int, order: Sequence[Column] | None = None) -> DataFrame:
-    """Best ``k`` per query, ties by chunk id; each task cuts its own groups before the shuffle."""
-    order = order or [F.desc(F.round("score", TIE_PLACES)), F.asc("chunk_id")]
-    rn = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
-    return scored.withColumn("rank", rn).where(F.col("rank") <= k)
-
+def _found(rows, names: Sequence[str]) -> pd.DataFrame:
+    """One frame of (key ..., chunk ids, scores) results; the single values repeat along the arrays."""
+    frames = [pd.DataFrame(dict(zip(names, r))) for r in rows]
+    return pd.concat(frames) if frames else pd.DataFrame({n: [] for n in names}, dtype=object)
 
-# ---- vectors -----------------------------------------------------------------------------------
 
 VECTOR_BYTES = 64 << 20
 
@@ -264,11 +175,11 @@ def explicit_code_filter(hits: DataFrame, query: str = "query", content: str = "
     return hits.where(mentions_codes(F.col(query), F.col(content)))
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = K.TOP_K, pool: int = K.RERANK_POOL, dim: int = 256,
-                  least: float = K.MIN_SCORE, alpha: float = K.FUSION_ALPHA, tokenizer: str = "whitespace") -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, k: int = K.TOP_K, pool: int = K.RERANK_POOL, dim: int = 256,
+                  least: float = K.MIN_SCORE, alpha: float = K.FUSION_ALPHA) -> DataFrame:
     """Vector and lexical candidates, threshold, fusion, explicit-code filter, cut to ``k``."""
     dense = min_score_filter(dense_search(queries.select("query_id", "embedding"), chunks, pool, dim), least)
-    sparse = bm25_search(queries, chunks, pool, tokenizer)
+    sparse = bm25_search(queries, index, pool)
     fused = convex_fuse(dense, sparse, alpha, pool).drop("rank")
     full = fused.join(chunks.select("chunk_id", "doc_id", "content"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
     return topk(explicit_code_filter(full), k).drop("query")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fabsight.functions import text as X, vectors as V
-from fabsight.operators import retrieval as R
+from fabsight.operators import lexical as L, retrieval as R
 from fabsight.registry import query
 from fabsight.views import SQL_VIEWS
 
@@ -64,6 +64,13 @@ def chunks(v):
     return v.stored("chunks", lambda: R.chunk_by_tokens(v.table("documents").select("doc_id", "text"), MAX_TOKENS))
 
 
+def lexical(v):
+    """The stored postings of the chunks."""
+    if "lexical" not in v._stored:
+        v._stored["lexical"] = L.bm25_index(chunks(v))
+    return v._stored["lexical"]
+
+
 def letters(text):
     low = F.lower(text)
     return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
@@ -138,19 +145,32 @@ def dim_check(v):
     return v.table("embeddings").agg(V.dim_violations(F.col("embedding"), 64).alias("violations"), F.count(F.lit(1)).alias("n"))
 
 
-@query("bm25_index", "SELECT term, df, round(idf, 8) AS idf FROM idfs")
+@query("bm25_index", """SELECT p.chunk_id, any_value(p.length) AS length, count(*) AS terms, md5(string_agg(p.term || ':' || p.tf, ' ' ORDER BY p.term || ':' || p.tf)) AS postings,
+CAST(sum(i.df) AS BIGINT) AS df, round(sum(i.idf), 6) AS idf,
+round(max(p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.length / (SELECT sum(tf) / count(DISTINCT chunk_id) FROM posts)))), 8) AS impact
+FROM posts p JOIN idfs i ON p.term = i.term GROUP BY 1""")
 def bm25_index(v):
-    return R.bm25_index(chunks(v))[1].withColumn("idf", F.round("idf", 8))
+    """Every posting, chunk by chunk: its terms and counts, their statistics and the largest impact."""
+    index = lexical(v)
+    hits = F.arrays_zip("slots", "tfs", "lengths", "impacts")
+    rows = index.postings.select("term", "block", F.explode(hits).alias("h")).select(
+        "term", (F.col("block") * L.BLOCK_CHUNKS + F.col("h.slots")).alias("place"), F.col("h.tfs").alias("tf"), F.col("h.lengths").alias("length"),
+        F.col("h.impacts").alias("impact")).join(index.chunks, "place").join(index.terms, "term")
+    said = F.concat_ws(":", "term", F.col("tf").cast("string"))
+    return rows.groupBy("chunk_id").agg(
+        F.max("length").alias("length"), F.count(F.lit(1)).alias("terms"),
+        F.md5(F.array_join(F.array_sort(F.collect_list(said)), " ").cast("binary")).alias("postings"),  # at most the terms of a chunk
+        F.sum("df").alias("df"), F.round(F.sum("idf"), 6).alias("idf"), F.round(F.max("impact"), 8).alias("impact"))
 
 
 @query("bm25_search", "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm25 WHERE rank <= 10 AND score > 0")
 def bm25_search(v):
-    return R.bm25_search(queries_(v), chunks(v), 10).withColumn("score", F.round("score", 6))
+    return L.bm25_search(queries_(v), lexical(v), 10).withColumn("score", F.round("score", 6))
 
 
 @query("bm25_topk", "SELECT query_id, chunk_id, rank FROM bm25 WHERE rank <= 3 AND score > 0")
 def bm25_topk(v):
-    return R.bm25_search(queries_(v), chunks(v), 3).select("query_id", "chunk_id", "rank")
+    return L.bm25_search(queries_(v), lexical(v), 3).select("query_id", "chunk_id", "rank")
 
 
 SQL_VIEWS["centroids"] = """SELECT label AS query_id, CASE WHEN label % 3 = 0 THEN label + 100 ELSE label END AS tag, list(m ORDER BY i) AS v FROM (
@@ -187,39 +207,39 @@ def min_score_filter(v):
 @query("minmax_normalize", """SELECT query_id, chunk_id, round(greatest(CASE WHEN max(score) OVER w <= min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 1e-6), 6) AS norm
 FROM bm25 WHERE rank <= 10 AND score > 0 WINDOW w AS (PARTITION BY query_id)""")
 def minmax_normalize(v):
-    return R.minmax_per_query(R.bm25_search(queries_(v), chunks(v), 10)).select("query_id", "chunk_id", F.round("norm", 6).alias("norm"))
+    return R.minmax_per_query(L.bm25_search(queries_(v), lexical(v), 10)).select("query_id", "chunk_id", F.round("norm", 6).alias("norm"))
 
 
 @query("candidate_union", "SELECT query_id, chunk_id FROM dense WHERE rank <= 10 AND score >= 0.2 UNION SELECT query_id, chunk_id FROM bm25 WHERE rank <= 10 AND score > 0")
 def candidate_union(v):
     d = R.min_score_filter(R.dense_search(queries_(v), chunk_vecs(v), 10, 26))
-    return R.convex_fuse(d, R.bm25_search(queries_(v), chunks(v), 10), 0.5, 1000).select("query_id", "chunk_id")
+    return R.convex_fuse(d, L.bm25_search(queries_(v), lexical(v), 10), 0.5, 1000).select("query_id", "chunk_id")
 
 
 @query("convex_fuse", "SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM fused WHERE rank <= 10")
 def convex_fuse(v):
     d = R.min_score_filter(R.dense_search(queries_(v), chunk_vecs(v), 10, 26))
-    return R.convex_fuse(d, R.bm25_search(queries_(v), chunks(v), 10), 0.5, 10).withColumn("score", F.round("score", 9))
+    return R.convex_fuse(d, L.bm25_search(queries_(v), lexical(v), 10), 0.5, 10).withColumn("score", F.round("score", 9))
 
 
 @query("fused_topk", "SELECT query_id, chunk_id, rank FROM fused WHERE rank <= 3")
 def fused_topk(v):
     d = R.min_score_filter(R.dense_search(queries_(v), chunk_vecs(v), 10, 26))
-    return R.convex_fuse(d, R.bm25_search(queries_(v), chunks(v), 10), 0.5, 3).select("query_id", "chunk_id", "rank")
+    return R.convex_fuse(d, L.bm25_search(queries_(v), lexical(v), 10), 0.5, 3).select("query_id", "chunk_id", "rank")
 
 
 @query("hybrid_search", """WITH f AS (SELECT query_id, chunk_id, score FROM fused WHERE rank <= 10),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f)
 SELECT r.query_id, r.chunk_id, c.doc_id, r.rank FROM r JOIN chunks c USING (chunk_id) WHERE r.rank <= 3""")
 def hybrid_search(v):
-    return R.hybrid_search(queries_(v), chunk_vecs(v), 3, 10, 26).select("query_id", "chunk_id", "doc_id", "rank")
+    return R.hybrid_search(queries_(v), chunk_vecs(v), lexical(v), 3, 10, 26).select("query_id", "chunk_id", "doc_id", "rank")
 
 
 @query("explicit_code_filter", """SELECT b.query_id, c.chunk_id FROM bm25 b JOIN chunks c USING (chunk_id) WHERE b.rank <= 10 AND b.score > 0
 AND (c.chunk_index % 3 = b.query_id % 3 OR b.query_id % 4 = 0)""")
 def explicit_code_filter(v):
     # chunk i is about alarm ERR-40(i mod 3); most queries name one code, every fourth names none
-    hits = R.bm25_search(queries_(v), chunks(v), 10).join(chunks(v).select("chunk_id", "chunk_index", "content"), "chunk_id")
+    hits = L.bm25_search(queries_(v), lexical(v), 10).join(chunks(v).select("chunk_id", "chunk_index", "content"), "chunk_id")
     content = F.concat("content", F.lit(" ERR-40"), (F.col("chunk_index") % 3).cast("string"))
     code = F.when(F.col("query_id") % 4 == 0, "status").otherwise(F.concat(F.lit("about err-40"), (F.col("query_id") % 3).cast("string"), F.lit("?")))
     return R.explicit_code_filter(hits.withColumns({"query": code, "content": content})).select("query_id", "chunk_id")
@@ -247,7 +267,7 @@ def evaluate_retrieval(v):
 
 
 def per_case(v):
-    hits = R.bm25_search(queries_(v), chunks(v), 10)
+    hits = L.bm25_search(queries_(v), lexical(v), 10)
     withdoc = hits.withColumn("doc_id", F.split("chunk_id", "#")[0].cast("long"))
     return R.retrieval_metrics(withdoc, relevant(v), 3)
 

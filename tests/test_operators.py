@@ -1,11 +1,15 @@
 """Literal cases of the relational, text, evaluation and retrieval operators."""
 
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from fabsight import constants as K
 from fabsight.functions import alarms as FA, dates as FD, text as X
-from fabsight.operators import conversations as C, evaluate as E, maintenance as M, neighbors as NB, notifications as N, retrieval as R, rules, scoring, telemetry as T
+from fabsight.operators import conversations as C, evaluate as E, lexical as L, maintenance as M, neighbors as NB, notifications as N, retrieval as R, rules, scoring, telemetry as T
 from fabsight.sources import tables as S
 
 
@@ -129,13 +133,52 @@ def test_fusion(spark):
     assert {r["norm"] for r in R.minmax_per_query(hits(spark, [("a", 2), ("b", 2)])).collect()} == {1.0}
 
 
-def test_bm25_in_query_blocks(spark, monkeypatch):
-    chunks = spark.createDataFrame([(f"c{i}", f"common word{i % 7} common err-{i}") for i in range(60)], "chunk_id string, content string")
-    queries = spark.createDataFrame([(1, "common err-5"), (2, "absent")], "query_id long, query string")
-    plain = sorted(map(str, R.bm25_search(queries, chunks, 5).collect()))
-    monkeypatch.setattr(R, "LEXICAL_TERMS", 1)
-    assert sorted(map(str, R.bm25_search(queries, chunks, 5).collect())) == plain
-    assert "c5" in plain[0] + plain[1] + plain[2] + plain[3] + plain[4] and not any("query_id=2" in p for p in plain)
+def plain_bm25(queries, chunks, k):
+    counts = {c: Counter(t.split()) for c, t in chunks if t.split()}
+    mean = sum(sum(c.values()) for c in counts.values()) / len(counts)
+    df = Counter(t for c in counts.values() for t in c)
+    idf = {t: math.log(len(chunks) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    floor = 0.25 * sum(idf.values()) / len(idf)
+    out = {}
+    for q, text in queries:
+        score = {c: sum(n * (floor if idf[t] < 0 else idf[t]) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * sum(tf.values()) / mean))
+                        for t, n in Counter(text.split()).items() if tf[t]) for c, tf in counts.items()}
+        best = sorted((-round(s, 9), c) for c, s in score.items() if s > 0)[:k]
+        out.update({(q, rank): (c, pytest.approx(-s, abs=2e-9)) for rank, (s, c) in enumerate(best, 1)})
+    return out
+
+
+@pytest.mark.parametrize("block", [64, 4])
+def test_bm25_skips_blocks_and_finds_the_same(spark, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(L, "BLOCK_CHUNKS", block)
+    monkeypatch.setattr(L, "BLOCKS", 3)
+    monkeypatch.setattr(L, "QUERIES", 4)
+    monkeypatch.setattr(L, "SPAN", 5)
+    draw = random.Random(8)
+    # four subjects with words of their own, and a term that every chunk has
+    texts = [" ".join(["every"] * draw.randint(1, 3) + [f"w{i % 4}x{draw.randint(0, 25)}" for _ in range(draw.randint(3, 20))]) for i in range(400)]
+    chunks = [(f"c{i}", t) for i, t in enumerate([*texts, *texts[:9], "", "every " * 500, "one"])]
+    queries = [(i, " ".join(draw.choices(texts[i].split(), k=6))) for i in range(11)] + [(50, "absent"), (51, ""), (52, "every"), (53, "one one")]
+    stored = L.bm25_index(spark.createDataFrame(chunks, "chunk_id string, content string"))
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    want = plain_bm25(queries, chunks, 5)
+    stored.write(str(tmp_path / "index"))
+    for index in (stored, L.LexicalIndex.read(spark, str(tmp_path / "index"))):
+        assert {(r.query_id, r.rank): (r.chunk_id, r.score) for r in L.bm25_search(asked, index, 5).collect()} == want
+    # all postings are there, and every impact bounds what is under it
+    assert stored.postings.select(F.sum(F.size("slots"))).first()[0] == sum(len(set(t.split())) for _, t in chunks)
+    assert stored.postings.where("impact <> array_max(impacts)").count() == 0
+    assert stored.postings.where("term = 'every'").count() == -(-411 // block)
+    kept, all_pairs = L.surviving_blocks(L.query_weights(asked, stored), stored, 5)
+    if block == 4:
+        assert kept.count() < 0.5 * all_pairs.count()
+
+
+def test_bm25_of_nothing(spark):
+    none = spark.createDataFrame([], "chunk_id string, content string")
+    asked = spark.createDataFrame([(1, "a")], "query_id long, query string")
+    assert L.bm25_search(asked, L.bm25_index(none), 3).count() == 0
+    assert L.bm25_search(asked.limit(0), L.bm25_index(spark.createDataFrame([("c", "a b")], "chunk_id string, content string")), 3).count() == 0
 
 
 def test_dense_blocks_and_fallback(spark, monkeypatch):
