@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fabsight.plans.blocks import block_pairs
+from fabsight.plans.metric import distances, metric_index, nearest, packed
+from fabsight.session import durable
 
 BLOCK_BYTES = 64 << 20
 
@@ -23,32 +25,14 @@ def rows_of(pdf: pd.DataFrame, vector: str) -> np.ndarray:
     return np.stack(pdf[vector].to_numpy()).astype(float)
 
 
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    sq = (x ** 2).sum(1)[:, None] + (y ** 2).sum(1)[None, :] - 2.0 * x @ y.T
-    return np.sqrt(np.clip(sq, 0.0, None))
-
-
 def knn_outlier_score(queries: DataFrame, bank: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding",
                       exclude_self: bool = False) -> DataFrame:
-    """Mean Euclidean distance to the ``k`` nearest bank vectors, exact."""
-    kind = queries.schema[ident].dataType.simpleString()
-
-    def scan(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(stored):
-            return pd.DataFrame({ident: asked[ident], "d": [[] for _ in range(len(asked))]})
-        y, near = rows_of(stored, vector), []
-        for at in range(0, len(asked), 1024):
-            part = asked.iloc[at:at + 1024]
-            d = distances(rows_of(part, vector), y)
-            if exclude_self:
-                d[part[ident].to_numpy()[:, None] == stored[ident].to_numpy()[None, :]] = np.inf
-            near += [r[np.isfinite(r)] for r in np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)]
-        return pd.DataFrame({ident: asked[ident].to_numpy(), "d": near})
-
-    parts = vector_pairs(queries, bank, ident, vector).applyInPandas(scan, f"{ident} {kind}, d array<double>")
-    # k numbers per block and query
-    merged = parts.groupBy(ident).agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
-    return merged.select(ident, (F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / F.size("d")).alias("score"))
+    """Mean Euclidean distance to the ``k`` nearest bank vectors, exact; null where there is none to compare with."""
+    asked = packed(queries, [F.col(ident).alias("query_id"), F.lit(None).cast("string").alias("grp")], vector, False)
+    found = nearest(asked, metric_index(bank, ident, vector), k, exclude_self)
+    best = found.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("_n") <= k)
+    means = best.groupBy(F.col("query_id").alias(ident)).agg((-F.avg("score")).alias("score"))
+    return queries.select(ident).join(means, ident, "left")
 
 
 def centroid_cosine_score(df: DataFrame, normal: DataFrame, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -82,3 +66,26 @@ def silhouette(df: DataFrame, label: str, ident: str = "vec_id", vector: str = "
     point = per.groupBy(ident, label).agg(
         F.max(F.when(own & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
     return point.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))
+
+
+def squared_silhouette(df: DataFrame, label: str, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Mean silhouette of squared Euclidean distances, from counts, sums and squared norms per label: linear, no pairs.
+
+    The sum of squared distances from x to a label with n vectors, sum s and sum of squared norms q is n|x|^2 - 2 x.s + q.
+    A label of one vector scores 0, as in ``silhouette``.
+    """
+    long = df.select(label, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
+    per = long.groupBy(label, "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    packed_sums = per.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("p"), F.sum("q").alias("q"))  # an entry per dimension
+    known = packed_sums.join(sizes, label).select(F.struct(F.col(label).alias("label"), F.transform("p", lambda r: r["s"]).alias("s"), "q", "n").alias("c"))
+    every = durable(known.agg(F.collect_list("c").alias("_c")))  # a row per label, as many numbers as dimensions
+    x = F.col(vector).cast("array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, w: u * w), F.lit(0.0), lambda t, u: t + u)
+    rows = df.select(F.col(label).alias("_l"), x.alias("_x")).withColumn("_n", dot(F.col("_x"), F.col("_x"))).crossJoin(F.broadcast(every))
+    total = lambda c: c["n"] * F.col("_n") - 2.0 * dot(F.col("_x"), c["s"]) + c["q"]
+    own = F.filter("_c", lambda c: c["label"] == F.col("_l"))[0]
+    a = F.when(own["n"] > 1, total(own) / (own["n"] - 1))
+    b = F.array_min(F.transform(F.filter("_c", lambda c: c["label"] != F.col("_l")), lambda c: total(c) / c["n"]))
+    point = rows.select(a.alias("a"), b.alias("b"))
+    return point.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))).alias("silhouette"))

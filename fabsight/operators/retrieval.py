@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fabsight import constants as K
 from fabsight.functions.text import let, mentions_codes, normalize_text, strip, tokenize_whitespace
 from fabsight.functions.vectors import minmax
 from fabsight.operators.lexical import TIE_PLACES, LexicalIndex, bm25_search, topk
-from fabsight.plans.blocks import block_pairs
+from fabsight.plans.metric import MetricIndex, metric_index, nearest, packed
 from fabsight.session import durable, spread
 from fabsight.sources.tables import purge_except, replace_partition
 
@@ -78,71 +76,21 @@ def ingest_corpus(existing: DataFrame, docs: DataFrame, manifest: DataFrame, max
 
 # ---- vectors -----------------------------------------------------------------------------------
 
-class _Best:
-    """Best ``k`` (score, name) per key while batches go by; ties by name."""
+def dense_index(chunks: DataFrame, tag: str | None = None, vector: str = "embedding") -> MetricIndex:
+    """Chunk vectors laid out for ``dense_search``; with ``tag``, by that column."""
+    return metric_index(chunks, "chunk_id", vector, unit=True, group=tag)
 
-    def __init__(self, k: int):
-        self.k, self.top = k, {}
 
-    def add(self, key, score: np.ndarray, name: np.ndarray) -> None:
-        if len(score) > 4 * self.k:
-            cut = np.partition(-score, self.k - 1)[self.k - 1]
-            keep = -score <= cut + 1e-8
-            score, name = score[keep], name[keep]
-        if key in self.top:
-            score, name = np.concatenate([self.top[key][0], score]), np.concatenate([self.top[key][1], name])
-        if len(score):
-            order = np.lexsort((name, -np.round(score, TIE_PLACES)))[:self.k]
-            self.top[key] = (score[order], name[order])
+def dense_search(queries: DataFrame, index: MetricIndex, k: int, tag: str | None = None, vector: str = "embedding") -> DataFrame:
+    """Exact cosine top ``k`` per query; blocks that the triangle inequality rules out are not met.
 
-    def items(self):
-        return self.top.items()
-
-
-def _found(rows, names: Sequence[str]) -> pd.DataFrame:
-    """One frame of (key ..., chunk ids, scores) results; the single values repeat along the arrays."""
-    frames = [pd.DataFrame(dict(zip(names, r))) for r in rows]
-    return pd.concat(frames) if frames else pd.DataFrame({n: [] for n in names}, dtype=object)
-
-
-VECTOR_BYTES = 64 << 20
-
-
-def dense_search(queries: DataFrame, chunks: DataFrame, k: int, dim: int, tag: str | None = None, vector: str = "embedding") -> DataFrame:
-    """Exact cosine top ``k`` per query; blocks of queries meet blocks of chunks.
-
-    A task multiplies its two blocks and keeps only the best ``k`` per query; the final cut is over those few rows.  With
-    ``tag``, chunks of the query's tag count, and a query for which no chunk has the tag falls back to all chunks; both lists
-    come from the same product.
+    With ``tag``, chunks of the query's tag count, and a query for which no chunk has the tag falls back to all chunks.
     """
-    tags = [F.col(tag).alias("tag")] if tag else []
-    asking = queries.select("query_id", F.col(vector).alias("v"), *tags)
-    stored = chunks.select("chunk_id", F.col(vector).alias("v"), *tags)
-    kinds = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
-
-    def units(pdf: pd.DataFrame) -> np.ndarray:
-        x = np.stack(pdf["v"].to_numpy()).astype(float)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-    def scan(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(k)
-        ids = asked["query_id"].to_numpy()
-        if len(asked) and len(found):
-            x, names = units(found).T, found["chunk_id"].to_numpy()
-            for start in range(0, len(asked), 256):
-                part = asked.iloc[start:start + 256]
-                for i, sims in enumerate(units(part) @ x, start):
-                    best.add((i, 1), sims, names)
-                    if tag and asked["tag"].iat[i] is not None:
-                        mine = np.flatnonzero(found["tag"].to_numpy() == asked["tag"].iat[i])
-                        best.add((i, 0), sims[mine], names[mine])
-        return _found(((ids[i], n, s, free) for (i, free), (s, n) in best.items()), ["query_id", "chunk_id", "score", "_free"])
-
-    pairs = block_pairs(asking, stored, "query_id", "chunk_id", F.lit(8 * dim), F.lit(8 * dim), VECTOR_BYTES)
-    results = pairs.applyInPandas(scan, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double, _free int")
-    best = topk(results, k, [F.asc("_free"), F.desc(F.round("score", TIE_PLACES)), F.asc("chunk_id")])
-    first = W.partitionBy("query_id")  # at most k rows
-    return best.withColumn("_m", F.min("_free").over(first)).where(F.col("_free") == F.col("_m")).drop("_free", "_m")
+    asked = queries.withColumn("grp", F.lit(None).cast("string"))
+    if tag:
+        known = index.rows.select("grp").distinct()
+        asked = queries.join(known, F.col(tag).cast("string") == F.col("grp"), "left")
+    return topk(nearest(packed(asked, [F.col("query_id"), F.col("grp")], vector, True), index, k).withColumnRenamed("id", "chunk_id"), k)
 
 
 def min_score_filter(hits: DataFrame, least: float = K.MIN_SCORE) -> DataFrame:
@@ -175,11 +123,11 @@ def explicit_code_filter(hits: DataFrame, query: str = "query", content: str = "
     return hits.where(mentions_codes(F.col(query), F.col(content)))
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, k: int = K.TOP_K, pool: int = K.RERANK_POOL, dim: int = 256,
+def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: MetricIndex, terms: LexicalIndex, k: int = K.TOP_K, pool: int = K.RERANK_POOL,
                   least: float = K.MIN_SCORE, alpha: float = K.FUSION_ALPHA) -> DataFrame:
     """Vector and lexical candidates, threshold, fusion, explicit-code filter, cut to ``k``."""
-    dense = min_score_filter(dense_search(queries.select("query_id", "embedding"), chunks, pool, dim), least)
-    sparse = bm25_search(queries, index, pool)
+    dense = min_score_filter(dense_search(queries.select("query_id", "embedding"), vectors, pool), least)
+    sparse = bm25_search(queries, terms, pool)
     fused = convex_fuse(dense, sparse, alpha, pool).drop("rank")
     full = fused.join(chunks.select("chunk_id", "doc_id", "content"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
     return topk(explicit_code_filter(full), k).drop("query")

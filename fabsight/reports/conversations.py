@@ -381,6 +381,15 @@ def silhouette(v):
     return NB.silhouette(v.table("embeddings"), "label").withColumn("silhouette", F.round("silhouette", 6))
 
 
+@query("squared_silhouette", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT label, count(*) AS n FROM e GROUP BY 1),
+s AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v) ** 2) AS s FROM e a CROSS JOIN e b GROUP BY 1, 2, 3),
+p AS (SELECT vec_id, max(CASE WHEN s.label = other AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN s.label <> other THEN s / n END) AS b FROM s JOIN n ON n.label = s.other GROUP BY 1)
+SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM p""")
+def squared_silhouette(v):
+    return NB.squared_silhouette(v.table("embeddings"), "label").withColumn("silhouette", F.round("silhouette", 6))
+
+
 @query("knn_outlier_score", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 d AS (SELECT a.vec_id, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v)) AS rn FROM e a JOIN e b ON a.vec_id <> b.vec_id)
 SELECT vec_id, round(avg(d), 6) AS score FROM d WHERE rn <= 5 GROUP BY 1""")

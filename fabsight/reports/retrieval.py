@@ -80,6 +80,13 @@ def chunk_vecs(v):
     return v.stored("chunk_vecs", lambda: chunks(v).withColumn("embedding", letters(F.col("content"))))
 
 
+def dense(v):
+    """The chunk vectors laid out by pivots."""
+    if "dense" not in v._stored:
+        v._stored["dense"] = R.dense_index(chunk_vecs(v))
+    return v._stored["dense"]
+
+
 def queries_(v):
     return v.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), letters(F.col("text")).alias("embedding"))
 
@@ -191,17 +198,17 @@ r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id
 SELECT query_id, chunk_id, round(score, 8) AS score, rank FROM r WHERE rank <= 5""")
 def dense_search(v):
     stored = v.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("tag"), "embedding")
-    return R.dense_search(centroids(v), stored, 5, 64, tag="tag").withColumn("score", F.round("score", 8))
+    return R.dense_search(centroids(v), R.dense_index(stored, "tag"), 5, "tag").withColumn("score", F.round("score", 8))
 
 
 @query("vector_topk", "SELECT query_id, chunk_id, round(score, 8) AS score, rank FROM dense WHERE rank <= 3")
 def vector_topk(v):
-    return R.dense_search(queries_(v), chunk_vecs(v), 3, 26).withColumn("score", F.round("score", 8))
+    return R.dense_search(queries_(v), dense(v), 3).withColumn("score", F.round("score", 8))
 
 
 @query("min_score_filter", "SELECT query_id, chunk_id, rank FROM dense WHERE rank <= 10 AND score >= 0.97")
 def min_score_filter(v):
-    return R.min_score_filter(R.dense_search(queries_(v), chunk_vecs(v), 10, 26), 0.97).select("query_id", "chunk_id", "rank")
+    return R.min_score_filter(R.dense_search(queries_(v), dense(v), 10), 0.97).select("query_id", "chunk_id", "rank")
 
 
 @query("minmax_normalize", """SELECT query_id, chunk_id, round(greatest(CASE WHEN max(score) OVER w <= min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 1e-6), 6) AS norm
@@ -212,19 +219,19 @@ def minmax_normalize(v):
 
 @query("candidate_union", "SELECT query_id, chunk_id FROM dense WHERE rank <= 10 AND score >= 0.2 UNION SELECT query_id, chunk_id FROM bm25 WHERE rank <= 10 AND score > 0")
 def candidate_union(v):
-    d = R.min_score_filter(R.dense_search(queries_(v), chunk_vecs(v), 10, 26))
+    d = R.min_score_filter(R.dense_search(queries_(v), dense(v), 10))
     return R.convex_fuse(d, L.bm25_search(queries_(v), lexical(v), 10), 0.5, 1000).select("query_id", "chunk_id")
 
 
 @query("convex_fuse", "SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM fused WHERE rank <= 10")
 def convex_fuse(v):
-    d = R.min_score_filter(R.dense_search(queries_(v), chunk_vecs(v), 10, 26))
+    d = R.min_score_filter(R.dense_search(queries_(v), dense(v), 10))
     return R.convex_fuse(d, L.bm25_search(queries_(v), lexical(v), 10), 0.5, 10).withColumn("score", F.round("score", 9))
 
 
 @query("fused_topk", "SELECT query_id, chunk_id, rank FROM fused WHERE rank <= 3")
 def fused_topk(v):
-    d = R.min_score_filter(R.dense_search(queries_(v), chunk_vecs(v), 10, 26))
+    d = R.min_score_filter(R.dense_search(queries_(v), dense(v), 10))
     return R.convex_fuse(d, L.bm25_search(queries_(v), lexical(v), 10), 0.5, 3).select("query_id", "chunk_id", "rank")
 
 
@@ -232,7 +239,7 @@ def fused_topk(v):
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f)
 SELECT r.query_id, r.chunk_id, c.doc_id, r.rank FROM r JOIN chunks c USING (chunk_id) WHERE r.rank <= 3""")
 def hybrid_search(v):
-    return R.hybrid_search(queries_(v), chunk_vecs(v), lexical(v), 3, 10, 26).select("query_id", "chunk_id", "doc_id", "rank")
+    return R.hybrid_search(queries_(v), chunk_vecs(v), dense(v), lexical(v), 3, 10).select("query_id", "chunk_id", "doc_id", "rank")
 
 
 @query("explicit_code_filter", """SELECT b.query_id, c.chunk_id FROM bm25 b JOIN chunks c USING (chunk_id) WHERE b.rank <= 10 AND b.score > 0
@@ -252,7 +259,7 @@ r AS (SELECT h.query_id, h.chunk_id, s.score, row_number() OVER (PARTITION BY h.
 SELECT query_id, chunk_id, rank FROM r WHERE rank <= 3""")
 def rerank_by_score(v):
     c = chunk_vecs(v)
-    hits = R.dense_search(queries_(v), c, 10, 26)
+    hits = R.dense_search(queries_(v), dense(v), 10)
     words = queries_(v).select("query_id", F.array_distinct(X.tokenize_whitespace(F.col("query"))).alias("q"))
     shared = hits.join(c.select("chunk_id", X.tokenize_whitespace(F.col("content")).alias("t")), "chunk_id").join(words, "query_id")
     scores = shared.select("query_id", "chunk_id", F.size(F.array_intersect("q", "t")).cast("double").alias("score")).where("score > 0")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fabsight.operators import alarms as A, maintenance as M, retrieval as R, telemetry as T
 from fabsight.operators.lexical import LexicalIndex
+from fabsight.plans.metric import MetricIndex
 
 
 def get_sensor_logs(telemetry: DataFrame, master: DataFrame, start, end, equipment: str | None = None, line: str | None = None,
@@ -29,8 +30,8 @@ def get_maintenance_summary(repairs: DataFrame, equipment: str | None = None) ->
     return M.maintenance_summary(T.optional_filters(repairs, equipment_id=equipment))
 
 
-def search_manuals(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, k: int = 3, dim: int = 256) -> DataFrame:
-    return R.hybrid_search(queries, chunks, index, k, dim=dim)
+def search_manuals(queries: DataFrame, chunks: DataFrame, vectors: MetricIndex, terms: LexicalIndex, k: int = 3) -> DataFrame:
+    return R.hybrid_search(queries, chunks, vectors, terms, k)
 
 
 def register(spark: SparkSession, telemetry: DataFrame, alarms: DataFrame, master: DataFrame, repairs: DataFrame) -> None:

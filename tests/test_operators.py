@@ -4,12 +4,14 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fabsight import constants as K
 from fabsight.functions import alarms as FA, dates as FD, text as X
 from fabsight.operators import conversations as C, evaluate as E, lexical as L, maintenance as M, neighbors as NB, notifications as N, retrieval as R, rules, scoring, telemetry as T
+from fabsight.plans import metric as ME
 from fabsight.sources import tables as S
 
 
@@ -181,24 +183,73 @@ def test_bm25_of_nothing(spark):
     assert L.bm25_search(asked.limit(0), L.bm25_index(spark.createDataFrame([("c", "a b")], "chunk_id string, content string")), 3).count() == 0
 
 
-def test_dense_blocks_and_fallback(spark, monkeypatch):
-    chunks = spark.createDataFrame([(f"c{i}", "x" if i % 2 else "y", [float(i), 1.0]) for i in range(40)], "chunk_id string, tag string, embedding array<double>")
-    q = spark.createDataFrame([(i, "x" if i % 2 else "none", [1.0, float(i)]) for i in range(20)], "query_id long, tag string, embedding array<double>")
-    def run():
-        return {(r["query_id"], r["rank"]): (r["chunk_id"], pytest.approx(r["score"], rel=1e-12)) for r in R.dense_search(q, chunks, 3, 2, "tag").collect()}
-    whole = run()
-    monkeypatch.setattr(R, "VECTOR_BYTES", 64)
-    blocks = run()
-    assert len(whole) == 60 and {k: (c, s.expected) for k, (c, s) in blocks.items()} == whole
-
-
-def test_knn_blocks(spark, monkeypatch):
-    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(30)], "vec_id long, embedding array<double>")
-    whole = {r["vec_id"]: r["score"] for r in NB.knn_outlier_score(df, df, 2, exclude_self=True).collect()}
+def unit_vectors(seed, n, d, clusters):
+    """Vectors around a few centres, with repeats and a zero vector."""
+    draw = np.random.default_rng(seed)
+    rows = draw.standard_normal((clusters, d))[draw.integers(0, clusters, n)] + 0.05 * draw.standard_normal((n, d))
+    rows[n // 2:n // 2 + 20] = rows[n // 2]
+    rows[3] = 0
+    return rows
+
+
+@pytest.mark.parametrize("sizes", [(1_024, 4 << 20, 262_144), (16, 5_000, 7)])
+def test_dense_search_against_all_pairs(spark, monkeypatch, sizes):
+    for name, size in zip(("BLOCK", "SAMPLE_BYTES", "QUERIES"), sizes):
+        monkeypatch.setattr(ME, name, size)
+    rows = unit_vectors(1, 500, 6, 12)
+    stored = spark.createDataFrame([(f"c{i:03}", [None, "x", "y", "z"][i % 4], v.tolist()) for i, v in enumerate(rows)], "chunk_id string, tag string, embedding array<double>")
+    asked = spark.createDataFrame([(i, ["x", "none", None, "y"][i % 4], (rows[i] + 0.01).tolist()) for i in range(0, 90, 3)], "query_id long, tag string, embedding array<double>")
+    units = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+    for tag in ("tag", None):
+        got = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in R.dense_search(asked, R.dense_index(stored, tag), 4, tag).collect()}
+        want = {}
+        for i in range(0, 90, 3):
+            q = rows[i] + 0.01
+            own = {"x": 1, "y": 2}.get(["x", "none", None, "y"][i % 4]) if tag else None
+            cosines = [(-round(float(u @ q / np.linalg.norm(q)), 9), f"c{j:03}") for j, u in enumerate(units) if own is None or j % 4 == own]
+            want.update({(i, rank): (c, pytest.approx(-s, abs=2e-9)) for rank, (s, c) in enumerate(sorted(cosines)[:4], 1)})
+        assert got == want
+    none = stored.limit(0)
+    assert R.dense_search(asked, R.dense_index(none), 4).count() == 0 and R.dense_search(asked.limit(0), R.dense_index(stored), 4).count() == 0
+
+
+def test_blocks_beyond_the_kth_distance_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(ME, "BLOCK", 32)
+    rows = unit_vectors(2, 2_000, 8, 40)
+    stored = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    index = ME.metric_index(stored, "vec_id", "embedding")
+    asked = ME.packed(stored.where("vec_id % 50 = 0"), [F.col("vec_id").alias("query_id"), F.lit(None).cast("string").alias("grp")], "embedding", False)
+    met, blocks = ME.routed_blocks(asked, index.layout, 5, True).count(), len(index.layout.keys)
+    assert blocks > 40 and met < 0.2 * 40 * blocks
+
+
+@pytest.mark.parametrize("block", [1_024, 8])
+def test_knn_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(ME, "BLOCK", block)
+    line = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    whole = {r["vec_id"]: r["score"] for r in NB.knn_outlier_score(line, line, 2, exclude_self=True).collect()}
     assert whole[0] == pytest.approx(1.5) and whole[5] == pytest.approx(1.0)
-    monkeypatch.setattr(NB, "BLOCK_BYTES", 64)
-    blocks = {r["vec_id"]: r["score"] for r in NB.knn_outlier_score(df, df, 2, exclude_self=True).collect()}
-    assert blocks == pytest.approx(whole)
+    rows = unit_vectors(3, 200, 5, 6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    far = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(2))
+    np.fill_diagonal(far, np.inf)
+    want = dict(enumerate(np.sort(far, axis=1)[:, :3].mean(1)))
+    assert {r["vec_id"]: r["score"] for r in NB.knn_outlier_score(df, df, 3, exclude_self=True).collect()} == pytest.approx(want, abs=1e-9)
+    alone = df.limit(1)
+    assert [r["score"] for r in NB.knn_outlier_score(alone, alone, 3, exclude_self=True).collect()] == [None]
+
+
+def test_squared_silhouette(spark):
+    rows = unit_vectors(4, 60, 3, 3)
+    labels = [i % 3 if i else 9 for i in range(60)]
+    df = spark.createDataFrame([(i, lab, v.tolist()) for i, (lab, v) in enumerate(zip(labels, rows))], "vec_id long, label int, embedding array<double>")
+    far, labels, points = ((rows[:, None] - rows[None]) ** 2).sum(2), np.array(labels), []
+    for i in range(60):
+        mine = labels == labels[i]
+        b = min(far[i, labels == o].mean() for o in set(labels) - {labels[i]})
+        a = far[i, mine].sum() / max(mine.sum() - 1, 1)
+        points.append((b - a) / max(a, b) if mine.sum() > 1 else 0.0)
+    assert NB.squared_silhouette(df, "label").first()[0] == pytest.approx(np.mean(points))
 
 
 def test_passages_and_metrics(spark):
