@@ -132,10 +132,10 @@ def merged_score(b: DataFrame) -> DataFrame:
 
 
 def score_latest(telemetry: DataFrame, fitted: Fitted, use_var: bool = True, *, lookback: int,
-                 window: int = K.WINDOW, stride: int = K.STRIDE) -> DataFrame:
+                 window: int = K.WINDOW, stride: int = K.STRIDE, threshold: float = K.TRANSITION_THRESHOLD) -> DataFrame:
     """Last window of each equipment over the newest rows; equipment without model or window is absent."""
     rows = durable(T.recent_rows(telemetry.select("equipment_id", "process_type", "tick", *K.CHANNELS), ["equipment_id"], "tick", lookback))
-    series = score_series(durable(Wn.window_features(rows, "tick", window, stride, tensor=True)), fitted, use_var)
+    series = score_series(durable(Wn.window_features(rows, "tick", window, stride, tensor=True)), fitted, use_var, threshold)
     last = F.max_by(F.struct("win", "fired", "channel", "score"), "win")
     return series.groupBy("equipment_id").agg(last.alias("r")).select("equipment_id", "r.*")
 

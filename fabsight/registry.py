@@ -46,7 +46,10 @@ def with_views(body: str) -> str:
 
     visit(body)
     body = body.strip()
-    ctes = ",\n".join(f"{n} AS (\n{SQL_VIEWS[n].strip()}\n)" for n in needed)
+    text = " ".join([body, *[SQL_VIEWS[n] for n in needed]])
+    # what is read more than once is computed once
+    kept = {n: " MATERIALIZED" if len(re.findall(rf"\b{n}\b", text)) > 1 else "" for n in needed}
+    ctes = ",\n".join(f"{n} AS{kept[n]} (\n{SQL_VIEWS[n].strip()}\n)" for n in needed)
     if not ctes:
         return body
     if body.upper().startswith("WITH RECURSIVE"):

@@ -8,6 +8,7 @@ from fabsight import constants as K
 from fabsight.operators import detectors as D, evaluate as E, scoring as S, serving as Sv, windows as Wn
 from fabsight.operators.protocol import WindowDetector
 from fabsight.registry import query
+from fabsight.reports import models as G
 from fabsight.reports.series import stepped, win_score
 from fabsight.views import SQL_VIEWS
 
@@ -72,30 +73,28 @@ def pca_fit(v):
         F.count_if(F.col("t2") > F.col("_t")).alias("over_t2"), F.count_if(F.col("spe") > F.col("_s")).alias("over_spe"))
 
 
-@query("pca_score", "SELECT equipment_id, win, true AS ok FROM win_score")
+@query("pca_score", "SELECT equipment_id, win, round(greatest(t2, spe), 6) AS raw, round(t2, 6) AS t2, round(spe, 6) AS spe FROM given_pca")
 def pca_score(v):
-    """Score, and the part of it that a single statistic gives, for every window."""
-    states = fitted(v).pca
-    both = D.pca_score(windows(v), states).select("equipment_id", "win", F.col("raw").alias("both"))
-    one = D.pca_score(windows(v), states, "t2").select("equipment_id", "win", F.col("raw").alias("t2"))
-    two = D.pca_score(windows(v), states, "spe").select("equipment_id", "win", F.col("raw").alias("spe"))
-    j = both.join(one, ["equipment_id", "win"]).join(two, ["equipment_id", "win"])
-    return j.select("equipment_id", "win", ((F.col("both") == F.greatest("t2", "spe")) & (F.col("both") >= 0)).alias("ok"))
+    """Score of a given model, and the part of it that a single statistic gives, for every window."""
+    states = G.pca_states()
+    both = D.pca_score(windows(v), states).select("equipment_id", "win", F.round("raw", 6).alias("raw"))
+    one = D.pca_score(windows(v), states, "t2").select("equipment_id", "win", F.round("raw", 6).alias("t2"))
+    two = D.pca_score(windows(v), states, "spe").select("equipment_id", "win", F.round("raw", 6).alias("spe"))
+    return both.join(one, ["equipment_id", "win"]).join(two, ["equipment_id", "win"])
 
 
-@query("pca_top_channel")
+@query("pca_top_channel", "SELECT equipment_id, win, channel FROM given_pca")
 def pca_top_channel(v):
-    return D.pca_score(windows(v), fitted(v).pca).select("equipment_id", "win", "channel", F.round("raw", 6).alias("raw"))
+    return D.pca_score(windows(v), G.pca_states()).select("equipment_id", "win", "channel")
 
 
-@query("pca_state_io", "SELECT equipment_id, win, 0.0 AS difference FROM win_score")
+@query("pca_state_io", "SELECT p.equipment_id, p.win, round(greatest(t2, spe), 6) AS pca, round(v.raw, 6) AS var FROM given_pca p JOIN given_var v ON p.equipment_id = v.equipment_id AND p.win = v.win")
 def pca_state_io(v):
-    """Scores of the restored model against the fitted one."""
-    states = fitted(v).pca
-    again = D.states_from_df(D.states_to_df(v.spark, states))
-    a = D.pca_score(windows(v), states).select("equipment_id", "win", F.col("raw").alias("a"))
-    b = D.pca_score(windows(v), again).select("equipment_id", "win", F.col("raw").alias("b"))
-    return a.join(b, ["equipment_id", "win"]).select("equipment_id", "win", F.round(F.abs(F.col("a") - F.col("b")), 9).alias("difference"))
+    """Scores of models that were written as a table and read again."""
+    again = D.states_from_df(v.stored("given_states", lambda: D.states_to_df(v.spark, [*G.pca_states(), *G.var_states()])))
+    a = D.pca_score(windows(v), [s for s in again if isinstance(s, D.PcaState)]).select("equipment_id", "win", F.round("raw", 6).alias("pca"))
+    b = D.var_score(windows(v), [s for s in again if isinstance(s, D.VarState)]).select("equipment_id", "win", F.round("raw", 6).alias("var"))
+    return a.join(b, ["equipment_id", "win"])
 
 
 def _over(scores):
@@ -107,14 +106,14 @@ def var_fit(v):
     return _over(D.var_score(train(v), D.var_fit(train(v))))
 
 
-@query("var_score")
+@query("var_score", "SELECT equipment_id, win, round(raw, 6) AS raw FROM given_var")
 def var_score(v):
-    return D.var_score(windows(v), fitted(v).var).select("equipment_id", "win", F.round("raw", 6).alias("raw"))
+    return D.var_score(windows(v), G.var_states()).select("equipment_id", "win", F.round("raw", 6).alias("raw"))
 
 
-@query("var_top_channel")
+@query("var_top_channel", "SELECT equipment_id, win, channel FROM given_var")
 def var_top_channel(v):
-    return D.var_score(windows(v), fitted(v).var).select("equipment_id", "win", "channel")
+    return D.var_score(windows(v), G.var_states()).select("equipment_id", "win", "channel")
 
 
 @query("conditional_recon_linear", f"SELECT process_type, count(*) AS n, {_OVER} AS over_limit FROM train_wins GROUP BY 1")
@@ -122,8 +121,14 @@ def conditional_recon_linear(v):
     return _over(D.recon_score(train(v), D.recon_fit(train(v))))
 
 
-@query("isolation_forest")
+@query("isolation_forest", "SELECT equipment_id, win, round(raw, 6) AS raw FROM given_forest")
 def isolation_forest(v):
+    return D.forest_score(windows(v), G.forest_model()).select("equipment_id", "win", F.round("raw", 6).alias("raw"))
+
+
+@query("isolation_forest_fit")
+def isolation_forest_fit(v):
+    """A forest grown on the training windows, scoring all windows (random trees: no SQL)."""
     return WindowDetector("iforest").fit(train(v)).transform(windows(v)).select("equipment_id", "win", F.round("raw", 6).alias("raw"))
 
 
@@ -132,12 +137,13 @@ def detector_protocol(v):
     return _over(WindowDetector("var", lag=1).fit(train(v)).transform(train(v)))
 
 
-@query("merged_score")
+@query("merged_score", """SELECT p.equipment_id, p.win, round(greatest(t2, spe, v.raw), 6) AS score, t2 > 1 OR spe > 1 OR v.raw > 1 AS fired,
+CASE WHEN t2 > 1 OR spe > 1 THEN p.channel WHEN v.raw > 1 THEN v.channel END AS channel FROM given_pca p JOIN given_var v ON p.equipment_id = v.equipment_id AND p.win = v.win""")
 def merged_score(v):
-    pca = D.pca_score(windows(v), fitted(v).pca).withColumns({"score": F.col("raw"), "fired": F.col("raw") > 1, "masked": F.lit(False)})
-    var = D.var_score(windows(v), fitted(v).var).select("equipment_id", "win", F.col("raw").alias("_vs"), (F.col("raw") > 1).alias("_vf"), F.col("channel").alias("_vc"))
+    pca = D.pca_score(windows(v), G.pca_states()).withColumns({"score": F.col("raw"), "fired": F.col("raw") > 1, "masked": F.lit(False)})
+    var = D.var_score(windows(v), G.var_states()).select("equipment_id", "win", F.col("raw").alias("_vs"), (F.col("raw") > 1).alias("_vf"), F.col("channel").alias("_vc"))
     both = Sv.merged_score(pca.join(var, ["equipment_id", "win"]))
-    return both.select("equipment_id", "win", F.round("score", 6).alias("raw"))
+    return both.select("equipment_id", "win", F.round("score", 6).alias("score"), "fired", "channel")
 
 
 @query("fit_process_models", "SELECT process_type, count(*) AS train_windows, true AS limited FROM train_wins GROUP BY 1 HAVING count(*) >= 200")
@@ -185,32 +191,38 @@ def stale_models(v):
 
 
 def series(v):
-    return v.stored("score_series", lambda: Sv.score_series(windows(v), fitted(v)))
+    return v.stored("score_series", lambda: Sv.score_series(windows(v), G.fitted(v.spark), threshold=G.JUMP))
 
 
-@query("score_series")
+@query("score_series", G.sql_series("given") + "SELECT equipment_id, win, fired, channel, round(score, 6) AS score FROM series")
 def score_series(v):
+    """Every window by given models; fitting is ``fit_process_models``."""
     return series(v).select("equipment_id", "win", "fired", "channel", F.round("score", 6).alias("score"))
 
 
+@query("score_series_fitted")
+def score_series_fitted(v):
+    """Every window by the models fitted on its own table (``pca_fit`` and ``var_fit`` are compared on their own)."""
+    return Sv.score_series(windows(v), fitted(v)).select("equipment_id", "win", "fired", "channel", F.round("score", 6).alias("score"))
+
+
 def latest(v):
-    return v.stored("score_latest", lambda: Sv.score_latest(v.telemetry, fitted(v), lookback=K.LOOKBACK_ROWS))
+    return v.stored("score_latest", lambda: Sv.score_latest(v.telemetry, G.fitted(v.spark), lookback=K.LOOKBACK_ROWS, threshold=G.JUMP))
 
 
-@query("score_latest")
+@query("score_latest", G.sql_series("late") + """SELECT equipment_id, arg_max(fired, win) AS fired, arg_max({'c': channel}, win).c AS channel, round(arg_max(score, win), 6) AS score FROM series GROUP BY 1""")
 def score_latest(v):
     return latest(v).select("equipment_id", "fired", "channel", F.round("score", 6).alias("score"))
 
 
-@query("anomaly_transitions", """WITH w AS (SELECT equipment_id, arg_max(raw, win) > 1.01 AS fired FROM win_score GROUP BY 1),
+@query("anomaly_transitions", G.sql_series("late") + """, w AS (SELECT equipment_id, arg_max(fired, win) AS fired, arg_max({'c': channel}, win).c AS channel, arg_max(score, win) AS score FROM series GROUP BY 1),
 o AS (SELECT DISTINCT equipment_id FROM alarms WHERE cleared_at IS NULL AND alarm_code = 'ERR-402')
-SELECT w.equipment_id, CASE WHEN fired AND o.equipment_id IS NULL THEN 'raise' ELSE 'clear' END AS action, CASE WHEN w.equipment_id = 'EQP-003' THEN 'alarm' ELSE 'shadow' END AS sink
-FROM w LEFT JOIN o ON w.equipment_id = o.equipment_id WHERE fired <> (o.equipment_id IS NOT NULL)""")
+SELECT w.equipment_id, CASE WHEN fired THEN 'raise' ELSE 'clear' END AS action, CASE WHEN w.equipment_id IN ('EQP-003', 'EQP-007') THEN 'alarm' ELSE 'shadow' END AS sink,
+channel, round(score, 6) AS score FROM w LEFT JOIN o ON w.equipment_id = o.equipment_id WHERE fired <> (o.equipment_id IS NOT NULL)""")
 def anomaly_transitions(v):
-    last = win_score(v).groupBy("equipment_id").agg(F.max_by("raw", "win").alias("score")).withColumns(
-        {"fired": F.col("score") > 1.01, "channel": F.lit("gas_flow")})
     open_ = v.alarms.where("alarm_code = 'ERR-402'")
-    return Sv.anomaly_transitions(last, open_, F.lit("2024-02-01").cast("timestamp"), ["EQP-003"]).select("equipment_id", "action", "sink")
+    moves = Sv.anomaly_transitions(latest(v), open_, F.lit("2024-02-01").cast("timestamp"), ["EQP-003", "EQP-007"])
+    return moves.select("equipment_id", "action", "sink", "channel", F.round("score", 6).alias("score"))
 
 
 @query("grid_sweep")
