@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fabsight import constants as K
 from fabsight.plans.asof import along
-from fabsight.plans.series import exact_quantiles, ordered_sums
+from fabsight.plans.series import exact_quantiles, ordered_sums, weighted_quantiles
 from fabsight.session import durable
 
 DAY = 86_400.0
@@ -216,6 +216,33 @@ def sweep_metrics(events: DataFrame, fired: DataFrame, points: DataFrame, dedup_
         "false_alarms_dedup", F.coalesce("false_alarms_dedup", F.lit(0)))
 
 
+def threshold_sweep(events: DataFrame, scored: DataFrame, limits: DataFrame, points: int, dedup_ticks: int = 360, margin: float = 1e-9) -> DataFrame:
+    """(point, recall, delay_mean, delay_p90, false_alarms_dedup) of ``points`` thresholds in one sweep.
+
+    ``scored`` has (equipment_id, process_type, tick, score); ``limits`` the rising thresholds of a process type as an array.  A
+    score counts by its level, the number of thresholds below it: one time line gives every event the next tick of each
+    level, and one maximum per 30-minute bucket outside events gives the false alarms of all thresholds by running counts.
+    Neither events nor detections are copied per threshold.
+    """
+    level = F.size(F.filter("_limits", lambda x: F.col("score") > x + margin))
+    named = scored.join(limits.select("process_type", F.col("limits").alias("_limits")), "process_type")
+    fired = durable(named.select("equipment_id", "tick", level.alias("level")).where("level > 0"))
+    # seen backwards, the next tick of a level is the largest one so far
+    picks = {f"_n{i}": ("max", F.when(F.col("level") > i, -F.col("tick"))) for i in range(points)}
+    back = events.withColumn("_at", -F.col("start_tick"))
+    met = along(back, fired.withColumn("_tick", -F.col("tick")), ["equipment_id"], "_at", "_tick", picks)
+    delay = [F.when(-F.col(f"_n{i}") <= F.col("end_tick"), -F.col(f"_n{i}") - F.col("start_tick")) for i in range(points)]
+    long = durable(met.select(F.posexplode(F.array(*delay)).alias("point", "delay")).groupBy("point", "delay").agg(F.count(F.lit(1)).alias("n")))
+    hit = F.when(F.col("delay").isNotNull(), F.col("n"))
+    recall = long.groupBy("point").agg((F.coalesce(F.sum(hit), F.lit(0)) / F.sum("n")).alias("recall"), (F.sum(F.col("delay") * F.col("n")) / F.sum(hit)).alias("delay_mean"))
+    p90 = weighted_quantiles(long, ["point"], "delay", "n", {"delay_p90": 0.9})
+    outside = detections_outside_events(events, fired)
+    worst = outside.groupBy("equipment_id", F.floor(F.col("tick") / dedup_ticks).alias("_b")).agg(F.max("level").alias("level"))
+    alarms = worst.groupBy("level").agg(F.count(F.lit(1)).alias("_n")).withColumn("point", F.explode(F.sequence(F.lit(0), F.col("level") - 1))).groupBy("point").agg(
+        F.sum("_n").alias("false_alarms_dedup"))  # a row per level
+    return recall.join(p90, "point", "left").join(alarms, "point", "left").withColumn("false_alarms_dedup", F.coalesce("false_alarms_dedup", F.lit(0)))
+
+
 def fire_rate(df: DataFrame, fired: Column, ratio: Column, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(fired.cast("double")).alias("fire_rate"), F.max(ratio).alias("peak_ratio"))
 

@@ -213,7 +213,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     Equal values are first merged into counts; ranks come from range-partitioned running counts, and only
     the two values around each wanted rank take part in the final aggregate.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    return weighted_quantiles(df, keys, value, None, probs)
+
+
+def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: str | None, probs: Mapping[str, float]) -> DataFrame:
+    """``exact_quantiles`` of rows that stand for ``weight`` equal ones each."""
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(times.alias("_c"))
     ranked = ordered_sums(counted, keys, [F.col(value).asc()], {"_hi": F.col("_c")})
     totals = ranked.groupBy(*keys).agg(F.max("_hi").alias("_total"))
     if keys:

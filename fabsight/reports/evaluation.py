@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fabsight import constants as K
-from fabsight.functions.dates import date_bin
-from fabsight.operators import evaluate as E, scoring as S, telemetry as T
-from fabsight.reports.series import win_score
+from fabsight.operators import detectors as D, evaluate as E
+from fabsight.plans.series import exact_quantiles
 from fabsight.registry import query
+from fabsight.reports import models as G
+from fabsight.reports.detection import windows
+from fabsight.reports.series import win_score
+from fabsight.session import durable
 from fabsight.views import SQL_VIEWS
 
 GRACE = {"acute": 3, "_default": 12}
@@ -122,62 +125,81 @@ def latest_window_score(v):
     return E.latest_window_score(v.telemetry.select("equipment_id", "tick"), scores).withColumn("score", F.round("score", 8))
 
 
-def sweep(v, quantiles=(0.5, 0.8, 0.9, 0.95, 0.99)):
-    """Metrics of a threshold sweep: scores once, all limits at once, one row per (quantile, equipment) window end."""
-    from fabsight.plans.series import exact_quantiles
-    scores = win_score(v)
-    names = [f"q{i}" for i in range(len(quantiles))]
-    limits = exact_quantiles(scores, ["process_type"], "raw", dict(zip(names, quantiles)))
-    long = limits.select("process_type", F.explode(F.array(*[
-        F.struct(F.lit(q).alias("q"), F.col(n).alias("lim"), F.lit(i).alias("point")) for i, (n, q) in enumerate(zip(names, quantiles))])).alias("p")).select(
-        "process_type", "p.*")
-    fired = scores.join(long, "process_type").where(F.col("raw") > F.col("lim") + 1e-9).select(
-        "point", "q", "equipment_id", (F.col("win") * 6 + 11).alias("tick"))
-    return fired, long.select("point", "q").distinct()
-
-
-_SWEEP = """l AS (""" + " UNION ALL ".join(f"SELECT process_type, CAST({q} AS DOUBLE) AS q, quantile_cont(raw, {q}) AS lim FROM win_score GROUP BY 1" for q in (0.5, 0.8, 0.9, 0.95, 0.99)) + """),
-f AS (SELECT q, equipment_id, win * 6 + 11 AS tick FROM win_score w JOIN l USING (process_type) WHERE raw > lim + 1e-9),
-hit AS (SELECT q.q, e.event_id, min(f.tick) IS NOT NULL AS det, min(f.tick) - any_value(e.start_tick) AS delay FROM incidents e CROSS JOIN (SELECT DISTINCT q FROM l) q
- LEFT JOIN f ON f.q = q.q AND f.equipment_id = e.equipment_id AND f.tick BETWEEN e.start_tick AND e.end_tick GROUP BY 1, 2),
-fa AS (SELECT q, count(DISTINCT (equipment_id, tick // 360)) AS false_alarms_dedup FROM f WHERE NOT EXISTS
- (SELECT 1 FROM incidents e WHERE e.equipment_id = f.equipment_id AND f.tick BETWEEN e.start_tick AND e.end_tick) GROUP BY 1),
-m AS (SELECT hit.q, round(avg(CAST(det AS INT)), 8) AS recall, quantile_cont(delay, 0.9) AS delay_p90, round(avg(delay), 6) AS delay_mean, any_value(coalesce(false_alarms_dedup, 0)) AS false_alarms_dedup
- FROM hit LEFT JOIN fa ON hit.q = fa.q GROUP BY 1)"""
-
-
-def sweep_metrics(v):
-    fired, points = sweep(v)
-    return E.sweep_metrics(v.incidents, fired, points)
-
-
-@query("threshold_sweep", f"WITH {_SWEEP} SELECT q, recall, delay_p90, delay_mean, false_alarms_dedup FROM m")
+QUANTILES = (0.5, 0.7, 0.8, 0.9, 0.95, 0.97, 0.98, 0.99, 0.995, 0.999)
+#: False alarms that an operating point may have.
+BUDGET = 60
+
+
+def detector_scores(v):
+    """Scores of four detectors over all readings: the rule by tick, given models by the last tick of a window."""
+    w = windows(v)
+    at = (F.col("win") * K.STRIDE + K.WINDOW - 1).alias("tick")
+    scored = {"pca": D.pca_score(w, G.pca_states()), "var": D.var_score(w, G.var_states()), "iforest": D.forest_score(w, G.forest_model())}
+    rule = v.telemetry.select("equipment_id", "process_type", "tick", F.col("alarm_code").isNotNull().cast("double").alias("score"))
+    return {"rule": rule} | {n: d.select("equipment_id", "process_type", at, F.col("raw").alias("score")) for n, d in scored.items()}
+
+
+def sweep(v):
+    """Operating points of each detector: limits per process type at ten quantiles of its scores."""
+    def build():
+        out = None
+        for i, (name, scored) in enumerate(detector_scores(v).items()):
+            names = [f"q{n}" for n in range(len(QUANTILES))]
+            stored = durable(scored)
+            limits = exact_quantiles(stored, ["process_type"], "score", dict(zip(names, QUANTILES))).select("process_type", F.array(*names).alias("limits"))
+            one = E.threshold_sweep(v.incidents, stored, limits, len(QUANTILES)).select(
+                F.lit(name).alias("detector"), F.array(*[F.lit(q) for q in QUANTILES])[F.col("point")].alias("q"), (F.col("point") + i * len(QUANTILES)).alias("point"),
+                F.round("recall", 8).alias("recall"), "delay_p90", F.round("delay_mean", 6).alias("delay_mean"), "false_alarms_dedup")
+            out = one if out is None else out.unionByName(one)
+        return out
+    return v.stored("sweep", build)
+
+
+SQL_VIEWS["detector_scores"] = """SELECT 'rule' AS detector, 0 AS place, equipment_id, process_type, tick, CAST(alarm_code IS NOT NULL AS DOUBLE) AS score FROM telemetry
+UNION ALL SELECT 'pca', 1, equipment_id, process_type, win * 6 + 11, greatest(t2, spe) FROM given_pca
+UNION ALL SELECT 'var', 2, equipment_id, process_type, win * 6 + 11, raw FROM given_var
+UNION ALL SELECT 'iforest', 3, equipment_id, process_type, win * 6 + 11, raw FROM given_forest"""
+SQL_VIEWS["sweep_limits"] = f"""SELECT detector, place, process_type, unnest({list(QUANTILES)!r}) AS q, unnest(range({len(QUANTILES)})) AS i, unnest(l) AS lim FROM (
+SELECT detector, place, process_type, quantile_cont(score, {list(QUANTILES)!r}) AS l FROM detector_scores GROUP BY ALL) x"""
+SQL_VIEWS["sweep_fired"] = "SELECT detector, q, equipment_id, tick FROM detector_scores JOIN sweep_limits USING (detector, process_type) WHERE score > lim + 1e-9"
+SQL_VIEWS["swept"] = """SELECT h.*, coalesce(f.n, 0) AS false_alarms_dedup FROM (
+SELECT detector, q, any_value(point) AS point, round(avg(CAST(det AS INT)), 8) AS recall, quantile_cont(delay, 0.9) AS delay_p90, round(avg(delay), 6) AS delay_mean FROM (
+ SELECT p.detector, p.q, any_value(p.point) AS point, e.event_id, min(f.tick) IS NOT NULL AS det, min(f.tick) - any_value(e.start_tick) AS delay
+ FROM incidents e CROSS JOIN (SELECT DISTINCT detector, q, place * 10 + i AS point FROM sweep_limits) p
+ LEFT JOIN sweep_fired f ON f.detector = p.detector AND f.q = p.q AND f.equipment_id = e.equipment_id AND f.tick BETWEEN e.start_tick AND e.end_tick GROUP BY p.detector, p.q, e.event_id) x
+GROUP BY detector, q) h LEFT JOIN (SELECT detector, q, count(DISTINCT (equipment_id, tick // 360)) AS n FROM sweep_fired s WHERE NOT EXISTS
+ (SELECT 1 FROM incidents e WHERE e.equipment_id = s.equipment_id AND s.tick BETWEEN e.start_tick AND e.end_tick) GROUP BY 1, 2) f ON f.detector = h.detector AND f.q = h.q"""
+_POINT = f"""SELECT *, row_number() OVER (PARTITION BY detector ORDER BY CASE WHEN false_alarms_dedup <= {BUDGET} THEN 0 ELSE 1 END,
+CASE WHEN false_alarms_dedup <= {BUDGET} THEN 0 ELSE false_alarms_dedup END, round(recall, 6) DESC, delay_p90 NULLS LAST, point) AS rn FROM swept"""
+
+
+@query("threshold_sweep", "SELECT detector, q, recall, delay_p90, delay_mean, false_alarms_dedup FROM swept")
 def threshold_sweep(v):
-    return sweep_metrics(v).select("q", "recall", "delay_p90", "delay_mean", "false_alarms_dedup")
+    return sweep(v).drop("point")
 
 
-@query("best_by_multi_criteria", f"""WITH {_SWEEP} SELECT q, recall, delay_p90, false_alarms_dedup FROM m
-ORDER BY CASE WHEN false_alarms_dedup <= 60 THEN 0 ELSE 1 END, CASE WHEN false_alarms_dedup <= 60 THEN 0 ELSE false_alarms_dedup END,
-round(recall, 6) DESC, delay_p90, q LIMIT 1""")
+@query("best_by_multi_criteria", f"SELECT detector, q, recall, delay_p90, false_alarms_dedup FROM ({_POINT}) x WHERE rn = 1")
 def best_by_multi_criteria(v):
-    return E.operating_point(sweep_metrics(v), 60).select("q", "recall", "delay_p90", "false_alarms_dedup")
+    return E.operating_point(sweep(v), BUDGET, ["detector"]).select("detector", "q", "recall", "delay_p90", "false_alarms_dedup")
 
 
-@query("grid_best", f"""WITH {_SWEEP} SELECT q, recall, false_alarms_dedup FROM m
-ORDER BY CASE WHEN recall >= 1 THEN 0 ELSE 1 END, false_alarms_dedup, delay_p90, delay_mean, q LIMIT 1""")
+@query("grid_best", """SELECT detector, q, recall, false_alarms_dedup FROM swept
+ORDER BY CASE WHEN recall >= 1 THEN 0 ELSE 1 END, false_alarms_dedup, delay_p90 NULLS LAST, delay_mean NULLS LAST, point LIMIT 1""")
 def grid_best(v):
-    return E.grid_best(sweep_metrics(v), keys=("false_alarms_dedup", "delay_p90", "delay_mean")).select("q", "recall", "false_alarms_dedup")
+    return E.grid_best(sweep(v), keys=("false_alarms_dedup", "delay_p90", "delay_mean")).select("detector", "q", "recall", "false_alarms_dedup")
 
 
-@query("sweep_best_realtime", f"""WITH {_SWEEP} SELECT q, delay_mean, false_alarms_dedup FROM m ORDER BY delay_mean NULLS LAST, false_alarms_dedup, q LIMIT 1""")
+@query("sweep_best_realtime", "SELECT detector, q, delay_mean, false_alarms_dedup FROM swept ORDER BY delay_mean NULLS LAST, false_alarms_dedup, point LIMIT 1")
 def sweep_best_realtime(v):
-    return E.sweep_best_realtime(sweep_metrics(v), "delay_mean", "false_alarms_dedup").select("q", "delay_mean", "false_alarms_dedup")
+    return E.sweep_best_realtime(sweep(v), "delay_mean", "false_alarms_dedup").select("detector", "q", "delay_mean", "false_alarms_dedup")
 
 
-@query("detector_ranking", f"""WITH {_SWEEP} SELECT CAST(q AS VARCHAR) AS detector, row_number() OVER (ORDER BY recall DESC, delay_p90, CAST(q AS VARCHAR)) AS place FROM m""")
+@query("detector_ranking", f"""SELECT detector, q, recall, delay_p90, row_number() OVER (ORDER BY recall DESC NULLS LAST, delay_p90 NULLS LAST, detector) AS place
+FROM ({_POINT}) x WHERE rn = 1""")
 def detector_ranking(v):
-    rows = sweep_metrics(v).withColumn("detector", F.col("q").cast("string"))
-    return E.detector_ranking(rows).select("detector", "place")
+    """Rule, components, autoregression and forest, each at its own operating point."""
+    points = E.operating_point(sweep(v), BUDGET, ["detector"])
+    return E.detector_ranking(points).select("detector", "q", "recall", "delay_p90", "place")
 
 
 SQL_VIEWS["shadow"] = "SELECT * FROM alarms WHERE metric IN ('temperature', 'pressure') AND alarm_code = 'ERR-402'"

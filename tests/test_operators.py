@@ -108,6 +108,25 @@ def test_operating_point(spark):
     assert E.operating_point(pts.limit(0), 1.0).count() == 0
 
 
+def test_threshold_sweep_against_each_threshold(spark):
+    draw = random.Random(3)
+    events = [(i, f"e{i % 3}", "acute", at := draw.randrange(0, 900), at + draw.choice([0, 5, 40, 300])) for i in range(40)]  # some overlap
+    scores = [(f"e{i % 4}", f"P{i % 4 % 2}", t, round(draw.random() * draw.choice([1, 3]), 1)) for i in range(4) for t in range(0, 1000, 3)]
+    limits = {"P0": [0.2, 0.9, 1.5, 2.5, 9.0], "P1": [0.1, 0.9, 0.9, 2.9, 8.0]}
+    got = {r.point: r for r in E.threshold_sweep(
+        spark.createDataFrame(events, "event_id long, equipment_id string, kind string, start_tick long, end_tick long"),
+        spark.createDataFrame(scores, "equipment_id string, process_type string, tick long, score double"),
+        spark.createDataFrame(list(limits.items()), "process_type string, limits array<double>"), 5, dedup_ticks=50).collect()}
+    for i in range(5):
+        fired = [(e, t) for e, p, t, s in scores if s > limits[p][i] + 1e-9]
+        first = [min((t - a for e2, t in fired if e2 == e and a <= t <= b), default=None) for _, e, _, a, b in events]
+        found = [d for d in first if d is not None]
+        alarms = {(e, t // 50) for e, t in fired if not any(e == e2 and a <= t <= b for _, e2, _, a, b in events)}
+        assert got[i].recall == pytest.approx(len(found) / 40) and got[i].false_alarms_dedup == len(alarms)
+        assert got[i].delay_mean == (pytest.approx(sum(found) / len(found)) if found else None)
+        assert got[i].delay_p90 == (pytest.approx(float(np.quantile(found, 0.9))) if found else None)
+
+
 def test_shadow_against_rule(spark):
     def spans(rows):
         return spark.createDataFrame([(i, "e", a, b) for i, (a, b) in enumerate(rows)], "alarm_id long, equipment_id string, a long, b long").select(
