@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled rows (``EXAMPLES`` of each class) gives the examples and the features that mark the toxic ones:
-words and word beginnings whose association with the label is far beyond chance.  Document frequencies come from all
-documents.  Examples lie in a block-max inverted index: for every feature and block of examples the largest weight is known,
-so blocks that cannot reach the k-th best cosine are skipped and the k nearest are exact.
+A bounded sample of labelled rows (``EXAMPLES`` of each class) gives the examples, with all their words and those word beginnings
+that mark the toxic ones.  A term weighs its inverse document frequency over all documents, more the more it speaks for the
+label and ``PLAIN`` of that if it does not: no word is left out, but a language as such makes nobody a neighbour of the toxic.
+Examples lie in a block-max inverted index: for every term and block of examples the largest weight is known, so blocks that
+cannot reach the k-th best cosine are skipped and the k nearest are exact.
 """
 
 from __future__ import annotations
@@ -19,39 +20,65 @@ from pyspark.sql import DataFrame, functions as F
 
 from fabsight.llm.common import durable, session, text_or_empty
 
-#: Bounds of the fit: labelled rows of each class, features, and the least G-squared of a feature.
-EXAMPLES, FEATURES, LEAST_G2 = 4000, 2000, 20.0
+#: Labelled rows of each class that the fit sees at most; weight of a term that says nothing about the label.
+EXAMPLES, PLAIN = 1000, 0.3
+#: G-squared that chance reaches once in a thousand, and how much beyond it a term needs for half of its full weight.
+CHANCE, HALF = 10.83, 20.0
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT, THRESHOLD = 15, 64, 0.5, 0.7
 BEGINNINGS = (4, 5, 6)
 WORD = re.compile(r"\w+")
 
 
-def features(text: str) -> Counter:
-    """How often each word and each word beginning (marked by a trailing hyphen) occurs."""
-    words = Counter(WORD.findall(text.lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        for k in BEGINNINGS:
-            if len(w) > k:
-                out[w[:k] + "-"] += n
-    return out
+def beginnings(words) -> set[str]:
+    """Word beginnings, marked by a trailing hyphen."""
+    return {w[:k] + "-" for w in words for k in BEGINNINGS if len(w) > k}
+
+
+class Finder:
+    """Counts of the known terms in texts; words are looked up once."""
+
+    def __init__(self, terms: list[str]):
+        self.position = {t: i for i, t in enumerate(terms)}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def find(self, text: str) -> tuple[list[int], list[int]]:
+        found: Counter = Counter()
+        known, position = self.known, self.position
+        for w, n in Counter(WORD.findall(text.lower())).items():
+            at = known.get(w)
+            if at is None:
+                if len(known) > 500_000:
+                    known.clear()
+                at = known[w] = tuple(position[x] for x in [w, *beginnings([w])] if x in position)
+            for i in at:
+                found[i] += n
+        index = sorted(found)
+        return index, [found[i] for i in index]
 
 
 @dataclass
 class ExampleIndex:
-    """Unit vectors of the examples as postings by feature, with the largest weight of each block."""
+    """Unit vectors of the examples as postings by term, and by term and block the largest weight.
 
-    weights: np.ndarray  # inverse document frequency by feature
+    An entry is a term in a block: entries of term t are ``term_at[t]`` to ``term_at[t + 1]``, the postings of entry e are
+    ``entry_at[e]`` to ``entry_at[e + 1]``.
+    """
+
+    weights: np.ndarray  # by term
     ids: np.ndarray  # document of each example
     toxic: np.ndarray
     vote: np.ndarray  # rows of the class that an example stands for
-    prior: float  # share of toxic rows among those without any feature
-    post_at: np.ndarray  # (features, blocks + 1) bounds of the postings
+    prior: float  # share of toxic rows
+    term_at: np.ndarray
+    entry_block: np.ndarray
+    entry_max: np.ndarray
+    entry_at: np.ndarray
     post_example: np.ndarray
     post_weight: np.ndarray
-    block_max: np.ndarray  # (features, blocks)
     votes_at: np.ndarray  # votes of examples left out, and the share of toxic rows there: the calibration
     share_at: np.ndarray
+    skipped: int = 0
+    met: int = 0
 
     def vector(self, index, counts) -> tuple[np.ndarray, np.ndarray]:
         index = np.asarray(index, dtype=np.int64)
@@ -59,26 +86,36 @@ class ExampleIndex:
         norm = np.sqrt((w * w).sum())
         return index, (w / norm if norm else w)
 
+    def _cosines(self, entries: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Cosines with all examples, as far as the entries say."""
+        n = self.entry_at[entries + 1] - self.entry_at[entries]
+        at = np.repeat(self.entry_at[entries] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.post_example[at], weights=np.repeat(weight, n) * self.post_weight[at], minlength=len(self.ids))
+
     def nearest(self, index, counts, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Examples and exact cosines of the k nearest with a positive cosine, ties to the smaller example."""
         index, w = self.vector(index, counts)
         if not len(index) or not len(self.ids):
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        bounds = w @ self.block_max[index]
-        best_e, best_c = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            # a block that ties the k-th may hold a smaller example
-            if bounds[b] <= 0 or (len(best_c) == k and bounds[b] < best_c[-1] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for f, x in zip(index, w):
-                s = slice(self.post_at[f, b], self.post_at[f, b + 1])
-                score[self.post_example[s] - b * BLOCK] += x * self.post_weight[s]
-            hit = np.flatnonzero(score > 0)
-            best_e, best_c = np.append(best_e, hit + b * BLOCK), np.append(best_c, np.round(score[hit], 12))
-            keep = np.lexsort((best_e, -best_c))[:k]
-            best_e, best_c = best_e[keep], best_c[keep]
-        return best_e, best_c
+        n = self.term_at[index + 1] - self.term_at[index]
+        entries = np.repeat(self.term_at[index] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        weight, block = np.repeat(w, n), self.entry_block[entries]
+        bounds = np.bincount(block, weights=weight * self.entry_max[entries], minlength=-(-len(self.ids) // BLOCK))
+        order = np.argsort(-bounds, kind="stable")
+        first = np.zeros(len(bounds), dtype=bool)
+        first[order[:max(1, -(-k // BLOCK))]] = True
+        score = self._cosines(entries[first[block]], weight[first[block]])
+        least = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        # a block that ties the k-th may hold a smaller example
+        rest = ~first & (bounds > 0) & (bounds >= least - 1e-12)
+        if rest.any():
+            score += self._cosines(entries[rest[block]], weight[rest[block]])
+        self.met, self.skipped = self.met + int((first | rest).sum()), self.skipped + int((~first & ~rest & (bounds > 0)).sum())
+        least = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        found = np.flatnonzero((score > 0) & (score >= least - 1e-11))
+        cosine = np.round(score[found], 12)
+        best = np.lexsort((found, -cosine))[:k]
+        return found[best], cosine[best]
 
     def votes(self, examples: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic votes, weighted by closeness and by the rows an example stands for, drawn to the prior where these are few."""
@@ -118,152 +155,140 @@ def training_rows(labels: DataFrame) -> DataFrame:
             .groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic")))
 
 
-def _feature_table(sample: DataFrame) -> DataFrame:
-    """(feature, toxic, clean): documents of the sample with the feature; combined per task before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = (Counter(), Counter())
-        for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by[toxic].update(features(text).keys())
-        names = list(by[0] | by[1])
-        for at in range(0, len(names), 10_000):
-            part = names[at:at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([by[1][x] for x in part]), pa.array([by[0][x] for x in part])],
-                                             names=["feature", "toxic", "clean"])
-
-    return (sample.select("text", "toxic").mapInArrow(count, "feature string, toxic long, clean long")
-            .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-
-
-def _marked(table: DataFrame, toxic: int, clean: int) -> list[str]:
-    """Features that toxic examples have far more often than chance."""
-    t, c, n = F.col("toxic"), F.col("clean"), toxic + clean
-    cell = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
-    g2 = 2 * (cell(t, (t + c) * toxic / n) + cell(c, (t + c) * clean / n)
-              + cell(toxic - t, (n - t - c) * toxic / n) + cell(clean - c, (n - t - c) * clean / n))
-    # at least ten times as frequent: words of the language never mark a document
-    rows = (table.where(t * clean >= 10 * (c + 0.5) * toxic).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
-            .orderBy(F.desc("g2"), "feature").limit(FEATURES).select("feature").collect())
-    return [r.feature for r in rows]
-
-
-class Finder:
-    """Counts of the marked features in texts; words are looked up once."""
-
-    def __init__(self, marked: list[str]):
-        self.position = {f: i for i, f in enumerate(marked)}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def find(self, text: str) -> tuple[list[int], list[int]]:
-        found: Counter = Counter()
-        known, position = self.known, self.position
-        for w, n in Counter(WORD.findall(text.lower())).items():
-            at = known.get(w)
-            if at is None:
-                if len(known) > 500_000:
-                    known.clear()
-                names = [w, *(w[:k] + "-" for k in BEGINNINGS if len(w) > k)]
-                at = known[w] = tuple(position[x] for x in names if x in position)
-            for i in at:
-                found[i] += n
-        index = sorted(found)
-        return index, [found[i] for i in index]
-
-
-def _vectors(docs: DataFrame, marked: list[str]) -> DataFrame:
-    """(doc_id, index, counts) of every document in the marked features."""
+def _association(toxic: np.ndarray, clean: np.ndarray, rows: tuple[int, int]) -> np.ndarray:
+    """How much terms speak for the label, 0 to 1, from the toxic and clean examples that hold them."""
+    n1, n0 = rows
+    n, both = n1 + n0, toxic + clean
+    g2 = np.zeros(len(toxic))
+    for seen, expected in ((toxic, both * n1 / n), (clean, both * n0 / n), (n1 - toxic, (n - both) * n1 / n), (n0 - clean, (n - both) * n0 / n)):
+        g2 += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
+    beyond = np.maximum(g2 - CHANCE, 0)
+    # a term as common among clean examples says nothing, however many there are
+    return beyond / (beyond + HALF) * np.maximum(1 - (clean / n0) / np.maximum(toxic / n1, 1e-300), 0)
+
+
+def _terms(texts: list[str], toxic: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """All words of the examples and the beginnings that mark toxic ones, with their association."""
+    by = (Counter(), Counter())
+    for text, t in zip(texts, toxic):
+        words = set(WORD.findall(text.lower()))
+        by[int(t)].update(words | beginnings(words))
+    names = sorted(by[0] | by[1])
+    rows = int(toxic.sum()), int(len(toxic) - toxic.sum())
+    speaks = np.zeros(len(names))
+    if min(rows):
+        speaks = _association(np.array([by[1][x] for x in names], dtype=float), np.array([by[0][x] for x in names], dtype=float), rows)
+    kept = [i for i, x in enumerate(names) if speaks[i] > 0 or not x.endswith("-")]
+    return [names[i] for i in kept], speaks[kept]
+
+
+def _frequencies(texts: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+    """All documents, and how many hold each term; a row a term and task is shuffled."""
+    known = texts.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(marked)
+        finder, n, holding = Finder(known.value), 0, np.zeros(len(known.value), dtype=np.int64)
         for b in batches:
-            found = [finder.find(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int64()))],
-                                             names=["doc_id", "index", "counts"])
+            for text in b.column(0).to_pylist():
+                holding[finder.find(text)[0]] += 1
+            n += b.num_rows
+        seen = np.flatnonzero(holding)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *seen.tolist()], pa.int64()), pa.array([n, *holding[seen].tolist()], pa.int64())], names=["term", "n"])
 
-    return docs.mapInArrow(count, "doc_id long, index array<int>, counts array<long>")
+    found = {r.term: r.n for r in texts.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return found.get(-1, 0), np.array([found.get(i, 0) for i in range(len(terms))], dtype=np.float64)
 
 
-def fit(vectors: DataFrame, sample: DataFrame, marked: list[str], documents: int, rows: dict[int, int]) -> ExampleIndex:
-    """The index of the sampled examples; at most 2 * EXAMPLES rows and FEATURES counts come to the driver."""
-    frequency = np.zeros(len(marked))
-    for r in vectors.select(F.explode("index").alias("i")).groupBy("i").count().collect():
-        frequency[r["i"]] = r["count"]
-    examples = vectors.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").orderBy("index", "doc_id", "counts").collect()  # like ones share blocks
+def fit(examples: list, rows: dict[int, int], texts: DataFrame) -> tuple[list[str], ExampleIndex]:
+    """Terms and index of the examples (doc_id, toxic, text, rows); ``rows`` are the labelled rows of each class."""
     toxic = np.array([r.toxic for r in examples], dtype=np.float64)
-    blocks = -(-len(examples) // BLOCK)
-    index = ExampleIndex(np.log((1.0 + documents) / (1.0 + frequency)) + 1.0, np.array([r.doc_id for r in examples], dtype=np.int64), toxic,
-                         np.zeros(len(examples)), 0.0, np.zeros((len(marked), blocks + 1), dtype=np.int64), None, None,
-                         np.zeros((len(marked), blocks)), np.zeros(0), np.zeros(0))
-    taken = {c: max(1, int((toxic == c).sum())) for c in (0, 1)}
-    index.vote = np.array([rows.get(int(c), 0) / taken[int(c)] for c in toxic])
-    if rows.get(0, 0) and rows.get(1, 0):
-        index.vote *= (taken[0] + taken[1]) / (rows[0] + rows[1])
-    bare = np.array([not r["index"] for r in examples], dtype=bool)
-    weight = index.vote[bare].sum()
-    index.prior = float((index.vote * toxic)[bare].sum() / weight) if weight else float((index.vote * toxic).sum() / max(index.vote.sum(), 1e-300))
-    entries = [(f, e, x) for e, r in enumerate(examples) for f, x in zip(*index.vector(r["index"], r["counts"]))]
-    entries.sort(key=lambda t: (t[0], t[1]))
-    f = np.array([t[0] for t in entries], dtype=np.int64)
-    index.post_example, index.post_weight = np.array([t[1] for t in entries], dtype=np.int64), np.array([t[2] for t in entries])
-    key = f * (blocks + 1) + index.post_example // BLOCK
-    for b in range(blocks + 1):
-        index.post_at[:, b] = np.searchsorted(key, np.arange(len(marked)) * (blocks + 1) + b)
-    if len(entries):
-        np.maximum.at(index.block_max, (f, index.post_example // BLOCK), index.post_weight)
-        index.calibrate([(r["index"], r["counts"]) for r in examples])
-    return index
+    terms, speaks = _terms([r.text for r in examples], toxic)
+    documents, holding = _frequencies(texts, terms)
+    weights = (np.log((1.0 + documents) / (1.0 + holding)) + 1.0) * (PLAIN + speaks)
+    finder = Finder(terms)
+    found = [finder.find(r.text) for r in examples]
+    # examples of like terms share blocks: in order of their strongest terms
+    strongest = [sorted(i, key=lambda t: (-speaks[t], holding[t] * -1.0, t))[:3] for i, _ in found]
+    order = sorted(range(len(examples)), key=lambda e: (strongest[e], examples[e].doc_id, examples[e].text))
+    examples, found, toxic = [examples[e] for e in order], [found[e] for e in order], toxic[order]
+    index = ExampleIndex(weights, np.array([r.doc_id for r in examples], dtype=np.int64), toxic, np.zeros(len(examples)), 0.0,
+                         *[np.zeros(0, dtype=np.int64)] * 6, np.zeros(0), np.zeros(0))
+    # an example stands for its copies, and all examples of a class for the labelled rows of the class
+    copies = np.array([r.rows for r in examples], dtype=np.float64)
+    total = {c: max(1.0, copies[toxic == c].sum()) for c in (0, 1)}
+    index.vote = np.array([n * rows.get(int(c), 0) / total[int(c)] for n, c in zip(copies, toxic)])
+    if len(examples):
+        index.vote *= len(examples) / max(index.vote.sum(), 1e-300)
+        index.prior = float((index.vote * toxic).sum() / max(index.vote.sum(), 1e-300))
+    vectors = [index.vector(i, c) for i, c in found]
+    term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, dtype=np.int64)
+    weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+    example = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+    by_term = np.lexsort((example, term))
+    term, index.post_example, index.post_weight = term[by_term], example[by_term], weight[by_term]
+    block = index.post_example // BLOCK
+    new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, dtype=np.int64)
+    index.entry_block, index.entry_at = block[new], np.append(new, len(term))
+    index.entry_max = np.maximum.reduceat(index.post_weight, new) if len(new) else np.zeros(0)
+    index.term_at = np.searchsorted(term[new], np.arange(len(terms) + 1))
+    if rows.get(0) and rows.get(1):
+        index.calibrate(found)
+    return terms, index
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """(features, broadcast index, vectors of all documents): what scoring needs, from all documents and the labels."""
+    """(broadcast terms and index, texts of all documents): what scoring needs, from all documents and the labels.
+
+    A sampled id is one example for each of its different texts, whose copies are its rows; of very many different texts of
+    one id the ``EXAMPLES`` first by hash.  So at most 2 * EXAMPLES texts reach the driver.
+    """
     spark = session(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     learned = durable(training_rows(labels))
     draw = learned.orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = durable(draw.where("toxic = 1").limit(EXAMPLES).union(draw.where("toxic = 0").limit(EXAMPLES)))
     rows = {r["toxic"]: r["count"] for r in learned.groupBy("toxic").count().collect()}
-    sampled = durable(texts.join(F.broadcast(sample), "doc_id"))  # at most 2 * EXAMPLES labelled rows
-    have = {r["toxic"]: r["count"] for r in sampled.groupBy("toxic").count().collect()}
-    marked = _marked(_feature_table(sampled), have[1], have[0]) if have.get(0) and have.get(1) else []
-    vectors = durable(_vectors(texts, marked))
-    return marked, spark.sparkContext.broadcast(fit(vectors, sample, marked, vectors.count(), rows)), vectors
+    held = durable(texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "text").agg(F.count(F.lit(1)).alias("rows")))
+    first = held.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    examples = [r for c in (1, 0) for r in first.where(F.col("toxic") == c).limit(EXAMPLES).collect()]
+    return spark.sparkContext.broadcast(fit(examples, rows, texts)), texts
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for every document.
 
     ``evidence`` lists the nearest examples: doc_id, cosine, toxic.  A null text is an empty one; an empty text and one without
-    any marked feature get the share of toxic examples among such texts.  Repeated rows are scored alike, row by row; a null id
-    is scored too (and is never held out); without labels, or without toxic ones, every score is the prior (0 without labels).
-    Other columns are ignored, whatever their names; no rows give no rows.
+    any known term get the share of toxic rows.  Repeated rows are scored alike, row by row; a null id is scored too (and is
+    never held out); without labels, or without toxic ones, every score is the prior (0 without labels).  Other columns are
+    ignored, whatever their names; no rows give no rows.
     """
-    _, model, vectors = train(docs, labels, id_col, text_col)
+    model, texts = train(docs, labels, id_col, text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+        terms, m = model.value
+        finder, kind = Finder(terms), pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for b in batches:
             scores, evidence = [], []
-            for index, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                near, cosine = m.nearest(index, counts)
+            for text in b.column(1).to_pylist():
+                near, cosine = m.nearest(*finder.find(text))
                 scores.append(m.score(near, cosine))
                 evidence.append([{"doc_id": int(m.ids[e]), "cosine": float(c), "toxic": int(m.toxic[e])} for e, c in zip(near, cosine)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)],
                                              names=["doc_id", "score", "evidence"])
 
-    judged = vectors.mapInArrow(judge, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
+    judged = texts.mapInArrow(judge, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return judged.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores below the threshold, with all their columns; cases as in ``toxicity``."""
-    marked, model, _ = train(docs, labels, id_col, text_col)
+    """The rows of ``docs`` whose text scores below the threshold, with all their columns; cases (ties too) as in ``toxicity``."""
+    model, _ = train(docs, labels, id_col, text_col)
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, m = Finder(marked), model.value
+        terms, m = model.value
+        finder = Finder(terms)
         for b in batches:
             clean = [m.score(*m.nearest(*finder.find(t or ""))) < threshold for t in b.column(place).to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
