@@ -419,8 +419,9 @@ def test_cosines_and_votes_equal_brute_force(spark):
     model, texts = toxicity.train(docs, spark.createDataFrame([(d, 0, t) for d, t in dict(labels).items()], "doc_id long, quality int, toxic int"))
     terms, m = model.value
     finder = toxicity.Finder(terms)
-    for text, cosine, votes in plain_scores(rows, dict(labels).items()):
-        near, found = m.nearest(*finder.find(text or ""))
+    counted = finder.find_all([t or "" for _, t in rows])
+    for (text, cosine, votes), (index, counts) in zip(plain_scores(rows, dict(labels).items()), counted, strict=True):
+        near, found = m.nearest(index, counts)
         assert len(found) == len(cosine) and np.allclose(found, cosine, atol=1e-11)
         # of equal cosines at the border another example may be taken
         if len(cosine) and (len(cosine) < toxicity.NEIGHBOURS or np.diff(cosine)[-1] < -1e-9):
