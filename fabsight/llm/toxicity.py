@@ -13,10 +13,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,8 +26,6 @@ EXAMPLES, PLAIN = 1000, 0.3
 CHANCE, HALF = 10.83, 20.0
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT, THRESHOLD = 15, 64, 0.5, 0.7
 BEGINNINGS = (4, 5, 6)
-#: Texts that are counted at a time.
-TEXTS = 256
 WORD = re.compile(r"\w+")
 
 
@@ -39,43 +35,29 @@ def beginnings(words) -> set[str]:
 
 
 class Finder:
-    """Counts of the known terms in texts; words are looked up once."""
+    """The known terms of texts: words, and beginnings of words that start like one of them."""
 
     def __init__(self, terms: list[str]):
         self.position = {t: i for i, t in enumerate(terms)}
-        self.known: dict[str, tuple[int, ...]] = {}
         self.heads = {t[:BEGINNINGS[0]] for t in terms if t.endswith("-")}
 
-    def _terms(self, word: str) -> tuple[int, ...]:
-        at = self.known.get(word)
-        if at is None:
-            position = self.position
-            at = (position[word],) if word in position else ()
-            if word[:BEGINNINGS[0]] in self.heads:
-                at += tuple(position[x] for x in (word[:k] + "-" for k in BEGINNINGS if len(word) > k) if x in position)
-            self.known[word] = at
-        return at
-
-    def find_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(terms in order, counts) of each text; ``TEXTS`` texts are counted at a time."""
-        width = max(len(self.position), 1)
-        for start in range(0, len(texts), TEXTS):
-            words = [WORD.findall(t.lower()) for t in texts[start:start + TEXTS]]
-            if len(self.known) > 500_000:
-                self.known.clear()
-            flat = np.empty(sum(map(len, words)), dtype=object)
-            flat[:] = list(chain.from_iterable(words))
-            codes, names = pd.factorize(flat)
-            found = [self._terms(w) for w in names]
-            held = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            term = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(held.sum()))
-            n, begin = held[codes], (np.cumsum(held) - held)[codes]
-            each = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            text = np.repeat(np.repeat(np.arange(len(words)), [len(w) for w in words]), n)
-            key, counts = np.unique(text * width + term[each], return_counts=True)
-            at = np.searchsorted(key, np.arange(len(words) + 1) * width)
-            for x, y in zip(at, at[1:]):
-                yield key[x:y] % width, counts[x:y]
+    def marked(self, words) -> Iterator[tuple[str, int]]:
+        """(word, term) of the known beginnings of different words."""
+        position, heads, head = self.position, self.heads, BEGINNINGS[0]
+        for w in [w for w in words if w[:head] in heads]:
+            for k in BEGINNINGS:
+                if len(w) > k and (at := position.get(w[:k] + "-")) is not None:
+                    yield w, at
+
+    def find(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Terms in order, and their counts."""
+        words, position = Counter(WORD.findall(text.lower())), self.position
+        found = {position[w]: words[w] for w in words.keys() & self.position.keys()}
+        for w, at in self.marked(words):
+            found[at] = found.get(at, 0) + words[w]
+        index = np.fromiter(found, dtype=np.int64, count=len(found))
+        order = np.argsort(index)
+        return index[order], np.fromiter(found.values(), dtype=np.float64, count=len(found))[order]
 
 
 @dataclass
@@ -211,8 +193,14 @@ def _frequencies(texts: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, n, holding = Finder(known.value), 0, np.zeros(len(known.value), dtype=np.int64)
         for b in batches:
-            for index, _ in finder.find_all(b.column(0).to_pylist()):
-                holding[index] += 1
+            words: Counter = Counter()
+            for text in b.column(0).to_pylist():
+                own = set(WORD.findall(text.lower()))
+                words.update(own)
+                for at in {at for _, at in finder.marked(own)}:
+                    holding[at] += 1
+            for w in words.keys() & finder.position.keys():
+                holding[finder.position[w]] += words[w]
             n += b.num_rows
         seen = np.flatnonzero(holding)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *seen.tolist()], pa.int64()), pa.array([n, *holding[seen].tolist()], pa.int64())], names=["term", "n"])
@@ -228,7 +216,7 @@ def fit(examples: list, rows: dict[int, int], texts: DataFrame) -> tuple[list[st
     documents, holding = _frequencies(texts, terms)
     weights = (np.log((1.0 + documents) / (1.0 + holding)) + 1.0) * (PLAIN + speaks)
     finder = Finder(terms)
-    found = list(finder.find_all([r.text for r in examples]))
+    found = [finder.find(r.text) for r in examples]
     # examples of like terms share blocks: in order of their strongest terms
     strongest = [sorted(i, key=lambda t: (-speaks[t], holding[t] * -1.0, t))[:3] for i, _ in found]
     order = sorted(range(len(examples)), key=lambda e: (strongest[e], examples[e].doc_id, examples[e].text))
@@ -291,8 +279,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
         finder, kind = Finder(terms), pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for b in batches:
             scores, evidence = [], []
-            for index, counts in finder.find_all(b.column(1).to_pylist()):
-                near, cosine = m.nearest(index, counts)
+            for text in b.column(1).to_pylist():
+                near, cosine = m.nearest(*finder.find(text))
                 scores.append(m.score(near, cosine))
                 evidence.append([{"doc_id": int(m.ids[e]), "cosine": float(c), "toxic": int(m.toxic[e])} for e, c in zip(near, cosine)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)],
@@ -312,7 +300,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
         terms, m = model.value
         finder = Finder(terms)
         for b in batches:
-            clean = [m.score(*m.nearest(i, c)) < threshold for i, c in finder.find_all([t or "" for t in b.column(place).to_pylist()])]
+            clean = [m.score(*m.nearest(*finder.find(t or ""))) < threshold for t in b.column(place).to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
