@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fabsight.operators.telemetry import top_n_per_key
 from fabsight.plans.asof import asof_backward
+from fabsight.plans.series import number_rows
 
 REPAIR_TYPES = ("emergency", "repair")
 INSPECTION_TYPES = ("preventive", "inspection")
@@ -169,5 +170,22 @@ def audit_recent(audit: DataFrame, now: Column, ttl_days: int, n: int, **equals)
 
 
 def audit_cap(audit: DataFrame, most: int) -> DataFrame:
-    """Retention: keep the newest ``most`` entries."""
-    return audit.orderBy(F.desc("created_at"), F.desc("id")).limit(most)
+    """Retention: keep the newest ``most`` entries.
+
+    Counts per day tell the day that the cap cuts; later days stay whole, and only that day is put in order, over all tasks.
+    """
+    day = F.to_date("created_at")
+    newer = W.orderBy(F.desc_nulls_last("_day")).rowsBetween(W.unboundedPreceding, -1)
+    days = audit.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(newer), F.lit(0)))  # a row a day
+    border = days.where((F.col("_before") <= most) & (F.col("_before") + F.col("_n") > most)).first()
+    if border is None:
+        return audit
+    last = F.lit(border["_day"]).cast("date")
+    cut = number_rows(audit.where(day.eqNullSafe(last)), [], [F.desc("created_at"), F.desc("id")], "_pos").where(F.col("_pos") < most - border["_before"])
+    whole = audit.where(day > last) if border["_day"] else audit.where(day.isNotNull())
+    return whole.unionByName(cut.drop("_pos"))
+
+
+def audit_retention(audit: DataFrame, now: Column, ttl_days: int, most: int) -> DataFrame:
+    """What a compaction keeps: entries inside the retention time (a table by day drops whole days), the newest ``most`` of them."""
+    return audit_cap(audit.where(F.col("created_at") > now - F.make_dt_interval(F.lit(ttl_days))), most)

@@ -193,6 +193,30 @@ def ewma(df: DataFrame, keys: Sequence[str], pos: str, value: str, alpha: float,
     return joined.select(*df.columns, (F.col("_local") + decay * F.col("_carry")).alias(name))
 
 
+def ewma_last(df: DataFrame, keys: Sequence[str], pos: str, value: str, alpha: float, size: int | None = None) -> DataFrame:
+    """(keys, ewma_last): the last value of ``ewma``, as an aggregate; ``pos`` is dense from 0.
+
+    A stretch of positions maps the value before it by one step, gain * y + shift.  The steps of pieces are sums, so rows combine on
+    the map side; steps compose, so the pieces of a block and then the blocks of a key are folded apart.
+    """
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must be between 0 and 1")
+    size = size or piece_for_decay(alpha)
+    within = F.pmod(F.col(pos), F.lit(size))
+    keep = F.lit(1.0 - alpha)
+    # the first value of a key is its seed: it enters whole
+    term = F.when(F.col(pos) == 0, F.col(value)).otherwise(F.lit(alpha) * F.col(value)) / F.pow(keep, within)
+    steps = df.groupBy(*keys, F.expr(f"{pos} div {size}").alias(PIECE)).agg(F.sum(term).alias("_s"), F.count(F.lit(1)).alias("_n")).select(
+        *keys, PIECE, F.pow(keep, F.col("_n")).alias("gain"), (F.col("_s") * F.pow(keep, F.col("_n") - 1)).alias("shift"))
+    for group in (F.expr(f"{PIECE} div {BLOCK_PIECES}"), F.lit(0)):
+        ordered = F.array_sort(F.collect_list(F.struct(PIECE, "gain", "shift")))
+        start = F.struct(F.lit(1.0).alias("gain"), F.lit(0.0).alias("shift"))
+        folded = F.aggregate(ordered, start, lambda t, x: F.struct((t["gain"] * x["gain"]).alias("gain"), (x["gain"] * t["shift"] + x["shift"]).alias("shift")))
+        steps = steps.withColumn("_b", group).groupBy(*keys, "_b").agg(folded.alias("_f")).select(
+            *keys, F.col("_b").alias(PIECE), F.col("_f.gain").alias("gain"), F.col("_f.shift").alias("shift"))
+    return steps.select(*keys, F.col("shift").alias("ewma_last"))
+
+
 def _hold_last(df, keys, pos, value, keep, name):
     base = df.withColumn(PIECE, F.floor(F.col(pos) / PIECE_ROWS))
     spec = frame(keys, pos).rowsBetween(W.unboundedPreceding, 0)

@@ -85,10 +85,11 @@ def classify_intent(v):
 
 
 @query("mentioned_days", """SELECT conv_id, turn, round(list_sum(d), 8) AS days, len(d) AS n FROM (SELECT conv_id, turn,
-CASE turn % 4 WHEN 0 THEN [3.0] WHEN 1 THEN [0.5, 7.0] WHEN 2 THEN [60.0] ELSE [0.0] END AS d FROM utterances WHERE turn % 4 <> 3) x""")
+CASE turn % 4 WHEN 0 THEN [3.0] WHEN 1 THEN [0.5, 7.0] WHEN 2 THEN [60.0] ELSE [] END AS d FROM utterances) x""")
 def mentioned_days(v):
-    d = utterances(v).select("conv_id", "turn", X.mentioned_days(F.col("tagged")).alias("d")).where(F.size("d") > 0)
-    return d.select("conv_id", "turn", F.round(F.aggregate("d", F.lit(0.0), lambda a, b: a + b), 8).alias("days"), F.size("d").alias("n"))
+    d = utterances(v).select("conv_id", "turn", X.mentioned_days(F.col("tagged")).alias("d"))
+    total = F.when(F.size("d") > 0, F.round(F.aggregate("d", F.lit(0.0), lambda a, b: a + b), 8))
+    return d.select("conv_id", "turn", total.alias("days"), F.size("d").alias("n"))
 
 
 @query("within_data_window", "SELECT conv_id, turn, turn % 4 <> 1 AS inside FROM utterances")
@@ -127,10 +128,17 @@ def alarm_metrics(v):
     return v.alarms.select("alarm_id", F.array_join(FA.alarm_channels(F.col("alarm_code")), ",").alias("metrics"))
 
 
-@query("metric_bands", "SELECT equipment_id, CAST(0.3 AS DOUBLE) AS half, CASE WHEN equipment_no % 2 = 0 THEN 46.5 ELSE 61.5 END::DOUBLE AS usl, CASE WHEN equipment_no % 2 = 0 THEN 43.5 ELSE 58.5 END::DOUBLE AS lsl FROM master")
+_BANDS = ", ".join(f"('{p}', '{c}', {b[2]!r}, {b[4]!r}, {b[3]!r})" for p in ("Deposition", K.DEFAULT_PROCESS) for c, b in K.PROFILES[p].items())
+
+
+@query("metric_bands", f"""SELECT equipment_id, metric, CAST(half AS DOUBLE) AS half, CAST(usl AS DOUBLE) AS usl, CAST(lsl AS DOUBLE) AS lsl
+FROM master JOIN (VALUES {_BANDS}) b(process, metric, half, usl, lsl) ON process = CASE WHEN equipment_no % 2 = 0 THEN 'Deposition' ELSE '{K.DEFAULT_PROCESS}' END""")
 def metric_bands(v):
+    """The bands of all four channels; an unlisted process has those of the default one."""
     process = F.when(F.col("process_type") == "P0", "Deposition").otherwise("unlisted")
-    return v.master.select("equipment_id", R.metric_bands(process)["temperature"].alias("b")).select("equipment_id", "b.*")
+    bands = v.master.select("equipment_id", R.metric_bands(process).alias("b"))
+    each = F.array(*[F.struct(F.lit(c).alias("metric"), *[F.col(f"b.{c}.{f}").cast("double").alias(f) for f in ("half", "usl", "lsl")]) for c in K.CHANNELS])
+    return bands.select("equipment_id", F.inline(each))
 
 
 @query("scene_position", "SELECT equipment_id, CASE WHEN coalesce(position_x, position_y) IS NULL THEN NULL ELSE coalesce(position_x, 0) + 10 * coalesce(position_y, 0) END AS code FROM master")

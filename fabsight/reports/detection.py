@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fabsight import constants as K
 from fabsight.operators import detectors as D, evaluate as E, scoring as S, serving as Sv, windows as Wn
 from fabsight.operators.protocol import WindowDetector
+from fabsight.plans.series import ewma_last as fold_last
 from fabsight.registry import query
 from fabsight.reports import models as G
 from fabsight.reports.series import stepped, win_score
@@ -257,7 +258,6 @@ def step_aware_models(v):
 
 @query("ewma_last", _ACC + " SELECT equipment_id, round(arg_max(y, win), 8) AS ewma_last FROM r GROUP BY 1")
 def ewma_last(v):
-    """The ordered fold as last value of the series (cross-check of the windowed form)."""
-    from fabsight.plans.series import ewma
-    acc = ewma(win_score(v).withColumn("raw", F.least("raw", F.lit(3.0))), ["equipment_id"], "win", "raw", K.EWMA_ALPHA)
-    return acc.groupBy("equipment_id").agg(F.round(F.max_by("ewma", "win"), 8).alias("ewma_last"))
+    """The ordered fold as an aggregate of composable steps."""
+    clipped = win_score(v).withColumn("raw", F.least("raw", F.lit(3.0)))
+    return fold_last(clipped, ["equipment_id"], "win", "raw", K.EWMA_ALPHA).withColumn("ewma_last", F.round("ewma_last", 8))

@@ -202,19 +202,20 @@ def detector_ranking(v):
     return E.detector_ranking(points).select("detector", "q", "recall", "delay_p90", "place")
 
 
-SQL_VIEWS["shadow"] = "SELECT * FROM alarms WHERE metric IN ('temperature', 'pressure') AND alarm_code = 'ERR-402'"
-SQL_VIEWS["ruled"] = "SELECT * FROM alarms WHERE metric IN ('rf_power', 'gas_flow') AND alarm_code LIKE 'WRN%'"
+SQL_VIEWS["shadow"] = "SELECT * FROM alarms WHERE alarm_id % 5 < 2"
+SQL_VIEWS["ruled"] = "SELECT * FROM alarms WHERE alarm_id % 5 >= 2"
 NOW = "2024-02-01 00:00:00"
 _OV = f"""EXISTS (SELECT 1 FROM {{b}} y WHERE y.equipment_id = x.equipment_id AND x.raised_at <= coalesce(y.cleared_at, TIMESTAMP '{NOW}')
 AND y.raised_at <= coalesce(x.cleared_at, TIMESTAMP '{NOW}'))"""
 
 
 def shadow(v):
-    return v.alarms.where(F.col("metric").isin("temperature", "pressure") & (F.col("alarm_code") == "ERR-402"))
+    """Every alarm is of one of two detectors: two in five are the shadow detector's, the others the rule's."""
+    return v.alarms.where("alarm_id % 5 < 2")
 
 
 def ruled(v):
-    return v.alarms.where(F.col("metric").isin("rf_power", "gas_flow") & F.col("alarm_code").startswith("WRN"))
+    return v.alarms.where("alarm_id % 5 >= 2")
 
 
 def now():

@@ -139,21 +139,26 @@ JOIN (SELECT *, {' + '.join(f'{x} ** 2' for x in white)} AS s FROM {prefix}_res)
     return out
 
 
-def sql_series(prefix: str) -> str:
-    """Statement head that ends in ``series`` (equipment_id, win, masked, fired, channel, score): both paths accumulated, confirmed and merged."""
+def sql_series(prefix: str, live: bool = False) -> str:
+    """Statement head that ends in ``series`` (equipment_id, win, masked, fired, channel, score): both paths accumulated, confirmed and merged.
+
+    ``live``: as a stream sees it, which has no accumulated score before the first unmasked window.
+    """
     own = "CASE equipment_id " + " ".join(f"WHEN '{e}' THEN CAST({x!r} AS DOUBLE)" for e, x in OWN_LIMIT.items()) + f" ELSE {_by_type(EWMA_LIMIT)} END"
+    unseen = "CASE WHEN win < coalesce(start, win + 1) THEN 0 ELSE 1 END * " if live else ""
     return f"""WITH RECURSIVE m AS MATERIALIZED (SELECT p.equipment_id, p.process_type, p.win, greatest(t2, spe) AS raw, v.raw AS vraw, p.channel, v.channel AS vchannel,
  max(CAST(greatest(t2, spe) >={JUMP!r} AS INT)) OVER (PARTITION BY p.equipment_id ORDER BY p.win ROWS {K.TRANSITION_SETTLE} PRECEDING) = 1 AS masked
  FROM {prefix}_pca p JOIN {prefix}_var v ON p.equipment_id = v.equipment_id AND p.win = v.win),
-f AS MATERIALIZED (SELECT equipment_id, arg_min(least(raw, {K.SCORE_CLIP}), win) AS seed, arg_min(least(vraw, {K.SCORE_CLIP}), win) AS vseed FROM m WHERE NOT masked GROUP BY 1),
+f AS MATERIALIZED (SELECT equipment_id, arg_min(least(raw, {K.SCORE_CLIP}), win) AS seed, arg_min(least(vraw, {K.SCORE_CLIP}), win) AS vseed, min(win) AS start FROM m WHERE NOT masked GROUP BY 1),
 r AS (SELECT m.equipment_id, m.win, coalesce(seed, 0.0) AS y, coalesce(vseed, 0.0) AS vy FROM m LEFT JOIN f ON m.equipment_id = f.equipment_id WHERE m.win = 0
  UNION ALL SELECT m.equipment_id, m.win, CASE WHEN m.masked THEN r.y ELSE {K.EWMA_ALPHA} * least(m.raw, {K.SCORE_CLIP}) + {1 - K.EWMA_ALPHA} * r.y END,
   CASE WHEN m.masked THEN r.vy ELSE {K.EWMA_ALPHA} * least(m.vraw, {K.SCORE_CLIP}) + {1 - K.EWMA_ALPHA} * r.vy END
  FROM r JOIN m ON m.equipment_id = r.equipment_id AND m.win = r.win + 1),
-s AS (SELECT *, y / ({own}) AS score, vy / {_by_type(VAR_EWMA_LIMIT)} AS vscore FROM (SELECT m.*, r.y, r.vy FROM m JOIN r ON m.equipment_id = r.equipment_id AND m.win = r.win) x),
+s AS (SELECT *, {unseen}y / ({own}) AS score, {unseen}vy / {_by_type(VAR_EWMA_LIMIT)} AS vscore FROM (
+ SELECT m.*, r.y, r.vy, f.start FROM m JOIN r ON m.equipment_id = r.equipment_id AND m.win = r.win LEFT JOIN f ON m.equipment_id = f.equipment_id) x),
 c AS (SELECT *, sum(CAST(score > 1 AS INT)) OVER w = {K.CONFIRM_K} AND NOT masked AS a, sum(CAST(vscore > 1 AS INT)) OVER w = {K.CONFIRM_K} AND NOT masked AS b FROM s
  WINDOW w AS (PARTITION BY equipment_id ORDER BY win ROWS {K.CONFIRM_K - 1} PRECEDING)),
-series AS (SELECT equipment_id, win, masked, a OR b AS fired, CASE WHEN a THEN channel WHEN b THEN vchannel END AS channel, greatest(score, vscore) AS score FROM c)
+series AS (SELECT equipment_id, win, masked, greatest(raw, 0) AS pca, vraw AS var, a OR b AS fired, CASE WHEN a THEN channel WHEN b THEN vchannel END AS channel, greatest(score, vscore) AS score FROM c)
 """
 
 

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from fabsight import constants as K
-from fabsight.operators import windows as Wn
+from fabsight.operators import maintenance as M, windows as Wn
 from fabsight.registry import query
-from fabsight.reports.detection import fitted
+from fabsight.reports import models as G
 from fabsight.reports.relational import _rounded
 from fabsight.reports.series import _var_sql, stepped
 from fabsight.streaming import jobs as J
@@ -107,23 +107,18 @@ def stream_step_sessions(v):
     return finish(v, J.stream_step_sessions(source(v, "steps", lambda: Wn.window_step_label(stepped(v)))))
 
 
-@query("stream_audit_retention", "SELECT event_id AS id, event_type AS action FROM events")
+@query("stream_audit_retention", """SELECT event_id AS id, event_type AS action FROM events WHERE ts > TIMESTAMP '2024-01-31' - INTERVAL 20 DAYS
+ORDER BY ts DESC, event_id DESC LIMIT 700""")
 def stream_audit_retention(v):
     audit = source(v, "audit", lambda: v.table("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), F.col("ts").cast("timestamp").alias("created_at")))
-    return finish(v, J.stream_audit_retention(audit)).select("id", "action")
+    stored = finish(v, J.stream_audit_retention(audit))
+    return M.audit_retention(stored, F.lit("2024-01-31").cast("timestamp"), 20, 700).select("id", "action")
 
 
-@query("stream_anomaly_score", "SELECT equipment_id, win, true AS same FROM win_score")
+@query("stream_anomaly_score", G.sql_series("given", live=True) + """SELECT equipment_id, win, round(pca, 6) AS pca, round(var, 6) AS var, round(score, 6) AS score, fired, channel,
+CASE WHEN fired AND NOT coalesce(lag(fired) OVER w, false) THEN 'raise' WHEN NOT fired AND lag(fired) OVER w THEN 'clear' END AS action
+FROM series WINDOW w AS (PARTITION BY equipment_id ORDER BY win)""")
 def stream_anomaly_score(v):
-    """Streaming scores next to the batch scores of the same model: equal for every window."""
-    from fabsight.operators import detectors as D, scoring as S
-    from fabsight.reports.detection import windows
-    m = fitted(v)
-    limits = {r["process_type"]: r["var_ewma_limit"] for r in m.limits.collect()}  # one row per process type
-    got = finish(v, J.stream_anomaly_score(telemetry(v), m.var, limits, threshold=2.0))
-    batch = S.transition_mask(D.var_score(windows(v), m.var), "raw", 2.0).join(m.limits, "process_type")
-    batch = S.accumulate_normalize(batch, "raw", F.col("var_ewma_limit")).select("equipment_id", "win", F.col("score").alias("b"), F.col("raw").alias("r"), "masked")
-    both = got.join(batch, ["equipment_id", "win"])
-    # before the first unmasked window the stream has no seed yet
-    close = (F.abs(F.col("score") - F.col("b")) < 1e-9) | (F.col("masked") & (F.col("score") == 0))
-    return both.select("equipment_id", "win", (close & (F.abs(F.col("raw") - F.col("r")) < 1e-9)).alias("same"))
+    """Both paths of given models as a stream, window by window."""
+    got = finish(v, J.stream_anomaly_score(telemetry(v), G.fitted(v.spark), threshold=G.JUMP))
+    return got.select("equipment_id", "win", *[F.round(c, 6).alias(c) for c in ("pca", "var", "score")], "fired", "channel", "action")

@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fabsight import constants as K
+from fabsight.operators.detectors import _design, feature_channels, whitened_distance, window_feature_matrix
+from fabsight.operators.scoring import limit_override
+from fabsight.operators.serving import Fitted
+from fabsight.operators.windows import ALL_FEATURES
 from fabsight.functions.alarms import severity_rank
 from fabsight.operators.rules import judge
 from fabsight.sources.tables import new_rows
@@ -194,55 +198,72 @@ def stream_step_sessions(windows: DataFrame) -> DataFrame:
     return windows.groupBy("equipment_id").applyInPandasWithState(step, out, "step string, run long", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_anomaly_score(telemetry: DataFrame, states: Sequence, limits: dict[str, float], window: int = K.WINDOW, stride: int = K.STRIDE,
+def stream_anomaly_score(telemetry: DataFrame, fitted: Fitted, window: int = K.WINDOW, stride: int = K.STRIDE,
                          alpha: float = K.EWMA_ALPHA, clip: float = K.SCORE_CLIP, threshold: float = K.TRANSITION_THRESHOLD,
                          settle: int = K.TRANSITION_SETTLE, k: int = K.CONFIRM_K) -> DataFrame:
-    """Score every stride from a ring of ``window`` rows, with accumulated value, run and settle counters as state.
+    """Score every stride by both models of ``score_series``: components and autoregression, merged.
 
-    ``states`` are autoregression models, ``limits`` the accumulated-score limit per process type.
+    One state per equipment: the last ``window`` rows, both accumulated values, both run lengths, the settle counter that both
+    paths share, and whether an alarm is open.  Limits are those of the equipment, else of its process type.  ``tick`` is dense, so
+    rows that come too early wait in the state until the gap before them is filled, and repeated rows are passed over:
+    batches in any order give the result of the whole table, except that windows before the first unmasked one score 0.
     """
-    from fabsight.operators.detectors import _design, whitened_distance
-    models = {s.process_type: (s.lag, np.array(s.coef), np.array(s.whitening), s.limit) for s in states}
-    vals = list(K.CHANNELS)
-    out = "equipment_id string, win long, raw double, score double, fired boolean, action string"
-    schema = "seen long, ring array<double>, acc double, run int, settle int, active boolean"
+    pca = {s.process_type: s for s in fitted.pca}
+    var = {s.process_type: (s.lag, np.array(s.coef), np.array(s.whitening), s.limit) for s in fitted.var}
+    share = feature_channels(ALL_FEATURES)
+    names, wide = np.array(K.CHANNELS), len(K.CHANNELS)
+    own = limit_override(telemetry.select("equipment_id", "process_type", "tick", *K.CHANNELS), fitted.limits, fitted.calibrations)
+    limited = own.join(fitted.limits.select("process_type", "var_ewma_limit"), "process_type", "left")
+    out = "equipment_id string, win long, pca double, var double, score double, fired boolean, channel string, action string"
+    schema = "seen long, ring array<double>, waiting array<double>, acc array<double>, runs array<int>, settle int, active boolean"
+
+    def raw_scores(x: np.ndarray, ptype: str):
+        """Scores and channels of windows (n, window, channels) by both models."""
+        m = pca[ptype]
+        z = (window_feature_matrix(x) - np.array(m.mean)) / np.array(m.scale) - np.array(m.center)
+        comp = np.array(m.components)
+        proj = z @ comp.T
+        resid = (z - proj @ comp) ** 2
+        first = np.maximum((proj ** 2 / np.array(m.variance)).sum(1) / m.t2_limit, resid.sum(1) / m.spe_limit)
+        lag, coef, whitening, limit = var[ptype]
+        d, y = _design(x, lag)
+        r = y - d @ coef.T
+        return first, names[(resid @ share).argmax(1)], whitened_distance(r, whitening).mean(1) / limit, names[np.abs(r).mean(1).argmax(1)]
 
     def step(key, batches, state: GroupState):
-        seen, ring, acc, run, left, active = state.get if state.exists else (0, [], None, 0, 0, False)
-        ring = np.array(ring, float).reshape(-1, len(vals))
-        rows = pd.concat(list(batches)).sort_values("tick")
-        lines = []
-        ptype, part = rows["process_type"].iat[0], rows
-        if ptype not in models:
+        seen, ring, waiting, acc, runs, left, active = state.get if state.exists else (0, [], [], [], [0, 0], 0, False)
+        rows = pd.concat(list(batches))
+        ptype, limits = rows["process_type"].iat[0], (rows["limit"].iat[0], rows["var_ewma_limit"].iat[0])
+        if ptype not in pca or ptype not in var:
             return
-        lag, coef, whitening, limit = models[ptype]
-        x = np.vstack([ring, part[vals].to_numpy(float)])
-        start = seen - len(ring)
-        for end in range(seen, seen + len(part)):
-            if (end + 1 - window) < 0 or (end + 1 - window) % stride:
-                continue
-            w = x[end + 1 - window - start:end + 1 - start][None]
-            d, y = _design(w, lag)
-            raw = float(whitened_distance(y - d @ coef.T, whitening).mean() / limit)
-            jump = threshold > 0 and raw >= threshold
-            masked = jump or left > 0
-            left = settle if jump else max(0, left - 1)
-            if not masked:
-                value = min(raw, clip)
-                acc = value if acc is None else alpha * value + (1 - alpha) * acc
-            score = (acc or 0.0) / limits[ptype]
-            run = run + 1 if score > 1 else 0
-            fired = run >= k and not masked
-            action = "raise" if fired and not active else "clear" if active and not fired else None
-            active = fired
-            lines.append((key[0], (end + 1 - window) // stride, raw, score, fired, action))
-        seen += len(part)
-        ring = x[-window:]
-        state.update((seen, [float(v) for v in ring.ravel()], acc, run, left, active))
-        yield pd.DataFrame(lines, columns=["equipment_id", "win", "raw", "score", "fired", "action"])
-
-    return telemetry.select("equipment_id", "process_type", "tick", *K.CHANNELS).groupBy("equipment_id").applyInPandasWithState(
-        step, out, schema, "append", GroupStateTimeout.NoTimeout)
+        new = np.vstack([np.array(waiting, float).reshape(-1, wide + 1), rows[["tick", *K.CHANNELS]].to_numpy(float)])
+        new = new[np.unique(new[:, 0], return_index=True)[1]]
+        new = new[new[:, 0] >= seen]
+        ready = new[:, 0] == seen + np.arange(len(new))
+        x = np.vstack([np.array(ring, float).reshape(-1, wide), new[ready, 1:]])
+        start, end = seen - len(ring) // wide, seen + int(ready.sum())
+        firsts = np.array([f for f in range(-(-start // stride) * stride, end - window + 1, stride) if f + window > seen], dtype=int)
+        lines = []
+        if len(firsts):
+            scored = raw_scores(np.stack([x[f - start:f - start + window] for f in firsts]), ptype)
+            for f, a, channel, b, other in zip(firsts, *scored):
+                jump = threshold > 0 and a >= threshold
+                masked = jump or left > 0
+                left = settle if jump else max(0, left - 1)
+                if not masked:
+                    values = [min(float(a), clip), min(float(b), clip)]
+                    acc = [alpha * v + (1 - alpha) * y for v, y in zip(values, acc)] if acc else values
+                score = [y / lim for y, lim in zip(acc, limits)] if acc else [0.0, 0.0]
+                runs = [n + 1 if s > 1 else 0 for n, s in zip(runs, score)]
+                fires = [n >= k and not masked for n in runs]
+                fired = any(fires)
+                action = "raise" if fired and not active else "clear" if active and not fired else None
+                active = fired
+                lines.append((key[0], int(f) // stride, float(a), float(b), max(score), fired, channel if fires[0] else other if fires[1] else None, action))
+        state.update((end, [float(v) for v in x[-window:].ravel()], [float(v) for v in new[~ready].ravel()], acc, [int(n) for n in runs], int(left), active))
+        yield pd.DataFrame(lines, columns=["equipment_id", "win", "pca", "var", "score", "fired", "channel", "action"])
+
+    return limited.groupBy("equipment_id").applyInPandasWithState(step, out, schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None, mode: str = "append"):

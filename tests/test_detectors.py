@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fabsight import constants as K
-from fabsight.operators import detectors as D, windows as Wn
+from fabsight.operators import detectors as D, serving as Sv, windows as Wn
 from fabsight.streaming import jobs as J
 
 
@@ -89,6 +89,32 @@ def test_transitions_resume_after_restart(spark, tmp_path):
     assert run().count() == 4
 
 
+def test_features_of_a_window_matrix(series):
+    rows = Wn.window_features(series.where("equipment_id = 'e0'"), tensor=True).orderBy("win").toPandas()
+    got = D.window_feature_matrix(D.tensor(rows))
+    assert np.allclose(got, rows[list(Wn.ALL_FEATURES)].to_numpy(float), atol=1e-9)
+
+
+def test_streamed_scores_equal_batch_scores_whatever_the_order(spark, series, tables, tmp_path):
+    """Three batches: the second comes late, with rows that the first one skipped, and rows come twice."""
+    fitted = Sv.fit_windows(tables[0].unionByName(tables[0].withColumn("win", F.col("win") + 1000)), least=1)
+    limits = spark.createDataFrame([("P", 0.5, 0.4, 10)], "process_type string, ewma_limit double, var_ewma_limit double, train_windows long")
+    fitted = Sv.Fitted(fitted.pca, fitted.var, limits, spark.createDataFrame([("e1", 0.3, 10)], "equipment_id string, ewma_limit double, train_windows long"))
+    rows = series.where("tick < 899 OR equipment_id <> 'e2'")
+    parts = ["tick < 300 AND NOT (tick > 40 AND tick % 50 = 7) OR tick BETWEEN 500 AND 640", "tick < 500 AND (tick % 50 = 7 OR tick >= 290)", "tick >= 640"]
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    for part in parts:
+        rows.where(part).coalesce(1).write.mode("append").parquet(src)
+        got = J.run_available(J.stream_anomaly_score(spark.readStream.schema(rows.schema).parquet(src), fitted, threshold=2.0), out, ck)
+    want = Sv.score_series(Wn.window_features(rows, tensor=True), fitted, threshold=2.0).select("equipment_id", "win", "score", "fired", "channel", "masked").toPandas()
+    both = got.toPandas().merge(want, on=["equipment_id", "win"], suffixes=("", "_batch"))
+    assert len(both) == len(want) == got.count() and want.fired.any() and want.masked.any()
+    seeded = both.sort_values("win").groupby("equipment_id")["masked"].transform(lambda m: (~m).cummax())
+    both = both[seeded.reindex(both.index)]
+    assert np.allclose(both.score, both.score_batch, atol=1e-9)
+    assert (both.fired == both.fired_batch).all() and (both.channel.fillna("") == both.channel_batch.fillna("")).all()
+
+
 def test_late_alarm_is_not_notified_and_bucket_is_kept_once(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
 

@@ -315,6 +315,16 @@ def test_range_partitions_follow_the_input(spark):
     assert session.range_partitions(spark.createDataFrame([(1,)], "a int")) == session.shuffle_partitions(spark)
 
 
+@pytest.mark.parametrize("most", [0, 1, 40, 41, 99, 100, 500])
+def test_audit_retention_keeps_the_newest(spark, most):
+    draw = random.Random(most)
+    rows = [(i, f"2024-01-{draw.choice([1, 2, 2, 2, 2, 5, 9]):02} {draw.randrange(24):02}:00:00") for i in range(100)] + [(100, "2023-11-01 00:00:00")]
+    audit = spark.createDataFrame(rows, "id long, at string").select("id", F.col("at").cast("timestamp").alias("created_at"))
+    want = [i for _, i in sorted(((at, i) for i, at in rows), reverse=True) if i < 100][:most]
+    now = F.lit("2024-01-20").cast("timestamp")
+    assert sorted(r.id for r in M.audit_retention(audit, now, 30, most).collect()) == sorted(want)
+
+
 def test_carry_over_many_blocks(spark, monkeypatch):
     from fabsight.plans import series
     monkeypatch.setattr(series, "BLOCK_PIECES", 3)

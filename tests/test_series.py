@@ -74,6 +74,20 @@ def test_hot_key_is_spread_over_tasks(spark):
     assert parts > 1
 
 
+@pytest.mark.parametrize("size,block", [(None, 1024), (7, 3)])
+def test_ewma_last_is_the_last_ewma(spark, monkeypatch, size, block):
+    monkeypatch.setattr(P, "BLOCK_PIECES", block)
+    draw = np.random.default_rng(5)
+    rows = [("a", i, float(x)) for i, x in enumerate(draw.random(500))] + [("b", 0, 2.5), ("c", 0, 1.0), ("c", 1, 3.0)]
+    df = spark.createDataFrame(rows, "k string, pos long, x double")
+    want = {}
+    for k, _, x in rows:
+        want[k] = 0.2 * x + 0.8 * want[k] if k in want else x
+    got = {r.k: r.ewma_last for r in P.ewma_last(df, ["k"], "pos", "x", 0.2, size).collect()}
+    assert got == pytest.approx(want, rel=1e-12)
+    assert P.ewma_last(df.limit(0), ["k"], "pos", "x", 0.2).count() == 0
+
+
 def test_running_sums_and_lookback(spark):
     df = frame(spark, range(50))
     out = P.running_sums(df, ["k"], "pos", {"s": F.col("x")}, size=7)
