@@ -5,6 +5,7 @@ INTERVAL_SECONDS = 5
 
 WINDOW, STRIDE, CONFIRM_K = 12, 6, 2
 EWMA_ALPHA, SCORE_CLIP = 0.1, 3.0
+EXCERPT_CHARS = 240
 LOOKBACK_ROWS = 300
 TRANSITION_THRESHOLD, TRANSITION_SETTLE = 1000.0, 10
 VAR_LAG, VAR_RIDGE = 2, 1e-6

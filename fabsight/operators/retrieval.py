@@ -133,6 +133,12 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: MetricIndex, t
     return topk(explicit_code_filter(full), k).drop("query")
 
 
+def dedup_citations(hits: DataFrame, key: str, order: str, text: str, most: int = K.EXCERPT_CHARS) -> DataFrame:
+    """One citation per ``key``: the excerpt of its first hit, trimmed and cut to ``most`` characters."""
+    excerpt = F.substring(F.trim(text), 1, most)
+    return hits.groupBy(key).agg(F.min_by(excerpt, order).alias("excerpt"))
+
+
 def rerank_by_score(hits: DataFrame, scores: DataFrame, k: int) -> DataFrame:
     """Reorder candidates by supplied relevance; candidates without one keep their order behind the others."""
     joined = hits.join(scores.select("query_id", "chunk_id", F.col("score").alias("_new")), ["query_id", "chunk_id"], "left")

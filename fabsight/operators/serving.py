@@ -45,6 +45,14 @@ def enough(windows: DataFrame, least: int = K.MIN_TRAIN_WINDOWS) -> DataFrame:
     return windows.join(n.select("process_type"), "process_type", "left_semi")
 
 
+def left_out(groups: DataFrame, windows: DataFrame, key: str, least: int) -> DataFrame:
+    """(key, n_windows, reason): the groups that ``enough`` and ``calibrate_equipment`` pass over, those without any window too."""
+    n = windows.groupBy(key).agg(F.count(F.lit(1)).alias("n_windows"))
+    counted = groups.select(key).distinct().join(n, key, "left").withColumn("n_windows", F.coalesce("n_windows", F.lit(0)))
+    reason = F.when(F.col("n_windows") == 0, "no window").otherwise(F.concat(F.lit("fewer than "), F.lit(least).cast("string")))
+    return counted.where(F.col("n_windows") < least).withColumn("reason", reason)
+
+
 def accumulated(scores: DataFrame) -> DataFrame:
     clipped = scores.withColumn("_c", F.least(F.col("raw"), F.lit(K.SCORE_CLIP)))
     return S.steady_scores(ewma(clipped, ["equipment_id"], "win", "_c", K.EWMA_ALPHA, "acc"))

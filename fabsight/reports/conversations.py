@@ -199,8 +199,8 @@ def work_log_draft_text(v):
 @query("dedup_citations", """WITH r AS (SELECT conv_id, turn, left(trim(text), 240) AS excerpt, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)
 SELECT conv_id AS doc_id, excerpt FROM r WHERE rn = 1""")
 def dedup_citations(v):
-    rows = v.table("conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.substring(F.trim("text"), 1, 240).alias("excerpt"))
-    return rows.groupBy("doc_id").agg(F.min_by("excerpt", "turn").alias("excerpt"))
+    from fabsight.operators.retrieval import dedup_citations as dedup
+    return dedup(v.table("conversations").withColumnRenamed("conv_id", "doc_id"), "doc_id", "turn", "text")
 
 
 @query("collect_citations", """SELECT conv_id, turn, 'MAN-ETCH-' || (conv_id % 9) || ',telemetry@2024-01-0' || (1 + turn % 5) AS cited FROM conversations""")

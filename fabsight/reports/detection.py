@@ -172,6 +172,14 @@ def calibrate_equipment(v):
     return Sv.calibrate_equipment(scores, acc, Sv.ewma_limit_by_parts(acc)).withColumn("ewma_limit", F.round("ewma_limit", 8))
 
 
+@query("groups_left_out", f"""SELECT m.equipment_id, coalesce(n, 0) AS n_windows, CASE WHEN n IS NULL THEN 'no window' ELSE 'fewer than {K.MIN_CALIBRATION_WINDOWS}' END AS reason
+FROM (SELECT DISTINCT equipment_id FROM master) m LEFT JOIN (SELECT equipment_id, count(*) AS n FROM train_wins GROUP BY 1) t ON m.equipment_id = t.equipment_id
+WHERE coalesce(n, 0) < {K.MIN_CALIBRATION_WINDOWS}""")
+def groups_left_out(v):
+    """Equipment that gets no limit of its own, with what it has."""
+    return Sv.left_out(v.master, train(v), "equipment_id", K.MIN_CALIBRATION_WINDOWS)
+
+
 @query("equipment_limit_override", """SELECT equipment_id, CASE WHEN equipment_no % 3 = 0 THEN 1.5 ELSE CASE process_type WHEN 'P0' THEN 1.0 ELSE 2.0 END END::DOUBLE AS "limit" FROM master""")
 def equipment_limit_override(v):
     own = v.master.where("equipment_no % 3 = 0").select("equipment_id", F.lit(1.5).alias("ewma_limit"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fabsight import constants as K
 from fabsight.functions import alarms as FA, dates as FD, text as X
-from fabsight.operators import conversations as C, evaluate as E, lexical as L, maintenance as M, neighbors as NB, notifications as N, retrieval as R, rules, scoring, telemetry as T
+from fabsight.operators import conversations as C, evaluate as E, lexical as L, maintenance as M, neighbors as NB, notifications as N, retrieval as R, rules, scoring, serving as Sv, telemetry as T
 from fabsight.plans import metric as ME
 from fabsight.sources import tables as S
 
@@ -258,6 +258,14 @@ def test_knn_against_all_pairs(spark, monkeypatch, block):
     assert [r["score"] for r in NB.knn_outlier_score(alone, alone, 3, exclude_self=True).collect()] == [None]
 
 
+def test_left_out_groups_and_first_citations(spark):
+    groups = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "equipment_id string")
+    windows = spark.createDataFrame([("a",)] * 3 + [("b",)], "equipment_id string")
+    assert {tuple(r) for r in Sv.left_out(groups, windows, "equipment_id", 2).collect()} == {("b", 1, "fewer than 2"), ("c", 0, "no window")}
+    hits = spark.createDataFrame([(1, 2, "later"), (1, 0, "  first one "), (2, 5, "x" * 300), (3, 1, None)], "doc_id long, turn int, text string")
+    assert {tuple(r) for r in R.dedup_citations(hits, "doc_id", "turn", "text").collect()} == {(1, "first one"), (2, "x" * 240), (3, None)}
+
+
 def test_squared_silhouette(spark):
     rows = unit_vectors(4, 60, 3, 3)
     labels = [i % 3 if i else 9 for i in range(60)]
