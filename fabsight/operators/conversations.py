@@ -145,10 +145,13 @@ def judge_case_join(before: DataFrame, after: DataFrame, cases: DataFrame) -> Da
     return a.join(b, "id").join(cases, "id")
 
 
-def judge_agreement(human: DataFrame, judge: DataFrame) -> DataFrame:
-    """Exact agreement of people and judge, and the new side's win rate by category (a tie counts half)."""
-    j = judge.select("id", F.when(F.col("after_score") > 0.5, "after").when(F.col("after_score") < 0.5, "before").otherwise("tie").alias("judge"))
-    both = human.where(F.col("pick").isNotNull()).join(j, "id", "left")
+def judge_agreement(human: DataFrame, judge: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """Exact agreement of people and judge, and the new side's win rate by category (a tie counts half).
+
+    ``keys`` name a case; picks left blank do not count, cases without a judge count for the win rate alone.
+    """
+    j = judge.select(*keys, F.when(F.col("after_score") > 0.5, "after").when(F.col("after_score") < 0.5, "before").otherwise("tie").alias("judge"))
+    both = human.where(F.col("pick").isNotNull()).join(j, list(keys), "left")
     win = F.when(F.col("pick") == "after", 1.0).when(F.col("pick") == "tie", 0.5).otherwise(0.0)
     same = F.when(F.col("judge").isNotNull(), (F.col("judge") == F.col("pick")).cast("double"))
     return both.rollup("category").agg(F.count(F.lit(1)).alias("n"), F.avg(win).alias("win_rate"), F.avg(same).alias("agreement"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fabsight import constants as K
 from fabsight.functions import alarms as FA, dates as FD, text as X
 from fabsight.operators import conversations as C, neighbors as NB, rules as R, telemetry as T
+from fabsight.operators.incidents import LABELS, UNITS
 from fabsight.registry import query
 from fabsight.views import SQL_VIEWS
 
@@ -148,29 +149,46 @@ def scene_position(v):
     return v.master.select("equipment_id", pos.alias("p")).select("equipment_id", (F.col("p.x") + 10 * F.col("p.y")).alias("code"))
 
 
-_DEV = """p AS (SELECT o_orderkey AS id, 'EQP-' || lpad(CAST(o_custkey % 20 AS VARCHAR), 3, '0') AS equipment_id,
+_CODES = tuple(K.ALARM_CHANNELS)
+_POINT_CODE = "CASE o_orderkey % " + str(len(_CODES)) + " " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CODES)) + " END"
+_VALUES = "{" + ", ".join(f"'{c}': t.{c}" for c in K.CHANNELS) + "}"
+_WANTED = ", ".join(f"('{code}', '{m}')" for code, some in K.ALARM_CHANNELS.items() for m in (some or K.CHANNELS))
+_DEV = f"""p AS (SELECT o_orderkey AS id, 'EQP-' || lpad(CAST(o_custkey % 20 AS VARCHAR), 3, '0') AS equipment_id, {_POINT_CODE} AS alarm_code,
   TIMESTAMP '2024-01-01 00:00:02.5' + to_seconds(CAST(o_orderkey * 3 AS BIGINT)) AS occurred_at FROM orders),
-i AS (SELECT p.id, p.equipment_id, arg_min(t.pressure, epoch_us(t."timestamp") + CASE WHEN t."timestamp" > occurred_at THEN 0 ELSE 0 END) AS any_p, arg_min(t.pressure, (abs(epoch_us(t."timestamp") - epoch_us(occurred_at)), epoch_us(t."timestamp"))) AS incident
-  FROM p JOIN telemetry t ON p.equipment_id = t.equipment_id AND t."timestamp" BETWEEN occurred_at - INTERVAL 5 MINUTES AND occurred_at + INTERVAL 5 MINUTES GROUP BY 1, 2),
-b AS (SELECT p.id, t.pressure, row_number() OVER (PARTITION BY p.id ORDER BY t."timestamp" DESC) AS rn FROM p JOIN telemetry t ON p.equipment_id = t.equipment_id
+i AS (SELECT p.id, p.equipment_id, p.alarm_code, arg_min({_VALUES}, (abs(epoch_us(t."timestamp") - epoch_us(occurred_at)), epoch_us(t."timestamp"))) AS x
+  FROM p JOIN telemetry t ON p.equipment_id = t.equipment_id AND t."timestamp" BETWEEN occurred_at - INTERVAL 5 MINUTES AND occurred_at + INTERVAL 5 MINUTES GROUP BY 1, 2, 3),
+b AS (SELECT p.id, {", ".join(f"t.{c}" for c in K.CHANNELS)}, row_number() OVER (PARTITION BY p.id ORDER BY t."timestamp" DESC) AS rn FROM p JOIN telemetry t ON p.equipment_id = t.equipment_id
   AND t."timestamp" >= occurred_at - INTERVAL 30 MINUTES AND t."timestamp" < occurred_at WHERE t.alarm_code IS NULL),
-m AS (SELECT id, median(pressure) AS baseline FROM b WHERE rn <= 20 GROUP BY 1),
-d AS (SELECT i.id, i.equipment_id, round(incident, 3) AS incident, round(baseline, 3) AS baseline, round(incident - baseline, 3) AS delta FROM i LEFT JOIN m ON i.id = m.id)"""
+m AS (SELECT id, {", ".join(f"median({c}) AS {c}" for c in K.CHANNELS)} FROM b WHERE rn <= 20 GROUP BY 1),
+l AS ({" UNION ALL ".join(f"SELECT i.id, i.equipment_id, i.alarm_code, {n} AS o, '{c}' AS metric, x.{c} AS v, m.{c} AS base FROM i LEFT JOIN m ON i.id = m.id" for n, c in enumerate(K.CHANNELS))}),
+d AS (SELECT l.id, l.equipment_id, l.o, l.metric, round(v, 3) + 0.0 AS incident, round(base, 3) + 0.0 AS baseline, round(v - base, 3) + 0.0 AS delta
+  FROM l JOIN (VALUES {_WANTED}) w(code, metric) ON w.code = l.alarm_code AND w.metric = l.metric WHERE v IS NOT NULL)"""
+
+
+def incident_points(v):
+    """The incidents, whose codes take turns through all that are known."""
+    from fabsight.reports.relational import points
+    codes = F.array(*[F.lit(c) for c in _CODES])
+    return points(v).withColumn("alarm_code", F.element_at(codes, (F.col("id") % len(_CODES) + 1).cast("int")))
 
 
 def deviations(v):
     from fabsight.operators.incidents import sensor_deviation
-    from fabsight.reports.relational import points
-    p = points(v).withColumn("alarm_code", F.lit("ERR-301"))
+    p = incident_points(v)
     return sensor_deviation(p, T.incident_nearest(p, v.telemetry), T.incident_baseline(p, v.telemetry))
 
 
-@query("sensor_deviation", f"WITH {_DEV} SELECT id, 'pressure' AS metric, incident, baseline, delta FROM d")
+def _by_metric(values: dict) -> str:
+    return "CASE metric " + " ".join(f"WHEN '{c}' THEN {sql_text(values[c])}" for c in K.CHANNELS) + " END"
+
+
+@query("sensor_deviation", f"WITH {_DEV} SELECT id, metric, incident, baseline, delta FROM d")
 def sensor_deviation(v):
     return deviations(v).select("id", "metric", "incident", "baseline", "delta")
 
 
-@query("deviation_phrase", f"""WITH {_DEV} SELECT id, '압력' || CASE WHEN delta IS NULL THEN ' 기준 비교 필요' WHEN delta > 0 THEN ' 상승' WHEN delta < 0 THEN ' 하강' ELSE ' 변화 없음' END AS phrase FROM d""")
+@query("deviation_phrase", f"""WITH {_DEV} SELECT id, string_agg({_by_metric(LABELS)} || CASE WHEN delta IS NULL THEN ' 기준 비교 필요' WHEN delta > 0 THEN ' 상승' WHEN delta < 0 THEN ' 하강' ELSE ' 변화 없음' END, ' ' ORDER BY o) AS phrase
+FROM d GROUP BY 1""")
 def deviation_phrase(v):
     from fabsight.operators.incidents import deviation_phrase as phrase
     return phrase(deviations(v))
@@ -180,19 +198,23 @@ def _fmt(c: str) -> str:
     return rf"regexp_replace(regexp_replace(printf('%.3f', {c}), '0+$', ''), '\.$', '')"
 
 
-_PLAN = "\n".join(f"{i}. {t}" for i, t in enumerate([*K.CHECKLISTS["ko"]["ERR-301"], *K.CHECKLIST_TAIL["ko"]], start=1))
+def _plan(code: str) -> str:
+    return "\n".join(f"{i}. {t}" for i, t in enumerate([*K.CHECKLISTS["ko"].get(code, []), *K.CHECKLIST_TAIL["ko"]], start=1))
+
 
+_PLANS = "CASE alarm_code " + " ".join(f"WHEN '{c}' THEN {sql_text(_plan(c))}" for c in _CODES) + " END"
 
-@query("work_log_draft_text", f"""WITH {_DEV} SELECT p.id, md5('[알림 정보]' || chr(10) || '설비: ' || p.equipment_id || chr(10) || '알람: ERR-301' || chr(10) || '발생 시각: ' ||
+
+@query("work_log_draft_text", f"""WITH {_DEV}, t AS (SELECT id, string_agg({_by_metric(LABELS)} || CASE WHEN delta IS NULL THEN ': 발생 ' || {_fmt('incident')} || ' ' || {_by_metric(UNITS)} || ', 기준 부족'
+ELSE ': 기준 ' || {_fmt('baseline')} || ' → 발생 ' || {_fmt('incident')} || ' ' || {_by_metric(UNITS)} || ' 변화 ' || CASE WHEN delta > 0 THEN '+' ELSE '' END || {_fmt('delta')} END, chr(10) ORDER BY o) AS changes FROM d GROUP BY 1)
+SELECT p.id, md5('[알림 정보]' || chr(10) || '설비: ' || p.equipment_id || chr(10) || '알람: ' || alarm_code || chr(10) || '발생 시각: ' ||
 strftime(occurred_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' || chr(10) || '알림 내용: 점검' || chr(10) || chr(10) || '[이상 변화]' || chr(10) ||
-CASE WHEN d.id IS NULL THEN '발생 시점 센서 로그 확인 필요' WHEN delta IS NULL THEN '압력: 발생 ' || {_fmt('incident')} || ' mTorr, 기준 부족'
-ELSE '압력: 기준 ' || {_fmt('baseline')} || ' → 발생 ' || {_fmt('incident')} || ' mTorr 변화 ' || CASE WHEN delta > 0 THEN '+' ELSE '' END || {_fmt('delta')} END || chr(10) || chr(10) ||
-'[판단 요약]' || chr(10) || p.equipment_id || ' ERR-301 대응 점검' || chr(10) || chr(10) || '[대응 계획]' || chr(10) || {sql_text(_PLAN)} || chr(10) || chr(10) ||
-'[안전 확인]' || chr(10) || '- 작업 허가 범위와 설비 안전 상태 확인' || chr(10) || chr(10) || '[매뉴얼 근거]' || chr(10) || '검색 근거 없음') AS draft FROM p LEFT JOIN d ON p.id = d.id""")
+coalesce(changes, '발생 시점 센서 로그 확인 필요') || chr(10) || chr(10) ||
+'[판단 요약]' || chr(10) || p.equipment_id || ' ' || alarm_code || ' 대응 점검' || chr(10) || chr(10) || '[대응 계획]' || chr(10) || {_PLANS} || chr(10) || chr(10) ||
+'[안전 확인]' || chr(10) || '- 작업 허가 범위와 설비 안전 상태 확인' || chr(10) || chr(10) || '[매뉴얼 근거]' || chr(10) || '검색 근거 없음') AS draft FROM p LEFT JOIN t ON p.id = t.id""")
 def work_log_draft_text(v):
     from fabsight.operators.incidents import work_log_draft
-    from fabsight.reports.relational import points
-    heads = points(v).withColumns({"alarm_code": F.lit("ERR-301"), "message": F.lit("점검")})
+    heads = incident_points(v).withColumn("message", F.lit("점검"))
     return work_log_draft(heads, deviations(v)).select("id", F.md5(F.col("draft").cast("binary")).alias("draft"))
 
 
@@ -354,14 +376,17 @@ def judge_case_join(v):
     return out.select("id", F.length("answer_before").alias("before_len"), F.length("answer_after").alias("after_len"), "category")
 
 
-@query("judge_agreement", """WITH j AS (SELECT id, turn, CASE WHEN after_score > 0.5 THEN 'after' WHEN after_score < 0.5 THEN 'before' ELSE 'tie' END AS judge FROM pair_scores WHERE turn = 0),
-h AS (SELECT conv_id AS id, 'c' || (conv_id % 4) AS category, CASE conv_id % 3 WHEN 0 THEN 'after' WHEN 1 THEN 'before' ELSE 'tie' END AS pick FROM conversations WHERE turn = 1)
-SELECT category, count(*) AS n, round(avg(CASE pick WHEN 'after' THEN 1.0 WHEN 'tie' THEN 0.5 ELSE 0 END), 8) AS win_rate, round(avg(CAST(judge = pick AS INT)), 8) AS agreement FROM h LEFT JOIN j ON h.id = j.id GROUP BY ROLLUP (category)""")
+@query("judge_agreement", """WITH j AS (SELECT id, turn, CASE WHEN after_score > 0.5 THEN 'after' WHEN after_score < 0.5 THEN 'before' ELSE 'tie' END AS judge FROM pair_scores WHERE (id + turn) % 7 <> 0),
+h AS (SELECT conv_id AS id, turn, 'c' || (conv_id % 4) AS category, CASE (conv_id + turn) % 4 WHEN 0 THEN 'after' WHEN 1 THEN 'before' WHEN 2 THEN 'tie' END AS pick FROM conversations)
+SELECT category, count(*) AS n, round(avg(CASE pick WHEN 'after' THEN 1.0 WHEN 'tie' THEN 0.5 ELSE 0 END), 8) AS win_rate, round(avg(CAST(judge = pick AS INT)), 8) AS agreement
+FROM h LEFT JOIN j ON h.id = j.id AND h.turn = j.turn WHERE pick IS NOT NULL GROUP BY ROLLUP (category)""")
 def judge_agreement(v):
-    human = v.table("conversations").where("turn = 1").select(
-        F.col("conv_id").alias("id"), F.concat(F.lit("c"), (F.col("conv_id") % 4).cast("string")).alias("category"),
-        F.element_at(F.array(F.lit("after"), F.lit("before"), F.lit("tie")), (F.col("conv_id") % 3 + 1).cast("int")).alias("pick"))
-    out = C.judge_agreement(human, pair_scores(v).where("turn = 0"))
+    """People and judge on every turn; some picks are blank and some turns were not judged."""
+    turn = F.col("conv_id") + F.col("turn")
+    human = v.table("conversations").select(
+        F.col("conv_id").alias("id"), "turn", F.concat(F.lit("c"), (F.col("conv_id") % 4).cast("string")).alias("category"),
+        F.element_at(F.array(F.lit("after"), F.lit("before"), F.lit("tie"), F.lit(None)), (turn % 4 + 1).cast("int")).alias("pick"))
+    out = C.judge_agreement(human, pair_scores(v).where((F.col("id") + F.col("turn")) % 7 != 0), ["id", "turn"])
     return out.withColumns({c: F.round(c, 8) for c in ("win_rate", "agreement")})
 
 

@@ -73,28 +73,30 @@ def experiment_snapshot(v):
     return v.spark.read.parquet(path).select("kind", "recall", F.get_json_object("config", "$.grace").cast("long").alias("grace"))
 
 
-_PAIRS = """(SELECT b.id, b.category, b.answer AS ab, a.answer AS aa FROM (SELECT * FROM answers WHERE rep = 0 AND config = 'before') b JOIN (SELECT * FROM answers WHERE rep = 0 AND config = 'after') a ON a.id = b.id)"""
+_PAIRS = """(SELECT b.id || '-' || b.rep AS id, b.category, b.answer AS ab, a.answer AS aa FROM (SELECT * FROM answers WHERE config = 'before') b
+JOIN (SELECT * FROM answers WHERE config = 'after') a ON a.id = b.id AND a.rep = b.rep)"""
 
 
 def sheet(v):
+    """Every repetition of every case as a blinded pair, written once per session."""
     if "sheet" not in v._stored:
-        rows = answers(v).where("rep = 0")
-        pairs = C.judge_case_join(rows.where("config = 'before'"), rows.where("config = 'after'"), rows.select(
-            "id", "category").distinct()).withColumns({"query": F.concat(F.lit("q"), F.col("id").cast("string")), "id": F.col("id").cast("string")})
+        rows = answers(v).withColumn("id", F.concat_ws("-", F.col("id").cast("string"), F.col("rep").cast("string")))
+        pairs = C.judge_case_join(rows.where("config = 'before'"), rows.where("config = 'after'"), rows.select("id", "category").distinct())
+        pairs = pairs.withColumn("query", F.concat(F.lit("q"), F.col("id")))
         root = folder(v)
         S.spotcheck_export(*C.spotcheck_rows(pairs), root)
         v._stored["sheet"] = root
     return v._stored["sheet"]
 
 
-@query("spotcheck_import", f"SELECT CAST(id AS VARCHAR) AS id, category, length(ab) + length(aa) AS n FROM {_PAIRS} p")
+@query("spotcheck_import", f"SELECT id, category, length(ab) + length(aa) AS n FROM {_PAIRS} p")
 def spotcheck_import(v):
     # answers keep their line breaks through the quoted sheet; both slots together hold both texts
     back = S.spotcheck_import(v.spark, sheet(v))
     return back.select("id", "category", (F.length("answer_slot1") + F.length("answer_slot2")).alias("n"))
 
 
-@query("spotcheck_export", f"SELECT CAST(id AS VARCHAR) AS id, true AS swapped_once FROM {_PAIRS} p")
+@query("spotcheck_export", f"SELECT id, true AS swapped_once FROM {_PAIRS} p")
 def spotcheck_export(v):
     key = v.spark.read.schema("id string, slot1 string, slot2 string").json(f"{sheet(v)}/key")
     return key.select("id", (F.col("slot1") != F.col("slot2")).alias("swapped_once"))

@@ -73,11 +73,28 @@ def sensor_logs_bucketed(v):
     return _rounded(T.sensor_logs_bucketed(v.telemetry, START, 600))
 
 
-@query("sensor_logs_auto", _bucket_sql(6600 / 499, f"""WHERE equipment_id = 'EQP-003' AND "timestamp" >= TIMESTAMP '{START}'
-AND "timestamp" <= TIMESTAMP '{END}'""", "ORDER BY 2 LIMIT 500"))
+_SHORT, _SCREEN = "2024-01-01 00:30:00", [c for ch in K.CHANNELS for c in (ch, f"{ch}_center")]
+_WIDTH = "(greatest(1, CAST(round(6600000000.0 / (greatest(2, 500 // (SELECT count(*) FROM master)) - 1)) AS BIGINT)))"
+
+
+@query("sensor_logs_auto", f"""SELECT * FROM (SELECT 'equipment' AS screen, equipment_id, bucket AS at, {", ".join(_SCREEN)}, alarm_code FROM (
+{_bucket_sql(6600 / 499, f"""WHERE equipment_id = 'EQP-003' AND "timestamp" >= TIMESTAMP '{START}' AND "timestamp" <= TIMESTAMP '{END}'""", "ORDER BY 2 LIMIT 500")}) a)
+UNION ALL SELECT * FROM (SELECT 'all' AS screen, equipment_id, make_timestamp(epoch_us(TIMESTAMP '{START}') + (epoch_us("timestamp") - epoch_us(TIMESTAMP '{START}')) // {_WIDTH} * {_WIDTH}) AS at,
+ {", ".join(f"round(avg({c}), 6) AS {c}" for c in _SCREEN)}, coalesce(min(alarm_code) FILTER (alarm_code LIKE 'ERR%'), min(alarm_code)) AS alarm_code
+ FROM telemetry WHERE "timestamp" >= TIMESTAMP '{START}' AND "timestamp" <= TIMESTAMP '{END}' GROUP BY 2, 3 ORDER BY 3, 2 LIMIT 500) b
+UNION ALL SELECT * FROM (SELECT 'raw' AS screen, equipment_id, "timestamp" AS at, {", ".join(f"round({c}, 6) AS {c}" for c in _SCREEN)}, alarm_code
+ FROM telemetry WHERE equipment_id = 'EQP-003' AND "timestamp" >= TIMESTAMP '{START}' AND "timestamp" <= TIMESTAMP '{_SHORT}') c""")
 def sensor_logs_auto(v):
+    """Three screens: one equipment and all of them over a long range (buckets), one equipment over a short range (its rows)."""
     from datetime import datetime
-    return _rounded(T.sensor_logs_auto(v.telemetry, v.master, datetime.fromisoformat(START), datetime.fromisoformat(END), "EQP-003", limit=K.SENSOR_ROW_BUDGET))
+    start, end, short = (datetime.fromisoformat(x) for x in (START, END, _SHORT))
+    out = None
+    for screen, until, equipment in (("equipment", end, "EQP-003"), ("all", end, None), ("raw", short, "EQP-003")):
+        rows = T.sensor_logs_auto(v.telemetry, v.master, start, until, equipment, limit=K.SENSOR_ROW_BUDGET)
+        at = "bucket" if "bucket" in rows.columns else "timestamp"
+        rows = rows.select(F.lit(screen).alias("screen"), "equipment_id", F.col(at).alias("at"), *[F.round(c, 6).alias(c) for c in _SCREEN], "alarm_code")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("telemetry_projection", """SELECT equipment_id, strftime("timestamp", '%Y-%m-%dT%H:%M:%S') AS "timestamp", temperature,
