@@ -124,9 +124,9 @@ def explicit_code_filter(hits: DataFrame, query: str = "query", content: str = "
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: MetricIndex, terms: LexicalIndex, k: int = K.TOP_K, pool: int = K.RERANK_POOL,
-                  least: float = K.MIN_SCORE, alpha: float = K.FUSION_ALPHA) -> DataFrame:
-    """Vector and lexical candidates, threshold, fusion, explicit-code filter, cut to ``k``."""
-    dense = min_score_filter(dense_search(queries.select("query_id", "embedding"), vectors, pool), least)
+                  least: float = K.MIN_SCORE, alpha: float = K.FUSION_ALPHA, tag: str | None = None) -> DataFrame:
+    """Vector and lexical candidates, threshold, fusion, explicit-code filter, cut to ``k``; ``tag`` as in ``dense_search``."""
+    dense = min_score_filter(dense_search(queries.select("query_id", "embedding", *([tag] if tag else [])), vectors, pool, tag), least)
     sparse = bm25_search(queries, terms, pool)
     fused = convex_fuse(dense, sparse, alpha, pool).drop("rank")
     full = fused.join(chunks.select("chunk_id", "doc_id", "content"), "chunk_id").join(queries.select("query_id", "query"), "query_id")

@@ -102,11 +102,45 @@ def spotcheck_export(v):
     return key.select("id", (F.col("slot1") != F.col("slot2")).alias("swapped_once"))
 
 
-@query("tool_functions", """SELECT equipment_id, process_type, (SELECT count(*) FROM repairs r WHERE r.equipment_id = m.equipment_id) AS repairs,
-(SELECT count(*) FROM alarms a WHERE a.equipment_id = m.equipment_id AND raised_at >= TIMESTAMP '2024-01-10' AND raised_at <= TIMESTAMP '2024-01-20') AS alarms FROM master m""")
+_ASKED = "Data model of the pressure and the gas flow, how many records does it hold?"
+_LETTERS = "list_transform(string_split('a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p,q,r,s,t,u,v,w,x,y,z', ','), lambda l: CAST(len(lower({0})) - len(replace(lower({0}), l, '')) AS DOUBLE))"
+_SCALED = "greatest(CASE WHEN max(score) OVER () <= min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END, 1e-6)"
+_WEEK = "TIMESTAMP '2024-01-10'", "TIMESTAMP '2024-01-20'"
+
+
+@query("tool_functions", f"""WITH q AS (SELECT '{_ASKED}' AS text),
+sparse AS (SELECT chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / (SELECT sum(tf) / count(DISTINCT chunk_id) FROM posts)))) AS score
+ FROM (SELECT term, count(*) AS qtf FROM (SELECT unnest(string_split(text, ' ')) AS term FROM q) x GROUP BY 1) w JOIN posts USING (term) JOIN idfs USING (term) GROUP BY 1 HAVING score > 0 ORDER BY round(score, 9) DESC, chunk_id LIMIT 10),
+cos AS (SELECT chunk_id, list_cosine_similarity(v, {_LETTERS.format("text")}) AS score FROM chunk_vecs, q WHERE chunk_index_of(chunk_id) % 3 = 1 ORDER BY round(score, 9) DESC, chunk_id LIMIT 10),
+b AS (SELECT chunk_id, ds, dn, ss, sn FROM (SELECT chunk_id, score AS ds, {_SCALED} AS dn FROM cos WHERE score >= 0.2) d FULL JOIN (SELECT chunk_id, score AS ss, {_SCALED} AS sn FROM sparse) s USING (chunk_id)),
+f AS (SELECT chunk_id, CASE WHEN max(sn) OVER () IS NULL THEN ds WHEN max(dn) OVER () IS NULL THEN ss ELSE 0.5 * coalesce(dn, 0) + 0.5 * coalesce(sn, 0) END AS score, dn IS NULL AS side, coalesce(ds, ss) AS own FROM b),
+top AS (SELECT chunk_id, score FROM f ORDER BY round(score, 9) DESC, side, round(own, 9) DESC, chunk_id LIMIT 10),
+newest AS (SELECT *, row_number() OVER (PARTITION BY equipment_id ORDER BY repaired_at DESC, id DESC) AS rn FROM repairs),
+counts AS (SELECT equipment_id, alarm_code_before AS code, count(*) AS n FROM newest WHERE rn <= 100 GROUP BY 1, 2)
+SELECT 'get_equipment_metadata' AS tool, equipment_id AS name, process_type || '/' || line_name || '/' || location AS said, 0.0 AS n FROM master
+UNION ALL SELECT 'get_repair_history', CAST(r.id AS VARCHAR), equipment_id || '/' || coalesce(alarm_code_before, '-') || '/' || coalesce(name, '-'), epoch(repaired_at) FROM newest r LEFT JOIN users u ON u.id = r.repaired_by
+ WHERE rn <= 5 AND repaired_at >= TIMESTAMP '1995-01-01'
+UNION ALL SELECT 'get_maintenance_summary', equipment_id, coalesce(string_agg(code || '=' || n, ',' ORDER BY code), ''), sum(n) FROM counts GROUP BY equipment_id
+UNION ALL SELECT 'get_maintenance_summary', 'nowhere', '', 0
+UNION ALL SELECT 'get_alarm_history', alarm_code, strftime(min(raised_at), '%Y-%m-%d %H:%M:%S') || '/' || strftime(max(raised_at), '%Y-%m-%d %H:%M:%S'), count(*) FROM alarms WHERE raised_at >= {_WEEK[0]} AND raised_at <= {_WEEK[1]} GROUP BY 2
+UNION ALL SELECT 'get_sensor_logs', equipment_id || ' ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S'), coalesce(alarm_code, '-'), temperature FROM telemetry
+ WHERE equipment_id = 'EQP-003' AND "timestamp" >= TIMESTAMP '2024-01-01 00:10:00' AND "timestamp" <= TIMESTAMP '2024-01-01 00:30:00'
+UNION ALL SELECT 'search_manuals', chunk_id, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) AS VARCHAR), round(score, 6) FROM top QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) <= 5
+""".replace("chunk_index_of(chunk_id)", "CAST(split_part(chunk_id, '#', 2) AS INT)"))
 def tool_functions(v):
-    """The SQL table functions, joined into one report."""
-    tools.register(v.spark, v.telemetry, v.alarms, v.master, v.repairs)
-    return v.spark.sql("""SELECT m.equipment_id, m.process_type, coalesce(r.n, 0) AS repairs, coalesce(a.n, 0) AS alarms FROM get_equipment_metadata(NULL, NULL) m
-LEFT JOIN (SELECT equipment_id, count(*) AS n FROM get_repair_history(NULL) GROUP BY 1) r ON m.equipment_id = r.equipment_id
-LEFT JOIN (SELECT equipment_id, count(*) AS n FROM get_alarm_events(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-20') GROUP BY 1) a ON m.equipment_id = a.equipment_id""")
+    """All six SQL table functions, called and put into one report."""
+    from fabsight.reports.retrieval import chunk_vecs, lexical
+    manuals = chunk_vecs(v).select("chunk_id", "doc_id", "content", (F.col("chunk_index") % 3).cast("string").alias("tag"), "embedding")
+    tools.register(v.spark, v.telemetry, v.alarms, v.master, v.repairs, v.users, manuals, lexical(v))
+    low = _ASKED.lower()
+    encoded = ", ".join(f"{low.count(c)}D" for c in "abcdefghijklmnopqrstuvwxyz")
+    when = "date_format({0}, 'yyyy-MM-dd HH:mm:ss')"
+    return v.spark.sql(f"""SELECT 'get_equipment_metadata' AS tool, equipment_id AS name, concat_ws('/', process_type, line_name, location) AS said, 0D AS n FROM get_equipment_metadata(NULL, NULL)
+UNION ALL SELECT 'get_repair_history', CAST(id AS STRING), concat_ws('/', equipment_id, coalesce(alarm_code_before, '-'), coalesce(repaired_by_name, '-')), CAST(unix_timestamp(repaired_at) AS DOUBLE)
+ FROM get_repair_history(NULL, NULL, NULL, 5) WHERE repaired_at >= TIMESTAMP '1995-01-01'
+UNION ALL SELECT 'get_maintenance_summary', equipment_id, array_join(transform(array_sort(map_entries(alarm_code_counts)), e -> concat(e.key, '=', e.value)), ','), CAST(repair_count AS DOUBLE)
+ FROM (SELECT * FROM get_maintenance_summary(NULL) UNION ALL SELECT * FROM get_maintenance_summary('nowhere')) m
+UNION ALL SELECT 'get_alarm_history', alarm_code, concat({when.format("first_at")}, '/', {when.format("last_at")}), CAST(occurrences AS DOUBLE) FROM get_alarm_history(NULL, {_WEEK[0]}, {_WEEK[1]}, NULL)
+UNION ALL SELECT 'get_sensor_logs', concat(equipment_id, ' ', {when.format("at")}), coalesce(alarm_code, '-'), temperature
+ FROM get_sensor_logs(TIMESTAMP '2024-01-01 00:10:00', TIMESTAMP '2024-01-01 00:30:00', 'EQP-003', NULL)
+UNION ALL SELECT 'search_manuals', chunk_id, CAST(rank AS STRING), round(score, 6) FROM search_manuals('{_ASKED}', array({encoded}), 5, '1')""")
