@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fabsight.llm.common import session
+from fabsight.llm.common import durable, session
 
 #: A line is boilerplate on more than this part of its host's pages, and on at least so many of them.
 RATIO, LEAST_PAGES = 0.05, 5
+#: Boilerplate lines (32 bytes each) that every task may hold; if there are more, a host's pages are dealt to so many tasks.
+BROADCAST_LINES, SALTS = 1 << 20, 64
 
 
 def line_key(line: Column) -> Column:
@@ -40,11 +42,18 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = L
     a struct beside the row.
     """
     session(docs.sparkSession)
-    flagged = boilerplate_lines(docs, ratio, least_pages, host_col, text_col).groupBy("host").agg(F.collect_list("line").alias("drop"))
     # fewer than 1 / ratio lines per page can be flagged, so at most (lines of a page) / ratio per host: the list is short
-    row, bad = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("r"), flagged.alias("b")
+    lines = durable(boilerplate_lines(docs, ratio, least_pages, host_col, text_col))
+    flagged = lines.groupBy("host").agg(F.collect_list("line").alias("drop"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     host, text = F.col(f"r.row.`{host_col}`"), F.col(f"r.row.`{text_col}`")
+    same = host.eqNullSafe(F.col("b.host"))
+    if lines.count() <= BROADCAST_LINES:  # the texts stay where they are
+        joined = row.alias("r").join(F.broadcast(flagged).alias("b"), same, "left")
+    else:
+        salted = row.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).alias("r")
+        copies = flagged.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).alias("b")
+        joined = salted.join(copies, same & (F.col("r.salt") == F.col("b.salt")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("b.drop"), line_key(x)), F.lit(False))), "\n")
-    joined = row.join(bad, host.eqNullSafe(F.col("b.host")), "left")
     new = F.when(F.col("b.drop").isNull(), text).otherwise(kept)
     return joined.select(*[(new if c == text_col else F.col(f"r.row.`{c}`")).alias(c) for c in docs.columns])

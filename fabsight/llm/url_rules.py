@@ -1,20 +1,21 @@
 """URL filters by a sort-merge range join.
 
-A host written from its last label on turns "this host and its subdomains" into a prefix, and a rule (host, path) into an
-interval of the ordered keys (host, path).  A url asks once for each number of labels that some rule's host has.  Rules and
-asked keys are put in one order and swept: a stack holds the rules whose interval is open, nested by path, and its top is the
-longest rule of that host for a key.  The ordered keys are cut into ranges; a rule goes to every range that it reaches into.
+A host written from its last label on turns "this host and its subdomains" into a prefix, and a rule into an interval of the
+ordered keys.  Rules and urls, each once, are put in this one order and swept: a stack holds the hosts whose interval is open,
+each inside the one below it, with their rules; a url takes the longest rule among those whose path its own begins with.
+The ordered keys are cut into ranges; a rule goes to every range that its interval reaches into.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fabsight.llm.common import durable, session
+from fabsight.session import range_partitions
 
 DEFAULT = "allow"
 #: Sampled keys for each range whose borders they give.
@@ -29,30 +30,24 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def reversed_labels(host: Column, labels: Column) -> Column:
-    """The last ``labels`` labels of the host, last one first, each followed by a dot."""
-    return F.concat(F.array_join(F.slice(F.reverse(F.split(host, "\\.")), F.lit(1), labels), "."), F.lit("."))
+def reversed_host(host: Column) -> Column:
+    """The labels of the host, last one first, each followed by a dot."""
+    return F.concat(F.array_join(F.reverse(F.split(host, "\\.")), "."), F.lit("."))
 
 
-def _after(path: str) -> bytes:
-    """A key behind every key that begins with the path: no UTF-8 text holds this byte."""
-    return path.encode() + b"\xff"
+def _fitting(rules: dict[str, str], lengths: list[int], path: str) -> str | None:
+    """The longest path among the rules that ``path`` begins with; ``lengths``: theirs, longest first."""
+    return next((path[:n] for n in lengths if n <= len(path) and path[:n] in rules), None)
 
 
 def match_rules(keys: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, path, rule, verdict) for the distinct keys (host, path) that a rule fits; the longest rule wins.
 
-    ``rules``: host, path, verdict, with distinct (host, path).
+    ``rules``: host, path, verdict, with distinct (host, path).  Each key is one row of the sweep, whatever the rules.
     """
-    spark = keys.sparkSession
-    n_labels = F.size(F.split("host", "\\."))
-    known = rules.withColumn("labels", n_labels).select("host", "path", "verdict", "labels", reversed_labels(F.col("host"), F.col("labels")).alias("key"))
-    depths = sorted(r.labels for r in known.select("labels").distinct().collect())  # no more than a host name has labels
-    if not depths:
-        return keys.sparkSession.createDataFrame([], "host string, path string, rule string, verdict string")
-    asked = (keys.withColumn("labels", F.explode(F.array(*[F.lit(d) for d in depths]))).where(F.col("labels") <= n_labels)
-             .select("host", "path", reversed_labels(F.col("host"), F.col("labels")).alias("key")))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = rules.select("host", "path", "verdict", reversed_host(F.col("host")).alias("key"))
+    asked = keys.select("host", "path", reversed_host(F.col("host")).alias("key"))
+    parts = range_partitions(keys)
     total = asked.count()
     # borders of the ranges: a sample of bounded size, which decides only what goes where
     taken = asked.sample(min(1.0, SAMPLED * parts / max(1, total)), seed=3).select("key", "path").limit(4 * SAMPLED * parts).collect()
@@ -68,8 +63,9 @@ def match_rules(keys: DataFrame, rules: DataFrame) -> DataFrame:
     def deal_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, ranges = [], []
-            for i, (k, p) in enumerate(zip(b.column(2).to_pylist(), b.column(1).to_pylist())):
-                reach = range(bisect_right(borders, (k.encode(), p.encode())), bisect_left(borders, (k.encode(), _after(p))) + 1)
+            for i, k in enumerate(b.column(2).to_pylist()):
+                # a key with this prefix lies before the prefix and a byte that no UTF-8 text holds
+                reach = range(bisect_right(borders, (k.encode(), b"")), bisect_left(borders, (k.encode() + b"\xff", b"")) + 1)
                 rows += [i] * len(reach)
                 ranges += reach
             out = b.take(pa.array(rows, pa.int64()))
@@ -77,29 +73,34 @@ def match_rules(keys: DataFrame, rules: DataFrame) -> DataFrame:
 
     left = known.select("host", "path", "key", "verdict").mapInArrow(deal_rules, "range int, host string, path string, key string, verdict string")
     right = asked.mapInArrow(deal_keys, "range int, host string, path string, key string").withColumn("verdict", F.lit(None).cast("string"))
-    line = (left.unionByName(right).repartition(parts, "range").sortWithinPartitions("range", "key", "path", F.col("verdict").isNull()))
+    line = left.unionByName(right).repartition(parts, "range").sortWithinPartitions("range", "key", F.col("verdict").isNull(), "path")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple[str, str, str]] = []  # path, rule's host, verdict of the open rules
+        stack: list[tuple[str, str, dict[str, str], list[int]]] = []  # key, host, verdicts by path and lengths of the paths of an open host
         place = None
         for b in batches:
             out = []
             for r, host, path, key, verdict in zip(*(c.to_pylist() for c in b.columns)):
-                if (r, key) != place:
-                    place = (r, key)
+                if r != place:
+                    place = r
                     stack.clear()
-                while stack and not path.startswith(stack[-1][0]):
+                while stack and not key.startswith(stack[-1][0]):
                     stack.pop()
                 if verdict is not None:
-                    stack.append((path, host, verdict))
-                elif stack:
-                    out.append((host, path, stack[-1][1] + stack[-1][0], len(stack[-1][1]), stack[-1][2]))
+                    if not stack or stack[-1][0] != key:
+                        stack.append((key, host, {}, []))
+                    _, _, paths, lengths = stack[-1]
+                    paths[path] = verdict
+                    if len(path) not in lengths:
+                        insort(lengths, len(path), key=lambda n: -n)
+                    continue
+                fits = [(len(h) + len(p), len(h), h + p, paths[p]) for _, h, paths, lengths in stack if (p := _fitting(paths, lengths, path)) is not None]
+                if fits:
+                    out.append((host, path, *max(fits)[2:]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["host", "path", "rule", "host_length", "verdict"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["host", "path", "rule", "verdict"])
 
-    hits = line.mapInArrow(sweep, "host string, path string, rule string, host_length long, verdict string")
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "host_length")).alias("best"))
-    return best.select("host", "path", "best.rule", "best.verdict")
+    return line.mapInArrow(sweep, "host string, path string, rule string, verdict string")
 
 
 def judge_urls(rows: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT) -> DataFrame:

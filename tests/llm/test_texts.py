@@ -144,7 +144,9 @@ def test_bpe_odd(spark):
 
 # lines
 
-def test_lines_odd(spark):
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_lines_odd(spark, monkeypatch, most):
+    monkeypatch.setattr("fabsight.llm.lines.BROADCAST_LINES", most)
     rows = [(i, f"menu\nown {i}\n\nmenu", "big" if i < 30 else None, "x") for i in range(60)] + [(99, None, "big", "x"), (98, "", "big", "x"), (97, "menu", "small", "x")] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, line string")
     got = sorted(map(tuple, drop_boilerplate(docs).collect()), key=str)

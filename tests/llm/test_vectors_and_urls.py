@@ -46,6 +46,20 @@ def test_url_rules(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_url_rules_of_nested_hosts(spark):
+    """Many open hosts at once, hosts and rules over several ranges, siblings that only begin alike."""
+    rng = np.random.default_rng(8)
+    host = lambda: ".".join(rng.choice(["a", "ab", "b", "a-", "é", ""], rng.integers(1, 6)))
+    path = lambda: "".join(rng.choice(["/", "/x", "/xy", "/é", "\U0001f600"], rng.integers(0, 4)))
+    rules = sorted({(host(), path()): str(rng.choice(["allow", "block"])) for _ in range(150)}.items())
+    rules = [(h, p, v) for (h, p), v in rules]
+    urls = [(i, f"http://{host()}{path()}") for i in range(1500)]
+    known = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = sorted(map(tuple, judge_urls(spark.createDataFrame(urls, "page_id long, url string"), known).collect()))
+    assert got == [(i, *plain_verdict(u, rules)) for i, u in urls]
+    assert len({r[3] for r in got}) > 40
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 160), (None, 3)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
