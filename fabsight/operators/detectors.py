@@ -139,6 +139,15 @@ def keep_components(values: np.ndarray, share: float) -> int:
     return min(len(values), int(np.searchsorted(ratio, share, side="right")) + 1)
 
 
+def spectrum(gram: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, center, and variances with components by falling variance, of a Gram matrix with its constant."""
+    n = gram[-1, -1]
+    center = gram[-1, :-1] / n
+    values, vectors = np.linalg.eigh((gram[:-1, :-1] - n * np.outer(center, center)) / (n - 1))
+    order = np.argsort(values)[::-1]
+    return n, center, np.clip(values[order], 0, None), vectors[:, order].T
+
+
 def pca_fit(features: DataFrame, share: float = K.PCA_VARIANCE, quantile: float = K.LIMIT_QUANTILE,
             cols: Sequence[str] = ALL_FEATURES) -> list[PcaState]:
     cols = list(cols)
@@ -146,12 +155,7 @@ def pca_fit(features: DataFrame, share: float = K.PCA_VARIANCE, quantile: float
     grams = to_matrices(covariance_gram(features, scaler, cols), "process_type", len(cols) + 1)
     drafts = []
     for p, g in sorted(grams.items()):
-        n = g[-1, -1]
-        center = g[-1, :-1] / n
-        cov = (g[:-1, :-1] - n * np.outer(center, center)) / (n - 1)
-        values, vectors = np.linalg.eigh(cov)
-        order = np.argsort(values)[::-1]
-        values, vectors = np.clip(values[order], 0, None), vectors[:, order].T
+        n, center, values, vectors = spectrum(g)
         k = keep_components(values, share)
         if share >= 1.0:
             k = int((values > 1e-10).sum())
@@ -219,6 +223,75 @@ def _by_process(values: dict[str, tuple]) -> list[Column]:
     return out
 
 
+# ---- many kept variances at once ---------------------------------------------------------------
+
+@dataclass
+class PcaBasis:
+    """The components of a process type by falling variance; a model that keeps less variance has the first of them."""
+
+    process_type: str
+    features: list
+    mean: list
+    scale: list
+    center: list
+    components: list
+    variance: list
+
+    def kept(self, share: float) -> int:
+        return keep_components(np.array(self.variance), share)
+
+
+def pca_bases(features: DataFrame, cols: Sequence[str] = ALL_FEATURES) -> list[PcaBasis]:
+    """One pass for the Gram matrices; whatever share of the variance is kept later, they are not made again."""
+    cols = list(cols)
+    scaler = scaler_of(features, cols)
+    out = []
+    for p, g in sorted(to_matrices(covariance_gram(features, scaler, cols), "process_type", len(cols) + 1).items()):
+        _, center, values, vectors = spectrum(g)
+        some = values > 1e-10
+        out.append(PcaBasis(p, cols, scaler[p][0].tolist(), scaler[p][1].tolist(), center.tolist(), vectors[some].tolist(), values[some].tolist()))
+    return out
+
+
+def nested_statistics(features: DataFrame, bases: Sequence[PcaBasis], shares: Sequence[float]) -> DataFrame:
+    """(equipment_id, process_type, win, share, t2, spe): a window is projected once, running sums give the models of all shares."""
+    params = {b.process_type: (np.array(b.mean), np.array(b.scale), np.array(b.center), np.array(b.components), np.array(b.variance),
+                               np.array([b.kept(x) for x in shares]) - 1) for b in bases}
+    cols = list(bases[0].features)
+
+    def run(batches):
+        for pdf in batches:
+            for p, part in pdf.groupby("process_type"):
+                if p not in params:
+                    continue
+                mean, scale, center, comp, var, last = params[p]
+                z = (part[cols].to_numpy(float) - mean) / scale - center
+                squares = (z @ comp.T) ** 2
+                t2, spe = np.cumsum(squares / var, axis=1)[:, last], (z ** 2).sum(axis=1)[:, None] - np.cumsum(squares, axis=1)[:, last]
+                repeated = part[["equipment_id", "process_type", "win"]].loc[part.index.repeat(len(last))].reset_index(drop=True)
+                yield repeated.assign(share=np.tile(np.arange(len(last)), len(part)), t2=t2.ravel(), spe=spe.ravel())
+
+    return features.select("equipment_id", "process_type", "win", *cols).mapInPandas(
+        run, "equipment_id string, process_type string, win long, share int, t2 double, spe double")
+
+
+def grid_fired(fit: DataFrame, scored: DataFrame, bases: Sequence[PcaBasis], shares: Sequence[float], quantiles: Sequence[float],
+               margin: float = 1e-9) -> DataFrame:
+    """(equipment_id, win, share, quantile): windows of ``scored`` beyond the limits that the windows of ``fit`` give.
+
+    ``share`` and ``quantile`` are places in the two lists.  Limits of all shares and quantiles come from two passes of quantiles.
+    """
+    own = durable(nested_statistics(fit, bases, shares).select("process_type", "share", "t2", "spe"))
+    limits = None
+    for stat in ("t2", "spe"):
+        found = exact_quantiles(own, ["process_type", "share"], stat, {f"{stat}_{i}": q for i, q in enumerate(quantiles)})
+        limits = found if limits is None else limits.join(found, ["process_type", "share"])
+    beyond = lambda i: F.greatest(F.col("t2") / F.greatest(F.col(f"t2_{i}"), F.lit(1e-12)), F.col("spe") / F.greatest(F.col(f"spe_{i}"), F.lit(1e-12))) > 1 + margin
+    over = F.array_compact(F.array(*[F.when(beyond(i), F.lit(i)) for i in range(len(quantiles))]))
+    return nested_statistics(scored, bases, shares).join(limits, ["process_type", "share"]).select(
+        "equipment_id", "win", "share", F.explode(over).alias("quantile"))
+
+
 # ---- vector autoregression ---------------------------------------------------------------------
 
 def _design(x: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:

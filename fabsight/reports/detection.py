@@ -234,26 +234,37 @@ def anomaly_transitions(v):
     return moves.select("equipment_id", "action", "sink", "channel", F.round("score", 6).alias("score"))
 
 
-@query("grid_sweep")
+def swept_grid(v, bases_of):
+    """Metrics of every point of the grid; windows of (window, stride) are made once, for fitting and for scoring apart."""
+    fired = None
+    for w, s in G.SHAPES:
+        fit = v.stored(f"grid_fit_{w}_{s}", lambda w=w, s=s: Sv.training_windows(v.telemetry, v.master, window=w, stride=s))
+        scored = v.stored(f"grid_{w}_{s}", lambda w=w, s=s: Wn.window_features(v.telemetry, "tick", w, s))
+        hits = D.grid_fired(fit, scored, bases_of(fit), G.SHARES, G.GRID_QUANTILES).select(
+            F.lit(w).alias("window"), F.lit(s).alias("stride"), "share", F.col("quantile").alias("q"), "equipment_id", (F.col("win") * s + w - 1).alias("tick"))
+        fired = hits if fired is None else fired.unionByName(hits)
+    points = v.spark.createDataFrame(G.grid_points(), "point int, window int, stride int, variance double, quantile double")
+    place = lambda c, values: F.array_position(F.array(*[F.lit(x) for x in values]), F.col(c)) - 1
+    named = points.withColumns({"share": place("variance", G.SHARES).cast("int"), "q": place("quantile", G.GRID_QUANTILES).cast("int")})
+    found = fired.join(F.broadcast(named.select("point", "window", "stride", "share", "q")), ["window", "stride", "share", "q"])
+    return E.sweep_metrics(v.incidents, found, points).drop("point")
+
+
+@query("grid_sweep", """SELECT window_ AS "window", stride, variance, quantile, recall, delay_mean, delay_p90, coalesce(f.n, 0) AS false_alarms_dedup FROM (
+SELECT point, round(avg(CAST(delay IS NOT NULL AS INT)), 8) AS recall, quantile_cont(delay, 0.9) AS delay_p90, round(avg(delay), 6) AS delay_mean FROM (
+ SELECT p.point, e.event_id, min(f.tick) - any_value(e.start_tick) AS delay FROM incidents e CROSS JOIN grid_params p
+ LEFT JOIN grid_fired f ON f.point = p.point AND f.equipment_id = e.equipment_id AND f.tick BETWEEN e.start_tick AND e.end_tick GROUP BY 1, 2) x GROUP BY 1) h
+JOIN grid_params USING (point) LEFT JOIN (SELECT point, count(DISTINCT (equipment_id, tick // 360)) AS n FROM grid_fired s WHERE NOT EXISTS
+ (SELECT 1 FROM incidents e WHERE e.equipment_id = s.equipment_id AND s.tick BETWEEN e.start_tick AND e.end_tick) GROUP BY 1) f USING (point)""")
 def grid_sweep(v):
-    """Window, stride, quantile and kept variance: features per (window, stride), limits of all quantiles at once."""
-    rows, fired, n = [], None, 0
-    quantiles = (0.99, 0.999)
-    for w, s in ((12, 6), (24, 12)):
-        if s > w:
-            continue
-        base = v.stored(f"grid_{w}_{s}", lambda w=w, s=s: Wn.window_features(v.telemetry, "tick", w, s))
-        states = D.pca_fit(base, 0.9)
-        stats = v.stored(f"grid_stats_{w}_{s}", lambda states=states, base=base: D.pca_score(base, states))
-        lim = S.exact_quantiles(stats, ["process_type"], "raw", {f"q{i}": q for i, q in enumerate(quantiles)})
-        for i, q in enumerate(quantiles):
-            hits = stats.join(lim, "process_type").where(F.col("raw") > F.col(f"q{i}")).select(
-                F.lit(n).alias("point"), "equipment_id", (F.col("win") * s + w - 1).alias("tick"))
-            fired = hits if fired is None else fired.unionByName(hits)
-            rows.append((n, w, s, q, 0.9))
-            n += 1
-    points = v.spark.createDataFrame(rows, "point int, window int, stride int, quantile double, variance double")
-    return E.sweep_metrics(v.incidents, fired, points).drop("point")
+    """Window, stride, kept variance and quantile over given components."""
+    return swept_grid(v, lambda fit: G.pca_bases())
+
+
+@query("grid_sweep_fitted")
+def grid_sweep_fitted(v):
+    """The same grid with components fitted on the training windows of each (window, stride)."""
+    return swept_grid(v, D.pca_bases)
 
 
 @query("step_aware_models", "SELECT step, count(*) AS n, count(*) - 1 - CAST(floor(0.999 * (count(*) - 1)) AS BIGINT) AS over_limit FROM win_steps WHERE step <> 'transition' GROUP BY 1")

@@ -38,6 +38,10 @@ def pca_states() -> list[D.PcaState]:
     return out
 
 
+def pca_bases() -> list[D.PcaBasis]:
+    return [D.PcaBasis(x.process_type, x.features, x.mean, x.scale, x.center, x.components, x.variance) for x in pca_states()]
+
+
 def var_states() -> list[D.VarState]:
     out, n = [], len(K.CHANNELS)
     for p in TYPES:
@@ -105,7 +109,7 @@ def _tree(node, depth: int) -> str:
     return f"CASE WHEN z_{node[0]} <= {node[1]!r} THEN {_tree(node[2], depth + 1)} ELSE {_tree(node[3], depth + 1)} END"
 
 
-def sql_views(rows: str, prefix: str) -> dict[str, str]:
+def sql_views(rows: str, prefix: str, window: int = K.WINDOW, stride: int = K.STRIDE) -> dict[str, str]:
     """Scores of the given models over the windows of a table (equipment_id, process_type, tick and channels)."""
     wide = ", ".join(f"{c} - lag({c}) OVER (PARTITION BY equipment_id ORDER BY tick) AS d_{c}" for c in K.CHANNELS)
     z = ", ".join(f"({c} - {_by_type({p: _mean_scale(c, p)[0] for p in TYPES})}) / {_by_type({p: _mean_scale(c, p)[1] for p in TYPES})} AS z_{c}" for c in Wn.ALL_FEATURES)
@@ -120,10 +124,10 @@ def sql_views(rows: str, prefix: str) -> dict[str, str]:
         for c in K.CHANNELS)
     white = [f"(r_{c} / {_by_type({p: TEST_PROFILES[p][c][1] for p in TYPES})})" for c in K.CHANNELS]
     white[1] = f"({white[1]} + 0.5 * r_temperature / {_by_type({p: TEST_PROFILES[p]['pressure'][1] for p in TYPES})})"
-    starts = "unnest(range(CAST(greatest(0, ceil((tick - 11) / 6.0)) AS BIGINT), tick // 6 + 1))"
+    starts = f"unnest(range(CAST(greatest(0, ceil((tick - {window - 1}) / {stride}.0)) AS BIGINT), tick // {stride} + 1))"
     out = {
-        f"{prefix}_rows": f"SELECT t.*, k AS win, CAST(tick - k * 6 AS DOUBLE) AS off FROM (SELECT *, {starts} AS k, {wide} FROM {rows}) t",
-        f"{prefix}_feats": SQL_VIEWS["win_feats"].replace("win_rows", f"{prefix}_rows"),
+        f"{prefix}_rows": f"SELECT t.*, k AS win, CAST(tick - k * {stride} AS DOUBLE) AS off FROM (SELECT *, {starts} AS k, {wide} FROM {rows}) t",
+        f"{prefix}_feats": SQL_VIEWS["win_feats"].replace("win_rows", f"{prefix}_rows").replace("count(*) = 12", f"count(*) = {window}"),
         f"{prefix}_z": f"SELECT equipment_id, process_type, win, {z} FROM {prefix}_feats",
         f"{prefix}_parts": f"SELECT *, {', '.join(f'{e} AS r_{c}' for c, e in gap.items())} FROM (SELECT *, {proj} FROM {prefix}_z) a",
         f"{prefix}_pca": f"""SELECT equipment_id, process_type, win, ({t2}) / {_by_type(T2_LIMIT)} AS t2, ({' + '.join(f'r_{c}' for c in Wn.ALL_FEATURES)}) / {_by_type(SPE_LIMIT)} AS spe,
@@ -166,3 +170,43 @@ SQL_VIEWS |= sql_views("telemetry", "given")
 SQL_VIEWS["late_rows_of"] = f"""SELECT equipment_id, process_type, row_number() OVER (PARTITION BY equipment_id ORDER BY tick) - 1 AS tick, {', '.join(K.CHANNELS)} FROM (
 SELECT *, row_number() OVER (PARTITION BY equipment_id ORDER BY tick DESC) AS rn FROM telemetry) x WHERE rn <= {K.LOOKBACK_ROWS}"""
 SQL_VIEWS |= sql_views("late_rows_of", "late")
+
+
+# ---- grid of windows, strides, shares of variance and quantiles ---------------------------------
+
+#: Parameters of the grid; a stride beyond its window is left out.
+SHARES, GRID_QUANTILES = (0.2, 0.45, 0.9), (0.99, 0.999)
+SHAPES = [(w, s) for w in (12, 24) for s in (12, 24) if s <= w]
+
+
+def grid_points() -> list[tuple]:
+    """(point, window, stride, variance, quantile)."""
+    return [(i, *p) for i, p in enumerate((w, s, share, q) for w, s in SHAPES for share in SHARES for q in GRID_QUANTILES)]
+
+
+def _grid_sql() -> dict[str, str]:
+    out = {"fit_rows_of": f"SELECT equipment_id, process_type, pos AS tick, {', '.join(K.CHANNELS)} FROM train_rows WHERE win = pos // 6"}
+    kept = {b.process_type: [b.kept(x) for x in SHARES] for b in pca_bases()}
+    total = " + ".join(f"z_{c} ** 2" for c in Wn.ALL_FEATURES)
+
+    def stats(j: int) -> str:
+        t2 = {p: " + ".join(f"p{i} ** 2 / {VARIANCES[p][i]!r}" for i in range(kept[p][j])) for p in TYPES}
+        used = {p: " + ".join(f"p{i} ** 2" for i in range(kept[p][j])) for p in TYPES}
+        pick = lambda x: f"CASE process_type WHEN 'P0' THEN {x['P0']} ELSE {x['P1']} END"
+        return f"{pick(t2)} AS t2_{j}, {total} - ({pick(used)}) AS spe_{j}"
+
+    said, fired = ", ".join(stats(j) for j in range(len(SHARES))), []
+    for w, s in SHAPES:
+        fit, grid = f"fit_{w}_{s}", f"grid_{w}_{s}"
+        out |= sql_views("fit_rows_of", fit, w, s) | sql_views("telemetry", grid, w, s)
+        out |= {f"{x}_stats": f"SELECT equipment_id, process_type, win, {said} FROM {x}_parts" for x in (fit, grid)}
+        out[f"{fit}_limits"] = f"SELECT process_type, {', '.join(f'quantile_cont({t}_{j}, {q!r}) AS {t}_{j}_{n}' for t in ('t2', 'spe') for j in range(len(SHARES)) for n, q in enumerate(GRID_QUANTILES))} FROM {fit}_stats GROUP BY 1"
+        for i, _, _, share, q in [p for p in grid_points() if p[1:3] == (w, s)]:
+            j, n = SHARES.index(share), GRID_QUANTILES.index(q)
+            fired.append(f"SELECT {i} AS point, equipment_id, win * {s} + {w - 1} AS tick FROM {grid}_stats JOIN {fit}_limits USING (process_type) WHERE greatest(t2_{j} / t2_{j}_{n}, spe_{j} / spe_{j}_{n}) > 1 + 1e-9")
+    out["grid_fired"] = " UNION ALL ".join(fired)
+    out["grid_params"] = f"SELECT * FROM (VALUES {', '.join(map(str, grid_points()))}) g(point, window_, stride, variance, quantile)"
+    return out
+
+
+SQL_VIEWS |= _grid_sql()

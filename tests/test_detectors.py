@@ -63,6 +63,18 @@ def test_all_components_leave_no_residual(tables):
     assert stats.agg(F.max("spe")).first()[0] < 1e-6
 
 
+def test_grid_equals_a_fit_per_point(tables):
+    """Components kept of one spectrum and limits taken together fire as a model fitted for each share and quantile does."""
+    train, broken = tables
+    shares, quantiles = (0.6, 0.9, 0.999), (0.9, 0.99)
+    fired = D.grid_fired(train, broken, D.pca_bases(train), shares, quantiles).collect()
+    assert len(fired) > 10
+    for i, share in enumerate(shares):
+        for j, q in enumerate(quantiles):
+            alone = D.pca_score(broken, D.pca_fit(train, share, q)).where("raw > 1 + 1e-9").collect()
+            assert sorted(r["win"] for r in fired if (r["share"], r["quantile"]) == (i, j)) == sorted(r["win"] for r in alone)
+
+
 def test_forest_ranks_far_points_first(tables):
     train, _ = tables
     far = train.limit(5).withColumns({c: F.lit(1e3) for c in Wn.CHANNEL_FEATURES})
