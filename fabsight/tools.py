@@ -68,6 +68,7 @@ def register(spark: SparkSession, telemetry: DataFrame, alarms: DataFrame, maste
 
     ``manuals`` (chunk_id, doc_id, content, tag, embedding) and their lexical ``index`` (split by blanks) are what ``search_manuals``
     searches: the stored postings of the question's words, and one pass over the vectors for the question's embedding.
+    A vector of zeros is near to nothing, on either side.
     """
     views = {"fs_telemetry": telemetry, "fs_alarms": alarms, "fs_master": master, "fs_repairs": repairs, "fs_users": users}
     if manuals is not None and index is not None:
@@ -124,7 +125,7 @@ words AS (SELECT term, count(*) AS qtf FROM (SELECT explode(split(q, '[{SPACE}]+
 hits AS (SELECT p.block, qtf * idf AS weight, explode(arrays_zip(slots, impacts)) AS h FROM fs_postings p JOIN words USING (term) JOIN fs_terms USING (term)),
 sparse AS (SELECT p.chunk_id, score FROM (SELECT block * {BLOCK_CHUNKS} + h.slots AS place, sum(weight * h.impacts) AS score FROM hits GROUP BY 1) s JOIN fs_places p USING (place) WHERE score > 0 {best}),
 tagged AS (SELECT count(*) AS n FROM fs_manuals m JOIN asked a ON m.tag = a.tag),
-compared AS (SELECT m.chunk_id, {dot("m.embedding", "a.v")} / (sqrt({dot("m.embedding", "m.embedding")}) * sqrt({dot("a.v", "a.v")})) AS score FROM fs_manuals m CROSS JOIN asked a CROSS JOIN tagged WHERE n = 0 OR m.tag = a.tag),
+compared AS (SELECT m.chunk_id, try_divide({dot("m.embedding", "a.v")}, sqrt({dot("m.embedding", "m.embedding")}) * sqrt({dot("a.v", "a.v")})) AS score FROM fs_manuals m CROSS JOIN asked a CROSS JOIN tagged WHERE n = 0 OR m.tag = a.tag),
 dense AS (SELECT * FROM (SELECT chunk_id, score FROM compared WHERE score IS NOT NULL {best}) d WHERE score >= {K.MIN_SCORE}),
 both AS (SELECT chunk_id, ds, dn, ss, sn FROM (SELECT chunk_id, score AS ds, {scaled} AS dn FROM dense) d FULL JOIN (SELECT chunk_id, score AS ss, {scaled} AS sn FROM sparse) s USING (chunk_id)),
 fused AS (SELECT chunk_id, CASE WHEN max(sn) OVER () IS NULL THEN ds WHEN max(dn) OVER () IS NULL THEN ss ELSE {K.FUSION_ALPHA}D * coalesce(dn, 0D) + {1 - K.FUSION_ALPHA}D * coalesce(sn, 0D) END AS score,

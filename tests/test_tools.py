@@ -90,3 +90,18 @@ def test_maintenance_and_alarms(spark, tables):
         assert rows(said, *said.columns) == rows(tools.get_alarm_history(tables["alarms"], since, end, e, "ERR-401"), *said.columns)
     assert spark.sql("SELECT * FROM get_maintenance_summary('nowhere')").first()["repair_count"] == 0
     assert rows(spark.sql("SELECT * FROM get_equipment_metadata(NULL, 'L1')"), "equipment_id") == rows(tools.get_equipment_metadata(tables["master"], None, "L1"), "equipment_id")
+
+
+@pytest.mark.parametrize("zero_question", [False, True])
+def test_search_manuals_with_vectors_of_zeros(spark, tables, zero_question):
+    encoded = tables["encoded"]
+    blank = [(f"z{i}#0", f"z{i}", "|" if i else "êèè êèè", "coat", [0.0] * 10) for i in range(2)]
+    manuals = tables["manuals"].unionByName(spark.createDataFrame(blank, tables["manuals"].schema))
+    terms = L.bm25_index(manuals)
+    tools.register(spark, tables["telemetry"], tables["alarms"], tables["master"], tables["repairs"], tables["users"], manuals, terms)
+    q = "pump valve êèè"
+    v = [0.0] * 10 if zero_question else encoded(q)
+    asked = spark.createDataFrame([(0, q, "coat", v)], "query_id long, query string, tag string, embedding array<double>")
+    mine = rows(tools.search_manuals(asked, manuals, R.dense_index(manuals, "tag"), terms, 5, tag="tag"), "rank", "chunk_id", "doc_id")
+    said = spark.sql(f"SELECT * FROM search_manuals('{q}', array({', '.join(f'{x}D' for x in v)}), 5, 'coat')")
+    assert mine and rows(said, "rank", "chunk_id", "doc_id") == mine
