@@ -12,8 +12,8 @@ from fabsight.llm.packing import harmonic_pack
 from fabsight.llm.repeats import drop_repeats
 from fabsight.llm.toxicity import drop_toxic
 
-#: Shingle words and least Jaccard similarity of near copies.
-WORDS, SIMILARITY = 5, 0.8
+#: Shingle words, differing fingerprint bits of candidates and least Jaccard similarity of near copies.
+WORDS, RADIUS, SIMILARITY = 5, 5, 0.8
 #: Bytes of a passage that must not stand anywhere else.
 PASSAGE = 200
 
@@ -34,8 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies of a document that stays go."""
-    return drop_near_copies(docs, WORDS, SIMILARITY)
+    """Near copies of a document that stays go: candidates by SimHash and by MinHash, exact Jaccard decides."""
+    return drop_near_copies(docs, WORDS, SIMILARITY, RADIUS)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

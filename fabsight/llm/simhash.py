@@ -25,7 +25,10 @@ BUCKET = 2048
 
 def fingerprint(text: str, words: int) -> int:
     """Majority bits of the shingles' 64-bit hashes; 0 for a text without words."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
     set_in = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at:at + 65536]

@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fabsight.llm import chat, similar, toxicity
+import corpus_pipeline
+from fabsight.llm import chat, minhash, similar, toxicity
 from fabsight.llm.bpe import SpeculativeBpe, digests, encode_documents
 from fabsight.llm.lines import drop_boilerplate
 from fabsight.llm.minhash import drop_near_copies
@@ -349,6 +350,20 @@ def test_near_copies_of_one_dense_group(spark):
     assert sorted((r.doc_id, r.text) for r in drop_near_copies(docs, 5).collect()) == plain_staying(rows)
 
 
+def test_candidates_of_the_pipeline_come_from_fingerprints_too(spark):
+    """Texts of one fingerprint without a common band; they are not similar, so both stay."""
+    draw = random.Random(14)
+    rows = [(i, " ".join(["x"] * 500 + [f"w{draw.randrange(10 ** 6)}" for _ in range(150)])) for i in range(2)] + [(2, "something else altogether stands here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {radius: {r.doc_id: r.component for r in minhash.candidate_groups(docs, 5, radius).collect()} for radius in (None, corpus_pipeline.RADIUS)}
+    assert len(set(groups[None].values())) == 3
+    assert groups[corpus_pipeline.RADIUS][0] == groups[corpus_pipeline.RADIUS][1] != groups[corpus_pipeline.RADIUS][2]
+    near = rows + [(i + 10, f"{t} end") for i, t in planted_copies(15, groups=10)[:40]]
+    docs = spark.createDataFrame(near, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted((r.doc_id, r.text) for r in stage(spark, docs, "").collect()) == plain_staying(near)
+
+
 # toxicity
 
 def plain_scores(docs, labels):
