@@ -151,3 +151,37 @@ def test_late_alarm_is_not_notified_and_bucket_is_kept_once(spark, tmp_path):
 def test_constants_hold_together():
     assert set(K.ACUTE_CODES) == set(K.DRIFT_CODES) == set(K.CHANNELS)
     assert set(K.ALARM_TEXTS["ko"]) == set(K.ALARM_TEXTS["en"]) == set(K.CHECKLISTS["ko"]) == set(K.CHECKLISTS["en"])
+
+
+def test_window_features_by_piece_equal_sql_aggregates(spark, monkeypatch):
+    """Missing values, gaps, a change of type and several pieces, against plain aggregates of exploded rows; one exchange."""
+    monkeypatch.setattr(Wn, "PIECE_ROWS", 40)
+    draw = np.random.default_rng(21)
+    rows = []
+    for e in ("a", "b"):
+        for t in range(260):
+            if e == "b" and t in (77, 78):
+                continue
+            x = [float(v) if draw.random() > (0.1 if e == "a" else 0) else None for v in draw.normal(size=4)]
+            rows.append((e, "P0" if e == "a" or t < 150 else "P1", t, *(x if not 100 <= t < 112 or e == "b" else [None] * 4)))
+    df = spark.createDataFrame(rows, "equipment_id string, process_type string, tick long, " + ", ".join(f"{c} double" for c in K.CHANNELS))
+    for window, stride in ((12, 6), (5, 7), (50, 3)):
+        got = Wn.window_features(df, "tick", window, stride, tensor=True)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+        wide = df.withColumns({f"_d{i}": F.expr(f"{c} - lag({c}) OVER (PARTITION BY equipment_id ORDER BY tick)") for i, c in enumerate(K.CHANNELS)})
+        wide = wide.withColumn("win", F.explode(Wn.window_numbers(F.col("tick"), window, stride))).withColumn("off", (F.col("tick") - F.col("win") * stride).cast("double"))
+        aggs = [F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct("tick", F.array(*K.CHANNELS).alias("v")))).alias("_x")]
+        for i, c in enumerate(K.CHANNELS):
+            aggs += [F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"),
+                     F.regr_slope(F.col(c), F.col("off")).alias(f"slope_{c}"), F.stddev_pop(F.when(F.col("off") > 0, F.col(f"_d{i}"))).alias(f"dstd_{c}")]
+        aggs += [(F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b) + F.lit(1e-12))).alias(f"corr_{a}__{b}") for a, b in Wn.PAIRS]
+        want = wide.groupBy("equipment_id", "process_type", "win").agg(*aggs).where(F.col("_n") == window)
+        want = want.withColumn("x", F.flatten(F.transform("_x", lambda r: r["v"])))
+        key = ["equipment_id", "process_type", "win"]
+        a, b = ({tuple(r[k] for k in key): r for r in d.select(*key, *Wn.ALL_FEATURES, "x").collect()} for d in (got, want))
+        assert a.keys() == b.keys() and len(a) > 20
+        for k, r in a.items():
+            assert r["x"] == b[k]["x"]
+            for c in Wn.ALL_FEATURES:
+                assert (r[c] is None) == (b[k][c] is None), (k, c, r[c], b[k][c])
+                assert r[c] is None or r[c] == pytest.approx(b[k][c], abs=1e-9), (k, c)
