@@ -13,12 +13,16 @@ from fabsight.plans.metric import distances, metric_index, nearest, packed
 from fabsight.session import durable
 
 BLOCK_BYTES = 64 << 20
+#: Rows of two blocks whose distances are computed at a time.
+TILE = 1_024, 4_096
+#: Bytes of a block of ``silhouette``: a sum for every row and label of two blocks is held with them.
+SILHOUETTE_BYTES = 16 << 20
 
 
-def vector_pairs(left: DataFrame, right: DataFrame, ident: str, vector: str, extra: Sequence[str] = ()):
+def vector_pairs(left: DataFrame, right: DataFrame, ident: str, vector: str, extra: Sequence[str] = (), most: int = BLOCK_BYTES):
     columns = [ident, vector, *extra]
     size = 8 * F.size(vector)
-    return block_pairs(left.select(*columns), right.select(*columns), ident, ident, size, size, BLOCK_BYTES)
+    return block_pairs(left.select(*columns), right.select(*columns), ident, ident, size, size, most)
 
 
 def rows_of(pdf: pd.DataFrame, vector: str) -> np.ndarray:
@@ -44,22 +48,32 @@ def centroid_cosine_score(df: DataFrame, normal: DataFrame, ident: str = "vec_id
     return with_center.select(ident, (1.0 - cosine_similarity(F.col(vector), F.col("_c"))).alias("score"))
 
 
+def label_sums(x: np.ndarray, y: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of distances of every row of ``x`` to the rows of ``y`` of each label 0 .. n - 1; a tile of distances is held at a time."""
+    out = np.zeros((len(x), n))
+    for i in range(0, len(x), TILE[0]):
+        for j in range(0, len(y), TILE[1]):
+            # few labels of a tile have rows in it
+            known, own = np.unique(at[j:j + TILE[1]], return_inverse=True)
+            order = np.argsort(own, kind="stable")
+            begins = np.searchsorted(own[order], np.arange(len(known)))
+            out[i:i + TILE[0], known] += np.add.reduceat(distances(x[i:i + TILE[0]], y[j:j + TILE[1]][order]), begins, axis=1)
+    return out
+
+
 def silhouette(df: DataFrame, label: str, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Mean Euclidean silhouette. Each task adds distances per label and block; no pair leaves a task."""
     kind, lab = df.schema[ident].dataType.simpleString(), df.schema[label].dataType.simpleString()
 
     def scan(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({ident: mine[ident][:0], label: mine[label][:0], "other": mine[label][:0], "s": np.zeros(0)})]
-        if len(mine) and len(others):
-            labels, at = np.unique(others[label].to_numpy(), return_inverse=True)
-            member, y = np.eye(len(labels))[at], rows_of(others, vector)
-            for s in range(0, len(mine), 1024):
-                part = mine.iloc[s:s + 1024]
-                total = distances(rows_of(part, vector), y) @ member
-                out += [pd.DataFrame({ident: part[ident], label: part[label], "other": n, "s": total[:, i]}) for i, n in enumerate(labels)]
-        return pd.concat(out)
-
-    sums = vector_pairs(df, df, ident, vector, [label]).applyInPandas(scan, f"{ident} {kind}, {label} {lab}, other {lab}, s double")
+        if not len(mine) or not len(others):
+            return pd.DataFrame({ident: mine[ident][:0], label: mine[label][:0], "other": mine[label][:0], "s": np.zeros(0)})
+        labels, at = np.unique(others[label].to_numpy(), return_inverse=True)
+        total = label_sums(rows_of(mine, vector), rows_of(others, vector), at, len(labels))
+        return pd.DataFrame({ident: mine[ident].to_numpy().repeat(len(labels)), label: mine[label].to_numpy().repeat(len(labels)),
+                             "other": np.tile(labels, len(mine)), "s": total.ravel()})
+
+    sums = vector_pairs(df, df, ident, vector, [label], SILHOUETTE_BYTES).applyInPandas(scan, f"{ident} {kind}, {label} {lab}, other {lab}, s double")
     sizes = df.groupBy(F.col(label).alias("other")).agg(F.count(F.lit(1)).alias("n"))
     per = sums.groupBy(ident, label, "other").agg(F.sum("s").alias("s")).join(sizes, "other")
     own = F.col("other") == F.col(label)
