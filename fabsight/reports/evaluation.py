@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from fabsight import constants as K
 from fabsight.operators import detectors as D, evaluate as E
@@ -142,16 +144,15 @@ def detector_scores(v):
 def sweep(v):
     """Operating points of each detector: limits per process type at ten quantiles of its scores."""
     def build():
-        out = None
-        for i, (name, scored) in enumerate(detector_scores(v).items()):
-            names = [f"q{n}" for n in range(len(QUANTILES))]
-            stored = durable(scored)
-            limits = exact_quantiles(stored, ["process_type"], "score", dict(zip(names, QUANTILES))).select("process_type", F.array(*names).alias("limits"))
-            one = E.threshold_sweep(v.incidents, stored, limits, len(QUANTILES)).select(
-                F.lit(name).alias("detector"), F.array(*[F.lit(q) for q in QUANTILES])[F.col("point")].alias("q"), (F.col("point") + i * len(QUANTILES)).alias("point"),
-                F.round("recall", 8).alias("recall"), "delay_p90", F.round("delay_mean", 6).alias("delay_mean"), "false_alarms_dedup")
-            out = one if out is None else out.unionByName(one)
-        return out
+        scored = detector_scores(v)
+        stored = durable(reduce(DataFrame.unionByName, [d.withColumn("place", F.lit(i)) for i, d in enumerate(scored.values())]))
+        names = [f"q{n}" for n in range(len(QUANTILES))]
+        limits = durable(exact_quantiles(stored, ["place", "process_type"], "score", dict(zip(names, QUANTILES))).select("place", "process_type", F.array(*names).alias("limits")))
+        swept = E.threshold_sweep(v.incidents, stored, limits, len(QUANTILES), groups=["place"])
+        return swept.select(
+            F.array(*[F.lit(n) for n in scored])[F.col("place")].alias("detector"), F.array(*[F.lit(q) for q in QUANTILES])[F.col("point")].alias("q"),
+            (F.col("point") + F.col("place") * len(QUANTILES)).alias("point"),
+            F.round("recall", 8).alias("recall"), "delay_p90", F.round("delay_mean", 6).alias("delay_mean"), "false_alarms_dedup")
     return v.stored("sweep", build)
 
 

@@ -1,11 +1,14 @@
 """Steps whose tasks must not grow with the input."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fabsight import session
-from fabsight.operators import neighbors as N
+from fabsight.operators import evaluate as E, neighbors as N
+from fabsight.plans import series
 from fabsight.reports import streams
 from fabsight.views import Views
 
@@ -50,3 +53,27 @@ def test_streams_in_many_batches(spark, sf, monkeypatch, name):
     assert batches[0].select("batch_id").distinct().count() > 2
     text = lambda rows: sorted(map(str, rows))
     assert len(whole) > 100 and text(sliced) == text(whole)
+
+
+def test_threshold_sweep_of_groups_over_stretches(spark, monkeypatch):
+    """Events reach over many stretches of ticks; all groups in one sweep give what each gives alone."""
+    draw = random.Random(5)
+    events = spark.createDataFrame([(i, f"e{i % 3}", "acute", at := draw.randrange(0, 900), at + draw.choice([-1, 0, 5, 40, 600])) for i in range(60)],
+                                   "event_id long, equipment_id string, kind string, start_tick long, end_tick long")
+    scores = spark.createDataFrame([(g, f"e{i % 4}", "P0", t, round(draw.random() * draw.choice([1, 3]), 1))
+                                    for g in range(3) for i in range(4) for t in range(0, 1000, 7) if draw.random() < .2],
+                                   "place int, equipment_id string, process_type string, tick long, score double")
+    limits = spark.createDataFrame([(g, "P0", [0.2 + g, 1.5, 2.5, 9.0]) for g in range(3)], "place int, process_type string, limits array<double>")
+    alone = {(g, *r) for g in range(3) for r in E.threshold_sweep(events, scores.where(F.col("place") == g).drop("place"), limits.where(F.col("place") == g).drop("place"), 4, 10).collect()}
+    monkeypatch.setattr(E, "SWEEP_TICKS", 30)
+    assert {tuple(r) for r in E.threshold_sweep(events, scores, limits, 4, 10, groups=["place"]).collect()} == alone and len(alone) == 12
+
+
+def test_quantiles_rank_only_the_parts_that_hold_them(spark):
+    draw = np.random.default_rng(8)
+    rows = [(k, round(float(x), 2)) for k in ("a", "b") for x in draw.normal(size=700)] + [("a", None), ("c", None), ("d", 4.0)]
+    probs = {"none": 0.0, "half": 0.5, "high": 0.999, "all": 1.0}
+    got = {r[0]: list(r[1:]) for r in series.exact_quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", probs).collect()}
+    for k in ("a", "b", "d"):
+        assert got.pop(k) == pytest.approx(np.quantile([x for n, x in rows if n == k and x is not None], list(probs.values())))
+    assert not got
