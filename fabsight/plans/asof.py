@@ -7,9 +7,11 @@ maximum) is a running aggregate inside a partition plus one carried value per pa
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from fabsight.plans.series import PIECE, _pairs
 from fabsight.session import durable, range_partitions
@@ -82,3 +84,74 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, left_at: str, rig
     """Columns of the newest right row not later than each left row (NULL when there is none)."""
     got = along(left, right, [key], left_at, right_at, {"_r": ("last", F.struct(*columns))}, tie)
     return got.select(*left.columns, *[F.col("_r")[c].alias(c) for c in columns])
+
+
+def last_rows(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, n: int, tie: str, name: str = "rows") -> DataFrame:
+    """Add ``name``: the last ``n`` right rows before each left row (by ``right_at``, then ``tie``), oldest first, without the keys.
+
+    Rows move once, to sorted range partitions, and pass through a task that holds ``n`` right rows.  A partition also writes the last rows
+    of each key; left rows that saw fewer than ``n`` in theirs take the others from there.
+    """
+    keys, values = list(keys), [c for c in right.columns if c not in keys]
+    r = right.dropna(subset=keys).select(*keys, F.col(right_at).alias("_at"), F.lit(1).alias("_side"), F.col(tie).alias("_tie"), F.struct(*values).alias("_right"))
+    lf = left.select(*keys, F.col(left_at).alias("_at"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_left"))
+    line = r.unionByName(lf, allowMissingColumns=True)
+    order = [*[F.asc(k) for k in keys], F.asc("_at"), F.asc("_side"), F.asc("_tie")]
+    sorted_ = line.repartitionByRange(range_partitions(line), *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias(PIECE), *keys, "_left", "_right")
+    kinds = {f.name: f for f in line.schema.fields}
+    schema = T.StructType([T.StructField(PIECE, T.IntegerType()), *[kinds[k] for k in keys], T.StructField("_left", kinds["_left"].dataType),
+                           T.StructField("_rows", T.ArrayType(kinds["_right"].dataType))])
+    width = len(keys) + 1
+
+    def listed(rows: pa.Array, first: np.ndarray, last: np.ndarray) -> pa.ListArray:
+        size = last - first
+        begin = np.concatenate([[0], np.cumsum(size)])
+        return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), rows.take(pa.array(np.repeat(first - begin[:-1], size) + np.arange(begin[-1]))))
+
+    def batch(head: list, lefts: pa.Array, rows: pa.ListArray) -> pa.RecordBatch:
+        same = [pa.array([v] * len(lefts), t) for v, t in head]
+        return pa.RecordBatch.from_arrays([*same, lefts, rows], names=[PIECE, *keys, "_left", "_rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, held = None, None
+
+        def tail():
+            return batch(head, pa.nulls(1, lefts_type), listed(held, np.array([0]), np.array([len(held)])))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lefts_type, change = b.column(width).type, np.zeros(b.num_rows, dtype=bool)
+            for i in range(1, width):
+                change[1:] |= np.diff(b.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)) != 0
+            cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+            for s, e in zip(cuts, cuts[1:]):
+                part = b.slice(s, e - s)
+                now = [(part.column(i)[0].as_py(), part.column(i).type) for i in range(width)]
+                if now != head:
+                    if head is not None:
+                        yield tail()
+                    head, held = now, part.column(width + 1).slice(0, 0)
+                own = part.column(width + 1).is_valid().to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(~own)
+                seen = np.cumsum(own)[at] + len(held)
+                rows = pa.concat_arrays([held, part.column(width + 1).filter(pa.array(own))])
+                if len(at):
+                    yield batch(head, part.column(width).take(pa.array(at)), listed(rows, np.maximum(seen - n, 0), seen))
+                held = rows.slice(max(len(rows) - n, 0))
+        if head is not None:
+            yield tail()
+
+    found = durable(sorted_.mapInArrow(run, schema))
+    # a row per range partition and key from here to ``carry``
+    tails = found.where(F.col("_left").isNull())
+    some = W.partitionBy(*keys).orderBy(PIECE).rowsBetween(-(n - 1), 0)
+    after = tails.where(F.size("_rows") > 0).select(PIECE, *keys, F.flatten(F.collect_list("_rows").over(some)).alias("_a"))
+    spots = tails.select(PIECE, *keys).unionByName(after, allowMissingColumns=True).groupBy(PIECE, *keys).agg(F.first("_a", ignorenulls=True).alias("_a"))
+    earlier = W.partitionBy(*keys).orderBy(PIECE).rowsBetween(W.unboundedPreceding, -1)
+    carry = durable(spots.select(F.col(PIECE).alias("_part"), *[F.col(k).alias(f"_k_{k}") for k in keys],
+                                 F.last("_a", ignorenulls=True).over(earlier).alias("_carry")).where("_carry IS NOT NULL"))
+    joined = found.where(F.col("_left").isNotNull()).join(carry, (F.col(PIECE) == F.col("_part")) & _pairs(keys) & (F.size("_rows") < n), "left")
+    whole = F.concat(F.coalesce("_carry", F.array().cast(schema["_rows"].dataType)), F.col("_rows"))
+    return joined.select("_left.*", F.when(F.col("_carry").isNull(), F.col("_rows")).otherwise(
+        F.slice(whole, F.greatest(F.size(whole) - (n - 1), F.lit(1)), n)).alias(name))

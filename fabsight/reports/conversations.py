@@ -175,7 +175,7 @@ def incident_points(v):
 def deviations(v):
     from fabsight.operators.incidents import sensor_deviation
     p = incident_points(v)
-    return sensor_deviation(p, T.incident_nearest(p, v.telemetry), T.incident_baseline(p, v.telemetry))
+    return sensor_deviation(p, T.incident_nearest(p, v.telemetry), T.incident_baseline(p, v.telemetry, nested=True))
 
 
 def _by_metric(values: dict) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fabsight import session
 from fabsight.operators import evaluate as E, neighbors as N
-from fabsight.plans import series
+from fabsight.plans import asof, series
 from fabsight.reports import streams
 from fabsight.views import Views
 
@@ -77,3 +77,27 @@ def test_quantiles_rank_only_the_parts_that_hold_them(spark):
     for k in ("a", "b", "d"):
         assert got.pop(k) == pytest.approx(np.quantile([x for n, x in rows if n == k and x is not None], list(probs.values())))
     assert not got
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_last_rows_over_range_partitions(spark, parts, monkeypatch):
+    """A left row takes up rows of its own and of several earlier partitions."""
+    draw = random.Random(4)
+    right = [(f"e{draw.choice([0, 0, 0, 1, 2])}", draw.randrange(200), i, float(i)) for i in range(300)]
+    left = [(i, f"e{draw.randrange(4)}", draw.randrange(-5, 230)) for i in range(200)] + [(999, None, 50)]
+    monkeypatch.setattr(asof, "range_partitions", lambda df: parts)
+    got = asof.last_rows(spark.createDataFrame(left, "id long, k string, at long"), spark.createDataFrame([*right, (None, 3, 999, 1.0)], "k string, t long, log long, x double"),
+                         ["k"], "at", "t", 20, "log").collect()
+    want = {i: [(t, g, x) for e, t, g, x in sorted(right, key=lambda r: r[1:]) if e == k and t < at][-20:] for i, k, at in left}
+    assert {r["id"]: [tuple(x) for x in r["rows"]] for r in got} == want and len(got) == 201
+
+
+def test_deviation_of_nested_baselines_moves_no_reading_per_incident(spark, sf):
+    from fabsight.operators import incidents as I, telemetry as T
+    from fabsight.reports.conversations import incident_points
+    v = Views(spark, sf)
+    p, near = incident_points(v), T.incident_nearest(incident_points(v), v.telemetry)
+    rows, nested = T.incident_baseline(p, v.telemetry), T.incident_baseline(p, v.telemetry, nested=True)
+    one, two = (sorted(map(str, I.sensor_deviation(p, near, b).collect())) for b in (rows, nested))
+    assert one == two and len(one) > 100
+    assert nested.count() == p.count()
