@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -202,6 +203,28 @@ def test_bm25_of_nothing(spark):
     assert L.bm25_search(asked.limit(0), L.bm25_index(spark.createDataFrame([("c", "a b")], "chunk_id string, content string")), 3).count() == 0
 
 
+def test_bm25_moves_no_postings(spark, monkeypatch):
+    """Tasks of several batches lay their chunks where they are; many equal texts tie by id; only the best chunks of a query move."""
+    monkeypatch.setattr(L, "BLOCK_CHUNKS", 4)
+    monkeypatch.setattr(L, "BLOCKS", 2)
+    draw = random.Random(11)
+    texts = [" ".join(["every"] * draw.randint(0, 2) + [f"w{i % 3}x{draw.randint(0, 30)}" for _ in range(draw.randint(1, 15))]) for i in range(240)]
+    texts += [texts[5]] * 90
+    chunks = [(f"c{i}", t) for i, t in enumerate(texts)]
+    queries = [(i, texts[i]) for i in range(9)] + [(9, "every")]
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        index = L.bm25_index(spark.createDataFrame(chunks, "chunk_id string, content string"))
+        found = L.bm25_search(spark.createDataFrame(queries, "query_id long, query string"), index, 5)
+        assert {(r.query_id, r.rank): (r.chunk_id, r.score) for r in found.collect()} == plain_bm25(queries, chunks, 5)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert sorted(r.place for r in index.chunks.collect()) == list(range(len(chunks)))
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)#", found._jdf.queryExecution().executedPlan().toString())
+    assert set(dealt) <= {"query_id"}
+
+
 def unit_vectors(seed, n, d, clusters):
     """Vectors around a few centres, with repeats and a zero vector."""
     draw = np.random.default_rng(seed)

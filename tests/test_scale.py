@@ -29,6 +29,13 @@ def test_spread_deals_a_file_of_one_row_group(spark, tmp_path, monkeypatch):
     assert sum(rows) == 20_000 and max(rows) < 4_000
 
 
+def test_spread_leaves_a_table_of_nearly_enough_files(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(session.TASK_ROWS * (cores + 2)).repartition(cores).write.parquet(f"{tmp_path}/many")
+    df = spark.read.parquet(f"{tmp_path}/many")
+    assert session.spread(df) is df
+
+
 def test_label_sums_hold_a_tile(monkeypatch):
     seen, plain = [], N.distances
     monkeypatch.setattr(N, "TILE", (7, 11))
