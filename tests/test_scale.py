@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fabsight import session
 from fabsight.operators import evaluate as E, neighbors as N
 from fabsight.plans import asof, series
-from fabsight.reports import streams
+from fabsight.reports import retrieval, streams
 from fabsight.views import Views
 
 
@@ -36,6 +36,20 @@ def test_spread_leaves_a_table_of_nearly_enough_files(spark, tmp_path):
     assert session.spread(df) is df
 
 
+def test_explicit_code_filter_moves_no_texts(spark, sf):
+    """The hits are known to be few and go to the chunks, which are more than a broadcast may be."""
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    v = Views(spark, sf)
+    assert session.stored_bytes(retrieval.chunks(v)) > 65_536
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "65536")
+    try:
+        found = retrieval.explicit_code_filter(v)
+        assert "hashpartitioning(chunk_id" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
 def test_label_sums_hold_a_tile(monkeypatch):
     seen, plain = [], N.distances
     monkeypatch.setattr(N, "TILE", (7, 11))
