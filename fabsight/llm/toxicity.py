@@ -4,18 +4,22 @@ A bounded sample of labelled rows (``EXAMPLES`` of each class) gives the example
 that mark the toxic ones.  A term weighs its inverse document frequency over all documents, more the more it speaks for the
 label and ``PLAIN`` of that if it does not: no word is left out, but a language as such makes nobody a neighbour of the toxic.
 Examples lie in a block-max inverted index: for every term and block of examples the largest weight is known, so blocks that
-cannot reach the k-th best cosine are skipped and the k nearest are exact.
+cannot reach the k-th best cosine are skipped and the k nearest are exact.  The terms that most examples share have no postings:
+their weights are a matrix, which many documents meet at once.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from fabsight.llm.common import durable, session, text_or_empty
@@ -27,6 +31,12 @@ CHANCE, HALF = 10.83, 20.0
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT, THRESHOLD = 15, 64, 0.5, 0.7
 BEGINNINGS = (4, 5, 6)
 WORD = re.compile(r"\w+")
+#: A term is common if this share of the examples holds it; of very many the COMMON most frequent ones are.
+COMMON, COMMON_SHARE = 512, 0.05
+#: Texts whose terms are looked up together: rows, and characters beyond which a text is the last.
+PART_ROWS, PART_CHARS = 1000, 1 << 22
+#: Texts that meet the examples together: rows, and terms that they hold.
+GROUP_ROWS, GROUP_TERMS = 64, 1 << 15
 
 
 def beginnings(words) -> set[str]:
@@ -34,30 +44,91 @@ def beginnings(words) -> set[str]:
     return {w[:k] + "-" for w in words for k in BEGINNINGS if len(w) > k}
 
 
+def parts(texts: list[str]) -> Iterator[list[str]]:
+    """Stretches of the texts that are looked at together."""
+    part, chars = [], 0
+    for t in texts:
+        part.append(t)
+        chars += len(t)
+        if len(part) == PART_ROWS or chars >= PART_CHARS:
+            yield part
+            part, chars = [], 0
+    if part:
+        yield part
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + n[0] - 1, start[1] .. and so on."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _sums(at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the weights by place 0 to n - 1, added in their order."""
+    return np.bincount(at, weights=weights, minlength=n).astype(np.float64, copy=False)  # of nothing it would be integers
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """By code point, whether it belongs to words."""
+    found = np.zeros(sys.maxunicode + 1, dtype=bool)
+    for m in WORD.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+        found[m.start():m.end()] = True
+    return found
+
+
+def _occurrences(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Different words (``WORD``, lower case) of the texts, and for every occurrence its word and its text."""
+    texts = [t.lower() for t in texts]
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    points = np.where(_letters()[points], points, np.uint32(32))
+    points[np.cumsum([len(t) + 1 for t in texts[:-1]], dtype=np.int64) - 1] = 10
+    raw = np.frombuffer(points.tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
+    inside = raw > 32
+    # words begin and end in turn
+    borders = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    offsets = np.cumsum([0, *(borders[1::2] - borders[::2])], dtype=np.int32)
+    words = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw[inside])).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(), np.searchsorted(np.flatnonzero(raw == 10), borders[::2])
+
+
 class Finder:
     """The known terms of texts: words, and beginnings of words that start like one of them."""
 
     def __init__(self, terms: list[str]):
-        self.position = {t: i for i, t in enumerate(terms)}
-        self.heads = {t[:BEGINNINGS[0]] for t in terms if t.endswith("-")}
-
-    def marked(self, words) -> Iterator[tuple[str, int]]:
-        """(word, term) of the known beginnings of different words."""
-        position, heads, head = self.position, self.heads, BEGINNINGS[0]
-        for w in [w for w in words if w[:head] in heads]:
-            for k in BEGINNINGS:
-                if len(w) > k and (at := position.get(w[:k] + "-")) is not None:
-                    yield w, at
+        self.terms = pa.array(terms, pa.string())
+        begun = [i for i, t in enumerate(terms) if t.endswith("-")]
+        self.beginnings, self.begun_at = pa.array([terms[i][:-1] for i in begun], pa.string()), np.array(begun, dtype=np.int64)
+        self.heads = pa.array(sorted({terms[i][:BEGINNINGS[0]] for i in begun}), pa.string())
+
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(word, term), in order of the words, of all terms that different words stand for."""
+        at = pc.index_in(words, value_set=self.terms).fill_null(-1).to_numpy()
+        pairs = [(np.flatnonzero(at >= 0), at[at >= 0])]
+        like = np.flatnonzero(pc.is_in(pc.utf8_slice_codeunits(words, 0, BEGINNINGS[0]), value_set=self.heads).to_numpy(zero_copy_only=False))
+        words = words.take(pa.array(like))
+        long = pc.utf8_length(words).to_numpy()
+        for k in BEGINNINGS:
+            at = pc.index_in(pc.utf8_slice_codeunits(words, 0, k), value_set=self.beginnings).fill_null(-1).to_numpy()
+            held = (at >= 0) & (long > k)
+            pairs.append((like[held], self.begun_at[at[held]]))
+        word, term = (np.concatenate(x) for x in zip(*pairs))
+        order = np.argsort(word, kind="stable")
+        return word[order], term[order]
+
+    def find_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms of every text in order and their counts: those of text i are at[i] to at[i + 1]."""
+        words, word, text = _occurrences(texts)
+        own, term = self._known(words)
+        n = np.bincount(own, minlength=len(words))
+        each = n[word]
+        found = np.repeat(text, each) * len(self.terms) + term[_ranges((np.cumsum(n) - n)[word], each)]
+        found, counts = np.unique(found, return_counts=True)
+        at = np.searchsorted(found, np.arange(len(texts) + 1) * len(self.terms))
+        return at, found - np.repeat(np.arange(len(texts)) * len(self.terms), np.diff(at)), counts.astype(np.float64)
 
     def find(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Terms in order, and their counts."""
-        words, position = Counter(WORD.findall(text.lower())), self.position
-        found = {position[w]: words[w] for w in words.keys() & self.position.keys()}
-        for w, at in self.marked(words):
-            found[at] = found.get(at, 0) + words[w]
-        index = np.fromiter(found, dtype=np.int64, count=len(found))
-        order = np.argsort(index)
-        return index[order], np.fromiter(found.values(), dtype=np.float64, count=len(found))[order]
+        return self.find_all([text])[1:]
 
 
 @dataclass
@@ -65,7 +136,8 @@ class ExampleIndex:
     """Unit vectors of the examples as postings by term, and by term and block the largest weight.
 
     An entry is a term in a block: entries of term t are ``term_at[t]`` to ``term_at[t + 1]``, the postings of entry e are
-    ``entry_at[e]`` to ``entry_at[e + 1]``.
+    ``entry_at[e]`` to ``entry_at[e + 1]``.  Common terms have none, but a row of ``common``, ``common_at[t]`` (else -1), with a
+    column for every example of the blocks.  ``same[x]`` is the first example with the same vector as x.
     """
 
     weights: np.ndarray  # by term
@@ -79,47 +151,88 @@ class ExampleIndex:
     entry_at: np.ndarray
     post_example: np.ndarray
     post_weight: np.ndarray
+    common_at: np.ndarray
+    common: np.ndarray
+    common_rough: np.ndarray  # the same in single precision
+    same: np.ndarray
     votes_at: np.ndarray  # votes of examples left out, and the share of toxic rows there: the calibration
     share_at: np.ndarray
     skipped: int = 0
     met: int = 0
 
-    def vector(self, index, counts) -> tuple[np.ndarray, np.ndarray]:
-        index = np.asarray(index, dtype=np.int64)
-        w = (1.0 + np.log(np.asarray(counts, dtype=np.float64))) * self.weights[index]
-        norm = np.sqrt((w * w).sum())
-        return index, (w / norm if norm else w)
+    def vectors(self, at: np.ndarray, index: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights, of length 1 for each text with the terms at[i] to at[i + 1]."""
+        w, text = (1.0 + np.log(counts)) * self.weights[index], np.repeat(np.arange(len(at) - 1), np.diff(at))
+        return w / np.sqrt(_sums(text, w * w, len(at) - 1))[text]
 
-    def _cosines(self, entries: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Cosines with all examples, as far as the entries say."""
+    def _postings(self, shape: tuple[int, int], text: np.ndarray, entries: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the entries of the texts add to their cosines (text, example), in order of the terms."""
         n = self.entry_at[entries + 1] - self.entry_at[entries]
-        at = np.repeat(self.entry_at[entries] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(self.post_example[at], weights=np.repeat(weight, n) * self.post_weight[at], minlength=len(self.ids))
+        post = _ranges(self.entry_at[entries], n)
+        at = np.repeat(text * shape[1], n) + self.post_example[post]
+        return _sums(at, np.repeat(weight, n) * self.post_weight[post], shape[0] * shape[1]).reshape(shape)
+
+    def _shared(self, text: np.ndarray, example: np.ndarray, at: np.ndarray, place: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the common terms add to the cosines of pairs, in order of the terms; those of text i are at[i] to at[i + 1]."""
+        pair, which = np.unique(text * len(self.ids) + self.same[example], return_inverse=True)
+        text, example = pair // len(self.ids), pair % len(self.ids)
+        n = np.diff(at)[text]
+        own = _ranges(at[text], n)
+        return _sums(np.repeat(np.arange(len(pair)), n), w[own] * self.common[place[own], np.repeat(example, n)], len(pair))[which]
+
+    def _group(self, at: np.ndarray, index: np.ndarray, counts: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        texts, blocks = len(at) - 1, -(-len(self.ids) // BLOCK)
+        w, text = self.vectors(at, index, counts), np.repeat(np.arange(texts), np.diff(at))
+        common = self.common_at[index] >= 0
+        place, shared_w, shared_at = self.common_at[index[common]], w[common], np.searchsorted(text[common], np.arange(texts + 1))
+        dense = np.zeros((texts, len(self.common)), dtype=np.float32)
+        dense[text[common], place] = shared_w
+        # single precision tells who comes into question, by a wide margin; what is found is summed in double precision
+        near = 1e-4
+        rough = dense @ self.common_rough
+        index, w, text = index[~common], w[~common], text[~common]
+        n = self.term_at[index + 1] - self.term_at[index]
+        entries, weight, text = _ranges(self.term_at[index], n), np.repeat(w, n), np.repeat(text, n)
+        block = self.entry_block[entries]
+        bounds = _sums(text * blocks + block, weight * self.entry_max[entries], texts * blocks).reshape(texts, blocks)
+        bounds += rough.reshape(texts, blocks, BLOCK).max(axis=2)
+        first = np.zeros(bounds.shape, dtype=bool)
+        np.put_along_axis(first, np.argsort(-bounds, axis=1, kind="stable")[:, :-(-k // BLOCK)], True, axis=1)
+
+        def least(score: np.ndarray) -> np.ndarray:
+            """The k-th best score of every text: scores only grow."""
+            return np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else np.zeros((texts, 1))
+
+        now = first[text, block]
+        rare = self._postings(rough.shape, text[now], entries[now], weight[now])
+        # a block that ties the k-th may hold a smaller example; one that is left out stays below what is found
+        rest = ~first & (bounds > 0) & (bounds >= least(rough + rare) - 3 * near)
+        now = rest[text, block]
+        rare += self._postings(rough.shape, text[now], entries[now], weight[now])
+        self.met, self.skipped = self.met + int((first | rest).sum()), self.skipped + int((~first & ~rest & (bounds > 0)).sum())
+        score = rough + rare
+        text, example = np.nonzero((score > 0) & (score >= least(score) - 2 * near))
+        cosine = np.round(self._shared(text, example, shared_at, place, shared_w) + rare[text, example], 12)
+        order = np.lexsort((example, -cosine, text))
+        text, example, cosine = text[order], example[order], cosine[order]
+        start = np.searchsorted(text, np.arange(texts + 1))
+        return [(example[a:b], cosine[a:b]) for a, b in zip(start[:-1], np.minimum(start[1:], start[:-1] + k))]
+
+    def nearest_all(self, at: np.ndarray, index: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for texts with the terms at[i] to at[i + 1]."""
+        texts, out = len(at) - 1, []
+        if not len(index) or not len(self.ids):
+            return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * texts
+        while len(out) < texts:
+            a = len(out)
+            b = max(a + 1, min(a + GROUP_ROWS, texts, int(np.searchsorted(at, at[a] + GROUP_TERMS, side="right")) - 1))
+            out += self._group(at[a:b + 1] - at[a], index[at[a]:at[b]], counts[at[a]:at[b]], k)
+        return out
 
     def nearest(self, index, counts, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Examples and exact cosines of the k nearest with a positive cosine, ties to the smaller example."""
-        index, w = self.vector(index, counts)
-        if not len(index) or not len(self.ids):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        n = self.term_at[index + 1] - self.term_at[index]
-        entries = np.repeat(self.term_at[index] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        weight, block = np.repeat(w, n), self.entry_block[entries]
-        bounds = np.bincount(block, weights=weight * self.entry_max[entries], minlength=-(-len(self.ids) // BLOCK))
-        order = np.argsort(-bounds, kind="stable")
-        first = np.zeros(len(bounds), dtype=bool)
-        first[order[:max(1, -(-k // BLOCK))]] = True
-        score = self._cosines(entries[first[block]], weight[first[block]])
-        least = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        # a block that ties the k-th may hold a smaller example
-        rest = ~first & (bounds > 0) & (bounds >= least - 1e-12)
-        if rest.any():
-            score += self._cosines(entries[rest[block]], weight[rest[block]])
-        self.met, self.skipped = self.met + int((first | rest).sum()), self.skipped + int((~first & ~rest & (bounds > 0)).sum())
-        least = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        found = np.flatnonzero((score > 0) & (score >= least - 1e-11))
-        cosine = np.round(score[found], 12)
-        best = np.lexsort((found, -cosine))[:k]
-        return found[best], cosine[best]
+        index = np.asarray(index, dtype=np.int64)
+        return self.nearest_all(np.array([0, len(index)]), index, np.asarray(counts, dtype=np.float64), k)[0]
 
     def votes(self, examples: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic votes, weighted by closeness and by the rows an example stands for, drawn to the prior where these are few."""
@@ -133,11 +246,10 @@ class ExampleIndex:
         votes = self.votes(examples, cosines)
         return 0.98 * float(np.interp(votes, self.votes_at, self.share_at)) + 0.02 * votes if len(self.votes_at) else votes
 
-    def calibrate(self, vectors: list[tuple[list[int], list[int]]]) -> None:
+    def calibrate(self, at: np.ndarray, index: np.ndarray, counts: np.ndarray) -> None:
         """Monotone share of toxic rows by the votes that every example gets from the others."""
         points = []
-        for e, (index, counts) in enumerate(vectors):
-            near, cosine = self.nearest(index, counts, NEIGHBOURS + 1)
+        for e, (near, cosine) in enumerate(self.nearest_all(at, index, counts, NEIGHBOURS + 1)):
             other = near != e
             near, cosine = near[other][:NEIGHBOURS], cosine[other][:NEIGHBOURS]
             if len(near):
@@ -193,14 +305,8 @@ def _frequencies(texts: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, n, holding = Finder(known.value), 0, np.zeros(len(known.value), dtype=np.int64)
         for b in batches:
-            words: Counter = Counter()
-            for text in b.column(0).to_pylist():
-                own = set(WORD.findall(text.lower()))
-                words.update(own)
-                for at in {at for _, at in finder.marked(own)}:
-                    holding[at] += 1
-            for w in words.keys() & finder.position.keys():
-                holding[finder.position[w]] += words[w]
+            for part in parts(b.column(0).to_pylist()):
+                holding += np.bincount(finder.find_all(part)[1], minlength=len(holding))
             n += b.num_rows
         seen = np.flatnonzero(holding)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *seen.tolist()], pa.int64()), pa.array([n, *holding[seen].tolist()], pa.int64())], names=["term", "n"])
@@ -216,13 +322,13 @@ def fit(examples: list, rows: dict[int, int], texts: DataFrame) -> tuple[list[st
     documents, holding = _frequencies(texts, terms)
     weights = (np.log((1.0 + documents) / (1.0 + holding)) + 1.0) * (PLAIN + speaks)
     finder = Finder(terms)
-    found = [finder.find(r.text) for r in examples]
+    found = [(i[a:b], c[a:b]) for part in parts([r.text for r in examples]) for at, i, c in [finder.find_all(part)] for a, b in zip(at[:-1], at[1:])]
     # examples of like terms share blocks: in order of their strongest terms
     strongest = [sorted(i, key=lambda t: (-speaks[t], holding[t] * -1.0, t))[:3] for i, _ in found]
     order = sorted(range(len(examples)), key=lambda e: (strongest[e], examples[e].doc_id, examples[e].text))
     examples, found, toxic = [examples[e] for e in order], [found[e] for e in order], toxic[order]
     index = ExampleIndex(weights, np.array([r.doc_id for r in examples], dtype=np.int64), toxic, np.zeros(len(examples)), 0.0,
-                         *[np.zeros(0, dtype=np.int64)] * 6, np.zeros(0), np.zeros(0))
+                         *[np.zeros(0, dtype=np.int64)] * 10, np.zeros(0), np.zeros(0))
     # an example stands for its copies, and all examples of a class for the labelled rows of the class
     copies = np.array([r.rows for r in examples], dtype=np.float64)
     total = {c: max(1.0, copies[toxic == c].sum()) for c in (0, 1)}
@@ -230,19 +336,30 @@ def fit(examples: list, rows: dict[int, int], texts: DataFrame) -> tuple[list[st
     if len(examples):
         index.vote *= len(examples) / max(index.vote.sum(), 1e-300)
         index.prior = float((index.vote * toxic).sum() / max(index.vote.sum(), 1e-300))
-    vectors = [index.vector(i, c) for i, c in found]
-    term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, dtype=np.int64)
-    weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-    example = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+    at = np.cumsum([0, *(len(i) for i, _ in found)])
+    term, counts = (np.concatenate([x[j] for x in found] or [np.zeros(0, dtype=np.int64)]) for j in (0, 1))
+    known, weight, example = (term, counts), index.vectors(at, term, counts), np.repeat(np.arange(len(found)), np.diff(at))
+    first: dict[tuple[bytes, bytes], int] = {}
+    index.same = np.array([first.setdefault((term[a:b].tobytes(), weight[a:b].tobytes()), e) for e, (a, b) in enumerate(zip(at[:-1], at[1:]))], dtype=np.int64)
+    holds = np.bincount(term, minlength=len(terms))
+    common = np.argsort(-holds, kind="stable")[:COMMON]
+    common = common[holds[common] >= max(1.0, COMMON_SHARE * len(examples))]
+    index.common_at = np.full(len(terms), -1)
+    index.common_at[common] = np.arange(len(common))
+    index.common = np.zeros((len(common), -(-len(examples) // BLOCK) * BLOCK))
+    shared = index.common_at[term] >= 0
+    index.common[index.common_at[term[shared]], example[shared]] = weight[shared]
+    index.common_rough = index.common.astype(np.float32)
+    term, weight, example = term[~shared], weight[~shared], example[~shared]
     by_term = np.lexsort((example, term))
-    term, index.post_example, index.post_weight = term[by_term], example[by_term], weight[by_term]
+    term, index.post_example, index.post_weight = term[by_term], example[by_term].astype(np.int32), weight[by_term]
     block = index.post_example // BLOCK
     new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, dtype=np.int64)
     index.entry_block, index.entry_at = block[new], np.append(new, len(term))
     index.entry_max = np.maximum.reduceat(index.post_weight, new) if len(new) else np.zeros(0)
     index.term_at = np.searchsorted(term[new], np.arange(len(terms) + 1))
     if rows.get(0) and rows.get(1):
-        index.calibrate(found)
+        index.calibrate(at, *known)
     return terms, index
 
 
@@ -276,14 +393,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, m = model.value
-        finder, kind = Finder(terms), pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+        finder = Finder(terms)
         for b in batches:
-            scores, evidence = [], []
-            for text in b.column(1).to_pylist():
-                near, cosine = m.nearest(*finder.find(text))
-                scores.append(m.score(near, cosine))
-                evidence.append([{"doc_id": int(m.ids[e]), "cosine": float(c), "toxic": int(m.toxic[e])} for e, c in zip(near, cosine)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)],
+            found = [x for part in parts(b.column(1).to_pylist()) for x in m.nearest_all(*finder.find_all(part))]
+            near, cosine = (np.concatenate([x[i] for x in found] or [np.zeros(0, dtype=np.int64)]) for i in (0, 1))
+            struct = pa.StructArray.from_arrays([pa.array(m.ids[near]), pa.array(cosine, pa.float64()), pa.array(m.toxic[near].astype(np.int32))],
+                                                names=["doc_id", "cosine", "toxic"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(e) for e, _ in found)]), pa.int32()), struct)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(*x) for x in found], pa.float64()), evidence],
                                              names=["doc_id", "score", "evidence"])
 
     judged = texts.mapInArrow(judge, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
@@ -300,7 +417,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
         terms, m = model.value
         finder = Finder(terms)
         for b in batches:
-            clean = [m.score(*m.nearest(*finder.find(t or ""))) < threshold for t in b.column(place).to_pylist()]
+            texts = [t or "" for t in b.column(place).to_pylist()]
+            clean = [m.score(*x) < threshold for part in parts(texts) for x in m.nearest_all(*finder.find_all(part))]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -447,6 +447,58 @@ def test_cosines_and_votes_equal_brute_force(spark):
     assert m.skipped > 0
 
 
+def test_terms_of_many_texts_equal_words_and_beginnings(monkeypatch):
+    terms = ["straße", "ıi̇", "a_b", "7", "été", "été-", "lout", "lout-", "louti-", "loutis-", "x"]
+    finder = toxicity.Finder(terms)
+    draw = random.Random(3)
+    odd = ["Straße", "İ", "a_b", "7", "ÉTÉ", "étés", "Lout", "loutish", "LOUTIS", "louts", "x", "－x", "x²", "«x»", "x\u00a0x", "日本", "\u0301x", "x\0x", "é\n\nx"]
+    texts = ["", " \n", *odd, *("".join(draw.choice(odd) + draw.choice([" ", "\n", "–", "… ", "", "\u2028"]) for _ in range(draw.randint(1, 60))) for _ in range(200)), ""]
+    at, index, counts = finder.find_all(texts)
+    for i, t in enumerate(texts):
+        words = Counter(toxicity.WORD.findall(t.lower()))
+        plain = Counter()
+        for w, n in words.items():
+            for x in {w, *(w[:k] + "-" for k in (4, 5, 6) if len(w) > k)} & set(terms):
+                plain[terms.index(x)] += n
+        assert list(zip(index[at[i]:at[i + 1]].tolist(), counts[at[i]:at[i + 1]].tolist())) == sorted(plain.items()), t
+        assert [x.tolist() for x in finder.find(t)] == [index[at[i]:at[i + 1]].tolist(), counts[at[i]:at[i + 1]].tolist()]
+    monkeypatch.setattr(toxicity, "PART_ROWS", 7)
+    monkeypatch.setattr(toxicity, "PART_CHARS", 50)
+    assert [t for part in toxicity.parts(texts) for t in part] == texts
+
+
+def test_common_terms_have_no_postings_and_texts_meet_examples_together(spark, monkeypatch):
+    draw = random.Random(5)
+    words = [f"c{i}" for i in range(30)] + [f"r{i}" for i in range(900)]
+    rows = [(d, " ".join(draw.choices(words[:30], k=40) + draw.choices(words[30:], k=12) + ["vile"] * (d % 4 == 0))) for d in range(400)]
+    rows += [(d + 400, rows[d][1]) for d in range(0, 100, 4)] + [(900, ""), (901, "unheard")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 0, int(d % 4 == 0)) for d in range(425)], "doc_id long, quality int, toxic int")
+    terms, m = toxicity.train(docs, labels)[0].value
+    held = Counter(x for t in {(i, t) for i, t in rows if i in m.ids} for x in set(t[1].split()))
+    common = {x for x in held if held[x] >= 0.05 * len(m.ids)}
+    # most words of a text are common: their postings were most of the work
+    assert common >= set(words[:30]) and len(m.post_example) == sum(n for x, n in held.items() if x not in common)
+    found = toxicity.Finder(terms).find_all([t for _, t in rows])
+    at, index, counts = found
+    vectors = np.zeros((len(rows), len(terms)))
+    vectors[np.repeat(np.arange(len(rows)), np.diff(at)), index] = m.vectors(*found)
+    texts = dict(rows)
+    which = [next(i for i, r in enumerate(rows) if r[0] == d) for d in m.ids]
+    assert len(texts) == len(rows)
+    cosines = np.round(vectors @ vectors[which].T, 12)
+    together = m.nearest_all(*found)
+    for i, (near, cosine) in enumerate(together):
+        best = np.lexsort((np.arange(len(which)), -np.round(cosines[i], 10)))[:toxicity.NEIGHBOURS]
+        best = best[cosines[i][best] > 0]
+        assert near.tolist() == best.tolist() and np.allclose(cosine, cosines[i][best], atol=1e-11)
+    # alone, or in other groups, the same to the last bit
+    for rows_, terms_ in ((1, 1 << 15), (7, 1 << 15), (64, 100)):
+        monkeypatch.setattr(toxicity, "GROUP_ROWS", rows_)
+        monkeypatch.setattr(toxicity, "GROUP_TERMS", terms_)
+        assert all(a.tolist() == c.tolist() and b.tolist() == d.tolist() for (a, b), (c, d) in zip(together, m.nearest_all(*found), strict=True))
+
+
 def test_a_repeated_label_row_is_one_example(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "EXAMPLES", 20)
     rows = [(d, f"text {d} {'vile' if d % 3 == 0 else 'kind'} word{d % 7}") for d in range(90)]
