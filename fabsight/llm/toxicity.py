@@ -35,8 +35,8 @@ WORD = re.compile(r"\w+")
 COMMON, COMMON_SHARE = 512, 0.05
 #: Texts whose terms are looked up together: rows, and characters beyond which a text is the last.
 PART_ROWS, PART_CHARS = 1000, 1 << 22
-#: Texts that meet the examples together: rows, and terms that they hold.
-GROUP_ROWS, GROUP_TERMS = 64, 1 << 15
+#: Texts that meet the examples together: rows, and postings of their terms; also products that are summed together.
+GROUP_ROWS, GROUP_POSTINGS = 64, 1 << 20
 
 
 def beginnings(words) -> set[str]:
@@ -176,9 +176,14 @@ class ExampleIndex:
         """What the common terms add to the cosines of pairs, in order of the terms; those of text i are at[i] to at[i + 1]."""
         pair, which = np.unique(text * len(self.ids) + self.same[example], return_inverse=True)
         text, example = pair // len(self.ids), pair % len(self.ids)
-        n = np.diff(at)[text]
-        own = _ranges(at[text], n)
-        return _sums(np.repeat(np.arange(len(pair)), n), w[own] * self.common[place[own], np.repeat(example, n)], len(pair))[which]
+        n, cosine = np.diff(at)[text], np.zeros(len(pair))
+        step = max(1, GROUP_POSTINGS // max(1, int(n.max(initial=0))))
+        for a in range(0, len(pair), step):
+            m = n[a:a + step]
+            own = _ranges(at[text[a:a + step]], m)
+            products = w[own] * self.common[place[own], np.repeat(example[a:a + step], m)]
+            cosine[a:a + step] = _sums(np.repeat(np.arange(len(m)), m), products, len(m))
+        return cosine[which]
 
     def _group(self, at: np.ndarray, index: np.ndarray, counts: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         texts, blocks = len(at) - 1, -(-len(self.ids) // BLOCK)
@@ -223,9 +228,10 @@ class ExampleIndex:
         texts, out = len(at) - 1, []
         if not len(index) or not len(self.ids):
             return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * texts
+        postings = np.concatenate([[0], np.cumsum(self.entry_at[self.term_at[index + 1]] - self.entry_at[self.term_at[index]])])[at]
         while len(out) < texts:
             a = len(out)
-            b = max(a + 1, min(a + GROUP_ROWS, texts, int(np.searchsorted(at, at[a] + GROUP_TERMS, side="right")) - 1))
+            b = max(a + 1, min(a + GROUP_ROWS, texts, int(np.searchsorted(postings, postings[a] + GROUP_POSTINGS, side="right")) - 1))
             out += self._group(at[a:b + 1] - at[a], index[at[a]:at[b]], counts[at[a]:at[b]], k)
         return out
 

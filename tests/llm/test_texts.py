@@ -493,9 +493,9 @@ def test_common_terms_have_no_postings_and_texts_meet_examples_together(spark, m
         best = best[cosines[i][best] > 0]
         assert near.tolist() == best.tolist() and np.allclose(cosine, cosines[i][best], atol=1e-11)
     # alone, or in other groups, the same to the last bit
-    for rows_, terms_ in ((1, 1 << 15), (7, 1 << 15), (64, 100)):
-        monkeypatch.setattr(toxicity, "GROUP_ROWS", rows_)
-        monkeypatch.setattr(toxicity, "GROUP_TERMS", terms_)
+    for group, postings in ((1, 1 << 20), (7, 1 << 20), (64, 100)):
+        monkeypatch.setattr(toxicity, "GROUP_ROWS", group)
+        monkeypatch.setattr(toxicity, "GROUP_POSTINGS", postings)
         assert all(a.tolist() == c.tolist() and b.tolist() == d.tolist() for (a, b), (c, d) in zip(together, m.nearest_all(*found), strict=True))
 
 
