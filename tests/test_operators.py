@@ -382,3 +382,15 @@ def test_tree_samples_are_the_smallest_hashes_of_all_rows(spark):
     base = spark.createDataFrame(rows, "process_type string, _id long, x double")
     one, many = ({(r.tree, r["_id"]) for r in D.tree_samples(base.repartition(n), ["x"], 5, 16).collect()} for n in (1, 7))
     assert one == many and len(one) == 80 and len({i for _, i in one}) > 40
+
+
+def test_chunk_rows_have_their_tags_and_text(spark, sf):
+    """A row of every chunk, with its document's type and alarm where it has them, and the text itself."""
+    from fabsight.reports import retrieval as Q
+    from fabsight.views import Views
+    v = Views(spark, sf)
+    rows = Q.build_chunk_rows(v).collect()
+    assert {(r["chunk_id"], r["content"]) for r in rows} == {(r["chunk_id"], r["content"]) for r in Q.chunks(v).collect()}
+    for r in rows:
+        doc = int(r["doc_id"])
+        assert (r["equipment_type"], r["alarm_code"], r["n"]) == (["P0", "P1", None][doc % 3], f"ERR-40{doc % 4}" if doc % 4 else None, len(r["content"]))
