@@ -122,3 +122,37 @@ def test_deviation_of_nested_baselines_moves_no_reading_per_incident(spark, sf):
     one, two = (sorted(map(str, I.sensor_deviation(p, near, b).collect())) for b in (rows, nested))
     assert one == two and len(one) > 100
     assert nested.count() == p.count()
+
+
+def test_grid_makes_windows_once_a_length(spark, sf, monkeypatch):
+    """Windows of a stride are taken from those of the greatest common divisor; readings are judged and closed up once."""
+    from fabsight.reports import detection as Q
+    made, plain, closed = [], Q.Wn.window_features, Q.Wn.closed_up
+    monkeypatch.setattr(Q.Wn, "window_features", lambda df, pos, w, s, **o: made.append((pos, w, s)) or plain(df, pos, w, s, **o))
+    monkeypatch.setattr(Q.Wn, "closed_up", lambda *a, **o: made.append("closed") or closed(*a, **o))
+    v = Views(spark, sf)
+    rows = Q.grid_sweep(v).collect()
+    assert sorted(made, key=str) == sorted([(p, w, 12) for p in ("pos", "tick") for w in (12, 24)] + ["closed"], key=str)
+    assert len(rows) == 18
+    own = plain(v.telemetry, "tick", 24, 24)
+    taken = v._stored["grid_24_12"].where("win % 2 = 0").withColumn("win", F.expr("win div 2"))
+    assert own.exceptAll(taken.select(*own.columns)).count() == 0 and own.count() == taken.count() > 100
+
+
+def test_points_of_a_sweep_over_stretches(spark, monkeypatch):
+    """Points that are not nested, over many stretches, against every event and detection; events are not copied per point."""
+    draw = random.Random(6)
+    events = [(i, f"e{i % 3}", "acute", at := draw.randrange(0, 900), at + draw.choice([0, 5, 40, 300])) for i in range(50)]
+    fired = sorted({(p, f"e{draw.randrange(4)}", draw.randrange(0, 1000)) for p in (2, 5, 9) for _ in range(40 * (p < 9))})
+    monkeypatch.setattr(E, "SWEEP_TICKS", 30)
+    points = spark.createDataFrame([(2, "a"), (5, "b"), (9, "c")], "point int, name string")
+    got = E.sweep_metrics(spark.createDataFrame(events, "event_id long, equipment_id string, kind string, start_tick long, end_tick long"),
+                          spark.createDataFrame(fired, "point int, equipment_id string, tick long"), points, 10).collect()
+    assert len(got) == 3
+    for r in got:
+        mine = [(e, t) for p, e, t in fired if p == r["point"]]
+        delays = [min(d) for _, e, _, a, b in events if (d := [t - a for x, t in mine if x == e and a <= t <= b])]
+        alarms = {(e, t // 10) for e, t in mine if not any(x == e and a <= t <= b for _, x, _, a, b in events)}
+        assert (r["recall"], r["false_alarms_dedup"]) == (pytest.approx(len(delays) / 50), len(alarms))
+        assert r["delay_mean"] == (pytest.approx(np.mean(delays), abs=1e-6) if delays else None)
+        assert r["delay_p90"] == (pytest.approx(np.quantile(delays, 0.9)) if delays else None)
