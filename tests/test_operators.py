@@ -394,3 +394,48 @@ def test_chunk_rows_have_their_tags_and_text(spark, sf):
     for r in rows:
         doc = int(r["doc_id"])
         assert (r["equipment_type"], r["alarm_code"], r["n"]) == (["P0", "P1", None][doc % 3], f"ERR-40{doc % 4}" if doc % 4 else None, len(r["content"]))
+
+
+def test_words_are_those_of_the_normalized_text(spark):
+    """Chunks are cut in Python; their words are what the column expressions give."""
+    draw = random.Random(11)
+    signs = ["a", "B", "é", "é", "ㄱ", "가", "-", "-\n", "-\r\n", "\r", "\n", "\n\n\n\n", " ", "\t", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", " ",
+             " ", " ", " ", " ", " ", " ", "　", "​", "‍", "﻿", "\xad", "\x00", "\x7f", "\x9f", "1", ".", "İ", "Σ"]
+    texts = ["".join(draw.choices(signs, k=draw.randrange(0, 40))) for _ in range(1_500)] + [None, "", " \n "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    plain = df.select("doc_id", X.tokenize_whitespace(X.normalize_text(F.col("text"))).alias("t")).collect()
+    want = {(r["doc_id"], i // 4, f"{r['doc_id']}#{i // 4}", " ".join(r["t"][i:i + 4])) for r in plain if r["t"] for i in range(0, len(r["t"]), 4)}
+    cut = R.chunk_by_tokens(df, 4)
+    assert "ArrowEvalPython" not in cut._jdf.queryExecution().executedPlan().toString() and cut.columns == ["doc_id", "chunk_index", "content", "chunk_id"]
+    assert {(r["doc_id"], r["chunk_index"], r["chunk_id"], r["content"]) for r in cut.collect()} == want and len(want) > 2_000
+
+
+def test_hashed_vectors_are_those_of_the_library(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+    draw = random.Random(12)
+    known = ["".join(draw.choices("abcÀéß가😀Ω1-", k=draw.randrange(1, 9))) for _ in range(300)]
+    gaps = [" ", "  ", "\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2005", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\u200b", "\x00"]
+    rows = [(i, draw.choice(["", " "]) + "".join(w + draw.choice(gaps) for w in draw.choices(known, k=draw.randrange(0, 30)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, content string").repartition(3)
+    tokens = df.withColumn("_t", X.tokenize_whitespace(F.lower("content")))
+    stages = [HashingTF(numFeatures=16, inputCol="_t", outputCol="_tf"), IDF(inputCol="_tf", outputCol="_w"), Normalizer(inputCol="_w", outputCol="_v")]
+    plain = Pipeline(stages=stages).fit(tokens).transform(tokens).select("id", vector_to_array("_v", "float32").alias("v")).collect()
+    got = {r["id"]: r["embedding"] for r in R.hashed_vectors(df, 16).collect()}
+    assert len(got) == 400 and all(got[r["id"]] == pytest.approx(r["v"], abs=1e-7) for r in plain)
+
+
+def test_ingest_cuts_the_listed_documents_once(spark, monkeypatch):
+    """Weights, listed documents and vectors take the chunks from where they are written."""
+    cut, plain = [], R.chunk_by_tokens
+    monkeypatch.setattr(R, "chunk_by_tokens", lambda *a, **o: cut.append(plain(*a, **o)) or cut[-1])
+    docs = spark.createDataFrame([(i, "Das ist ein Text " * (i % 5)) for i in range(40)], "doc_id long, text string")
+    stored = R.hashed_vectors(R.build_chunk_rows(plain(docs, 16)), 8)
+    listed = docs.where("doc_id % 2 = 0").select("doc_id", F.lit("P1").alias("equipment_type"))
+    out = R.ingest_corpus(stored, docs, listed, 4, 8)
+    assert "Scan parquet" in out._jdf.queryExecution().executedPlan().toString() and len(cut) == 1
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    assert sorted((r["doc_id"], r["chunk_index"]) for r in rows) == sorted((str(i), c) for i in range(0, 40, 2) for c in range(i % 5))
+    assert all(r["equipment_type"] == "P1" and len(r["embedding"]) == 8 for r in rows)
