@@ -439,3 +439,29 @@ def test_ingest_cuts_the_listed_documents_once(spark, monkeypatch):
     rows = out.collect()
     assert sorted((r["doc_id"], r["chunk_index"]) for r in rows) == sorted((str(i), c) for i in range(0, 40, 2) for c in range(i % 5))
     assert all(r["equipment_type"] == "P1" and len(r["embedding"]) == 8 for r in rows)
+
+
+@pytest.mark.parametrize("common", [0, 6, 1_000])
+def test_postings_of_chunks_stay_in_their_blocks(spark, monkeypatch, common):
+    """Terms sort by their text with the count; statistics of common terms come to the blocks, others meet theirs; no posting of a common term moves."""
+    import hashlib
+    monkeypatch.setattr(L, "COMMON", common)
+    monkeypatch.setattr(L, "SAID_BLOCKS", 2)
+    draw = random.Random(13)
+    known = ["a", "a-b", "a:b", "é", "가", "z", "Z", "10", "1"]
+    rows = [(f"c{i}", " ".join(draw.choices(known, weights=range(9, 0, -1), k=draw.randrange(0, 12)) + [f"own{i}"] * (i % 7 == 0))) for i in range(300)]
+    index = L.bm25_index(spark.createDataFrame(rows, "chunk_id string, content string").repartition(3))
+    out = L.chunk_postings(index)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in text.lower() and "collect_list" not in text
+    counts = {c: Counter(t.split()) for c, t in rows if t.split()}
+    df = Counter(w for t in counts.values() for w in t)
+    idf = {r["term"]: r["idf"] for r in index.terms.collect()}
+    mean = sum(sum(t.values()) for t in counts.values()) / len(counts)
+    got = {r["chunk_id"]: r for r in out.collect()}
+    assert set(got) == set(counts)
+    for c, t in counts.items():
+        r, n = got[c], sum(t.values())
+        assert (r["length"], r["terms"], r["df"]) == (n, len(t), sum(df[w] for w in t))
+        assert r["postings"] == hashlib.md5(" ".join(sorted(f"{w}:{k}" for w, k in t.items())).encode()).hexdigest()
+        assert r["idf"] == pytest.approx(sum(idf[w] for w in t)) and r["impact"] == pytest.approx(max(k * 2.5 / (k + 1.5 * (.25 + .75 * n / mean)) for k in t.values()))
