@@ -33,9 +33,12 @@ def knn_outlier_score(queries: DataFrame, bank: DataFrame, k: int, ident: str =
                       exclude_self: bool = False) -> DataFrame:
     """Mean Euclidean distance to the ``k`` nearest bank vectors, exact; null where there is none to compare with."""
     asked = packed(queries, [F.col(ident).alias("query_id"), F.lit(None).cast("string").alias("grp")], vector, False)
-    found = nearest(asked, metric_index(bank, ident, vector), k, exclude_self)
-    best = found.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("_n") <= k)
-    means = best.groupBy(F.col("query_id").alias(ident)).agg((-F.avg("score")).alias("score"))
+
+    def mean(found: DataFrame) -> DataFrame:
+        best = found.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("_n") <= k)
+        return best.groupBy(F.col("query_id").alias(ident)).agg((-F.avg("score")).alias("score"))
+
+    means = nearest(asked, metric_index(bank, ident, vector), k, exclude_self, mean)
     return queries.select(ident).join(means, ident, "left")
 
 

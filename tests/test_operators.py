@@ -281,6 +281,34 @@ def test_knn_against_all_pairs(spark, monkeypatch, block):
     assert [r["score"] for r in NB.knn_outlier_score(alone, alone, 3, exclude_self=True).collect()] == [None]
 
 
+def test_neighbours_move_no_vectors(spark, monkeypatch):
+    """Queries come to the stored blocks in rounds; a task sends on the best rows of each query, and ties, whatever the number of blocks."""
+    for name, size in (("BLOCK", 16), ("QUERIES", 100), ("FOUND", 500), ("TILE", 7)):
+        monkeypatch.setattr(ME, name, size)
+    draw = np.random.default_rng(14)
+    rows = draw.standard_normal((600, 8)).astype(np.float32)
+    rows[100:160] = rows[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    index, cores, seen = ME.metric_index(df, "vec_id", "embedding"), spark.sparkContext.defaultParallelism, []
+    assert len(index.layout.keys) > 30 and index.rows.select(F.max(F.length("v"))).first()[0] == 4 * 8
+
+    def finish(found):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        seen.append(found.collect())
+        return found
+
+    asked = ME.packed(df, [F.col("vec_id").alias("query_id"), F.lit(None).cast("string").alias("grp")], "embedding", False)
+    got = {}
+    for r in ME.nearest(asked, index, 3, True, finish).collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["id"]))
+    assert len(seen) > 4 and max(map(len, seen)) <= 3 * cores * 140
+    far = np.sqrt(((rows[:, None].astype(float) - rows[None]) ** 2).sum(2))
+    for i in range(600):
+        want = sorted((far[i, j], j) for j in range(600) if j != i)[:3]
+        best = sorted(got[i])[:3]
+        assert [j for _, j in best] == [j for _, j in want] and [d for d, _ in best] == pytest.approx([d for d, _ in want], abs=1e-9)
+
+
 def test_left_out_groups_and_first_citations(spark):
     groups = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "equipment_id string")
     windows = spark.createDataFrame([("a",)] * 3 + [("b",)], "equipment_id string")
